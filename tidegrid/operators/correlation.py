@@ -56,6 +56,6 @@ def prune_correlated(pairs: list[tuple[str, str, float]], importance: dict[str,
     for a, b, _ in strong:
         if a in dropped or b in dropped:
             continue
-        weaker = min((a, b), key=lambda f: (importance[f], [-ord(ch) for ch in f]))
-        dropped.add(weaker)
+        by_name = sorted((a, b), reverse=True)  # stable: on equal importance the later name goes
+        dropped.add(sorted(by_name, key=importance.get)[0])
     return dropped

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rolling"]
+MODULES = ["rolling", "joining", "tables", "events_futures"]
 
 
 def load_all():
