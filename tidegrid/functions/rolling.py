@@ -19,9 +19,15 @@ from tidegrid.functions.scalar import clip, col, nonzero
 MAX_RANK_WINDOW = 2000  # a frame of values is held per row while ranking
 
 
+def known_rows(x: Column, k: int, ax: Axis) -> Column:
+    """Non-null values among the last ``k`` rows, as the difference of two running counts: constant
+    work per row where a sliding count would revisit the frame."""
+    return F.count(x).over(ax.upto()) - F.count(x).over(ax.upto(k))
+
+
 def _guard(x: Column, ax: Axis, k: int, value: Column, min_periods: int | None) -> Column:
     need = k if min_periods is None else min_periods
-    return F.when(F.count(x).over(ax.trailing(k)) >= max(need, 1), value)
+    return F.when(known_rows(x, k, ax) >= max(need, 1), value)
 
 
 def lag(c, k: int, ax: Axis) -> Column:
@@ -105,9 +111,31 @@ def corr(a, b, k: int, ax: Axis, min_periods: int | None = None) -> Column:
 def zscore(c, k: int, ax: Axis, min_periods: int | None = None, floor: float | None = 1e-8) -> Column:
     """(x - mean) / std of the frame. ``floor`` bounds the deviation from below; ``None`` gives
     null when the frame has no spread."""
-    s = std(c, k, ax, min_periods)
+    x, w = col(c), ax.trailing(k)
+    s = F.stddev_samp(x).over(w)
     s = nonzero(s) if floor is None else clip(s, lo=floor)
-    return (col(c) - mean(c, k, ax, min_periods)) / s
+    return _guard(x, ax, k, (x - F.avg(x).over(w)) / s, min_periods)
+
+
+def moments(c: str, windows, ax: Axis, half: bool = False, deviation: bool = True) -> dict[str, Column]:
+    """Rolling means and deviations as named columns (``_m{w}_c``, ``_s{w}_c``), for packs that use
+    the same frame in several features: Spark does not merge equal window expressions itself."""
+    out = {f"_m{w}_{c}": mean(c, w, ax, w // 2 if half else None) for w in windows}
+    if deviation:
+        out.update({f"_s{w}_{c}": std(c, w, ax, w // 2 if half else None) for w in windows})
+    return out
+
+
+def z_of(c: str, w: int, floor: float | None = 1e-8) -> Column:
+    """z-score from ``moments`` columns."""
+    s = F.col(f"_s{w}_{c}")
+    return (F.col(c) - F.col(f"_m{w}_{c}")) / (nonzero(s) if floor is None else clip(s, lo=floor))
+
+
+def gap_of(c: str, w: int) -> Column:
+    """Percent gap to the mean from ``moments`` columns."""
+    m = F.col(f"_m{w}_{c}")
+    return (F.col(c) - m) / nonzero(m) * 100
 
 
 def rank_pct(c, k: int, ax: Axis, min_periods: int | None = None) -> Column:
@@ -205,8 +233,9 @@ def realized_vol(returns, k: int, ax: Axis) -> Column:
 
 
 def vs_average(c, k: int, ax: Axis) -> Column:
-    m = mean(c, k, ax)
-    return (col(c) - m) / nonzero(m) * 100
+    x = col(c)
+    m = F.avg(x).over(ax.trailing(k))
+    return _guard(x, ax, k, (x / nonzero(m) - 1) * 100, None)
 
 
 def fill_forward(c, limit: int, ax: Axis) -> Column:

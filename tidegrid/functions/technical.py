@@ -15,9 +15,10 @@ def stage(df: DataFrame, exprs: dict) -> DataFrame:
     return df.withColumns(exprs) if exprs else df
 
 
-def bollinger(c: str, ax: Axis, out: str, k: int = 20, width: float = 2.0) -> dict:
-    """Position inside the band (0..1) and band width in percent of the mean."""
-    m, s = R.mean(c, k, ax), R.std(c, k, ax)
+def bollinger(c: str, ax: Axis, out: str, k: int = 20, width: float = 2.0, staged: bool = False) -> dict:
+    """Position inside the band (0..1) and band width in percent of the mean. ``staged`` reads the
+    moments from columns made by ``rolling.moments``."""
+    m, s = (F.col(f"_m{k}_{c}"), F.col(f"_s{k}_{c}")) if staged else (R.mean(c, k, ax), R.std(c, k, ax))
     lo, hi = m - width * s, m + width * s
     return {
         f"{out}_position": clip((F.col(c) - lo) / nonzero(hi - lo), 0, 1),

@@ -24,6 +24,15 @@ def daily_bars(df: DataFrame, ax: Axis, price: str, sequence: str | Column, volu
     )
 
 
+def spread_series(df: DataFrame, ax: Axis) -> DataFrame:
+    """Hash the panel by series into the session's shuffle partitions.
+
+    Window work per byte is heavy, so letting AQE merge small partitions by size would idle most
+    cores. The windows that follow reuse this exchange."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *ax.keys)
+
+
 def normalise_index(df: DataFrame, ax: Axis, raw_ts: str, arrival: str | Column, values: list[str], min_rows: int = 10) -> DataFrame:
     """One row per series and day: the time is cut to a date, the row that arrived last wins, and
     series with fewer than ``min_rows`` days are dropped.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rolling", "joining", "tables", "events_futures"]
+MODULES = ["rolling", "joining", "tables", "events_futures", "packs"]
 
 
 def load_all():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
-from tidegrid.operators.bars import daily_bars
+from tidegrid.operators.bars import daily_bars, spread_series
 
 AX = Axis(("series_id",), "ts")
 DIVISOR = 371.0
@@ -31,7 +31,8 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
     )
     b = daily_bars(o, AX, price="price", sequence="o_orderkey")
-    return b.select("series_id", "ts", *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    b = b.select("series_id", "ts", *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    return spread_series(b, AX)
 
 
 BARS_SQL = f"""
@@ -97,7 +98,8 @@ def market(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> D
         F.round(F.sum(price), 2).alias("claims"),
         F.count(F.lit(1)).cast("double").alias("volume"),
     ]
-    return li.groupBy(F.col("l_returnflag").alias("series_id"), F.to_date("l_shipdate").alias("ts")).agg(*aggs)
+    daily = li.groupBy(F.col("l_returnflag").alias("series_id"), F.to_date("l_shipdate").alias("ts")).agg(*aggs)
+    return spread_series(daily, AX)
 
 
 def market_sql(only: list[str] | None = None) -> str:

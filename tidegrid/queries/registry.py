@@ -31,14 +31,15 @@ def query(covers: str, sql: str | None = None):
     return keep
 
 
-def shaped(df: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
-    """Comparable output: dates as text, doubles rounded, booleans as 0/1."""
+def shaped(df: DataFrame, cols: list[str] | None = None, digits: int = 6, fine: tuple[str, ...] = ()) -> DataFrame:
+    """Comparable output: dates as text, doubles rounded (``fine`` columns to 9 places, for ratios
+    that can end exactly on a rounding edge), booleans as 0/1."""
     keep = df.select(*cols) if cols else df
     out = []
     for f in keep.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits)
+            c = F.round(c, 9 if f.name in fine else digits)
         elif isinstance(f.dataType, (T.DateType,)):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):

@@ -191,9 +191,9 @@ class Steps:
         chain = ", ".join(f"{n} AS ({b})" for n, b in self.ctes)
         return f"WITH {chain} {select.replace('{prev}', self.last)}"
 
-    def out(self, doubles: list[str], ints: list[str] = (), keys=("series_id",), ts="ts", texts=(), digits: int = 6) -> str:
+    def out(self, doubles: list[str], ints: list[str] = (), keys=("series_id",), ts="ts", texts=(), digits: int = 6, fine=()) -> str:
         cols = list(keys) + ([f"{day(ts)} AS {ts}"] if ts else [])
-        cols += [f'{r(chr(34) + c + chr(34), digits)} AS "{c}"' for c in doubles]
+        cols += [f'{r(chr(34) + c + chr(34), 9 if c in fine else digits)} AS "{c}"' for c in doubles]
         cols += [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in ints]
         cols += [f'"{c}"' for c in texts]
         return self.done(f"SELECT {', '.join(cols)} FROM {{prev}}")
