@@ -61,12 +61,12 @@ def merge_new_rows(stored: DataFrame, fresh: DataFrame, ax: Axis, values: list[s
     )
 
 
-def append_newer(stored: DataFrame, fresh: DataFrame, ax: Axis) -> DataFrame:
-    """Stored rows plus the fresh rows dated after each series' last stored day."""
+def newer_rows(stored: DataFrame, fresh: DataFrame, ax: Axis) -> DataFrame:
+    """The fresh rows dated after each series' last stored day (all rows of a new series)."""
     last = stored.groupBy(*ax.keys).agg(F.max(ax.ts).alias("_last"))
-    newer = (
-        fresh.join(last, list(ax.keys), "left")
-        .filter(F.col("_last").isNull() | (F.col(ax.ts) > F.col("_last")))
-        .drop("_last")
-    )
-    return stored.unionByName(newer)
+    joined = fresh.join(last, list(ax.keys), "left")
+    return joined.filter(F.col("_last").isNull() | (F.col(ax.ts) > F.col("_last"))).drop("_last")
+
+
+def append_newer(stored: DataFrame, fresh: DataFrame, ax: Axis) -> DataFrame:
+    return stored.unionByName(newer_rows(stored, fresh, ax))
