@@ -26,7 +26,8 @@ def bias_levels(df: DataFrame, first: str, second: str, error: str, weight: str,
 
 def fit_calibration(forecasts: DataFrame, window_days: int = WINDOW_DAYS, decay: float = DECAY, min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Correction table ``(level, regime, calendar_cohort, bias, n)`` from decided forecasts whose
-    outcome is known, over the last ``window_days`` business days."""
+    outcome is known, over the last ``window_days`` business days. With too few forecasts in all,
+    every level is too small and the table is empty."""
     done = forecasts.filter(F.col("actual_vix_change").isNotNull() & F.col("direction_prediction").isin("UP", "DOWN"))
     last = done.agg(F.max("forecast_date").alias("_last"))
     start = D.from_business_index(D.business_index(F.date_add("_last", 1)) - window_days)
@@ -36,9 +37,7 @@ def fit_calibration(forecasts: DataFrame, window_days: int = WINDOW_DAYS, decay:
         (F.col("actual_vix_change") - F.col("magnitude_forecast")).alias("_err"),
         time_decay(F.datediff("_last", "forecast_date"), decay).alias("_w"),
     )
-    table = bias_levels(scored, "regime", "calendar_cohort", "_err", "_w", min_samples)
-    enough = recent.agg((F.count(F.lit(1)) >= min_samples).alias("_ok"))
-    return table.join(F.broadcast(enough)).filter("_ok").drop("_ok")
+    return bias_levels(scored, "regime", "calendar_cohort", "_err", "_w", min_samples)
 
 
 def apply_calibration(df: DataFrame, corrections: DataFrame, forecast: str = "magnitude_forecast") -> DataFrame:

@@ -64,15 +64,17 @@ def nearest_join(target: DataFrame, source: DataFrame, ax: Axis, values: list[st
 
 
 def first_within(target: DataFrame, source: DataFrame, ax: Axis, start: str | Column, days: int, values: list[str], matched: str = "found_ts") -> DataFrame:
-    """The first source day in ``start .. start + days``, found by probing each day with an
-    equi-join; target rows need a unique ``ax.id_cols``."""
-    probes = target.withColumn("_off", F.explode(F.sequence(F.lit(0), F.lit(days)))).withColumn("_day", F.date_add(col(start), F.col("_off")))
-    src = source.select(*ax.keys, F.col(ax.ts).alias("_day"), F.struct(F.col(ax.ts).alias("at"), *values).alias("_s"))
-    hits = probes.join(src, [*ax.keys, "_day"], "left")
-    best = F.min_by("_s", F.when(F.col("_s").isNotNull(), F.col("_off")))
-    rest = [c for c in target.columns if c not in ax.id_cols]
-    agg = hits.groupBy(*ax.id_cols).agg(*[F.first(c).alias(c) for c in rest], best.alias("_hit"))
-    return agg.select(*target.columns, *[F.col(f"_hit.{v}").alias(v) for v in values], F.col("_hit.at").alias(matched))
+    """The first source day in ``start .. start + days``.
+
+    Each source row is spread over the start days it answers for (those after the previous source
+    row, at most ``days`` back), which makes the probe one equi-join with unique right-hand keys."""
+    prev = F.lag(ax.ts).over(ax.ordered())
+    opens = F.greatest(F.date_sub(F.col(ax.ts), days), F.date_add(F.col("_prev"), 1))
+    served = (
+        source.select(*ax.id_cols, *values).withColumn("_prev", prev)
+        .select(*ax.keys, F.col(ax.ts).alias(matched), *values, F.explode(F.sequence(opens, F.col(ax.ts), F.expr("interval 1 day"))).alias("_day"))
+    )
+    return target.withColumn("_day", col(start)).join(served, [*ax.keys, "_day"], "left").select(*target.columns, *values, matched)
 
 
 def signed_days_to_next(dates: DataFrame, events: DataFrame, ts: str, event_date: str, out: str) -> DataFrame:

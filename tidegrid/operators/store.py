@@ -62,13 +62,9 @@ def backfill_outcomes(forecasts: DataFrame, levels: DataFrame, keys: list[str],
     """Outcome columns for decided forecasts without one: the level on the due day or the first of
     the ``slack_days`` after it, the change, direction, hit and size error. One equi-join."""
     open_ = forecasts.filter(F.col("actual_vix_change").isNull() & (F.coalesce(F.col("direction_prediction"), F.lit("")) != "NO_DECISION"))
-    done = ["actual_vix_change", "actual_direction", "direction_correct", "magnitude_error"]
-    probe = open_.drop(*done).withColumn("_due", outcome_day(base, "horizon", unit))
-    by_key = Axis(tuple(keys), "ts")
-    src = levels.filter(F.col(level).isNotNull()).select(*keys, F.col("ts"), F.col(level).alias("_actual"))
-    slim = probe.select(*keys, "prediction_id", "_due").withColumn("ts", F.col("_due"))
-    hit = first_within_due(slim, src, by_key, slack_days)
-    j = probe.join(hit, [*keys, "prediction_id"]).filter(F.col("_actual").isNotNull())
+    due = open_.withColumn("_due", outcome_day(base, "horizon", unit))
+    src = levels.filter(F.col(level).isNotNull()).select(*keys, "ts", F.col(level).alias("_actual"))
+    j = first_within(due, src, Axis(tuple(keys), "ts"), "_due", slack_days, ["_actual"], "_found").filter(F.col("_actual").isNotNull())
     change = (F.col("_actual") - F.col("current_vix")) / nonzero("current_vix") * 100
     up = (F.col("actual_vix_change") > 0).cast("int")
     said_up = F.when(F.col("direction_prediction").isNotNull(), F.col("direction_prediction") == "UP").otherwise(F.col("direction_probability") > 0.5).cast("int")
@@ -77,14 +73,6 @@ def backfill_outcomes(forecasts: DataFrame, levels: DataFrame, keys: list[str],
     return j.select(*[c for c in forecasts.columns])
 
 
-def first_within_due(slim: DataFrame, src: DataFrame, ax: Axis, slack: int) -> DataFrame:
-    """For each (keys, prediction_id): the first known level from its due day to ``slack`` days on."""
-    wide = Axis((*ax.keys,), ax.ts)
-    days = slim.select(*ax.keys, F.col("_due").alias("ts")).distinct()
-    found = first_within(days, src, wide, "ts", slack, ["_actual"], "_found")
-    return slim.drop("ts").join(found.withColumnRenamed("ts", "_due"), [*ax.keys, "_due"]).select(*ax.keys, "prediction_id", "_actual", "_found")
-
-
 def performance_summary(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Decision rate, accuracy and size errors, in total and by cohort (ROLLUP).
 

@@ -186,9 +186,18 @@ _FIT = (
 )
 
 
+def stored_outcomes(spark, sf_dir):
+    """The outcome table as a stored one: calibration reads it more than once."""
+    from tidegrid.queries.sourcing import fresh_folder
+
+    path = fresh_folder(spark, "outcomes")
+    outcomes(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("M20 A3 J14 P22", f"WITH {_FIT} SELECT level, regime, calendar_cohort, {S.r('bias')} AS bias, n FROM cor")
 def calibration_fit(spark, sf_dir):
-    return shaped(CB.fit_calibration(outcomes(spark, sf_dir)))
+    return shaped(CB.fit_calibration(stored_outcomes(spark, sf_dir)))
 
 
 @query(
@@ -201,7 +210,7 @@ def calibration_apply(spark, sf_dir):
     from tidegrid.queries.sourcing import fresh_folder
 
     path = fresh_folder(spark, "corrections")
-    CB.fit_calibration(outcomes(spark, sf_dir)).write.parquet(path)
+    CB.fit_calibration(stored_outcomes(spark, sf_dir)).write.parquet(path)
     out = CB.apply_calibration(forecasts(spark, sf_dir).drop("correction_type"), spark.read.parquet(path))
     return shaped(out, ["series_id", "prediction_id", "adjustment", "calibrated_forecast", "correction_type"])
 
