@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["rolling", "joining", "tables", "events_futures", "packs", "sourcing", "forecasting", "anomalies", "streams", "learning"]
+MODULES = ["rolling", "joining", "tables", "events_futures", "packs", "sourcing", "forecasting", "anomalies", "streams", "learning", "whole"]
 
 
 def load_all():
