@@ -38,6 +38,21 @@ class Axis:
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.keys)
 
+    def frame(self, first: int | None, last: int | None) -> str:
+        """``OVER (...)`` text of a row frame; ``None`` is unbounded, negative is preceding."""
+
+        def edge(k: int | None, side: str) -> str:
+            if k is None:
+                return f"UNBOUNDED {side}"
+            return "CURRENT ROW" if k == 0 else f"{abs(k)} {'PRECEDING' if k < 0 else 'FOLLOWING'}"
+
+        rows = f"ROWS BETWEEN {edge(first, 'PRECEDING')} AND {edge(last, 'FOLLOWING')}"
+        return f"OVER (PARTITION BY {', '.join(self.keys)} ORDER BY {self.ts} {rows})"
+
+    @property
+    def over(self) -> str:
+        return f"OVER (PARTITION BY {', '.join(self.keys)} ORDER BY {self.ts})"
+
     def by(self, *more: str) -> "Axis":
         return Axis(self.keys + more, self.ts)
 

@@ -1,8 +1,10 @@
 """Row-frame window expressions over a panel axis.
 
-Each helper returns a Column. A frame of ``k`` rows yields a value only when at least
-``min_periods`` (default ``k``) of them are non-null. Frames of one axis share one sort, so a
-stage of many features costs one shuffle; features that feed other frames go to a later stage.
+Each helper takes a column name (or any SQL expression) and returns a Column. A frame of ``k`` rows
+yields a value only when at least ``min_periods`` (default ``k``) of them are non-null. Frames of one
+axis share one sort, so a stage of many features costs one shuffle; features that feed other frames
+go to a later stage. Expressions are written as SQL text: a feature is then one call into the JVM
+instead of dozens, which matters when hundreds are planned.
 """
 
 from __future__ import annotations
@@ -14,107 +16,101 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
-from tidegrid.functions.scalar import clip, col, nonzero
+from tidegrid.functions.scalar import clip, nonzero
 
 MAX_RANK_WINDOW = 2000  # a frame of values is held per row while ranking
 
 
-def known_rows(x: Column, k: int, ax: Axis) -> Column:
+def known(x: str, k: int, ax: Axis) -> str:
     """Non-null values among the last ``k`` rows, as the difference of two running counts: constant
     work per row where a sliding count would revisit the frame."""
-    return F.count(x).over(ax.upto()) - F.count(x).over(ax.upto(k))
+    return f"(count({x}) {ax.frame(None, 0)} - count({x}) {ax.frame(None, -k)})"
 
 
-def _guard(x: Column, ax: Axis, k: int, value: Column, min_periods: int | None) -> Column:
-    need = k if min_periods is None else min_periods
-    return F.when(known_rows(x, k, ax) >= max(need, 1), value)
+def _guard(x: str, ax: Axis, k: int, value: str, min_periods: int | None) -> str:
+    need = max(k if min_periods is None else min_periods, 1)
+    return f"CASE WHEN {known(x, k, ax)} >= {need} THEN {value} END"
 
 
-def lag(c, k: int, ax: Axis) -> Column:
-    return F.lag(col(c), k).over(ax.ordered())
+def lag(c: str, k: int, ax: Axis) -> Column:
+    return F.expr(f"lag({c}, {k}) {ax.over}")
 
 
-def lead(c, k: int, ax: Axis) -> Column:
-    return F.lead(col(c), k).over(ax.ordered())
+def lead(c: str, k: int, ax: Axis) -> Column:
+    return F.expr(f"lead({c}, {k}) {ax.over}")
 
 
-def diff(c, k: int, ax: Axis) -> Column:
-    return col(c) - lag(c, k, ax)
+def diff(c: str, k: int, ax: Axis) -> Column:
+    return F.expr(f"{c} - lag({c}, {k}) {ax.over}")
 
 
-def pct_change(c, k: int, ax: Axis, pad: bool = True) -> Column:
+def pct_change(c: str, k: int, ax: Axis, pad: bool = True) -> Column:
     """Fractional change over ``k`` rows; ``pad`` carries the last known value over nulls."""
-    x = col(c)
     if not pad:
-        return x / nonzero(lag(x, k, ax)) - 1
-    now = F.last(x, ignorenulls=True).over(ax.upto())
-    was = F.last(x, ignorenulls=True).over(ax.upto(k))
-    return now / F.when(was != 0, was) - 1
+        return F.expr(f"{c} / nullif(lag({c}, {k}) {ax.over}, 0) - 1")
+    now, was = f"last({c}, true) {ax.frame(None, 0)}", f"last({c}, true) {ax.frame(None, -k)}"
+    return F.expr(f"{now} / nullif({was}, 0) - 1")
 
 
-def mean(c, k: int, ax: Axis, min_periods: int | None = None) -> Column:
-    x = col(c)
-    return _guard(x, ax, k, F.avg(x).over(ax.trailing(k)), min_periods)
+def _mean(c: str, k: int, ax: Axis) -> str:
+    return f"avg({c}) {ax.frame(1 - k, 0)}"
 
 
-def total(c, k: int, ax: Axis, min_periods: int | None = None) -> Column:
-    x = col(c)
-    return _guard(x, ax, k, F.sum(x).over(ax.trailing(k)), min_periods)
+def _std(c: str, k: int, ax: Axis) -> str:
+    return f"stddev_samp({c}) {ax.frame(1 - k, 0)}"
 
 
-def std(c, k: int, ax: Axis, min_periods: int | None = None) -> Column:
-    x = col(c)
-    return _guard(x, ax, k, F.stddev_samp(x).over(ax.trailing(k)), min_periods)
+def mean(c: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
+    return F.expr(_guard(c, ax, k, _mean(c, k, ax), min_periods))
 
 
-def quantile(c, q: float, k: int, ax: Axis, min_periods: int | None = None) -> Column:
+def total(c: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
+    return F.expr(_guard(c, ax, k, f"sum({c}) {ax.frame(1 - k, 0)}", min_periods))
+
+
+def std(c: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
+    return F.expr(_guard(c, ax, k, _std(c, k, ax), min_periods))
+
+
+def quantile(c: str, q: float, k: int, ax: Axis, min_periods: int | None = None) -> Column:
     """Linearly interpolated quantile of the frame."""
-    x = col(c)
-    return _guard(x, ax, k, F.percentile(x, F.lit(q)).over(ax.trailing(k)), min_periods)
+    return F.expr(_guard(c, ax, k, f"percentile({c}, {q}D) {ax.frame(1 - k, 0)}", min_periods))
 
 
-def prior_quantile(c, q: float, k: int, ax: Axis, min_periods: int | None = None) -> Column:
+def prior_quantile(c: str, q: float, k: int, ax: Axis, min_periods: int | None = None) -> Column:
     """Quantile of the ``k`` rows before this one: a threshold that cannot see the current row."""
-    x = col(c)
-    need = k if min_periods is None else min_periods
-    w = ax.prior(k)
-    return F.when(F.count(x).over(w) >= need, F.percentile(x, F.lit(q)).over(w))
+    need, w = k if min_periods is None else min_periods, ax.frame(-k, -1)
+    return F.expr(f"CASE WHEN count({c}) {w} >= {need} THEN percentile({c}, {q}D) {w} END")
 
 
-def skew(c, k: int, ax: Axis) -> Column:
-    """Bias-corrected sample skewness."""
-    x, w = col(c), ax.trailing(k)
-    n = float(k)
-    spread = F.stddev_samp(x).over(w)
-    raw = F.when(spread > 0, F.skewness(x).over(w))
-    return _guard(x, ax, k, raw * (math.sqrt(n * (n - 1)) / (n - 2)), None)
+def skew(c: str, k: int, ax: Axis) -> Column:
+    """Bias-corrected sample skewness; null without spread."""
+    n, w = float(k), ax.frame(1 - k, 0)
+    scale = math.sqrt(n * (n - 1)) / (n - 2)
+    return F.expr(_guard(c, ax, k, f"CASE WHEN {_std(c, k, ax)} > 0 THEN skewness({c}) {w} * {scale!r}D END", None))
 
 
-def kurt(c, k: int, ax: Axis) -> Column:
-    """Bias-corrected excess kurtosis."""
-    x, w = col(c), ax.trailing(k)
-    n = float(k)
-    spread = F.stddev_samp(x).over(w)
-    raw = F.when(spread > 0, F.kurtosis(x).over(w))
-    return _guard(x, ax, k, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * raw + 6), None)
+def kurt(c: str, k: int, ax: Axis) -> Column:
+    """Bias-corrected excess kurtosis; null without spread."""
+    n, w = float(k), ax.frame(1 - k, 0)
+    scale = (n - 1) / ((n - 2) * (n - 3))
+    return F.expr(_guard(c, ax, k, f"CASE WHEN {_std(c, k, ax)} > 0 THEN {scale!r}D * ({n + 1}D * kurtosis({c}) {w} + 6) END", None))
 
 
-def corr(a, b, k: int, ax: Axis, min_periods: int | None = None) -> Column:
+def corr(a: str, b: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
     """Pearson correlation over rows where both sides are present; null without spread."""
-    x, y, w = col(a), col(b), ax.trailing(k)
-    xm, ym = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    need = k if min_periods is None else min_periods
-    scale = F.stddev_samp(xm).over(w) * F.stddev_samp(ym).over(w)
-    return F.when((F.count(xm).over(w) >= max(need, 2)) & (scale > 0), F.covar_samp(xm, ym).over(w) / F.when(scale > 0, scale))
+    x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+    need = max(k if min_periods is None else min_periods, 2)
+    scale = f"nullif({_std(x, k, ax)} * {_std(y, k, ax)}, 0)"
+    return F.expr(f"CASE WHEN {known(x, k, ax)} >= {need} THEN covar_samp({x}, {y}) {ax.frame(1 - k, 0)} / {scale} END")
 
 
-def zscore(c, k: int, ax: Axis, min_periods: int | None = None, floor: float | None = 1e-8) -> Column:
+def zscore(c: str, k: int, ax: Axis, min_periods: int | None = None, floor: float | None = 1e-8) -> Column:
     """(x - mean) / std of the frame. ``floor`` bounds the deviation from below; ``None`` gives
     null when the frame has no spread."""
-    x, w = col(c), ax.trailing(k)
-    s = F.stddev_samp(x).over(w)
-    s = nonzero(s) if floor is None else clip(s, lo=floor)
-    return _guard(x, ax, k, (x - F.avg(x).over(w)) / s, min_periods)
+    s = _std(c, k, ax)
+    s = f"nullif({s}, 0)" if floor is None else f"CASE WHEN {s} < {floor!r}D THEN {floor!r}D ELSE {s} END"
+    return F.expr(_guard(c, ax, k, f"({c} - {_mean(c, k, ax)}) / {s}", min_periods))
 
 
 def moments(c: str, windows, ax: Axis, half: bool = False, deviation: bool = True) -> dict[str, Column]:
@@ -138,61 +134,53 @@ def gap_of(c: str, w: int) -> Column:
     return (F.col(c) - m) / nonzero(m) * 100
 
 
-def rank_pct(c, k: int, ax: Axis, min_periods: int | None = None) -> Column:
+def _with_frame(c: str, frame: str, body: str) -> str:
+    """``body`` over ``s``, the frame's non-null values; bound once, so they are collected once."""
+    return f"element_at(transform(array(collect_list({c}) {frame}), s -> {body}), 1)"
+
+
+_BELOW = "size(filter(s, e -> e < {c}))"
+_RANK = "(" + _BELOW + " + (size(filter(s, e -> e = {c})) + 1) / 2) / nullif(size(s), 0)"
+
+
+def rank_pct(c: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
     """Average rank of the current value within its frame, as a share of the non-null count."""
     if k > MAX_RANK_WINDOW:
         raise ValueError(f"rank window {k} exceeds {MAX_RANK_WINDOW} rows")
-    x = col(c)
-    seen = F.collect_list(x).over(ax.trailing(k))
-    less = F.size(F.filter(seen, lambda v: v < x))
-    same = F.size(F.filter(seen, lambda v: v == x))
-    n = F.size(seen)
-    need = k if min_periods is None else min_periods
-    return F.when(x.isNotNull() & (n >= max(need, 1)), (less + (same + 1) / 2) / nonzero(n))
+    need = max(k if min_periods is None else min_periods, 1)
+    body = _with_frame(c, ax.frame(1 - k, 0), _RANK.format(c=c))
+    return F.expr(f"CASE WHEN {c} IS NOT NULL AND {known(c, k, ax)} >= {need} THEN {body} END")
 
 
-def pct_below(c, k: int, ax: Axis, min_valid: int | None = None) -> Column:
+def pct_below(c: str, k: int, ax: Axis, min_valid: int | None = None) -> Column:
     """Share of the ``k + 1`` row frame strictly below the current value, times 100.
 
     The default asks for a full frame, as the reference's outer rolling does; ``min_valid`` gives
     the looser rule it states (70 % of the window)."""
     if k > MAX_RANK_WINDOW:
         raise ValueError(f"rank window {k} exceeds {MAX_RANK_WINDOW} rows")
-    x = col(c)
-    seen = F.collect_list(x).over(ax.trailing(k + 1))
-    n = F.size(seen)
     need = k + 1 if min_valid is None else min_valid
-    below = F.size(F.filter(seen, lambda v: v < x))
-    return F.when(x.isNotNull() & (n >= need), below / nonzero(n) * 100)
+    body = _with_frame(c, ax.frame(-k, 0), _BELOW.format(c=c) + " / nullif(size(s), 0) * 100")
+    return F.expr(f"CASE WHEN {c} IS NOT NULL AND {known(c, k + 1, ax)} >= {need} THEN {body} END")
 
 
-def prior_rank(c, k: int, ax: Axis, min_rows: int) -> Column:
+def prior_rank(c: str, k: int, ax: Axis, min_rows: int) -> Column:
     """Share of the values before the current one, in a ``k`` row frame, that lie below it."""
-    x = col(c)
-    seen = F.collect_list(x).over(ax.prior(k - 1))
-    n = F.size(seen)
-    return F.when(x.isNotNull() & (n + 1 >= min_rows) & (n > 0), F.size(F.filter(seen, lambda v: v < x)) / nonzero(n))
+    body = _with_frame(c, ax.frame(1 - k, -1), f"CASE WHEN size(s) + 1 >= {min_rows} THEN " + _BELOW.format(c=c) + " / nullif(size(s), 0) END")
+    return F.expr(f"CASE WHEN {c} IS NOT NULL THEN {body} END")
 
 
-def full_rank_pct(c, ax: Axis) -> Column:
+def full_rank_pct(c: str, ax: Axis) -> Column:
     """Average-rank percentile over the whole series. Looks ahead: offline description only."""
-    x = col(c)
-    by_value = ax.whole().orderBy(x.asc_nulls_last())
-    ties = Window.partitionBy(*ax.keys, x)
-    n = F.count(x).over(ax.whole())
-    lowest = F.rank().over(by_value)
-    same = F.count(x).over(ties)
-    return F.when(x.isNotNull(), (lowest + (same - 1) / 2) / nonzero(n))
+    keys = ", ".join(ax.keys)
+    lowest, same = f"rank() OVER (PARTITION BY {keys} ORDER BY {c} ASC NULLS LAST)", f"count({c}) OVER (PARTITION BY {keys}, {c})"
+    return F.expr(f"CASE WHEN {c} IS NOT NULL THEN ({lowest} + ({same} - 1) / 2) / nullif(count({c}) OVER (PARTITION BY {keys}), 0) END")
 
 
-def expanding_rank_pct(c, ax: Axis) -> Column:
+def expanding_rank_pct(c: str, ax: Axis) -> Column:
     """The same rank seen from each row's own past: no look-ahead. A panel series is at most a
     calendar long, which bounds the list held per row."""
-    x = col(c)
-    seen = F.collect_list(x).over(ax.upto())
-    less = F.size(F.filter(seen, lambda v: v < x))
-    same = F.size(F.filter(seen, lambda v: v == x))
-    return F.when(x.isNotNull(), (less + (same + 1) / 2) / nonzero(F.size(seen)))
+    return F.expr(f"CASE WHEN {c} IS NOT NULL THEN {_with_frame(c, ax.frame(None, 0), _RANK.format(c=c))} END")
 
 
 def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], ax: Axis, block: int = 256) -> DataFrame:
@@ -227,21 +215,18 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], ax: Axis, bloc
     return df.drop(pos, blk, j, *local, *carried)
 
 
-def realized_vol(returns, k: int, ax: Axis) -> Column:
+def realized_vol(returns: str, k: int, ax: Axis) -> Column:
     """Annualised deviation of fractional returns, in percent."""
     return std(returns, k, ax) * (math.sqrt(252.0) * 100.0)
 
 
-def vs_average(c, k: int, ax: Axis) -> Column:
-    x = col(c)
-    m = F.avg(x).over(ax.trailing(k))
-    return _guard(x, ax, k, (x / nonzero(m) - 1) * 100, None)
+def vs_average(c: str, k: int, ax: Axis) -> Column:
+    return F.expr(_guard(c, ax, k, f"({c} / nullif({_mean(c, k, ax)}, 0) - 1) * 100", None))
 
 
-def fill_forward(c, limit: int, ax: Axis) -> Column:
+def fill_forward(c: str, limit: int, ax: Axis) -> Column:
     """Fill null values with the last one at most ``limit`` rows back."""
-    x = col(c)
-    return F.coalesce(x, F.last(x, ignorenulls=True).over(ax.ordered().rowsBetween(-limit, 0)))
+    return F.expr(f"coalesce({c}, last({c}, true) {ax.frame(-limit, 0)})")
 
 
 def decay_weights(ax: Axis, halflife: float) -> Column:

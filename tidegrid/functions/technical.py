@@ -29,8 +29,9 @@ def bollinger(c: str, ax: Axis, out: str, k: int = 20, width: float = 2.0, stage
 def rsi(df: DataFrame, c: str, ax: Axis, out: str = "rsi_14", k: int = 14) -> DataFrame:
     """Relative strength with simple means of gains and losses."""
     df = stage(df, {"_d": R.diff(c, 1, ax)})
-    gain, loss = R.mean(clip("_d", lo=0), k, ax), R.mean(-clip("_d", hi=0), k, ax)
-    return stage(df, {out: 100 - 100 / (1 + gain / nonzero(loss))}).drop("_d")
+    df = stage(df, {"_gain": clip("_d", lo=0), "_loss": -clip("_d", hi=0)})
+    rs = R.mean("_gain", k, ax) / nonzero(R.mean("_loss", k, ax))
+    return stage(df, {out: 100 - 100 / (1 + rs)}).drop("_d", "_gain", "_loss")
 
 
 def macd(df: DataFrame, c: str, ax: Axis, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -67,7 +68,7 @@ def extreme_flag(c: str, q: float, k: int, ax: Axis, absolute: bool = False, low
 
 def velocity_asymmetry(fast: str, slow: str, k: int, ax: Axis):
     """Gap between the mean absolute size of two change series."""
-    return F.abs(R.mean(F.abs(F.col(fast)), k, ax) - R.mean(F.abs(F.col(slow)), k, ax))
+    return F.abs(R.mean(f"abs({fast})", k, ax) - R.mean(f"abs({slow})", k, ax))
 
 
 def normalised_volatility(df: DataFrame, c: str, k: int, ax: Axis, out: str) -> DataFrame:

@@ -16,6 +16,7 @@ from tidegrid.plans import meta as ME
 from tidegrid.plans import price as PR
 from tidegrid.plans import regimes as RG
 from tidegrid.plans import volatility as VO
+from tidegrid.plans.draft import together
 
 # Features the row quality score asks for.
 CRITICAL = ["vix", "close", "vix_percentile_21d", "spx_realized_vol_21d"]
@@ -26,33 +27,22 @@ OPTIONAL = ["gamma", "vpn", "bfly"]
 def market_features(df: DataFrame, ax: Axis) -> DataFrame:
     """Price, regime, volatility, macro and meta packs over a wide daily frame."""
     have = lambda *c: set(c) <= set(df.columns)
-    df = PR.candle_features(PR.price_features(PR.level_features(df, ax), ax), ax)
-    df = RG.regime_pack(df, ax)
+    first = [
+        lambda d: PR.price_features(PR.level_features(d, ax), ax), lambda d: PR.candle_features(d, ax), lambda d: RG.regime_pack(d, ax), lambda d: MA.yields(d, ax),
+    ]
+    optional = [
+        (("skew",), lambda d: RG.tail_regime_pack(d, ax)), (("skew",), lambda d: RG.joint_pack(d, ax)), (("vix3m", "vix6m"), lambda d: VO.term_structure(d, ax)),
+        (("skew", "vxth", "vxtlt"), lambda d: VO.options_flow(d, ax)), (("vvix",), lambda d: VO.vol_of_vol(d, ax)), (("claims",), lambda d: MA.labour(d, ax)),
+        (("stress",), lambda d: MA.stress(d, ax)), (("hy",), lambda d: MA.credit(d, ax)), (("dxy",), lambda d: VO.currency_index(d, ax)),
+        (("vx1", "vx2", "vx3", "vx4"), lambda d: CU.curve_regimes(CU.curve_spreads(d, ax), ax)),
+    ]
+    df = together(df, first + [pack for needs, pack in optional if have(*needs)])
+    second = [
+        lambda d: PR.interaction_features(d, ax), lambda d: PR.regime_conditional_features(d, ["vix_velocity_5d", "vix_zscore_252d", "spx_realized_vol_63d"]), lambda d: PR.transform_features(d, ax),
+    ]
     if have("skew"):
-        df = RG.joint_pack(RG.tail_regime_pack(df, ax), ax)
-    if have("vix3m", "vix6m"):
-        df = VO.term_structure(df, ax)
-    if have("skew", "vxth", "vxtlt"):
-        df = VO.options_flow(df, ax)
-    if have("vvix"):
-        df = VO.vol_of_vol(df, ax)
-    if have("vx1", "vx2", "vx3", "vx4"):
-        df = CU.curve_regimes(CU.curve_spreads(df, ax), ax)
-    if have("claims"):
-        df = MA.labour(df, ax)
-    if have("stress"):
-        df = MA.stress(df, ax)
-    if have("hy"):
-        df = MA.credit(df, ax)
-    df = MA.yields(df, ax)
-    if have("dxy"):
-        df = VO.currency_index(df, ax)
-    df = PR.interaction_features(df, ax)
-    df = PR.regime_conditional_features(df, ["vix_velocity_5d", "vix_zscore_252d", "spx_realized_vol_63d"])
-    df = PR.transform_features(df, ax)
-    if have("skew"):
-        df = ME.percentile_rankings(ME.rates_of_change(ME.cross_relations(ME.regime_indicators(df, ax), ax), ax), ax)
-    return df
+        second += [lambda d: ME.cross_relations(ME.regime_indicators(d, ax), ax), lambda d: ME.rates_of_change(d, ax), lambda d: ME.percentile_rankings(d, ax)]
+    return together(df, second)
 
 
 def event_features(df: DataFrame, ax: Axis, meetings: DataFrame) -> DataFrame:

@@ -98,6 +98,6 @@ def macro_level(df: DataFrame, ax: Axis, c: str, name: str, windows: tuple[int,
 def commodity_spread(df: DataFrame, ax: Axis, spread: str = "cl_spread", price: str = "crude") -> DataFrame:
     df = stage(df, {
         "cl1_cl2_velocity_5d": R.diff(spread, 5, ax), "cl1_cl2_zscore_63d": R.zscore(spread, 63, ax), "oil_term_regime": checked_regime(spread, [-10, -1, 0, 2, 20], ax),
-        **{f"crude_oil_ret_{w}d": R.pct_change(price, w, ax) * 100 for w in (10, 21, 63)}, "crude_oil_zscore_63d": R.zscore(price, 63, ax), "_r": R.pct_change(price, 1, ax),
+        **{f"crude_oil_ret_{w}d": R.pct_change(price, w, ax) * 100 for w in (10, 21, 63)}, "crude_oil_zscore_63d": R.zscore(price, 63, ax), f"_r_{price}": R.pct_change(price, 1, ax),
     })
-    return stage(df, {"crude_oil_vol_21d": R.realized_vol("_r", 21, ax)}).drop("_r")
+    return stage(df, {"crude_oil_vol_21d": R.realized_vol(f"_r_{price}", 21, ax)}).drop(f"_r_{price}")

@@ -35,8 +35,8 @@ def cross_relations(df: DataFrame, ax: Axis, leak_free: bool = True) -> DataFram
     if "gold" in df.columns:
         df = stage(df, {"_g21": R.pct_change("gold", 21, ax) * 100})
         ranked.append("_g21")
-    for c in ranked:  # ranks sort by value: one stage each
-        df = stage(df, {f"_k_{c}": rank(c, ax)})
+    for names in ([ranked] if leak_free else [[c] for c in ranked]):  # whole-history ranks each need their own sort
+        df = stage(df, {f"_k_{c}": rank(c, ax) for c in names})
     out = {
         "equity_vol_divergence": F.abs(F.col("_k_spx_ret_21d") + F.col("_k_vix_velocity_21d") - 1),
         "equity_vol_corr_breakdown": F.abs(F.col("spx_vix_corr_21d") - R.mean("spx_vix_corr_21d", 63, ax)),
@@ -57,12 +57,16 @@ def rates_of_change(df: DataFrame, ax: Axis, leak_free: bool = True) -> DataFram
     df = stage(df, {
         "_v55": R.diff("_v5", 5, ax), "_s55": R.diff("_s5", 5, ax), "vix_momentum_regime": sign("_v5"), "skew_momentum_regime": sign("_s5"), "spx_realized_vol_21d_acceleration_5d": R.diff("_r5", 5, ax),
     })
-    df = stage(stage(df, {"_k10v": rank("_v10", ax)}), {"_k10s": rank("_s10", ax)})
+    pairs = {"_k10v": "_v10", "_k10s": "_s10"}
+    for names in ([list(pairs)] if leak_free else [[k] for k in pairs]):
+        df = stage(df, {k: rank(pairs[k], ax) for k in names})
     return stage(df, {"vix_jerk_5d": R.diff("_v55", 5, ax), "skew_jerk_5d": R.diff("_s55", 5, ax), "vix_skew_momentum_divergence": F.abs(F.col("_k10v") - F.col("_k10s"))})
 
 
 def percentile_rankings(df: DataFrame, ax: Axis) -> DataFrame:
     names = {"vix": "vix", "skew": "skew", "risk_premium": "_rp"}
+    if "_rp" not in df.columns:
+        df = stage(df, {"_rp": F.col("vix") - F.col("spx_realized_vol_21d")})
     df = stage(df, {f"{n}_percentile_{w}d": R.pct_below(c, w, ax) for n, c in names.items() for w in (21, 63, 126, 252)})
     return stage(df, {
         **{f"{n}_percentile_velocity": R.diff(f"{n}_percentile_63d", 10, ax) for n in names},

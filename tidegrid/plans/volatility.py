@@ -43,12 +43,12 @@ def options_flow(df: DataFrame, ax: Axis) -> DataFrame:
     t = F.col("vxtlt")
     df = stage(df, {
         "VXTH_change_21d": R.diff("vxth", 21, ax), "VXTH_zscore_63d": R.zscore("vxth", 63, ax), "vxth_vix_ratio": ratio("vxth", "vix"),
-        "VXTLT_change_21d": R.diff("vxtlt", 21, ax), "VXTLT_zscore_63d": R.zscore("vxtlt", 63, ax), "VXTLT_velocity_10d": R.diff("vxtlt", 10, ax), "_d5": R.diff("vxtlt", 5, ax),
+        "VXTLT_change_21d": R.diff("vxtlt", 21, ax), "VXTLT_zscore_63d": R.zscore("vxtlt", 63, ax), "VXTLT_velocity_10d": R.diff("vxtlt", 10, ax), "_d5_vxtlt": R.diff("vxtlt", 5, ax),
         "bond_vol_regime": checked_regime("vxtlt", [0, 5, 10, 15, 100], ax), "vxtlt_vix_ratio": ratio("vxtlt", "vix"), "vxtlt_vix_spread": t - F.col("vix"),
         **{f"VXTLT_percentile_{w}d": R.pct_below("vxtlt", w, ax) for w in (63, 126, 252)}, **{f"VXTLT_vs_ma{w}": R.vs_average("vxtlt", w, ax) for w in (21, 63)},
         "cboe_stress_composite": row_mean([_stress_part("skew", 130, 30), _stress_part("vxth", 15, 20), _stress_part("vxtlt", 8, 15)]),
     })
-    return stage(df, {"VXTLT_acceleration_5d": R.diff("_d5", 5, ax), "cboe_stress_regime": checked_regime("cboe_stress_composite", [0, 0.33, 0.66, 1], ax)}).drop("_d5")
+    return stage(df, {"VXTLT_acceleration_5d": R.diff("_d5_vxtlt", 5, ax), "cboe_stress_regime": checked_regime("cboe_stress_composite", [0, 0.33, 0.66, 1], ax)}).drop("_d5_vxtlt")
 
 
 def vol_of_vol(df: DataFrame, ax: Axis, vv: str = "vvix", level: str = "vix") -> DataFrame:
@@ -67,41 +67,41 @@ def currency_index(df: DataFrame, ax: Axis, c: str = "dxy") -> DataFrame:
         **{f"{c}_ret_{w}d": R.pct_change(c, w, ax) * 100 for w in (1, 5, 10, 21, 63)}, **{f"{c}_velocity_{w}d": R.diff(c, w, ax) for w in (5, 10, 21)},
         **{f"{c}_vs_ma{w}": R.vs_average(c, w, ax) for w in (21, 63, 252)}, **{f"{c}_zscore_{w}d": R.z_of(c, w, None) for w in (21, 63, 252)},
         **{f"{c}_percentile_{w}d": half_rank(c, w, ax) for w in (21, 63, 252)}, f"{c}_bb_position_20d": bb["b_position"], f"{c}_bb_width_20d": bb["b_width"],
-        f"{c}_extreme_high": TI.extreme_flag(c, 0.90, 252, ax), f"{c}_extreme_low": TI.extreme_flag(c, 0.10, 252, ax, low=True), "_r": R.pct_change(c, 1, ax),
+        f"{c}_extreme_high": TI.extreme_flag(c, 0.90, 252, ax), f"{c}_extreme_low": TI.extreme_flag(c, 0.10, 252, ax, low=True), f"_r_{c}": R.pct_change(c, 1, ax),
     })
     return stage(df, {
-        **{f"{c}_vol_{w}d": R.realized_vol("_r", w, ax) for w in (10, 21, 63)}, **{f"{c}_momentum_z_{w}d": half_z(f"{c}_velocity_{w}d", 63, ax) for w in (5, 10, 21)},
+        **{f"{c}_vol_{w}d": R.realized_vol(f"_r_{c}", w, ax) for w in (10, 21, 63)}, **{f"{c}_momentum_z_{w}d": half_z(f"{c}_velocity_{w}d", 63, ax) for w in (5, 10, 21)},
         f"{c}_accel_5d": R.diff(f"{c}_velocity_5d", 5, ax),
-    }).drop("_r", *R.moments(c, (20, 21, 63, 252), ax))
+    }).drop(f"_r_{c}", *R.moments(c, (20, 21, 63, 252), ax))
 
 
 def vol_index(df: DataFrame, ax: Axis, c: str, windows: tuple[int, ...], own_vol: tuple[int, ...] = (), averages: tuple[int, ...] = (), regime: list[float] | None = None, level: str | None = None) -> DataFrame:
     out = {
         **{f"{c}_ret_{w}d": R.pct_change(c, w, ax) * 100 for w in (5, 10, 21)}, **{f"{c}_velocity_{w}d": R.diff(c, w, ax) for w in (5, 10, 21)},
         **{f"{c}_zscore_{w}d": half_z(c, w, ax) for w in windows}, **{f"{c}_percentile_{w}d": half_rank(c, w, ax) for w in windows},
-        **{f"{c}_vs_ma{w}": R.vs_average(c, w, ax) for w in averages}, "_r": R.pct_change(c, 1, ax),
+        **{f"{c}_vs_ma{w}": R.vs_average(c, w, ax) for w in averages}, f"_r_{c}": R.pct_change(c, 1, ax),
     }
     if regime:
         out[f"{c}_regime"] = cut(c, regime).cast("double")
     if level:
         out.update({f"{c}_vix_ratio": ratio(c, level), f"{c}_vix_spread": F.col(c) - F.col(level)})
     df = stage(df, out)
-    more = {f"{c}_vol_{w}d": R.realized_vol("_r", w, ax) for w in own_vol}
+    more = {f"{c}_vol_{w}d": R.realized_vol(f"_r_{c}", w, ax) for w in own_vol}
     if level:
         more[f"{c}_vix_spread_zscore"] = half_z(f"{c}_vix_spread", 63, ax)
-    return stage(df, more).drop("_r")
+    return stage(df, more).drop(f"_r_{c}")
 
 
 def commodity(df: DataFrame, ax: Axis, c: str, rets: tuple[int, ...], vols: tuple[int, ...], zs: tuple[int, ...], momentum: tuple[int, str] | None = None) -> DataFrame:
     """Returns, volatility, z-scores and an optional growth flag (window, flag name) of a price."""
-    out = {**{f"{c}_ret_{w}d": R.pct_change(c, w, ax) * 100 for w in rets}, **{f"{c}_zscore_{w}d": half_z(c, w, ax) for w in zs}, "_r": R.pct_change(c, 1, ax)}
+    out = {**{f"{c}_ret_{w}d": R.pct_change(c, w, ax) * 100 for w in rets}, **{f"{c}_zscore_{w}d": half_z(c, w, ax) for w in zs}, f"_r_{c}": R.pct_change(c, 1, ax)}
     if momentum:
         out[f"{c}_momentum_{momentum[0]}d"] = R.diff(c, momentum[0], ax)
     df = stage(df, out)
-    more = {f"{c}_vol_{w}d": R.realized_vol("_r", w, ax) for w in vols}
+    more = {f"{c}_vol_{w}d": R.realized_vol(f"_r_{c}", w, ax) for w in vols}
     if momentum:
         more[momentum[1]] = flag(F.col(f"{c}_momentum_{momentum[0]}d") > 0)
-    return stage(df, more).drop("_r")
+    return stage(df, more).drop(f"_r_{c}")
 
 
 def cross_asset(df: DataFrame, ax: Axis, level: str | None = "vix") -> DataFrame:
