@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
 from tidegrid.functions import dates as D
-from tidegrid.functions.scalar import finite
 from tidegrid.operators import calendar as C
 from tidegrid.operators.quality import feature_quality
 from tidegrid.plans import curve as CU
@@ -61,5 +60,6 @@ def feature_matrix(df: DataFrame, ax: Axis, meetings: DataFrame) -> DataFrame:
     """All features with a row quality score, infinities scrubbed and helper columns dropped."""
     out = event_features(market_features(df, ax), ax, meetings)
     out = out.withColumn("feature_quality", feature_quality(out, CRITICAL, IMPORTANT, OPTIONAL))
+    scrub = "CASE WHEN NOT isnan(`{c}`) AND abs(`{c}`) < double('infinity') THEN `{c}` END AS `{c}`"
     keep = [f for f in out.schema.fields if not f.name.startswith("_")]
-    return out.select(*[finite(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() == "double" else F.col(f"`{f.name}`") for f in keep])
+    return out.selectExpr(*[scrub.format(c=f.name) if f.dataType.typeName() == "double" else f"`{f.name}`" for f in keep])

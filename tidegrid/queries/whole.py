@@ -45,6 +45,37 @@ def tick_running_chunks(spark, sf_dir):
     return shaped(d.select("series_id", F.col("_pos").alias("pos"), "volume_to_date", "streak"))
 
 
+def series_panel(spark, sf_dir, key):
+    """Daily mean price of every supplier or part: as many series as the table has keys."""
+    from tidegrid.operators.bars import spread_series
+
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col(key).alias("series_id"), F.to_date("l_shipdate").alias("ts"))
+    return spread_series(li.agg(F.round(F.avg("l_extendedprice") / 371, 4).alias("close"), F.sum("l_quantity").alias("volume")), AX)
+
+
+def _series_sql(key):
+    return S.Steps(f"SELECT {key} AS series_id, CAST(l_shipdate AS DATE) AS ts, round(avg(l_extendedprice) / 371, 4) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2").add(
+        z21=S.zscore("close", 21), below10=S.pct_below("close", 10), ret5=f"{S.pct('close', 5)} * 100", pos=f"row_number() {S.over()}"
+    ).add(streak=f"pos - coalesce(max(CASE WHEN NOT volume > 25 THEN pos END) {S.upto()}, 0)").out(["z21", "below10", "ret5"], ["streak"])
+
+
+def _series_features(df):
+    from tidegrid.operators.episodes import with_true_streak
+
+    df = df.withColumns({"z21": R.zscore("close", 21, AX), "below10": R.pct_below("close", 10, AX), "ret5": R.pct_change("close", 5, AX) * 100, "busy": F.col("volume") > 25})
+    return shaped(with_true_streak(df, "busy", AX), ID + ["z21", "below10", "ret5", "streak"])
+
+
+@query("W4 W11 W14 W25", _series_sql("l_suppkey"))
+def supplier_series_features(spark, sf_dir):
+    return _series_features(series_panel(spark, sf_dir, "l_suppkey"))
+
+
+@query("W4 W11 W14 W25", _series_sql("l_partkey"))
+def part_series_features(spark, sf_dir):
+    return _series_features(series_panel(spark, sf_dir, "l_partkey"))
+
+
 _EV_SQL = _COHORT.done("SELECT * FROM {prev}").replace("CAST(o_orderdate AS DATE) AS ts FROM orders", "CAST(l_shipdate AS DATE) AS ts FROM lineitem").replace(
     "min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS year FROM orders", "min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS year FROM lineitem"
 )
