@@ -54,13 +54,10 @@ def weighted_mean(value: str | Column, weight: str | Column) -> Column:
 def value_shares(df: DataFrame, by: list[str], c: str) -> DataFrame:
     """Count and share of each value inside its group."""
     per = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("n"))
-    tot = per.groupBy(*by).agg(F.sum("n").alias("_total")) if by else None
-    if tot is None:
-        tot = per.agg(F.sum("n").alias("_total"))
-        joined = per.join(F.broadcast(tot))  # one row
-    else:
-        joined = per.join(tot, by)
-    return joined.withColumn("share", F.col("n") / F.col("_total")).drop("_total")
+    if not by:
+        return per.withColumn("share", F.col("n") / per.agg(F.sum("n")).scalar())
+    total = per.groupBy(*by).agg(F.sum("n").alias("_total"))
+    return per.join(total, by).withColumn("share", F.col("n") / F.col("_total")).drop("_total")
 
 
 def pass_rates(df: DataFrame, by: list[str], predicates: dict[str, Column]) -> DataFrame:

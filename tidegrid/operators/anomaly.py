@@ -207,9 +207,10 @@ def level_of(score: str | Column, moderate: Column, high: Column, critical: Colu
 
 def classify(scores: DataFrame, train: DataFrame, score: str = "ensemble_score") -> DataFrame:
     """Level, empirical p-value (share of training scores at or above) and confidence."""
-    cut = F.broadcast(score_thresholds(train, score))  # one row
+    cuts = score_thresholds(train, score)
+    moderate, high, critical = (cuts.select(n).scalar() for n in LEVELS)
     counts = RK.cumulative_counts(RK.constant_key(train), ["_all"], score).select(score, "below", "total")
-    out = scores.join(cut).withColumn("level", level_of(score, F.col("moderate"), F.col("high"), F.col("critical"))).drop("moderate", "high", "critical")
+    out = scores.withColumn("level", level_of(score, moderate, high, critical))
     out = out.join(counts, score, "left")
     p = (F.col("total") - F.col("below")) / nonzero("total")
     return out.withColumns({"p_value": p, "confidence": 1 - p}).drop("below", "total")

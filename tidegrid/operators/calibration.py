@@ -29,9 +29,9 @@ def fit_calibration(forecasts: DataFrame, window_days: int = WINDOW_DAYS, decay:
     outcome is known, over the last ``window_days`` business days. With too few forecasts in all,
     every level is too small and the table is empty."""
     done = forecasts.filter(F.col("actual_vix_change").isNotNull() & F.col("direction_prediction").isin("UP", "DOWN"))
-    last = done.agg(F.max("forecast_date").alias("_last"))
+    done = done.withColumn("_last", done.agg(F.max("forecast_date")).scalar())
     start = D.from_business_index(D.business_index(F.date_add("_last", 1)) - window_days)
-    recent = done.join(F.broadcast(last)).filter(F.col("forecast_date") >= start)  # one row
+    recent = done.filter(F.col("forecast_date") >= start)
     scored = recent.select(
         RG.level_label(RG.level_regime("current_vix", "left")).alias("regime"), "calendar_cohort",
         (F.col("actual_vix_change") - F.col("magnitude_forecast")).alias("_err"),
@@ -52,7 +52,7 @@ def apply_calibration(df: DataFrame, corrections: DataFrame, forecast: str = "ma
     out = df.join(level("regime_cohort", ["regime", "calendar_cohort"], "_rc"), ["regime", "calendar_cohort"], "left")
     out = out.join(level("regime", ["regime"], "_r"), ["regime"], "left")
     out = out.join(level("cohort", ["calendar_cohort"], "_c"), ["calendar_cohort"], "left")
-    out = out.join(level("global", [], "_g"), how="left")
+    out = out.withColumn("_g", corrections.filter(F.col("level") == "global").select("bias").scalar())
     kind = F.when(F.col("_rc").isNotNull(), "regime_cohort").when(F.col("_r").isNotNull(), "regime").when(F.col("_c").isNotNull(), "cohort")
     adj = F.coalesce("_rc", "_r", "_c", "_g", F.lit(0.0))
     out = out.withColumns({

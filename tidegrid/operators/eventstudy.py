@@ -42,10 +42,11 @@ def rows_at_events(df: DataFrame, events: DataFrame, ax: Axis, event_date: str =
     """Rows of every series that are the first on or after some event day.
 
     A row answers for the days since the series' previous row, so each series row is matched by an
-    equi-join on days instead of pairing events with series."""
+    equi-join on days instead of pairing events with series. The event side holds one row per day
+    (and group), which bounds what is broadcast."""
     d = df.withColumn("_prev", R.lag(ax.ts, 1, ax))
     days = F.sequence(F.coalesce(F.date_add("_prev", 1), F.col(ax.ts)), F.col(ax.ts), F.expr("interval 1 day"))
     spread = d.withColumn(event_date, F.explode(days)).drop("_prev")
     tags = [group] if group else []
-    hit = spread.join(events.select(event_date, *tags).distinct(), event_date).drop(event_date)
+    hit = spread.join(F.broadcast(events.select(event_date, *tags).distinct()), event_date).drop(event_date)
     return hit.dropDuplicates([*ax.keys, ax.ts, *tags])

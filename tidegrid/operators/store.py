@@ -34,7 +34,7 @@ def insert_new(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFram
     rest = [c for c in fresh.columns if c not in unique]
     first = fresh.groupBy(*unique).agg(F.min_by(F.struct(*rest), "prediction_id").alias("_r"))
     first = first.select(*unique, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*fresh.columns)
-    return first.join(stored.select(*unique), unique, "left_anti")
+    return first.join(stored.select(*unique), unique, "left_anti").select(*fresh.columns)
 
 
 def query_forecasts(df: DataFrame, keys: list[str], start: str | None = None, end: str | None = None, cohort: str | None = None, with_actuals: bool = False) -> DataFrame:

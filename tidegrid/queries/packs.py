@@ -19,7 +19,7 @@ from tidegrid.queries.registry import query, shaped
 from tidegrid.queries.rolling import _macd_steps
 
 ID = ["series_id", "ts"]
-_RATIOS = ("vix1m_vix3m_ratio", "vix3m_vix6m_ratio", "cboe_stress_composite", "vx_curve_2_1_ratio", "vx_curve_3_2_ratio", "vx_curve_4_3_ratio", "vx2_vx1_ratio", "vx_curve_score", "vvix_vix_ratio", "vxth_vix_ratio", "vxtlt_vix_ratio")
+_RATIOS = ("vx_contango_pct", "vix1m_vix3m_ratio", "vix3m_vix6m_ratio", "cboe_stress_composite", "vx_curve_2_1_ratio", "vx_curve_3_2_ratio", "vx_curve_4_3_ratio", "vx2_vx1_ratio", "vx_curve_score", "vvix_vix_ratio", "vxth_vix_ratio", "vxtlt_vix_ratio")
 
 
 def div(a, b):

@@ -24,22 +24,24 @@ def local_session(app: str = "tidegrid", cpus: str | int = "*", shuffle: int = 8
     )
 
 
+_LOCAL: dict[str, str] = {}  # application id -> folder, only where the session names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, laptops) is a local folder made and set.
-    """
+    Only when the session names none (tests, laptops) is a local folder made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidegrid-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tidegrid-")
+        spark.sparkContext.setCheckpointDir(_LOCAL[app])
+    return _LOCAL[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -69,9 +69,8 @@ def coverage(df: DataFrame, ax: Axis, value: str, as_of: Column) -> DataFrame:
     """First and last known day, span, age and business-day lag behind the freshest series."""
     known = F.when(F.col(value).isNotNull(), F.col(ax.ts))
     per = df.groupBy(*ax.keys).agg(F.min(known).alias("first_day"), F.max(known).alias("last_day"), F.count(value).alias("known_rows"), F.count(F.lit(1)).alias("rows"))
-    lead = per.agg(F.max("last_day").alias("_lead"), F.min("last_day").alias("_lag"))
-    out = per.join(F.broadcast(lead))  # one row
-    return out.select(
+    lead, behind = per.agg(F.max("last_day")).scalar(), per.agg(F.min("last_day")).scalar()
+    return per.select(
         *ax.keys, "first_day", "last_day", "rows", "known_rows", F.datediff("last_day", "first_day").alias("span_days"), F.datediff(as_of, "last_day").alias("age_days"),
-        D.business_lag("last_day", "_lead").alias("lag_business_days"), (F.col("last_day") == F.col("_lag")).cast("int").alias("is_stalest"),
+        D.business_lag(F.col("last_day"), lead).alias("lag_business_days"), (F.col("last_day") == behind).cast("int").alias("is_stalest"),
     )
