@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
 from tidegrid.functions.scalar import col, nonzero
+from tidegrid.operators import ranks as RK
 
 
-def summary_stats(df: DataFrame, by: list[str], c: str) -> DataFrame:
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), q.alias("_q")
-    )
-    return out.select(*by, "count", "mean", "std", "min", "max", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"), F.col("_q")[2].alias("q75"))
+def summary_stats(df: DataFrame, by: list[str], c: str, bounded: bool = False) -> DataFrame:
+    agg = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return RK.attach_quantiles(agg, df, by, c, {"median": 0.5, "q25": 0.25, "q75": 0.75}, bounded)
 
 
 def unpivot_columns(df: DataFrame, ids: list[str], cols: list[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -84,12 +82,6 @@ def latest_percentile(df: DataFrame, ax: Axis, c: str) -> DataFrame:
     )
 
 
-def percentile_set(df: DataFrame, by: list[str], c: str, qs: dict[str, float]) -> DataFrame:
-    arr = F.percentile(c, F.array(*[F.lit(q) for q in qs.values()]))
-    out = df.groupBy(*by).agg(arr.alias("_q"))
-    return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(qs)])
-
-
 def fixed_histogram(df: DataFrame, by: list[str], c: str, width: float, top: float) -> DataFrame:
     """Counts per bin of ``width`` over [0, top)."""
     b = F.floor(F.col(c) / width).cast("long")
@@ -127,15 +119,15 @@ def kernel_density(df: DataFrame, by: list[str], c: str, points: int = 50, bandw
     return spread.groupBy(*by, "i", "lo", "hi").agg(dens.alias("density")).select(*by, "i", (F.col("lo") + (F.col("hi") - F.col("lo")) / points * F.col("i")).alias("x"), "density")
 
 
-def return_profile(df: DataFrame, by: list[str], c: str, min_n: int = 5) -> DataFrame:
+def return_profile(df: DataFrame, by: list[str], c: str, min_n: int = 5, bounded: bool = False) -> DataFrame:
     """Mean, median, population deviation, shares above and below zero, range; groups under
     ``min_n`` are left out."""
-    x = F.col(c)
-    out = df.filter(x.isNotNull()).groupBy(*by).agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_pop(c).alias("std_pop"),
-        F.avg((x > 0).cast("double")).alias("share_pos"), F.avg((x < 0).cast("double")).alias("share_neg"), F.min(c).alias("min"), F.max(c).alias("max"),
+    x, known = F.col(c), df.filter(F.col(c).isNotNull())
+    out = known.groupBy(*by).agg(
+        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std_pop"), F.avg((x > 0).cast("double")).alias("share_pos"), F.avg((x < 0).cast("double")).alias("share_neg"),
+        F.min(c).alias("min"), F.max(c).alias("max"),
     )
-    return out.filter(F.col("n") >= min_n)
+    return RK.attach_quantiles(out.filter(F.col("n") >= min_n), known, by, c, {"median": 0.5}, bounded)
 
 
 def direction_scores(df: DataFrame, by: list[str], predicted: str, actual: str, confidence: str | None = None, magnitude: str | None = None, none_label: str = "NO_DECISION") -> DataFrame:
@@ -162,13 +154,13 @@ def direction_scores(df: DataFrame, by: list[str], predicted: str, actual: str,
 
 def size_errors(df: DataFrame, cohort: str, forecast: str, actual: str, keys: list[str] | None = None) -> DataFrame:
     """MAE, RMSE, bias and median error by cohort and in total (ROLLUP)."""
-    keys = keys or []
-    e = F.col(forecast) - F.col(actual)
-    rolled = df.withColumn("_e", e).rollup(*keys, cohort)
-    return rolled.agg(
-        F.count("_e").alias("n"), F.avg(F.abs("_e")).alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
-        F.avg("_e").alias("bias"), F.percentile(F.abs("_e"), F.lit(0.5)).alias("median_error"), F.grouping(cohort).alias("is_total"),
+    cols = [*(keys or []), cohort]
+    d = df.withColumn("_e", F.col(forecast) - F.col(actual)).withColumn("_ae", F.abs("_e"))
+    agg = d.rollup(*cols).agg(
+        F.count("_e").alias("n"), F.avg("_ae").alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.avg("_e").alias("bias"),
+        F.grouping(cohort).cast("int").alias("is_total"), (F.lit(len(cols)) - F.bit_count(F.grouping_id())).cast("int").alias("_level"),
     )
+    return RK.attach_rollup_quantiles(agg, d, cols, "_ae", {"median_error": 0.5})
 
 
 def binary_scores(df: DataFrame, by: list[str], prob: str, label: str, cut: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
 from tidegrid.functions import rolling as R
+from tidegrid.operators import ranks as RK
 
 
 def with_runs(df: DataFrame, state: str, ax: Axis, run: str = "run_id") -> DataFrame:
@@ -25,14 +26,18 @@ def episodes(df: DataFrame, state: str, value: str, ax: Axis) -> DataFrame:
     )
 
 
-def episode_stats(eps: DataFrame, by: list[str], state: str, short: int = 10, long: int = 30) -> DataFrame:
-    """Per state: number of episodes, their durations and peaks, share of days, length buckets."""
-    d = F.col("days")
-    agg = eps.groupBy(*by, state).agg(
-        F.count(F.lit(1)).alias("n_episodes"), F.sum("days").alias("total_days"), F.percentile("days", F.lit(0.5)).alias("median_days"), F.avg("days").alias("mean_days"),
-        F.max("days").alias("max_days"), F.min("days").alias("min_days"), F.percentile("peak_abs", F.lit(0.5)).alias("median_peak"), F.max("peak_abs").alias("max_peak"),
+def episode_stats(eps: DataFrame, by: list[str], state: str, short: int = 10, long: int = 30, bounded: bool = False) -> DataFrame:
+    """Per state: number of episodes, their durations and peaks, share of days, length buckets.
+    ``bounded``: ``by`` names single series."""
+    d, keys = F.col("days"), [*by, state]
+    agg = eps.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_episodes"), F.sum("days").alias("total_days"), F.avg("days").alias("mean_days"), F.max("days").alias("max_days"), F.min("days").alias("min_days"), F.max("peak_abs").alias("max_peak"),
         F.sum((d <= short).cast("int")).alias("n_short"), F.sum(((d > short) & (d <= long)).cast("int")).alias("n_medium"), F.sum((d > long).cast("int")).alias("n_long"),
     )
+    agg = RK.attach_quantiles(agg, eps, keys, "days", {"median_days": 0.5}, bounded)
+    agg = RK.attach_quantiles(agg, eps, keys, "peak_abs", {"median_peak": 0.5}, bounded)
+    if not by:
+        return agg.withColumn("pct_days", F.col("total_days") / eps.agg(F.sum("days")).scalar() * 100)
     total = eps.groupBy(*by).agg(F.sum("days").alias("_all"))
     return agg.join(total, by).withColumn("pct_days", F.col("total_days") / F.col("_all") * 100).drop("_all")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
 from tidegrid.functions import rolling as R
+from tidegrid.operators import ranks as RK
 
 
 def horizon_returns(price: str, ax: Axis, ahead: list[int], back: list[int] = (), log: bool = True) -> dict[str, Column]:
@@ -21,15 +22,15 @@ def horizon_returns(price: str, ax: Axis, ahead: list[int], back: list[int] = ()
     return out
 
 
-def study(df: DataFrame, by: list[str], cols: list[str], min_n: int = 5) -> DataFrame:
+def study(df: DataFrame, by: list[str], cols: list[str], min_n: int = 5, bounded: bool = False) -> DataFrame:
     """Mean, median and share positive per group and horizon; statistics of fewer than ``min_n``
-    returns are null."""
+    returns are null. ``bounded``: the groups are within one series."""
     long = df.select(*by, *cols).unpivot(by, cols, "horizon", "ret").filter(F.col("ret").isNotNull())
-    agg = long.groupBy(*by, "horizon").agg(
-        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.percentile("ret", F.lit(0.5)).alias("median"), (F.avg((F.col("ret") > 0).cast("double")) * 100).alias("pct_pos"),
-    )
+    keys = [*by, "horizon"]
+    agg = long.groupBy(*keys).agg(F.count("ret").alias("n"), F.avg("ret").alias("mean"), (F.avg((F.col("ret") > 0).cast("double")) * 100).alias("pct_pos"))
+    agg = RK.attach_quantiles(agg, long, keys, "ret", {"median": 0.5}, bounded)
     enough = F.col("n") >= min_n
-    return agg.select(*by, "horizon", "n", *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "median", "pct_pos")])
+    return agg.select(*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "median", "pct_pos")])
 
 
 def label_groups(df: DataFrame, groups: dict[str, Column]) -> DataFrame:

@@ -77,3 +77,42 @@ def constant_key(df: DataFrame, name: str = "_all") -> DataFrame:
 
 def share_below(count: str | Column, total: str | Column) -> Column:
     return col(count) / F.when(col(total) > 0, col(total))
+
+
+def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], bounded: bool = False) -> DataFrame:
+    """Quantiles per group (``by`` may be empty).
+
+    ``bounded`` states that a group holds no more rows than the calendar has days (series-level
+    groups of a panel); only then is the in-memory ``percentile`` used."""
+    if bounded:
+        arr = F.percentile(value, F.array(*[F.lit(q) for q in qs.values()]))
+        out = df.groupBy(*by).agg(arr.alias("_q"))
+        return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(qs)])
+    if by:
+        return exact_quantiles(df, by, value, qs)
+    return exact_quantiles(constant_key(df), ["_all"], value, qs).drop("_all")
+
+
+def attach_quantiles(agg: DataFrame, df: DataFrame, by: list[str], value: str, qs: dict[str, float], bounded: bool = False) -> DataFrame:
+    """Add group quantiles to an aggregate of the same groups."""
+    q = group_quantiles(df, by, value, qs, bounded)
+    if not by:
+        return agg.withColumns({n: q.select(n).scalar() for n in qs})
+    right = [F.col(b).alias(f"_k_{b}") for b in by]
+    cond = [F.col(b).eqNullSafe(F.col(f"_k_{b}")) for b in by]
+    return agg.join(q.select(*right, *qs), cond, "left").drop(*[f"_k_{b}" for b in by])
+
+
+def attach_rollup_quantiles(agg: DataFrame, df: DataFrame, cols: list[str], value: str, qs: dict[str, float], level: str = "_level") -> DataFrame:
+    """The same for a ROLLUP over ``cols``; ``agg`` has a ``level`` column counting the columns a
+    row is grouped by."""
+    parts = None
+    for n in range(len(cols), -1, -1):
+        q = group_quantiles(df, cols[:n], value, qs)
+        nulls = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols[n:]]
+        part = q.select(*cols[:n], *nulls, F.lit(n).alias(level), *qs)
+        parts = part if parts is None else parts.unionByName(part)
+    keys = [*cols, level]
+    right = [F.col(k).alias(f"_k_{k}") for k in keys]
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return agg.join(parts.select(*right, *qs), cond, "left").drop(level, *[f"_k_{k}" for k in keys])

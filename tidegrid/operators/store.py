@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tidegrid.axis import Axis
 from tidegrid.functions import dates as D
 from tidegrid.functions.scalar import nonzero
+from tidegrid.operators import ranks as RK
 from tidegrid.operators.joins import first_within
 
 _S, _D, _I, _TS, _DT = T.StringType(), T.DoubleType(), T.IntegerType(), T.TimestampType(), T.DateType()
@@ -81,13 +82,17 @@ def performance_summary(df: DataFrame, keys: list[str] = ()) -> DataFrame:
     decided = F.col("direction_prediction").isin("UP", "DOWN")
     hit, up = F.when(decided, F.col("direction_correct").cast("double")), F.col("actual_direction") == 1
     said = F.col("direction_prediction") == "UP"
-    e = F.when(decided, F.col("magnitude_forecast") - F.col("actual_vix_change"))
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
-    return df.filter(F.col("actual_vix_change").isNotNull()).rollup(*keys, "calendar_cohort").agg(
+    known = df.filter(F.col("actual_vix_change").isNotNull()).withColumn("_e", F.when(decided, F.col("magnitude_forecast") - F.col("actual_vix_change")))
+    known = known.withColumn("_ae", F.abs("_e"))
+    cols = [*keys, "calendar_cohort"]
+    agg = known.rollup(*cols).agg(
         F.count(F.lit(1)).alias("n_total"), n(decided).alias("n_decided"), (1 - F.avg(decided.cast("double"))).alias("no_decision_rate"), F.avg(hit).alias("accuracy"),
         (n(said & up) / nonzero(n(said))).alias("precision"), (n(said & up) / nonzero(n(decided & up))).alias("recall"), F.avg(F.when(up, hit)).alias("accuracy_on_actual_up"),
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_error"), F.grouping("calendar_cohort").alias("is_total"),
+        F.avg("_ae").alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.avg("_e").alias("bias"), F.grouping("calendar_cohort").cast("int").alias("is_total"),
+        (F.lit(len(cols)) - F.bit_count(F.grouping_id())).cast("int").alias("_level"),
     )
+    return RK.attach_rollup_quantiles(agg, known, cols, "_ae", {"median_error": 0.5})
 
 
 def days_to_forecast(features: DataFrame, stored: DataFrame, keys: list[str], ts: str, start: str, end: str) -> DataFrame:

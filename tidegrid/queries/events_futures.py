@@ -63,7 +63,7 @@ def _spread_episodes(spark, sf_dir):
     ),
 )
 def episode_statistics(spark, sf_dir):
-    return shaped(E.episode_stats(_spread_episodes(spark, sf_dir), ["series_id"], "state"))
+    return shaped(E.episode_stats(_spread_episodes(spark, sf_dir), ["series_id"], "state", bounded=True))
 
 
 @query(
@@ -172,13 +172,20 @@ def _study_sql(groups, cols, by="series_id"):
 @query("B4 B5 W32 J11 J12", _EV.done(_study_sql(_GROUPS, [f"fwd_{h}d" for h in _H])))
 def transition_event_study(spark, sf_dir):
     df = ES.label_groups(_event_rows(spark, sf_dir), {"baseline": F.lit(True), "control": F.expr("go AND NOT leaves"), "transition": F.col("leaves"), "condition": F.col("c_leaves")})
-    return shaped(ES.study(df, ["series_id", "day_group"], [f"fwd_{h}d" for h in _H]))
+    return shaped(ES.study(df, ["series_id", "day_group"], [f"fwd_{h}d" for h in _H], bounded=True))
+
+
+@query("B4 B5", _EV.done(_study_sql(_GROUPS, [f"fwd_{h}d" for h in _H], by="'all'").replace("SELECT 'all', day_group", "SELECT day_group").replace("SELECT 'all', '", "SELECT '").replace("WHERE (", "WHERE (").replace(" GROUP BY 1", "")))
+def pooled_event_study(spark, sf_dir):
+    """All series in one group: the medians come from the bucketed exact path."""
+    df = ES.label_groups(_event_rows(spark, sf_dir), {"baseline": F.lit(True), "control": F.expr("go AND NOT leaves"), "transition": F.col("leaves"), "condition": F.col("c_leaves")})
+    return shaped(ES.study(df, ["day_group"], [f"fwd_{h}d" for h in _H]))
 
 
 @query("B6", _EV.done(_study_sql({"transition": "leaves"}, ["bwd_1d", "bwd_3d", "bwd_5d"])))
 def pre_event_drift(spark, sf_dir):
     df = ES.label_groups(_event_rows(spark, sf_dir), {"transition": F.col("leaves")})
-    return shaped(ES.study(df, ["series_id", "day_group"], ["bwd_1d", "bwd_3d", "bwd_5d"]))
+    return shaped(ES.study(df, ["series_id", "day_group"], ["bwd_1d", "bwd_3d", "bwd_5d"], bounded=True))
 
 
 _CLOSED = _COND.add(prev_go=S.lag("go", 1), nxt="min(CASE WHEN go THEN pos END) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)").raw(

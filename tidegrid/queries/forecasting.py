@@ -176,7 +176,7 @@ def outcome_backfill(spark, sf_dir):
     f"WITH {_BF} SELECT calendar_cohort, count(*) AS n_total, count(*) AS n_decided, {rr(no_decision_rate='0.0::DOUBLE', accuracy='avg(direction_correct)', precision='count(*) FILTER (direction_prediction = ' + chr(39) + 'UP' + chr(39) + ' AND actual_direction = 1) * 1.0 / count(*) FILTER (direction_prediction = ' + chr(39) + 'UP' + chr(39) + ')', recall='count(*) FILTER (direction_prediction = ' + chr(39) + 'UP' + chr(39) + ' AND actual_direction = 1) * 1.0 / count(*) FILTER (actual_direction = 1)', accuracy_on_actual_up='avg(direction_correct) FILTER (actual_direction = 1)', mae='avg(magnitude_error)', rmse='sqrt(avg(magnitude_error * magnitude_error))', bias='avg(magnitude_forecast - actual_vix_change)', median_error='median(magnitude_error)')}, CAST(grouping(calendar_cohort) AS INT) AS is_total FROM done GROUP BY ROLLUP(calendar_cohort)",
 )
 def forecast_performance(spark, sf_dir):
-    return shaped(ST.performance_summary(outcomes(spark, sf_dir)))
+    return shaped(ST.performance_summary(stored_outcomes(spark, sf_dir)))
 
 
 _FIT = (

@@ -10,6 +10,7 @@ from tidegrid.functions import rolling as R
 from tidegrid.functions import scalar as X
 from tidegrid.operators import aggregates as A
 from tidegrid.operators import calendar as C
+from tidegrid.operators import ranks as RK
 from tidegrid.operators import sets as U
 from tidegrid.plans import regimes as RG
 from tidegrid.queries import sqlgen as S
@@ -111,7 +112,7 @@ def weighted_bias_levels(spark, sf_dir):
     f"WITH b AS ({BARS_SQL}) SELECT series_id, count(close) AS count, {rr(mean='avg(close)', std='stddev_samp(close)', min='min(close)', max='max(close)', median='median(close)', q25='quantile_cont(close, 0.25)', q75='quantile_cont(close, 0.75)')} FROM b GROUP BY 1",
 )
 def summary_statistics(spark, sf_dir):
-    return shaped(A.summary_stats(bars(spark, sf_dir), ["series_id"], "close"))
+    return shaped(A.summary_stats(bars(spark, sf_dir), ["series_id"], "close", bounded=True))
 
 
 @query(
@@ -162,7 +163,7 @@ def latest_percentile(spark, sf_dir):
     f"WITH b AS ({BARS_SQL}) SELECT series_id, {rr(p5='quantile_cont(close, 0.05)', p10='quantile_cont(close, 0.10)', p85='quantile_cont(close, 0.85)', p92='quantile_cont(close, 0.92)', p98='quantile_cont(close, 0.98)')} FROM b GROUP BY 1",
 )
 def percentile_set(spark, sf_dir):
-    return shaped(A.percentile_set(bars(spark, sf_dir), ["series_id"], "close", {"p5": 0.05, "p10": 0.10, "p85": 0.85, "p92": 0.92, "p98": 0.98}))
+    return shaped(RK.group_quantiles(bars(spark, sf_dir), ["series_id"], "close", {"p5": 0.05, "p10": 0.10, "p85": 0.85, "p92": 0.92, "p98": 0.98}))
 
 
 _PC = ["vix", "vix3m", "vix6m", "skew", "y10y", "y30y", "ig"]
