@@ -132,6 +132,19 @@ def walk_forward_violations(df: DataFrame, ids: list[str], ts: str, cols: list[s
     return j.withColumn("violation", (F.col("last_available") > cutoff).cast("int"))
 
 
+def sampled_walk_forward(df: DataFrame, ids: list[str], ts: str, cols: list[str], meta: DataFrame, days: int = 20, seed: int = 42) -> DataFrame:
+    """The walk-forward check on ``days`` seeded days out of the later half of the calendar: passes
+    and failures per day."""
+    from tidegrid.operators.sets import seeded_sample
+
+    calendar = df.select(ts).distinct()  # one row per day
+    middle = calendar.agg(F.percentile(F.datediff(ts, F.lit("1970-01-01")), F.lit(0.5))).scalar()
+    late = calendar.filter(F.datediff(ts, F.lit("1970-01-01")) >= middle)
+    picked = F.broadcast(seeded_sample(late, ts, days, seed))
+    v = walk_forward_violations(df.join(picked, ts, "left_semi"), ids, ts, cols, meta)
+    return v.groupBy(ts).agg(F.count(F.lit(1)).alias("checked"), F.sum("violation").alias("violations")).withColumn("passed", (F.col("violations") == 0).cast("int"))
+
+
 def split_continuity(df: DataFrame, ax: Axis, cols: list[str], boundary: Column, rows: int = 20, limit: float = 0.99) -> DataFrame:
     """Lag-one autocorrelation of each feature over the last ``rows`` before a split and the first
     ``rows`` after it; above ``limit`` is suspicious."""
@@ -152,6 +165,36 @@ def split_continuity(df: DataFrame, ax: Axis, cols: list[str], boundary: Column,
     return agg.withColumn("suspicious", F.coalesce(ok & (F.col("autocorr") > limit), F.lit(False)).cast("int"))
 
 
+def ridge_leak_check(df: DataFrame, ax: Axis, features: list[str], target: str, boundary: Column, train_rows: int = 100, val_rows: int = 50, alpha: float = 1.0, limit: float = 0.8) -> DataFrame:
+    """Fit a small ridge regression per series on the last ``train_rows`` rows before a split and
+    report R2 on the first ``val_rows`` after it; above ``limit`` hints at target leakage.
+
+    Only those 150 rows of a series reach its task."""
+    import numpy as np
+    import pandas as pd
+
+    day = F.datediff(ax.ts, F.lit("1970-01-01"))
+    d = df.filter(F.col(target).isNotNull()).withColumn("_side", (F.col(ax.ts) > boundary).cast("int"))
+    near = F.row_number().over(Window.partitionBy(*ax.keys, "_side").orderBy(F.when(F.col("_side") == 0, -day).otherwise(day)))
+    cut = d.withColumn("_n", near).filter(((F.col("_side") == 0) & (F.col("_n") <= train_rows)) | ((F.col("_side") == 1) & (F.col("_n") <= val_rows)))
+    keys = list(ax.keys)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, va = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
+        r2 = None
+        if len(tr) >= train_rows and len(va) > 10:
+            x, v = tr[features].fillna(0.0).to_numpy(float), va[features].fillna(0.0).to_numpy(float)
+            mx, my = x.mean(axis=0), tr[target].mean()
+            w = np.linalg.solve((x - mx).T @ (x - mx) + alpha * np.eye(len(features)), (x - mx).T @ (tr[target].to_numpy(float) - my))
+            y = va[target].to_numpy(float)
+            spread = ((y - y.mean()) ** 2).sum()
+            r2 = float(1 - ((y - (v - mx) @ w - my) ** 2).sum() / spread) if spread > 0 else None
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "r2": [r2], "suspicious": [int(r2 is not None and r2 > limit)]})
+
+    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return cut.select(*keys, "_side", target, *features).groupBy(*keys).applyInPandas(fit, f"{types}, r2 double, suspicious int")
+
+
 def constant_tail(df: DataFrame, ax: Axis, cols: list[str], rows: int = 20) -> DataFrame:
     """Per feature: missing share, all-zero, and whether the last ``rows`` values are one constant."""
     newest = Window.partitionBy(*ax.keys).orderBy(F.col(ax.ts).desc())

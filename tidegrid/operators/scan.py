@@ -3,7 +3,10 @@
 A daily panel bounds a series by the calendar; a tick series has no such bound, and one of them may
 hold a third of the table. These operators number the rows without a per-series sort, cut a series
 into chunks of equal length, and let chunks run in parallel: frames borrow the rows before a chunk
-(halo), running totals and streaks receive a carry from the chunks before it."""
+(halo), running totals and streaks receive a carry from the chunks before it.
+
+Every operator reads its input twice (once to count or total, once to apply), so hand it a stored
+table rather than a long plan."""
 
 from __future__ import annotations
 

@@ -236,7 +236,7 @@ def multi_series_event_study(spark, sf_dir):
     t = o.join(c, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_mktsegment").alias("series_id"), F.to_date("o_orderdate").alias("ts")).agg(F.round(F.avg("o_totalprice") / 371.0, 4).alias("close"))
     t = t.withColumns(ES.horizon_returns("close", AX, [5, 21], [5], log=False))
     ev = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount >= 0.1").select(F.to_date("l_shipdate").alias("event_date"))
-    return shaped(ES.study(ES.rows_at_events(t, ev, AX), ["series_id"], ["fwd_5d", "fwd_21d", "bwd_5d"]))
+    return shaped(ES.study(ES.rows_at_events(t, ev, AX), ["series_id"], ["fwd_5d", "fwd_21d", "bwd_5d"], bounded=True))
 
 
 # --- futures --------------------------------------------------------------------------------

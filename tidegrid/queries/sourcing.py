@@ -228,7 +228,7 @@ def publication_lag_audit(spark, sf_dir):
 
 
 @query(
-    "V4 V5",
+    "V4",
     f"WITH m AS ({market_sql(['vix3m', 'y10y'])}), u AS (SELECT series_id, ts, 'vix3m' AS feature, 1 AS lag, DATE '2001-06-30' AS av FROM m WHERE vix3m IS NOT NULL UNION ALL SELECT series_id, ts, 'y10y', 14, DATE '2001-07-31' FROM m WHERE y10y IS NOT NULL)"
     " SELECT series_id, feature, count(*) AS checked, CAST(sum((av > ts - lag)::INT) AS BIGINT) AS violations FROM u GROUP BY 1, 2",
 )
@@ -238,6 +238,12 @@ def walk_forward_audit(spark, sf_dir):
     return v.groupBy("series_id", "feature").agg(F.count("*").alias("checked"), F.sum("violation").alias("violations"))
 
 
+@query("V5 U4")
+def sampled_availability(spark, sf_dir):
+    meta = spark.createDataFrame([("vix3m", 1, "2001-06-30"), ("y10y", 14, "2001-07-31")], "feature string, lag_days int, d string").select("feature", "lag_days", F.col("d").cast("date").alias("last_available"))
+    return shaped(Q.sampled_walk_forward(market(spark, sf_dir, ["vix3m", "y10y"]), ["series_id", "ts"], "ts", ["vix3m", "y10y"], meta))
+
+
 _qs = "(vix IS NOT NULL)::INT + (skew IS NOT NULL)::INT + 0 + CASE WHEN y10y IS NULL THEN 0.5 ELSE CASE WHEN day(ts) - 1 <= 0 THEN 1.0 WHEN day(ts) - 1 <= 3 THEN 0.95 WHEN day(ts) - 1 <= 7 THEN 0.8 WHEN day(ts) - 1 <= 14 THEN 0.5 ELSE 0.2 END END + CASE WHEN vix6m IS NULL THEN 0.5 ELSE 1 END + CASE WHEN y30y IS NULL THEN 0.9 ELSE 1 END"
 _QL = S.Steps(market_sql(["vix", "skew", "y10y", "vix6m", "y30y"])).add(q=f"(({_qs}) / 6.0)")
 
@@ -281,6 +287,12 @@ def fold_continuity(spark, sf_dir):
     return shaped(Q.split_continuity(market(spark, sf_dir, _VC), AX, _VC, F.lit("1999-12-31").cast("date")))
 
 
+@query("V2")
+def fold_ridge_check(spark, sf_dir):
+    df = market(spark, sf_dir, _VC)
+    return shaped(Q.ridge_leak_check(df.withColumn("next", F.lead("vix", 5).over(AX.ordered())), AX, _VC, "next", F.lit("1999-12-31").cast("date")))
+
+
 @query(
     "V10",
     f"WITH m AS ({market_sql(_HD)}), n AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) AS back FROM m) "

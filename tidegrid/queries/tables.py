@@ -349,7 +349,7 @@ def deduplicate_keys(spark, sf_dir):
 
 
 @query(
-    "O5 U1",
+    "U1 U2 U3",
     "SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 AND n > 5 THEN 'both' WHEN c_acctbal > 5000 THEN 'balance' ELSE 'orders' END AS origin FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey WHERE c_acctbal > 5000 OR n > 5",
 )
 def set_operations(spark, sf_dir):

@@ -14,6 +14,7 @@ from tidegrid.queries import sqlgen as S
 from tidegrid.queries.frames import AX, market, market_sql, table
 from tidegrid.queries.packs import candle_steps, level_steps, price_steps
 from tidegrid.queries.registry import query, shaped
+from tidegrid.queries.sourcing import fresh_folder
 from tidegrid.queries.tables import _COHORT, _PROX_COLS
 
 ID = ["series_id", "ts"]
@@ -23,7 +24,9 @@ _TICKS = f"SELECT l_returnflag AS series_id, l_orderkey, l_linenumber, l_partkey
 
 def ticks(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series_id"), F.to_date("l_shipdate").alias("day"), *ORDER, (F.col("l_extendedprice") / 371).alias("price"))
-    return SC.with_positions(li, ["series_id"], F.col("day"), ORDER)
+    path = fresh_folder(spark, "ticks")  # numbered once and stored: each chunked operator reads its input twice
+    SC.with_positions(li, ["series_id"], F.col("day"), ORDER).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("W5 W11 W2 N1", S.Steps(_TICKS).add(mean21=S.mean("price", 21), z63=S.zscore("price", 63), diff5=S.diff("price", 5)).done(f"SELECT series_id, ts AS pos, {S.r('mean21')} AS mean21, {S.r('z63')} AS z63, {S.r('diff5')} AS diff5 FROM {{prev}}"))
@@ -115,8 +118,6 @@ def feature_matrix(spark, sf_dir):
 @query("F31 F32 A9")
 def feature_matrix_profile(spark, sf_dir):
     """Known share and mean of every feature of the full matrix."""
-    from tidegrid.queries.sourcing import fresh_folder
-
     out = AS.feature_matrix(market(spark, sf_dir, _ALL), AX, meetings(spark, sf_dir))
     cols = [f.name for f in out.schema.fields if f.dataType.typeName() in ("double", "integer", "long") and f.name not in ("series_id",)]
     path = fresh_folder(spark, "matrix")
