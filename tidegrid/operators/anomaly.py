@@ -108,8 +108,13 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[list, li
     return feat, cut, left, right, size
 
 
-def fit_forest(df: DataFrame, features: list[str], id_col: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> Forest:
-    """Grow the forest on the cluster; only tree nodes come back to the driver."""
+def fit_forests(df: DataFrame, groups: dict[str, list[str]], id_col: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> dict[str, Forest]:
+    """One forest per named feature group, in three passes over the rows however many groups: the
+    scaler, the row count, and the samples, from which every group grows its trees side by side.
+    Only tree nodes come back to the driver."""
+    names = sorted(groups)
+    features = sorted({f for g in groups.values() for f in g})
+    at = {n: [features.index(f) for f in groups[n]] for n in names}
     scaler = fit_scaler(df, features)
     n = df.count()
     rows = df.select(id_col, scaled(features, scaler).alias("x"))
@@ -118,16 +123,24 @@ def fit_forest(df: DataFrame, features: list[str], id_col: str, trees: int = TRE
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        tree = int(pdf["tree"].iloc[0])
-        f, c, lt, rt, sz = _grow(np.stack(pdf["x"].to_numpy()), np.random.default_rng([seed, tree]), limit)
-        return pd.DataFrame({"tree": [tree], "f": [f], "c": [c], "l": [lt], "r": [rt], "n": [sz]})
-
-    grown = tree_samples(rows, id_col, trees, sample, seed, n).groupBy("tree").applyInPandas(grow, "tree int, f array<int>, c array<double>, l array<int>, r array<int>, n array<int>")
-    out = []
-    for t in sorted(grown.collect(), key=lambda r: r["tree"]):  # at most `trees` rows of < 2 * sample nodes
+        tree, x = int(pdf["tree"].iloc[0]), np.stack(pdf["x"].to_numpy())
+        out = []
+        for k, name in enumerate(names):
+            f, c, lt, rt, sz = _grow(x[:, at[name]], np.random.default_rng([seed, k, tree]), limit)
+            out.append((name, tree, f, c, lt, rt, sz))
+        return pd.DataFrame(out, columns=["name", "tree", "f", "c", "l", "r", "n"])
+
+    schema = "name string, tree int, f array<int>, c array<double>, l array<int>, r array<int>, n array<int>"
+    grown = tree_samples(rows, id_col, trees, sample, seed, n).groupBy("tree").applyInPandas(grow, schema)
+    out = {k: Forest(groups[k], scaler, size, []) for k in names}
+    for t in sorted(grown.collect(), key=lambda r: (r["name"], r["tree"])):  # groups x trees rows of < 2 * sample nodes
         path = np.array([average_path(k) for k in t["n"]])
-        out.append({"f": np.array(t["f"]), "c": np.array(t["c"]), "l": np.array(t["l"]), "r": np.array(t["r"]), "p": path})
-    return Forest(features, scaler, size, out)
+        out[t["name"]].trees.append({"f": np.array(t["f"]), "c": np.array(t["c"]), "l": np.array(t["l"]), "r": np.array(t["r"]), "p": path})
+    return out
+
+
+def fit_forest(df: DataFrame, features: list[str], id_col: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> Forest:
+    return fit_forests(df, {"forest": features}, id_col, trees, sample, seed)["forest"]
 
 
 def path_scores(x: np.ndarray, forest: Forest) -> np.ndarray:
@@ -262,12 +275,10 @@ def random_subspaces(features: list[str], count: int = 5, low: int = 8, high: in
 def fit_detectors(df: DataFrame, groups: dict[str, list[str]], id_col: str, trees: int = TREES, seed: int = 42, least: int = 3) -> dict[str, tuple[Forest, float]]:
     """A forest and its feature coverage per named group; groups under ``least`` present features
     are skipped."""
-    out = {}
-    for i, (name, feats) in enumerate(sorted(groups.items())):
-        have = [f for f in feats if f in df.columns]
-        if len(have) >= least:
-            out[name] = (fit_forest(df, have, id_col, trees, seed=seed + i), len(have) / len(feats))
-    return out
+    have = {n: [f for f in feats if f in df.columns] for n, feats in groups.items()}
+    usable = {n: fs for n, fs in have.items() if len(fs) >= least}
+    forests = fit_forests(df, usable, id_col, trees, seed=seed)
+    return {n: (f, len(usable[n]) / len(groups[n])) for n, f in forests.items()}
 
 
 def detector_scores(df: DataFrame, detectors: dict[str, tuple[Forest, float]], ids: list[str]) -> DataFrame:

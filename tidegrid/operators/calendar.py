@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
 from tidegrid.functions import dates as D
-from tidegrid.functions.scalar import clip, flag
+from tidegrid.functions.scalar import clip, flag, lookup
 from tidegrid.operators.joins import near_any_event, signed_days_to_next
 
 # Cohort order, day windows and weights.
@@ -73,16 +71,20 @@ def event_distances(days: DataFrame, ts: str, meetings: DataFrame, opex: DataFra
     })
 
 
-def cohort_columns() -> dict[str, Column]:
+def cohort_weight(cohort: Column, weights: dict[str, float] | None = None) -> Column:
+    """Training weight of a cohort; unknown cohorts weigh 1."""
+    return F.coalesce(lookup(cohort, weights or COHORT_WEIGHTS), F.lit(1.0))
+
+
+def cohort_columns(weights: dict[str, float] | None = None) -> dict[str, Column]:
     """Calendar cohort by priority, its weight and 0/1 flags, from ``event_distances`` columns."""
     between = lambda c, r: F.coalesce(F.col(c).between(*r), F.lit(False))
     macro = between("days_to_meeting", EVENT_RANGE) | (F.col("is_cpi") + F.col("is_pce") + F.col("is_minutes") > 0)
     expiry = between("days_to_opex", EXPIRY_RANGE) | between("days_to_futures", EXPIRY_RANGE)
     earnings = between("earnings_intensity", EARNINGS_RANGE)
     cohort = F.when(macro, "fomc_period").when(expiry, "opex_week").when(earnings, "earnings_heavy").otherwise("mid_cycle")
-    weight = reduce(lambda acc, kv: acc.when(cohort == kv[0], F.lit(kv[1])), COHORT_WEIGHTS.items(), F.when(F.lit(False), F.lit(1.0)))
     return {
-        "calendar_cohort": cohort, "cohort_weight": weight, "is_fomc_period": flag(cohort == "fomc_period"),
+        "calendar_cohort": cohort, "cohort_weight": cohort_weight(cohort, weights), "is_fomc_period": flag(cohort == "fomc_period"),
         "is_opex_week": flag(cohort == "opex_week"), "is_earnings_heavy": flag(cohort == "earnings_heavy"),
     }
 

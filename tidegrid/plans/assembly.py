@@ -44,12 +44,13 @@ def market_features(df: DataFrame, ax: Axis) -> DataFrame:
     return together(df, second)
 
 
-def event_features(df: DataFrame, ax: Axis, meetings: DataFrame) -> DataFrame:
+def event_features(df: DataFrame, ax: Axis, meetings: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Calendar columns, cohort, event proximity and their products with market features.
 
     Event columns depend on the day alone: they are computed once per distinct day and joined back,
-    one row per calendar day."""
-    days = df.select(ax.ts).distinct()
+    one row per calendar day. ``calendar`` (the input before its features) keeps the event plan
+    short."""
+    days = (df if calendar is None else calendar).select(ax.ts).distinct()
     months = C.months_between(days, ax.ts)
     ev = C.event_distances(days, ax.ts, meetings, C.option_expiries(months), C.futures_expiries(months))
     ev = C.proximity_columns(ev.withColumns(C.cohort_columns())).withColumns(D.month_day_columns(ax.ts))
@@ -58,7 +59,7 @@ def event_features(df: DataFrame, ax: Axis, meetings: DataFrame) -> DataFrame:
 
 def feature_matrix(df: DataFrame, ax: Axis, meetings: DataFrame) -> DataFrame:
     """All features with a row quality score, infinities scrubbed and helper columns dropped."""
-    out = event_features(market_features(df, ax), ax, meetings)
+    out = event_features(market_features(df, ax), ax, meetings, df)
     out = out.withColumn("feature_quality", feature_quality(out, CRITICAL, IMPORTANT, OPTIONAL))
     scrub = "CASE WHEN NOT isnan(`{c}`) AND abs(`{c}`) < double('infinity') THEN `{c}` END AS `{c}`"
     keep = [f for f in out.schema.fields if not f.name.startswith("_")]
