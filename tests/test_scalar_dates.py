@@ -73,6 +73,8 @@ def test_expiry_rules(spark):
 
 def test_anchor_rows_take_precedence(spark):
     months = spark.createDataFrame([(2024, 3), (2024, 4)], "year int, month int")
+    moved = spark.createDataFrame([(2024, 6), (2022, 3)], "year int, month int")
+    assert sorted(str(r["expiry_date"]) for r in C.expiry_table(moved).collect()) == ["2022-03-15", "2024-06-18"]
     anchor = spark.createDataFrame([(2024, 3, dt.date(2024, 3, 19))], "year int, month int, expiry_date date")
     got = {r["month"]: str(r["expiry_date"]) for r in C.expiry_table(months, anchor).collect()}
     assert got == {3: "2024-03-19", 4: "2024-04-17"}

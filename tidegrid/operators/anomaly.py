@@ -181,7 +181,7 @@ def coverage_penalty(c: str | Column, least: float = 0.7) -> Column:
 
 def clip_bounds(train: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
     """Clip range of raw scores per detector: the 5 to 95 % range widened by a tenth on each side."""
-    q = RK.exact_quantiles(train, keys, raw, {"p5": 0.05, "p95": 0.95})
+    q = RK.exact_quantiles(train, keys, raw, {"p5": 0.05, "p95": 0.95}, few_keys=True)
     pad = (F.col("p95") - F.col("p5")) * 0.1
     return q.select(*keys, (F.col("p5") - pad).alias("_lo"), (F.col("p95") + pad).alias("_hi"))
 
@@ -191,7 +191,7 @@ def calibrated_scores(train: DataFrame, rows: DataFrame, keys: list[str], raw: s
     bounds = F.broadcast(clip_bounds(train, keys, raw))  # one row per detector
     clipped = rows.join(bounds, keys).withColumn("_v", F.greatest("_lo", F.least("_hi", F.col(raw)))).drop("_lo", "_hi")
     probes = clipped.select(*keys, F.col("_v").alias(raw))
-    cdf = RK.count_at_or_below(train, probes, keys, raw).withColumnRenamed(raw, "_v")
+    cdf = RK.count_at_or_below(train, probes, keys, raw, few_keys=True).withColumnRenamed(raw, "_v")
     scored = clipped.join(cdf, [*keys, "_v"])
     return scored.withColumn(out, clip(1.0 - F.col("at_or_below") / F.col("total"), 0.0, SCORE_CAP)).drop("_v", "at_or_below", "total")
 
@@ -210,7 +210,7 @@ def ensemble(long: DataFrame, ids: list[str], score: str = "score", coverage: st
 
 def score_thresholds(scores: DataFrame, score: str = "ensemble_score") -> DataFrame:
     """One row of level thresholds: exact quantiles of the training scores."""
-    return RK.exact_quantiles(RK.constant_key(scores), ["_all"], score, LEVELS).drop("_all")
+    return RK.exact_quantiles(RK.constant_key(scores), ["_all"], score, LEVELS, few_keys=True).drop("_all")
 
 
 def level_of(score: str | Column, moderate: Column, high: Column, critical: Column) -> Column:
@@ -222,7 +222,7 @@ def classify(scores: DataFrame, train: DataFrame, score: str = "ensemble_score")
     """Level, empirical p-value (share of training scores at or above) and confidence."""
     cuts = score_thresholds(train, score)
     moderate, high, critical = (cuts.select(n).scalar() for n in LEVELS)
-    counts = RK.cumulative_counts(RK.constant_key(train), ["_all"], score).select(score, "below", "total")
+    counts = RK.cumulative_counts(RK.constant_key(train), ["_all"], score, few_keys=True).select(score, "below", "total")
     out = scores.withColumn("level", level_of(score, moderate, high, critical))
     out = out.join(counts, score, "left")
     p = (F.col("total") - F.col("below")) / nonzero("total")

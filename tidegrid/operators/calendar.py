@@ -33,6 +33,12 @@ def series_calendar(df: DataFrame, ax: Axis, business: bool = False) -> DataFram
     return days_between(span, "_a", "_b", ax.ts, business).select(*ax.id_cols)
 
 
+# Recorded contract expiries that a holiday moved off the rule, by year and month.
+MOVED_EXPIRIES = {
+    201403: "2014-03-18", 201903: "2019-03-19", 202203: "2022-03-15", 202406: "2024-06-18", 202503: "2025-03-18", 202605: "2026-05-19",
+}
+
+
 def months_between(df: DataFrame, ts: str, years_after: int = 1) -> DataFrame:
     """One row per month, from January of the first year to December ``years_after`` past the last."""
     span = df.agg(F.min(F.year(ts)).alias("a"), F.max(F.year(ts)).alias("b"))
@@ -50,8 +56,10 @@ def futures_expiries(months: DataFrame) -> DataFrame:
 
 
 def expiry_table(months: DataFrame, anchor: DataFrame | None = None) -> DataFrame:
-    """Contract expiries by rule, with recorded (year, month, expiry_date) rows taking precedence."""
-    rule = months.select("year", "month", D.contract_expiry("year", "month").alias("expiry_date"))
+    """Contract expiries by rule and the known moved dates, with recorded (year, month, expiry_date)
+    rows taking precedence."""
+    moved = lookup(F.col("year") * 100 + F.col("month"), MOVED_EXPIRIES).cast("date")
+    rule = months.select("year", "month", F.coalesce(moved, D.contract_expiry("year", "month")).alias("expiry_date"))
     full = rule
     if anchor is not None:
         full = anchor.select("year", "month", "expiry_date").unionByName(rule.join(anchor, ["year", "month"], "left_anti"))

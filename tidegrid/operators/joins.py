@@ -24,7 +24,8 @@ def asof_join(
 
     Matching is on labels, so a null at the matched label stays null. ``limit`` bounds how many
     target rows in a row may reuse a label they do not equal. Source and target are united and
-    sorted once: one shuffle, linear work.
+    sorted once: one shuffle, linear work. Both sides are daily panels, at most one row per series
+    and day; reduce ticks with ``bars.normalise_index`` first.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(direction)

@@ -13,22 +13,23 @@ from pyspark.sql import functions as F
 from tidegrid.functions.scalar import col
 
 
-def _bounds(values: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:
+def _bounds(values: DataFrame, keys: list[str], value: str, buckets: int, few_keys: bool) -> DataFrame:
+    """One row of bucket edges per key; broadcast only where the caller states there are few keys."""
     qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    return values.groupBy(*keys).agg(F.percentile_approx(value, qs, 10 * buckets).alias("_bounds"))
+    edges = values.groupBy(*keys).agg(F.percentile_approx(value, qs, 10 * buckets).alias("_bounds"))
+    return F.broadcast(edges) if few_keys else edges
 
 
 def _bucket(value: Column) -> Column:
     return F.size(F.filter("_bounds", lambda b: b < value))
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 64, few_keys: bool = False) -> DataFrame:
     """Distinct values per group with their count, the rows below them and the rows in all.
 
     Needs at least one key; for an ungrouped distribution pass a constant column."""
     per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    bounds = F.broadcast(_bounds(per, keys, value, buckets))  # one row of `buckets` numbers per key
-    cut = per.join(bounds, keys).withColumn("_b", _bucket(F.col(value))).drop("_bounds")
+    cut = per.join(_bounds(per, keys, value, buckets, few_keys), keys).withColumn("_b", _bucket(F.col(value))).drop("_bounds")
     sizes = cut.groupBy(*keys, "_b").agg(F.sum("n").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"), F.sum("_size").over(Window.partitionBy(*keys)).alias("total"))
@@ -51,18 +52,17 @@ def quantiles_from_counts(counts: DataFrame, keys: list[str], value: str, qs: di
     return counts.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], buckets: int = 64) -> DataFrame:
-    return quantiles_from_counts(cumulative_counts(df, keys, value, buckets), keys, value, qs)
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], buckets: int = 64, few_keys: bool = False) -> DataFrame:
+    return quantiles_from_counts(cumulative_counts(df, keys, value, buckets, few_keys), keys, value, qs)
 
 
-def count_at_or_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str, buckets: int = 64) -> DataFrame:
+def count_at_or_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str, buckets: int = 64, few_keys: bool = False) -> DataFrame:
     """For each distinct probe value, how many training values are at or below it, and of how many.
 
     Training values and probes are merged into the same buckets and scanned once in order."""
     t = train.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_probe", F.lit(0))
     p = probes.filter(F.col(value).isNotNull()).select(*keys, value).distinct().withColumns({"n": F.lit(0).cast("long"), "_probe": F.lit(1)})
-    bounds = F.broadcast(_bounds(t, keys, value, buckets))
-    both = t.unionByName(p).join(bounds, keys).withColumn("_b", _bucket(F.col(value))).drop("_bounds")
+    both = t.unionByName(p).join(_bounds(t, keys, value, buckets, few_keys), keys).withColumn("_b", _bucket(F.col(value))).drop("_bounds")
     sizes = both.groupBy(*keys, "_b").agg(F.sum("n").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"), F.sum("_size").over(Window.partitionBy(*keys)).alias("total"))
@@ -90,7 +90,7 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
         return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(qs)])
     if by:
         return exact_quantiles(df, by, value, qs)
-    return exact_quantiles(constant_key(df), ["_all"], value, qs).drop("_all")
+    return exact_quantiles(constant_key(df), ["_all"], value, qs, few_keys=True).drop("_all")
 
 
 def attach_quantiles(agg: DataFrame, df: DataFrame, by: list[str], value: str, qs: dict[str, float], bounded: bool = False) -> DataFrame:

@@ -131,7 +131,7 @@ def stream_anomaly_scores(spark, sf_dir):
     v = vectors(spark, sf_dir)
     forest = AN.fit_forest(v, [f"d{i}" for i in range(DIMS)], "vec_id", trees=50)
     train = AN.score_rows(v, forest).select((-F.col("raw")).alias("s"))
-    cut = RK.exact_quantiles(RK.constant_key(train), ["_all"], "s", AN.LEVELS).first().asDict()  # one row
+    cut = RK.exact_quantiles(RK.constant_key(train), ["_all"], "s", AN.LEVELS, few_keys=True).first().asDict()  # one row
     schema = table(spark, sf_dir, "embeddings").schema
     live = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")
     rows = live.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(DIMS)])

@@ -20,34 +20,32 @@ def live_document(df: DataFrame, keys: list[str], market: dict[str, Column], ano
     return df.select(*keys, F.to_json(doc).alias("document"))
 
 
-def _get(doc: Column, path: str) -> Column:
-    v = F.try_variant_get(F.try_parse_json(doc), f"$.{path}", "variant")
-    return v
-
-
-def _type(doc: Column, path: str) -> Column:
-    return F.schema_of_variant(_get(doc, path))
+def _get(path: str) -> Column:
+    return F.try_variant_get("_json", f"$.{path}", "variant")
 
 
 def validate_documents(df: DataFrame, keys: list[str], doc: str, kind: str) -> DataFrame:
     """One row per violation: missing fields (critical), wrong types (error), a score outside 0..1
-    or arrays of unequal length (warning). Types come from the parsed JSON, not from casts."""
-    d = F.col(doc)
-    parsed = F.try_parse_json(d)
+    or arrays of unequal length (warning). Each document is parsed once; types come from the parsed
+    JSON, not from casts."""
+    parsed, fields = F.col("_json"), sorted({*REQUIRED[kind], *NUMBERS[kind], *ARRAYS[kind]})
+    value = lambda f: F.col(f"_at.`{f}`")
     found: list[tuple[Column, str, str]] = [(parsed.isNull(), "critical", "document is null or not JSON")]
     for f in REQUIRED[kind]:
-        found.append((parsed.isNotNull() & _get(d, f).isNull(), "critical", f"missing required field {f}"))
-    is_number = lambda t: t.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT)$")
+        found.append((parsed.isNotNull() & value(f).isNull(), "critical", f"missing required field {f}"))
+    numeric = "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT)$"
     for f in NUMBERS[kind]:
-        found.append((_get(d, f).isNotNull() & ~is_number(_type(d, f)), "error", f"{f} is not a number"))
+        found.append((value(f).isNotNull() & ~F.schema_of_variant(value(f)).rlike(numeric), "error", f"{f} is not a number"))
     for f in ARRAYS[kind]:
-        found.append((_get(d, f).isNotNull() & ~_type(d, f).startswith("ARRAY"), "error", f"{f} is not an array"))
+        found.append((value(f).isNotNull() & ~F.schema_of_variant(value(f)).startswith("ARRAY"), "error", f"{f} is not an array"))
     if kind == "live":
-        s = F.try_variant_get(parsed, "$.anomaly.ensemble_score", "double")
+        s = F.try_variant_get("_json", "$.anomaly.ensemble_score", "double")
         found.append(((s < 0) | (s > 1), "warning", "score out of range"))
     else:
-        n = [F.size(F.try_variant_get(parsed, f"$.{f}", "array<variant>")) for f in ARRAYS[kind]]
+        n = [F.size(F.try_variant_get("_json", f"$.{f}", "array<variant>")) for f in ARRAYS[kind]]
         found.append((F.coalesce(n[0] != n[1], F.lit(False)) & (n[0] >= 0) & (n[1] >= 0), "warning", "array lengths differ"))
+    d = df.withColumn("_json", F.try_parse_json(F.col(doc)))
+    d = d.withColumn("_at", F.struct(*[_get(f).alias(f) for f in fields]))
     rows = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(sev).alias("severity"), F.lit(msg).alias("violation"))) for c, sev, msg in found])
-    out = df.select(*keys, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("v"))
+    out = d.select(*keys, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("v"))
     return out.select(*keys, "v.severity", "v.violation")
