@@ -7,29 +7,51 @@ work; results are exact whatever they are."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import col
 
 
+def default_buckets(df: DataFrame) -> int:
+    """Buckets per key: a few per shuffle partition, as a square from 64 to 4096. Pass more where
+    one key holds more rows than that many tasks can order."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(8, min(64, math.isqrt(4 * n) + 1))
+    return side * side
+
+
 def _bounds(values: DataFrame, keys: list[str], value: str, buckets: int, few_keys: bool) -> DataFrame:
-    """One row of bucket edges per key; broadcast only where the caller states there are few keys."""
-    qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = values.groupBy(*keys).agg(F.percentile_approx(value, qs, 10 * buckets).alias("_bounds"))
+    """One row of bucket edges per key; broadcast only where the caller states there are few keys.
+
+    Every ``sqrt(buckets)``-th edge is kept apart, so finding a bucket looks at two short lists."""
+    side = math.isqrt(buckets)
+    if side * side != buckets or side < 2:
+        raise ValueError(f"{buckets} buckets: pass a square number from 4 up")
+    qs = F.expr(f"array({', '.join(f'{i / buckets!r}D' for i in range(1, buckets))})")
+    edges = values.groupBy(*keys).agg(F.percentile_approx(value, qs, 4 * buckets).alias("_bounds"))
+    edges = edges.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.element_at("_bounds", i * side)))
     return F.broadcast(edges) if few_keys else edges
 
 
-def _bucket(value: Column) -> Column:
-    return F.size(F.filter("_bounds", lambda b: b < value))
+def _with_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
+    """Number of edges below the value."""
+    side, v = math.isqrt(buckets), F.col(value)
+    df = df.withColumn("_c", F.size(F.filter("_coarse", lambda b: b < v)) * side)
+    fine = F.slice("_bounds", F.col("_c") + 1, side - 1)
+    return df.withColumn("_b", F.col("_c") + F.size(F.filter(fine, lambda b: b < v))).drop("_bounds", "_coarse", "_c")
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int = 64, few_keys: bool = False) -> DataFrame:
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int | None = None, few_keys: bool = False) -> DataFrame:
     """Distinct values per group with their count, the rows below them and the rows in all.
 
     Needs at least one key; for an ungrouped distribution pass a constant column."""
+    buckets = buckets or default_buckets(df)
     per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    cut = per.join(_bounds(per, keys, value, buckets, few_keys), keys).withColumn("_b", _bucket(F.col(value))).drop("_bounds")
+    cut = per.join(_bounds(per, keys, value, buckets, few_keys), keys)
+    cut = _with_bucket(cut, value, buckets)
     sizes = cut.groupBy(*keys, "_b").agg(F.sum("n").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"), F.sum("_size").over(Window.partitionBy(*keys)).alias("total"))
@@ -52,17 +74,19 @@ def quantiles_from_counts(counts: DataFrame, keys: list[str], value: str, qs: di
     return counts.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], buckets: int = 64, few_keys: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], buckets: int | None = None, few_keys: bool = False) -> DataFrame:
     return quantiles_from_counts(cumulative_counts(df, keys, value, buckets, few_keys), keys, value, qs)
 
 
-def count_at_or_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str, buckets: int = 64, few_keys: bool = False) -> DataFrame:
+def count_at_or_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str, buckets: int | None = None, few_keys: bool = False) -> DataFrame:
     """For each distinct probe value, how many training values are at or below it, and of how many.
 
     Training values and probes are merged into the same buckets and scanned once in order."""
+    buckets = buckets or default_buckets(train)
     t = train.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_probe", F.lit(0))
     p = probes.filter(F.col(value).isNotNull()).select(*keys, value).distinct().withColumns({"n": F.lit(0).cast("long"), "_probe": F.lit(1)})
-    both = t.unionByName(p).join(_bounds(t, keys, value, buckets, few_keys), keys).withColumn("_b", _bucket(F.col(value))).drop("_bounds")
+    both = t.unionByName(p).join(_bounds(t, keys, value, buckets, few_keys), keys)
+    both = _with_bucket(both, value, buckets)
     sizes = both.groupBy(*keys, "_b").agg(F.sum("n").alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"), F.sum("_size").over(Window.partitionBy(*keys)).alias("total"))
