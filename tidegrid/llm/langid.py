@@ -46,7 +46,7 @@ def dictionaries(texts: dict[str, list[str]], size: int) -> dict[str, bytes]:
 class Coder:
     """Compressed sizes of a text under each language's dictionary."""
 
-    def __init__(self, dicts: dict[str, bytes], level: int = 3, chunk: int = 2048):
+    def __init__(self, dicts: dict[str, bytes], level: int = 6, chunk: int = 2048):
         self.langs, self.chunk, self.coders = sorted(dicts), chunk, []
         for lang in self.langs:
             d = zstd.ZstdCompressionDict(dicts[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -73,7 +73,7 @@ class Coder:
         return self.langs[best], score, (second - sizes[best]) / second
 
 
-def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_chars: int = 20_000, size: int = 96 * 1024, level: int = 3, min_margin: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, learn: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400, max_chars: int = 20_000, size: int = 96 * 1024, level: int = 6, min_margin: float = 0.01) -> DataFrame:
     """(id, lang_pred, score, margin, rejected) for each row of docs.
 
     ``learn`` holds labelled rows. ``rejected`` marks margins under ``min_margin`` between the two best

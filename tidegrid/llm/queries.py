@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import langid, linededup, simhash
+from tidegrid.llm import langid, linededup, quality, simhash
 from tidegrid.llm.common import id_crc_mod
 
 
@@ -17,6 +17,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -29,5 +34,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(id_crc_mod("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op8_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_quality, op8_simhash, op10_language)}
 SQL = {"op3_line_dedup": linededup.SQL}
