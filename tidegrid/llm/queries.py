@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import langid, linededup, quality, simhash
+from tidegrid.llm import langid, linededup, packing, quality, simhash, tokenfile
 from tidegrid.llm.common import id_crc_mod
 
 
@@ -17,6 +19,24 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer(name: str) -> str:
+    """The folder is a parameter; by default the installed files."""
+    folder = os.environ.get("TIDEGRID_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 0, 2048)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
@@ -34,5 +54,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(id_crc_mod("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op7_quality, op8_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_token_files, op7_quality, op8_simhash, op9_packing, op10_language)}
 SQL = {"op3_line_dedup": linededup.SQL}
