@@ -12,7 +12,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node of its component, for every node that has a link.
 
     Each round is two partial aggregations and two equi-joins; a hub's links stay spread, because minima
-    are folded before the shuffle and Spark splits the skewed side of an inner join. Nulls, self links and
+    are folded before the shuffle and, being tables, are joined in a way whose skewed side Spark can split. Nulls, self links and
     repeated links add nothing; no links give no rows. Rounds are written to the shared folder."""
     now = stage(_down(edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))), "links")
     was = None
@@ -30,12 +30,12 @@ def _down(pairs: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour is linked to the smallest of the neighbourhood."""
     both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return _down(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = e.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = stage(e.groupBy("hi").agg(F.min("lo").alias("m")), "least")
     met = e.join(least, "hi")
     return _down(met.select(F.col("lo").alias("x"), F.col("m").alias("y")).unionAll(least.select(F.col("hi").alias("x"), F.col("m").alias("y"))))

@@ -42,7 +42,8 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``dropped`` is a compressed bitmap: the non-zero 64-bit words of the line positions, by word number.
     A null id counts as one document below all others; rows that repeat an id count once."""
     hashes = stage(line_hashes(docs, id_col, text_col, min_chars), "line_hashes")
-    lost = hashes.join(common_lines(hashes, min_docs), ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    common = stage(common_lines(hashes, min_docs), "common_lines")  # a table, so that Spark can split a hot key of the join
+    lost = hashes.join(common, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     word = lost.groupBy("doc_id", "text_hash", (F.shiftright("pos", 6)).alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos & 63))").alias("bits"))
     return word.groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("dropped"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import langid, linededup, packing, quality, simhash, tokenfile
+from tidegrid.llm import langid, linededup, multiindex, packing, quality, simhash, tokenfile
 from tidegrid.llm.common import id_crc_mod
 
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(id_crc_mod("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op4_token_files, op7_quality, op8_simhash, op9_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_multi_index, op3_line_dedup, op4_token_files, op7_quality, op8_simhash, op9_packing, op10_language)}
 SQL = {"op3_line_dedup": linededup.SQL}

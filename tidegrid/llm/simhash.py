@@ -131,8 +131,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(distinct, radius), "a", "b")
     each = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    named = each.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(each.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    each = stage(each, "members")
+    named = stage(each.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
+    found = stage(each.select("fp", "root").join(named, "root").select("fp", "component_id"), "found")
+    return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(c: str) -> Column:
