@@ -7,9 +7,12 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import langid, linededup, multiindex, packing, quality, simhash, tokenfile
+from tidegrid.llm import htmltext, langid, linededup, maxent, mixing, multiindex, packing, quality, simhash, tokenfile
 from tidegrid.llm.common import id_crc_mod
 
+#: Shares of the tokens of a training mix by labelled domain.
+MIX = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +22,11 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", 5)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, domains = mixing.mix(_table(spark, sf_dir, "documents"), mixing.domain_labels(_table(spark, sf_dir, "labels")), MIX, keep=("source",))
+    return rows.select("doc_id", "source", "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)), "rate", mixing.copies("rate", "doc_id").alias("copies"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +49,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 0, 2048)
 
 
+def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_table(spark, sf_dir, "documents"), held=id_crc_mod("doc_id", 10) == 0)
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"), keep=("url",))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
@@ -58,5 +74,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(id_crc_mod("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_multi_index, op3_line_dedup, op4_token_files, op7_quality, op8_simhash, op9_packing, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_multi_index, op2_mixing, op3_line_dedup, op4_token_files, op5_maxent, op6_html, op7_quality, op8_simhash, op9_packing, op10_language)}
 SQL = {"op3_line_dedup": linededup.SQL}
