@@ -76,7 +76,8 @@ def local_groups(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def meet(rows: DataFrame, key: str, role: str, fn: Callable, schema: str, flush: Callable | None = None) -> DataFrame:
     """Deal rows by ``key``; within a key, rows of role 0 come first and are held, all others are passed
-    by in batches: ``fn(held, passing)`` gets dicts of numpy or list columns and yields record batches.
+    by in batches: ``fn(held, passing)`` gets dicts of numpy columns and yields record batches. Integer nulls are 0;
+    passing columns have a mask ``<name>_null`` for them.
 
     Only the held rows of one key and one Arrow batch are in memory, so callers bound what they give
     role 0 under one key; passing rows have no bound."""
@@ -84,7 +85,9 @@ def meet(rows: DataFrame, key: str, role: str, fn: Callable, schema: str, flush:
 
     def column(batch: pa.RecordBatch, name: str):
         a = batch.column(batch.schema.get_field_index(name))
-        if pa.types.is_integer(a.type) or pa.types.is_floating(a.type):
+        if pa.types.is_integer(a.type):
+            return (a.fill_null(0) if a.null_count else a).to_numpy()
+        if pa.types.is_floating(a.type):
             return a.to_numpy(zero_copy_only=False)
         return np.array(a.to_pylist() + [None], dtype=object)[:-1]
 
@@ -94,6 +97,7 @@ def meet(rows: DataFrame, key: str, role: str, fn: Callable, schema: str, flush:
             if not batch.num_rows:
                 continue
             cols = {n: column(batch, n) for n in names}
+            nulls = {f"{n}_null": batch.column(batch.schema.get_field_index(n)).is_null().to_numpy(zero_copy_only=False) for n in names if pa.types.is_integer(batch.schema.field(n).type)}
             k, r = column(batch, key), column(batch, role)
             cut = np.flatnonzero((k[1:] != k[:-1]) | (r[1:] != r[:-1])) + 1
             for lo, hi in zip([0, *cut], [*cut, len(k)]):
@@ -107,7 +111,7 @@ def meet(rows: DataFrame, key: str, role: str, fn: Callable, schema: str, flush:
                     held = {n: np.concatenate([p[n] for p in parts]) if parts else None for n in names}
                     parts = []
                 if held[names[0]] is not None:
-                    yield from fn(held, piece)
+                    yield from fn(held, piece | {n: c[lo:hi] for n, c in nulls.items()})
         if flush is not None:
             yield from flush()
 

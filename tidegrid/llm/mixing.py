@@ -165,21 +165,28 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", F.when(F.col("t") == 1, "toxic").when(F.col("q") == 1, "good").when(F.col("q") == 0, "poor").alias("domain")).filter("domain is not null")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """(doc_id, keep.., n_tokens, p0.., rate) and the domains: rates whose expected tokens by domain are ``weights``
-    of ``tokens`` (default: of the corpus). Domains without a weight get none; weights of domains that no label
-    has are shared among the others. Null texts have no tokens and rate as their posteriors say."""
-    rows, domains = posteriors(docs, labels, id_col, text_col, keep)
+def targets_of(rows: DataFrame, domains: list[str], weights: dict[str, float], relative: bool) -> list[float]:
+    """Token targets: ``weights`` are shares of all tokens, or, if relative, factors on what a domain has.
+
+    Domains without a weight get no tokens (relative: keep theirs); shares of domains that no label has are
+    spread over the others in proportion."""
+    mass = [x or 0.0 for x in rows.agg(*(F.sum(F.col(f"p{k}") * F.col("n_tokens")) for k in range(len(domains)))).first()]
+    if relative:
+        return [max(0.0, weights.get(d, 1.0)) * m for d, m in zip(domains, mass)]
     known = [max(0.0, weights.get(d, 0.0)) for d in domains]
-    if not sum(known):
-        known = [1.0] * len(domains)
-    total = tokens if tokens is not None else rows.agg(F.sum("n_tokens")).first()[0] or 0
-    return fit_rates(rows, len(domains), [total * w / sum(known) for w in known]), domains
+    return [sum(mass) * w / sum(known) for w in known] if sum(known) else mass
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """(doc_id, keep.., n_tokens, p0.., rate) of each row of docs, and the domains: nonnegative rates whose expected
+    tokens by domain meet the targets. Null texts have no tokens and rate as their posteriors say."""
+    rows, domains = posteriors(docs, labels, id_col, text_col, keep)
+    return fit_rates(rows, len(domains), targets_of(rows, domains, weights, relative)), domains
 
 
-def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, each as many times as its copies; rows with a null id stay once."""
-    rows, _ = mix(docs, labels, weights, tokens, id_col, text_col)
+    rows, _ = mix(docs, labels, weights, relative, id_col, text_col)
     times = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("__rate")).withColumnRenamed("doc_id", "__id").withColumn("__copies", copies("__rate", "__id"))
     met = docs.join(stage(times, "copies"), docs[id_col] == F.col("__id"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
     return met.filter("__copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))

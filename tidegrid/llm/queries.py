@@ -31,7 +31,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(_table(spark, sf_dir, "documents"))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     """The folder is a parameter; by default the installed files."""
     folder = os.environ.get("TIDEGRID_TOKENIZERS")
     if folder:
@@ -42,11 +42,11 @@ def _tokenizer(name: str) -> str:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.digest(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), 2)
+    return tokenfile.digest(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), 0, 2048)
+    return packing.digest(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 0, 2048)
 
 
 def op5_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
