@@ -25,8 +25,12 @@ def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang:
     1 to ``max_chars`` characters. The only thing that is fitted on a sample."""
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     fit = own.filter("i is not null and l is not null and length(t) between 1 and %d" % max_chars)
-    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))
-    ids = [r[0] for r in fit.select("i", "l").withColumn("nth", nth).filter(F.col("nth") <= per_lang).select("i").collect()]
+    share = F.lit(0.0)  # of a language's hashes that is looked at: three times what is taken, so no task gets a whole language
+    for r in fit.groupBy("l").count().collect():  # a row per language
+        share = F.when(F.col("l") == r["l"], F.lit(min(1.0, 3 * per_lang / r["count"]))).otherwise(share)
+    few = fit.select("i", "l").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) <= share * (1 << 30))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod(F.xxhash64("i"), F.lit(1 << 30)), "i"))
+    ids = [r[0] for r in few.withColumn("nth", nth).filter(F.col("nth") <= per_lang).select("i").collect()]
     out: dict[str, list[str]] = {}
     for l, t, _ in sorted(map(tuple, fit.filter(F.col("i").isin(ids)).select("l", "t", F.xxhash64("i")).collect()), key=lambda r: (r[0], r[2], r[1])):
         out.setdefault(l, []).append(t)
