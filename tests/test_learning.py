@@ -167,3 +167,32 @@ def test_forecaster_learns_and_reloads(spark, tmp_path):
     m.save(str(tmp_path / "m"))
     again = M.Forecaster.load(str(tmp_path / "m"), m.features).score(d)
     same(s.orderBy("f1").toPandas()["p_up_raw"], again.orderBy("f1").toPandas()["p_up_raw"])
+
+
+def test_p_values_of_unseen_scores(spark):
+    train = spark.createDataFrame([(i / 100,) for i in range(100)], "ensemble_score double")
+    fresh = spark.createDataFrame([(0.505,), (1.5,), (-1.0,), (0.5,), (None,)], "ensemble_score double")
+    got = {r["ensemble_score"]: r["p_value"] for r in AN.classify(fresh, train).collect()}
+    assert {k: round(v, 9) for k, v in got.items() if k is not None} == {0.505: 0.49, 1.5: 0.0, -1.0: 1.0, 0.5: 0.5} and got[None] is None
+    assert [r["level"] for r in AN.classify(spark.createDataFrame([(0.71,)], "ensemble_score double"), train.limit(0)).collect()] == ["MODERATE"]
+
+
+def test_tree_samples_go_alike_at_any_size(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1000, 100_000):
+        df = spark.range(n).withColumnRenamed("id", "k").withColumn("x", F.array(F.lit(0.0)))
+        per = AN.tree_samples(df, "k", 20, 64, 1, n).groupBy("tree").count().toPandas()["count"]
+        assert len(per) == 20 and per.between(50, 64).all()
+
+
+def test_importance_uses_all_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(3000, 3))
+    v[:30, 0] += 8
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(v)], "id long, a double, b double, c double")
+    forest = AN.fit_forest(d, ["a", "b", "c"], "id", trees=20)
+    imp = {r["feature"]: r["importance"] for r in AN.permutation_importance(d, forest, "id", repeats=2, bucket=500).collect()}
+    assert set(imp) == {"a", "b", "c"} and abs(sum(imp.values()) - 1) < 1e-9

@@ -123,3 +123,19 @@ def test_streak_over_chunk_without_false_row(spark):
     pos = SC.with_positions(spark.createDataFrame(rows, "series_id string, day int, seq int, ok boolean"), ["series_id"], F.col("day"), ["seq"])
     out = SC.running_streak(pos, ["series_id"], "ok", "s", chunk_rows=8).orderBy("seq").toPandas()["s"].tolist()
     assert out == [1, 2, 3, 0] + list(range(1, 37))
+
+
+def test_ewm_of_span_one_and_after_a_long_gap(spark):
+    x = np.full(900, np.nan)
+    x[[0, 1, 5]] = [1.0, 2.0, 4.0]
+    d = frame(spark, {"a": {"x": x}})
+    out = R.ewm_means(d, {"one": ("x", 1), "o": ("x", 5)}, AX, block=64)
+    same(got(out, "o"), pd.Series(x).ewm(span=5).mean())
+    same(got(out, "one"), pd.Series(x).ffill())
+
+
+def test_rank_windows_have_no_limit(spark):
+    x = np.random.default_rng(0).normal(size=2300)
+    d = frame(spark, {"a": {"x": x}})
+    r = got(d.withColumn("r", R.rank_pct("x", 2200, AX)), "r")
+    same(r[-1], pd.Series(x[-2200:]).rank(pct=True).iloc[-1])

@@ -82,3 +82,22 @@ def test_document_violations(spark):
     h = spark.createDataFrame([(1, json.dumps(hist)), (2, json.dumps(bad))], "i int, document string")
     got = {(r["i"], r["severity"], r["violation"]) for r in DOC.validate_documents(h, ["i"], "document", "historical").collect()}
     assert got == {(1, "warning", "array lengths differ"), (2, "critical", "missing required field attribution"), (2, "error", "historical.dates is not an array")}
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    import pytest as pt
+
+    from tidegrid.session import shared_dir
+
+    def session(master, named, folder):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: folder, applicationId="none"))
+
+    assert shared_dir(session("yarn", "hdfs://n/m/", "hdfs://x/y")) == "hdfs://n/m"
+    assert shared_dir(session("yarn", None, "hdfs://x/y")) == "hdfs://x/y"
+    with pt.raises(ValueError):
+        shared_dir(session("yarn", None, None))
+    with pt.raises(ValueError):
+        shared_dir(session("local-cluster[2,1,1024]", None, None))
+    assert shared_dir(spark) == shared_dir(spark)

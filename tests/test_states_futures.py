@@ -80,6 +80,15 @@ def test_stitching_with_a_missing_day(spark):
     assert front[0]["days_to_expiry"] == 2
 
 
+def test_each_root_has_its_own_positions(spark):
+    exp = {"A": [dt.date(2024, 1, 10), dt.date(2024, 2, 14)], "B": [dt.date(2024, 1, 17), dt.date(2024, 2, 21)]}
+    biz = [d.date() for d in pd.bdate_range("2024-01-02", "2024-01-05")]
+    con = spark.createDataFrame([(r, e, d, 1.0) for r, es in exp.items() for e in es for d in biz], "root string, expiry_date date, ts date, settle double")
+    table = spark.createDataFrame([(r, e) for r, es in exp.items() for e in es], "root string, expiry_date date")
+    got = {(r["root"], r["expiry_date"], r["position"]) for r in FU.continuous_positions(con, table, ["root"], 6).collect()}
+    assert got == {(r, e, k + 1) for r, es in exp.items() for k, e in enumerate(es)}
+
+
 def test_missing_trading_days(spark):
     d = spark.createDataFrame([("a", dt.date(2024, 1, x)) for x in (1, 2, 4, 8)], "series_id string, ts date")
     closed = C.literal_dates(spark, ["2024-01-05"])

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from tidegrid.axis import Axis
 from tidegrid.functions.scalar import clip, nonzero
 
-MAX_RANK_WINDOW = 2000  # a frame of values is held per row while ranking
-
 
 def known(x: str, k: int, ax: Axis) -> str:
     """Non-null values among the last ``k`` rows, as the difference of two running counts: constant
@@ -145,8 +143,6 @@ _RANK = "(" + _BELOW + " + (size(filter(s, e -> e = {c})) + 1) / 2) / nullif(siz
 
 def rank_pct(c: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
     """Average rank of the current value within its frame, as a share of the non-null count."""
-    if k > MAX_RANK_WINDOW:
-        raise ValueError(f"rank window {k} exceeds {MAX_RANK_WINDOW} rows")
     need = max(k if min_periods is None else min_periods, 1)
     body = _with_frame(c, ax.frame(1 - k, 0), _RANK.format(c=c))
     return F.expr(f"CASE WHEN {c} IS NOT NULL AND {known(c, k, ax)} >= {need} THEN {body} END")
@@ -157,8 +153,6 @@ def pct_below(c: str, k: int, ax: Axis, min_valid: int | None = None) -> Column:
 
     The default asks for a full frame, as the reference's outer rolling does; ``min_valid`` gives
     the looser rule it states (70 % of the window)."""
-    if k > MAX_RANK_WINDOW:
-        raise ValueError(f"rank window {k} exceeds {MAX_RANK_WINDOW} rows")
     need = k + 1 if min_valid is None else min_valid
     body = _with_frame(c, ax.frame(-k, 0), _BELOW.format(c=c) + " / nullif(size(s), 0) * 100")
     return F.expr(f"CASE WHEN {c} IS NOT NULL AND {known(c, k + 1, ax)} >= {need} THEN {body} END")
@@ -186,9 +180,11 @@ def expanding_rank_pct(c: str, ax: Axis) -> Column:
 def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], ax: Axis, block: int = 256) -> DataFrame:
     """Normalised exponentially weighted means, ``{output: (column, span)}``.
 
-    Weights of missing rows still decay. Rows are cut into blocks by position; inside a block the
-    decayed sums are running sums of up-scaled terms, and each block receives the decayed ends of
-    the few blocks before it that still weigh more than 1e-15. Linear in the rows, no per-row list.
+    Weights of missing rows still decay, which changes nothing until the next value: all weights shrink
+    alike, so a missing row has the mean of the last value's row, however far back. Rows are cut into
+    blocks by position; inside a block the decayed sums are running sums of up-scaled terms, and each
+    block receives the decayed ends of the blocks before it that change a sum whose own value weighs 1 in
+    double precision. Linear in the rows, no per-row list.
     """
     pos, blk, j = "_pos", "_blk", "_j"
     df = df.withColumn(pos, F.row_number().over(ax.ordered()) - 1)
@@ -197,6 +193,9 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], ax: Axis, bloc
     local, carried, out = {}, {}, {}
     for name, (c, span) in specs.items():
         keep = 1.0 - 2.0 / (span + 1.0)
+        if keep <= 0:  # a span of 1 is the value itself
+            out[name] = F.last(c, ignorenulls=True).over(ax.upto())
+            continue
         up, down = F.pow(F.lit(keep), -F.col(j)), F.pow(F.lit(keep), F.col(j))
         x = F.col(c)
         for part, term in (("num", F.coalesce(x, F.lit(0.0)) * up), ("den", F.when(x.isNotNull(), up).otherwise(0.0))):
@@ -210,7 +209,8 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], ax: Axis, bloc
             ]
             carried[f"{here}_in"] = reduce(lambda a, b: a + b, terms) * F.pow(F.lit(keep), F.col(j) + 1)
         n, d = f"_{name}_num", f"_{name}_den"
-        out[name] = (F.col(n) + F.col(f"{n}_in")) / nonzero(F.col(d) + F.col(f"{d}_in"))
+        ratio = (F.col(n) + F.col(f"{n}_in")) / nonzero(F.col(d) + F.col(f"{d}_in"))
+        out[name] = F.last(F.when(x.isNotNull(), ratio), ignorenulls=True).over(ax.upto())
     df = df.withColumns(local).withColumns(carried).withColumns(out)
     return df.drop(pos, blk, j, *local, *carried)
 

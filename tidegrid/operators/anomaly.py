@@ -21,6 +21,8 @@ TREES, SAMPLE = 100, 256
 SCORE_CAP = 0.95
 # Level names and their score quantiles.
 LEVELS = {"moderate": 0.85, "high": 0.92, "critical": 0.98}
+#: Thresholds where there are no training scores.
+DEFAULT_LEVELS = dict(zip(LEVELS, (0.70, 0.78, 0.88)))
 
 
 @dataclass
@@ -63,19 +65,14 @@ def scaled(features: list[str], scaler: Scaler) -> Column:
 
 
 def tree_samples(df: DataFrame, id_col: str, trees: int, sample: int, seed: int, n: int) -> DataFrame:
-    """(tree, row) pairs, about ``sample`` rows per tree, chosen by hashing the row id.
-
-    While the table is small every row is offered to every tree (trees may share rows). Beyond
-    ``trees * sample`` rows each row is offered to one tree only. Either way at most a small multiple
-    of ``trees * sample`` rows reach the shuffle."""
-    unit = lambda *c: (F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    if n <= trees * sample:
-        offered = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        keep = min(1.0, 1.3 * sample / max(n, 1))
-    else:
-        offered = df.withColumn("tree", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(trees)).cast("int"))
-        keep = min(1.0, 1.3 * sample * trees / n)
-    picked = offered.withColumn("_u", unit(F.col(id_col), F.col("tree"))).filter(F.col("_u") <= keep)
+    """(tree, row) pairs, about ``sample`` rows per tree, chosen by hashing the row id with the tree.
+
+    Every row is offered to every tree, at any size of the table; the offers are weighed inside the row,
+    so only about ``1.3 * trees * sample`` pairs are made and shuffled."""
+    unit = lambda t: (F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    keep = min(1.0, 1.3 * sample / max(n, 1))
+    taken = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(t) <= keep)
+    picked = df.withColumn("tree", F.explode(taken)).withColumn("_u", unit(F.col("tree")))
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.partitionBy("tree").orderBy("_u", id_col))
@@ -209,7 +206,7 @@ def ensemble(long: DataFrame, ids: list[str], score: str = "score", coverage: st
 
 
 def score_thresholds(scores: DataFrame, score: str = "ensemble_score") -> DataFrame:
-    """One row of level thresholds: exact quantiles of the training scores."""
+    """One row of level thresholds: exact quantiles of the training scores; none without scores."""
     return RK.exact_quantiles(RK.constant_key(scores), ["_all"], score, LEVELS, few_keys=True).drop("_all")
 
 
@@ -219,37 +216,45 @@ def level_of(score: str | Column, moderate: Column, high: Column, critical: Colu
 
 
 def classify(scores: DataFrame, train: DataFrame, score: str = "ensemble_score") -> DataFrame:
-    """Level, empirical p-value (share of training scores at or above) and confidence."""
+    """Level, empirical p-value (share of training scores at or above) and confidence of any score.
+
+    Levels fall back to fixed thresholds where there are no training scores; the p-value is null then."""
     cuts = score_thresholds(train, score)
-    moderate, high, critical = (cuts.select(n).scalar() for n in LEVELS)
-    counts = RK.cumulative_counts(RK.constant_key(train), ["_all"], score, few_keys=True).select(score, "below", "total")
+    moderate, high, critical = (F.coalesce(cuts.select(n).scalar(), F.lit(DEFAULT_LEVELS[n])) for n in LEVELS)
+    counts = RK.count_below(RK.constant_key(train), RK.constant_key(scores.select(score)), ["_all"], score, few_keys=True)
+    counts = counts.select(F.col(score).alias("_score"), "below", "total")
     out = scores.withColumn("level", level_of(score, moderate, high, critical))
-    out = out.join(counts, score, "left")
+    out = out.join(counts, F.col(score) == F.col("_score"), "left")
     p = (F.col("total") - F.col("below")) / nonzero("total")
-    return out.withColumns({"p_value": p, "confidence": 1 - p}).drop("below", "total")
-
+    return out.withColumns({"p_value": p, "confidence": 1 - p}).drop("below", "total", "_score")
 
-def permutation_importance(df: DataFrame, forest: Forest, id_col: str, rows: int = 500, seed: int = 42) -> DataFrame:
-    """Share of each feature in the mean score shift when its values are shuffled.
 
-    Works on a seeded sample of at most ``rows`` rows; each feature is shuffled and rescored in its
-    own task."""
-    from tidegrid.operators.sets import seeded_sample
+def permutation_importance(df: DataFrame, forest: Forest, id_col: str, repeats: int = 1, seed: int = 42, bucket: int = 4096) -> DataFrame:
+    """Share of each feature in the mean score shift when its values are shuffled, over all rows.
 
-    sample = seeded_sample(df, id_col, rows, seed).select(id_col, scaled(forest.features, forest.scaler).alias("x"))
+    Rows fall into random buckets of about ``bucket`` rows by hashing their id; each bucket shuffles one
+    feature after the other among its rows and scores them in batches. The mean shift over ``repeats``
+    shuffles is a sum over buckets, so it grows with the table in tasks, not in size."""
+    n = df.count()
+    parts = max(1, math.ceil(n / bucket))
+    rows = df.select(id_col, scaled(forest.features, forest.scaler).alias("x"), F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(parts)).alias("_part"))
     k = len(forest.features)
-    copies = sample.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
     def shift(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col)
-        i = int(pdf["i"].iloc[0])
+        part = int(pdf["_part"].iloc[0])
         x = np.stack(pdf["x"].to_numpy())
-        base = path_scores(x, forest).mean()
-        mixed = x.copy()
-        mixed[:, i] = np.random.default_rng([seed, i]).permutation(mixed[:, i])
-        return pd.DataFrame({"i": [i], "shift": [abs(base - path_scores(mixed, forest).mean())]})
-
-    moved = copies.groupBy("i").applyInPandas(shift, "i int, shift double")
+        base = path_scores(x, forest).sum()
+        out = []
+        for r in range(repeats):
+            for i in range(k):
+                mixed = x.copy()
+                mixed[:, i] = np.random.default_rng([seed, part, r, i]).permutation(mixed[:, i])
+                out.append((r, i, base - path_scores(mixed, forest).sum()))
+        return pd.DataFrame(out, columns=["r", "i", "gap"])
+
+    gaps = rows.groupBy("_part").applyInPandas(shift, "r int, i int, gap double")
+    moved = gaps.groupBy("r", "i").agg(F.abs(F.sum("gap")).alias("shift")).groupBy("i").agg(F.avg("shift").alias("shift"))
     total = F.sum("shift").over(_everything())
     names = F.array(*[F.lit(f) for f in forest.features])
     imp = F.when(total > 0, F.col("shift") / nonzero(total)).otherwise(1.0 / k)

@@ -38,22 +38,30 @@ def clean_contracts(df: DataFrame) -> DataFrame:
     return df.filter(s.between(MIN_SETTLE, MAX_SETTLE))
 
 
+def _for_each(keys: DataFrame, expiries: DataFrame) -> DataFrame:
+    """Every expiry for every key: the expiry table goes along as one array, a row per month."""
+    months = expiries.agg(F.sort_array(F.collect_set("expiry_date")).alias("m")).select("m").scalar()
+    return keys.withColumn("expiry_date", F.explode(months))
+
+
 def continuous_positions(contracts: DataFrame, expiries: DataFrame, keys: list[str], positions: int = 6) -> DataFrame:
     """Continuous series 1..``positions``: on each business day, the contracts still alive in
     expiry order.
 
-    ``contracts`` has (keys, contract_code, expiry_date, ts, ...). The rank of a contract in the
+    ``contracts`` has (keys, contract_code, expiry_date, ts, ...), ``expiries`` (keys or not, expiry_date);
+    each key has its own order of contracts. The rank of a contract in the
     expiry table less the rank of the day's first live contract gives the position, so no contract
     is paired with every day. Roll flag and segment number follow per position; prices are not
     back-adjusted.
     """
-    order = Window.orderBy("expiry_date")  # the expiry table has one row per month
-    ranks = expiries.select("expiry_date").distinct().withColumn("_rank", F.row_number().over(order))
-    one = Axis(("_one",), "ts")
-    days = contracts.select("ts").distinct().withColumn("_one", F.lit(1))
-    live = ranks.select(F.lit(1).alias("_one"), F.col("expiry_date").alias("ts"), F.col("_rank").alias("_front"))
-    front = asof_join(days, live, one, ["_front"], direction="forward", strict=True).drop("_one")
-    d = contracts.filter(D.is_business_day("ts")).join(ranks, "expiry_date").join(front, "ts")
+    named = set(keys) <= set(expiries.columns)  # else the expiry table holds for all keys
+    held = expiries.select(*keys, "expiry_date").distinct() if named else _for_each(contracts.select(*keys).distinct(), expiries)
+    order = Window.partitionBy(*keys).orderBy("expiry_date")  # a row per key and month
+    ranks = held.select(*keys, "expiry_date").withColumn("_rank", F.row_number().over(order))
+    days = contracts.select(*keys, "ts").distinct()
+    live = ranks.select(*keys, F.col("expiry_date").alias("ts"), F.col("_rank").alias("_front"))
+    front = asof_join(days, live, Axis(tuple(keys), "ts"), ["_front"], direction="forward", strict=True)
+    d = contracts.filter(D.is_business_day("ts")).join(ranks, [*keys, "expiry_date"]).join(front, [*keys, "ts"])
     d = d.withColumn("position", (F.col("_rank") - F.col("_front") + 1).cast("int")).filter(F.col("position").between(1, positions))
     d = d.withColumn("days_to_expiry", F.datediff("expiry_date", "ts")).drop("_rank", "_front")
     return tag_rolls(d, Axis((*keys, "position"), "ts"))

@@ -9,11 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegrid.functions.scalar import col
-
 
 def default_buckets(df: DataFrame) -> int:
     """Buckets per key: a few per shuffle partition, as a square from 64 to 4096. Pass more where
@@ -95,12 +93,15 @@ def count_at_or_below(train: DataFrame, probes: DataFrame, keys: list[str], valu
     return scan.select(*keys, value, (F.col("_in") + F.col("_off")).alias("at_or_below"), "total")
 
 
-def constant_key(df: DataFrame, name: str = "_all") -> DataFrame:
-    return df.withColumn(name, F.lit(1))
+def count_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str, buckets: int | None = None, few_keys: bool = False) -> DataFrame:
+    """For each distinct probe value, how many training values are strictly below it, and of how many."""
+    upto = count_at_or_below(train, probes, keys, value, buckets, few_keys)
+    same = train.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_same"))
+    return upto.join(same, [*keys, value], "left").select(*keys, value, (F.col("at_or_below") - F.coalesce("_same", F.lit(0))).alias("below"), "total")
 
 
-def share_below(count: str | Column, total: str | Column) -> Column:
-    return col(count) / F.when(col(total) > 0, col(total))
+def constant_key(df: DataFrame, name: str = "_all") -> DataFrame:
+    return df.withColumn(name, F.lit(1))
 
 
 def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, float], bounded: bool = False) -> DataFrame:

@@ -30,10 +30,12 @@ def conform(df: DataFrame, keys: list[str] = (), schema: T.StructType = FORECAST
 
 
 def insert_new(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Fresh forecasts whose (keys, forecast_date, horizon) is not stored; the first of a batch wins."""
+    """Fresh forecasts whose (keys, forecast_date, horizon) is not stored; of a batch the one
+    created first wins, by id where times are equal."""
     unique = [*keys, "forecast_date", "horizon"]
     rest = [c for c in fresh.columns if c not in unique]
-    first = fresh.groupBy(*unique).agg(F.min_by(F.struct(*rest), "prediction_id").alias("_r"))
+    came = [c for c in ("created_at", "prediction_id") if c in fresh.columns]
+    first = fresh.groupBy(*unique).agg(F.min_by(F.struct(*rest), F.struct(*came)).alias("_r"))
     first = first.select(*unique, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*fresh.columns)
     return first.join(stored.select(*unique), unique, "left_anti").select(*fresh.columns)
 

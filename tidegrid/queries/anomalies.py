@@ -37,7 +37,7 @@ def _groups():
 @query("D3 D4 D5 D6 D7 U4")
 def anomaly_ensemble(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    long = AN.detector_scores(v, AN.fit_detectors(v, _groups(), "vec_id", trees=50), ["vec_id"])
+    long = AN.detector_scores(v, AN.fit_detectors(v, _groups(), "vec_id"), ["vec_id"])
     from tidegrid.queries.sourcing import fresh_folder
 
     path = fresh_folder(spark, "raw-scores")  # the raw scores feed several passes
@@ -49,7 +49,7 @@ def anomaly_ensemble(spark, sf_dir):
 @query("D11")
 def anomaly_importance(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    forest = AN.fit_forest(v, [f"d{i}" for i in range(16)], "vec_id", trees=50)
+    forest = AN.fit_forest(v, [f"d{i}" for i in range(DIMS)], "vec_id")
     return shaped(AN.permutation_importance(v, forest, "vec_id"))
 
 
@@ -112,6 +112,24 @@ def anomaly_levels(spark, sf_dir):
     return shaped(AN.classify(s, s), ["series_id", "ts", "level", "p_value", "confidence"])
 
 
+_LATE = "DATE '1996-01-01'"  # scores before it are the training scores
+
+
+@query(
+    "D8 D9",
+    S.Steps(_SC.done("SELECT *, score + 0.00003 AS shifted FROM {prev}")).done(
+        f"SELECT series_id, strftime(ts, '%Y-%m-%d') AS ts, CASE WHEN shifted >= q98 THEN 'CRITICAL' WHEN shifted >= q92 THEN 'HIGH' WHEN shifted >= q85 THEN 'MODERATE' ELSE 'NORMAL' END AS level, " + rr(p_value="pv", confidence="1 - pv")
+        + f" FROM (SELECT * FROM {{prev}} WHERE ts >= {_LATE}) p, (SELECT quantile_cont(score, 0.85) AS q85, quantile_cont(score, 0.92) AS q92, quantile_cont(score, 0.98) AS q98 FROM {{prev}} WHERE ts < {_LATE})"
+        f" JOIN (SELECT d.s AS ds, (SELECT avg((t.score >= d.s)::INT) FROM {{prev}} t WHERE t.ts < {_LATE}) AS pv FROM (SELECT DISTINCT shifted AS s FROM {{prev}}) d) ON ds = shifted"
+    ),
+)
+def unseen_score_levels(spark, sf_dir):
+    """Later scores, none of which occurs among the earlier ones that they are judged by."""
+    s = rank_scores(spark, sf_dir)
+    late = s.filter(f"ts >= {_LATE}").withColumn("ensemble_score", F.col("ensemble_score") + 0.00003)
+    return shaped(AN.classify(late, s.filter(f"ts < {_LATE}")), ["series_id", "ts", "level", "p_value", "confidence"])
+
+
 @query(
     "O3 D7",
     f"WITH cal AS ({_CAL_SQL}), k AS (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY score DESC, detector) AS rank FROM cal) SELECT series_id, {S.day('ts')} AS ts, detector, {S.r('score')} AS score, rank FROM k WHERE rank <= 2",

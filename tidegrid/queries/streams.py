@@ -38,7 +38,7 @@ def run(spark, stream, keys, values, mode="update", name="stream"):
     f"SELECT event_type, {ts_text('time_bucket(INTERVAL 1 HOUR, ts)')} AS bar_start, {rr(open='arg_min(value, ts)', high='max(value)', low='min(value)', close='arg_max(value, ts)', volume='count(*)::DOUBLE')} FROM events GROUP BY 1, 2",
 )
 def stream_hourly_bars(spark, sf_dir):
-    s = J.bar_stream(event_stream(spark, sf_dir), ["event_type"], "ts", "value", "1 hour", "10 minutes")
+    s = J.bar_stream(event_stream(spark, sf_dir), ["event_type"], "ts", "value", "1 hour", "10 minutes", tick="event_id")
     return shaped(run(spark, s, ["event_type", "bar_start"], ["open", "high", "low", "close", "volume"]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(app: str = "tidegrid", cpus: str | int = "*", shuffle: int = 8) -> SparkSession:
@@ -24,24 +24,20 @@ def local_session(app: str = "tidegrid", cpus: str | int = "*", shuffle: int = 8
     )
 
 
-_LOCAL: dict[str, str] = {}  # application id -> folder, only where the session names none
+_LOCAL: dict[str, str] = {}  # application id -> folder, for a local session that names none
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
+    """The cluster's shared scratch folder: ``spark.checkpoint.dir``, or what the context was given.
 
-    Only when the session names none (tests, laptops) is a local folder made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    The session's setting is never changed. Only a session in local mode that names none (tests, laptops)
+    gets a folder of its own; on a cluster that is an error, because executors would not see it."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="tidegrid-")
-        spark.sparkContext.setCheckpointDir(_LOCAL[app])
-    return _LOCAL[app]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        return named.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="tidegrid-")
+    return _LOCAL[context.applicationId]

@@ -22,11 +22,11 @@ def read_written(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("year")
 
 
-def upsert_panel(stored_path: str, fresh: DataFrame, ax: Axis, values: list[str]) -> str:
+def upsert_panel(stored_path: str, fresh: DataFrame, ax: Axis, values: list[str]) -> None:
     """Merge fresh rows over the stored panel, rewriting only the years the fresh rows touch.
 
     The merged years are written aside first and then swapped in by dynamic partition overwrite,
-    so the stored files are not read and written in one job. Returns the staging path."""
+    so the stored files are not read and written in one job; the staged files go once that is done."""
     spark = fresh.sparkSession
     fresh = fresh.select(*ax.id_cols, *values).withColumn("year", F.year(ax.ts))
     stored = spark.read.parquet(stored_path)
@@ -35,7 +35,8 @@ def upsert_panel(stored_path: str, fresh: DataFrame, ax: Axis, values: list[str]
     staging = f"{stored_path.rstrip('/')}__staged_{uuid.uuid4().hex}"
     write_panel(merged, staging, ax)
     spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(stored_path)
-    return staging
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def append_newer_rows(stored_path: str, fresh: DataFrame, ax: Axis) -> None:

@@ -13,12 +13,14 @@ from tidegrid.axis import Axis
 from tidegrid.operators.anomaly import Forest, level_of, score_udf
 
 
-def bar_stream(ticks: DataFrame, keys: list[str], ts: str, price: str, size: str, late: str, size_col: str | None = None) -> DataFrame:
+def bar_stream(ticks: DataFrame, keys: list[str], ts: str, price: str, size: str, late: str, size_col: str | None = None, tick: str | None = None) -> DataFrame:
     """Tumbling open/high/low/close/volume per key. Ticks later than ``late`` are dropped once
-    their bar has closed. All five fold map-side before the state store."""
+    their bar has closed. Ticks of equal time go by ``tick``, their number. All five fold map-side before
+    the state store."""
+    order = F.struct(ts, tick) if tick else F.col(ts)
     vol = F.sum(size_col).cast("double") if size_col else F.count(F.lit(1)).cast("double")
     bars = ticks.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(
-        F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"), vol.alias("volume")
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), vol.alias("volume")
     )
     return bars.select(*keys, F.col("window.start").alias("bar_start"), "open", "high", "low", "close", "volume")
 
