@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
@@ -21,6 +21,7 @@ from tidegrid.plans.draft import together
 CRITICAL = ["vix", "close", "vix_percentile_21d", "spx_realized_vol_21d"]
 IMPORTANT = ["vx1_vx2_spread", "skew", "yield_10y2y", "dxy"]
 OPTIONAL = ["gamma", "vpn", "bfly"]
+OIL_VOL_BINS = [0, 20, 30, 45, 150]
 
 
 def market_features(df: DataFrame, ax: Axis) -> DataFrame:
@@ -34,6 +35,13 @@ def market_features(df: DataFrame, ax: Axis) -> DataFrame:
         (("skew", "vxth", "vxtlt"), lambda d: VO.options_flow(d, ax)), (("vvix",), lambda d: VO.vol_of_vol(d, ax)), (("claims",), lambda d: MA.labour(d, ax)),
         (("stress",), lambda d: MA.stress(d, ax)), (("hy",), lambda d: MA.credit(d, ax)), (("dxy",), lambda d: VO.currency_index(d, ax)),
         (("vx1", "vx2", "vx3", "vx4"), lambda d: CU.curve_regimes(CU.curve_spreads(d, ax), ax)),
+        (("oi1", "oi2", "vol1"), lambda d: CU.positioning(d, ax)), (("vx1", "vx2", "dte1"), lambda d: CU.roll_yield(d, ax)), (("vx1", "vix"), lambda d: CU.basis(d, ax, "vix")),
+        (("gold",), lambda d: MA.macro_level(d, ax, "gold", "gold")), (("cpi",), lambda d: MA.macro_level(d, ax, "cpi", "cpi", relative=False)), (("cl_spread", "crude"), lambda d: MA.commodity_spread(d, ax)),
+        (("ovx",), lambda d: VO.vol_index(d, ax, "ovx", (21, 63, 252), (10, 21), (21, 63), OIL_VOL_BINS, "vix")), (("gvz",), lambda d: VO.vol_index(d, ax, "gvz", (21, 63))),
+        # after macro_level: of the two gold_zscore_63d, the one that starts at half a window stays
+        (("gold",), lambda d: VO.commodity(d, ax, "gold", (5, 10, 21, 63), (10, 21, 63), (21, 63, 252), (21, "gold_regime"))), (("natgas",), lambda d: VO.commodity(d, ax, "natgas", (5, 10, 21), (21,), (21, 63))),
+        (("copper",), lambda d: VO.commodity(d, ax, "copper", (5, 10, 21, 63), (), (21, 63, 252), (63, "copper_economic_signal"))),
+        (("dxy", "gold", "copper", "crude", "ovx", "gvz", "vix"), lambda d: VO.cross_asset(d, ax)),
     ]
     df = together(df, first + [pack for needs, pack in optional if have(*needs)])
     second = [
@@ -41,6 +49,8 @@ def market_features(df: DataFrame, ax: Axis) -> DataFrame:
     ]
     if have("skew"):
         second += [lambda d: ME.cross_relations(ME.regime_indicators(d, ax), ax), lambda d: ME.rates_of_change(d, ax), lambda d: ME.percentile_rankings(d, ax)]
+    if have("dxy_gold_both_rally", "dxy_percentile_252d", "ovx"):
+        second += [lambda d: VO.commodity_regimes(d)]
     return together(df, second)
 
 
@@ -57,10 +67,13 @@ def event_features(df: DataFrame, ax: Axis, meetings: DataFrame, calendar: DataF
     return ME.event_products(df.join(F.broadcast(ev), ax.ts))  # one row per calendar day
 
 
-def feature_matrix(df: DataFrame, ax: Axis, meetings: DataFrame) -> DataFrame:
-    """All features with a row quality score, infinities scrubbed and helper columns dropped."""
+def feature_matrix(df: DataFrame, ax: Axis, meetings: DataFrame, ages: dict[str, Column] | None = None, lags: dict[str, int] | None = None) -> DataFrame:
+    """All features with a row quality score, infinities scrubbed and helper columns dropped.
+
+    ``ages`` are days since a feature's last update, ``lags`` its publication lag: stale features lower
+    the score."""
     out = event_features(market_features(df, ax), ax, meetings, df)
-    out = out.withColumn("feature_quality", feature_quality(out, CRITICAL, IMPORTANT, OPTIONAL))
+    out = out.withColumn("feature_quality", feature_quality(out, CRITICAL, IMPORTANT, OPTIONAL, ages, lags))
     scrub = "CASE WHEN NOT isnan(`{c}`) AND abs(`{c}`) < double('infinity') THEN `{c}` END AS `{c}`"
     keep = [f for f in out.schema.fields if not f.name.startswith("_")]
     return out.selectExpr(*[scrub.format(c=f.name) if f.dataType.typeName() == "double" else f"`{f.name}`" for f in keep])

@@ -10,6 +10,7 @@ from tidegrid.operators import scan as SC
 from tidegrid.plans import assembly as AS
 from tidegrid.plans import meta as ME
 from tidegrid.plans import price as PR
+from tidegrid.queries import packs as PK
 from tidegrid.queries import sqlgen as S
 from tidegrid.queries.frames import AX, market, market_sql, table
 from tidegrid.queries.packs import candle_steps, level_steps, price_steps
@@ -99,7 +100,25 @@ def pack_event_products(spark, sf_dir):
     return shaped(AS.event_features(df, AX, meetings(spark, sf_dir)), ID + _F30D)
 
 
-_ALL = ["vix", "vix3m", "vix6m", "skew", "vvix", "vxth", "vxtlt", "stress", "hy", "hy_bb", "hy_b", "hy_ccc", "ig", "y3m", "y2y", "y5y", "y10y", "y30y", "y6m", "gold", "dxy"]
+_ALL = ["vix", "vix3m", "vix6m", "skew", "vvix", "vxth", "vxtlt", "stress", "hy", "hy_bb", "hy_b", "hy_ccc", "ig", "y3m", "y2y", "y5y", "y10y", "y30y", "y6m", "gold", "dxy", "ovx", "gvz", "crude", "natgas", "copper"]
+_SPREAD = [c for c in PK._F14D if c.startswith(("cl1_", "crude_"))]
+_COMMODITY_D, _COMMODITY_I = _SPREAD + PK._F17D + PK._F18D + PK._F19D, ["oil_term_regime", "gold_regime", "copper_economic_signal", *PK._F19I]
+
+
+def whole_market(spark, sf_dir):
+    return market(spark, sf_dir, _ALL).withColumn("cl_spread", (F.col("crude") - F.col("copper")) / 10)
+
+
+@query(
+    "F31 F15 F17 F18 F19 F20",
+    f"SELECT * FROM ({PK._F14.out(_SPREAD, ['oil_term_regime'])}) JOIN ({PK._F17.out(PK._F17D)}) USING (series_id, ts) JOIN ({PK._F18.out(PK._F18D, ['gold_regime', 'copper_economic_signal'])}) USING (series_id, ts) JOIN ({PK._F19.out(PK._F19D, PK._F19I)}) USING (series_id, ts)",
+)
+def matrix_commodity_columns(spark, sf_dir):
+    """The whole matrix's commodity and cross-asset columns against the SQL of their packs."""
+    out = AS.feature_matrix(whole_market(spark, sf_dir), AX, meetings(spark, sf_dir))
+    return shaped(out, ID + _COMMODITY_D + _COMMODITY_I)
+
+
 _q31 = ["vix", "close", "p21", "rv"]
 
 
@@ -111,14 +130,14 @@ _q31 = ["vix", "close", "p21", "rv"]
     ).out(["vix", "vix_percentile_21d", "spx_realized_vol_21d", "yield_10y2y", "feature_quality"]),
 )
 def feature_matrix(spark, sf_dir):
-    out = AS.feature_matrix(market(spark, sf_dir, _ALL), AX, meetings(spark, sf_dir))
+    out = AS.feature_matrix(whole_market(spark, sf_dir), AX, meetings(spark, sf_dir))
     return shaped(out, ID + ["vix", "vix_percentile_21d", "spx_realized_vol_21d", "yield_10y2y", "feature_quality"])
 
 
 @query("F31 F32 A9")
 def feature_matrix_profile(spark, sf_dir):
     """Known share and mean of every feature of the full matrix."""
-    out = AS.feature_matrix(market(spark, sf_dir, _ALL), AX, meetings(spark, sf_dir))
+    out = AS.feature_matrix(whole_market(spark, sf_dir), AX, meetings(spark, sf_dir))
     cols = [f.name for f in out.schema.fields if f.dataType.typeName() in ("double", "integer", "long") and f.name not in ("series_id",)]
     path = fresh_folder(spark, "matrix")
     out.write.parquet(path)
