@@ -48,5 +48,5 @@ def duplicated_rows(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows without replacement, the same for a seed whatever the partitioning."""
-    return df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed))).orderBy("_h", id_col).limit(n).drop("_h")
+    """``n`` rows without replacement, by the MD5 of id and seed: the same whatever the partitioning or engine."""
+    return df.withColumn("_h", F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))).orderBy("_h", id_col).limit(n).drop("_h")

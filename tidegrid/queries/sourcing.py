@@ -238,7 +238,13 @@ def walk_forward_audit(spark, sf_dir):
     return v.groupBy("series_id", "feature").agg(F.count("*").alias("checked"), F.sum("violation").alias("violations"))
 
 
-@query("V5 U4")
+@query(
+    "V5 U4",
+    f"WITH m AS ({market_sql(['vix3m', 'y10y'])}), cal AS (SELECT DISTINCT ts FROM m), late AS (SELECT ts FROM cal WHERE ts - DATE '1970-01-01' >= (SELECT quantile_cont(ts - DATE '1970-01-01', 0.5) FROM cal)),"
+    " pick AS (SELECT ts FROM late ORDER BY md5(CAST(ts AS VARCHAR) || ':42'), ts LIMIT 20),"
+    " k AS (SELECT ts, DATE '2001-06-30' > ts - 1 AS v FROM m WHERE vix3m IS NOT NULL UNION ALL SELECT ts, DATE '2001-07-31' > ts - 14 FROM m WHERE y10y IS NOT NULL)"
+    f" SELECT {MD} AS ts, count(*) AS checked, CAST(sum(v::INT) AS BIGINT) AS violations, CAST(sum(v::INT) = 0 AS INT) AS passed FROM k JOIN pick USING (ts) GROUP BY 1",
+)
 def sampled_availability(spark, sf_dir):
     meta = spark.createDataFrame([("vix3m", 1, "2001-06-30"), ("y10y", 14, "2001-07-31")], "feature string, lag_days int, d string").select("feature", "lag_days", F.col("d").cast("date").alias("last_available"))
     return shaped(Q.sampled_walk_forward(market(spark, sf_dir, ["vix3m", "y10y"]), ["series_id", "ts"], "ts", ["vix3m", "y10y"], meta))

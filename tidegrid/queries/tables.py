@@ -362,7 +362,7 @@ def set_operations(spark, sf_dir):
     return both.unionByName(only_rich).unionByName(only_busy)
 
 
-@query("U4")
+@query("U4", "SELECT vec_id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || ':42'), vec_id LIMIT 100")
 def seeded_subset(spark, sf_dir):
     ids = table(spark, sf_dir, "embeddings").select("vec_id")
     return U.seeded_sample(ids, "vec_id", 100, seed=42)
