@@ -101,3 +101,26 @@ def test_shared_folder(spark):
     with pt.raises(ValueError):
         shared_dir(session("local-cluster[2,1,1024]", None, None))
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_running_streams_take_late_rows(spark, tmp_path):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from tidegrid.streaming import jobs as J
+
+    day = lambda n: dt.date(2024, 1, n)
+    shape = "k string, ts date, go boolean, x double"
+    for i, rows in enumerate([[("a", day(1), True, 1.0), ("a", day(3), True, 3.0)], [("a", day(2), False, 2.0), ("b", day(9), True, None)], [("a", day(4), True, None), ("a", day(3), True, 5.0)]]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    s = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    for name, stream, cols in (("streak", J.streak_stream(s, ["k"], "ts", "go"), ["streak"]), ("ewm", J.ewm_stream(s, ["k"], "ts", "x", 3), ["ewm", "last_value"])):
+        J.write_updates(stream, f"{tmp_path}/{name}", f"{tmp_path}/{name}-chk", "append")
+        got = {(r["k"], r["ts"].day): tuple(r[c] for c in cols) for r in J.latest_updates(spark.read.parquet(f"{tmp_path}/{name}"), ["k", "ts"], cols).collect()}
+        if name == "streak":
+            assert got == {("a", 1): (1,), ("a", 2): (0,), ("a", 3): (1,), ("a", 4): (2,), ("b", 9): (1,)}
+        else:
+            mean = [1.0, 5 / 3, (0.25 + 1.0 + 5.0) / 1.75]
+            assert [round(got["a", n][0], 9) for n in (1, 2, 3, 4)] == [round(m, 9) for m in (*mean, mean[2])]
+            assert got["a", 4][1] == 5.0 and got["b", 9][0] is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,53 +45,80 @@ def score_stream(rows: DataFrame, forest: Forest, thresholds: dict[str, float])
     return scored.withColumn("level", level_of(-F.col("raw"), cut["moderate"], cut["high"], cut["critical"]))
 
 
-def _per_key(df: DataFrame, keys: list[str], step: Callable, init: tuple, out_schema: str, state_schema: str, ts: str) -> DataFrame:
-    """Apply ``step(state, pdf) -> (state, out)`` to each key's rows in time order."""
+LATE_DAYS = 30
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else init
-        pdf = pd.concat(list(batches)).sort_values(ts)
-        held, out = step(held, pdf)
-        state.update(held)
-        for name, k in zip(keys, key):
-            out.insert(0, name, k)
-        yield out
 
-    return df.groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+def _per_key(df: DataFrame, keys: list[str], ts: str, value: Column, fold: Callable, init: tuple, base_schema: str, out_schema: str, late: int) -> DataFrame:
+    """Running results per key over days that may arrive out of order.
 
+    The state is the result up to ``late`` days before the key's newest day, and the rows since. A batch is
+    merged into those rows (of a repeated day the later arrival counts), everything from its earliest day on is
+    computed anew by ``fold(base, values) -> (columns, states)`` and emitted again, so the newest version of a
+    day is right whatever the order was. Rows that arrive more than ``late`` days behind are left out."""
+    n = len(init)
 
-def streak_stream(df: DataFrame, keys: list[str], ts: str, cond: str, key_type: str = "string") -> DataFrame:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get if state.exists else (*init, -(2**31), [], [])
+        base, upto = held[:n], held[n]
+        pdf = pd.concat(list(batches))
+        fresh = pd.Series(pdf["_value"].to_numpy(dtype=float), index=(pd.to_datetime(pdf[ts]) - pd.Timestamp(0)).dt.days.to_numpy())
+        rows = pd.concat([pd.Series(np.array(held[n + 2], dtype=float), index=np.array(held[n + 1], dtype=np.int64)), fresh[fresh.index > upto]])
+        rows = rows[~rows.index.duplicated(keep="last")].sort_index()
+        days = rows.index.to_numpy(dtype=np.int64)
+        out, states = fold(base, rows.to_numpy(dtype=float))
+        done = int(np.searchsorted(days, days[-1] - late, side="right")) if len(days) else 0
+        if done:
+            base, upto = tuple(x[done - 1].item() for x in states), int(days[done - 1])
+        state.update((*base, upto, days[done:].tolist(), rows.to_numpy(dtype=float)[done:].tolist()))
+        first = int(np.searchsorted(days, fresh.index[fresh.index > held[n]].min())) if (fresh.index > held[n]).any() else len(days)
+        back = {name: [k] * (len(days) - first) for name, k in zip(keys, key)}
+        yield pd.DataFrame(back | {ts: (pd.Timestamp(0) + pd.to_timedelta(days[first:], unit="D")).date} | {c: x[first:] for c, x in out.items()})
+
+    state_schema = f"{base_schema}, upto int, days array<int>, vals array<double>"
+    return df.select(*keys, ts, value.cast("double").alias("_value")).groupBy(*keys).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def streak_stream(df: DataFrame, keys: list[str], ts: str, cond: str, key_type: str = "string", late: int = LATE_DAYS) -> DataFrame:
     """Length of the run of true rows ending at each row. Feed daily rows: the state and the work
-    per key then grow by one row a day, whatever the tick rate."""
+    per key are bounded by ``late`` days, whatever the tick rate."""
 
-    def step(held: tuple, pdf: pd.DataFrame):
-        run, out = int(held[0]), []
-        for c in pdf[cond].fillna(False).to_numpy():
-            run = run + 1 if c else 0
-            out.append(run)
-        return (run,), pd.DataFrame({ts: pdf[ts].to_numpy(), "streak": out})
+    def fold(base: tuple, v: np.ndarray):
+        go, pos = v == 1, np.arange(1, len(v) + 1)
+        broken = np.maximum.accumulate(np.where(go, 0, pos)) if len(v) else pos
+        run = (pos - broken + np.where(broken == 0, base[0], 0)).astype(np.int32)
+        return {"streak": run}, (run,)
 
     cols = ", ".join(f"{k} {key_type}" for k in keys)
-    return _per_key(df, keys, step, (0,), f"{cols}, {ts} date, streak int", "run int", ts)
+    return _per_key(df, keys, ts, F.coalesce(F.col(cond), F.lit(False)), fold, (0,), "run int", f"{cols}, {ts} date, streak int", late)
+
+
+def _decayed(x: np.ndarray, keep: float, start: float) -> np.ndarray:
+    """y_i = keep y_{i-1} + x_i from ``start``, in blocks of up-scaled running sums."""
+    if keep <= 0:
+        return x
+    block = int(max(1, min(128, 250 / -np.log10(keep))))
+    out = np.empty(len(x))
+    for lo in range(0, len(x), block):
+        part = x[lo : lo + block]
+        up = keep ** -np.arange(len(part), dtype=float)
+        out[lo : lo + block] = (np.cumsum(part * up) + start * keep) / up
+        start = out[lo + len(part) - 1]
+    return out
 
 
-def ewm_stream(df: DataFrame, keys: list[str], ts: str, value: str, span: float, key_type: str = "string") -> DataFrame:
+def ewm_stream(df: DataFrame, keys: list[str], ts: str, value: str, span: float, key_type: str = "string", late: int = LATE_DAYS) -> DataFrame:
     """Normalised exponentially weighted mean and last value per key, carried across batches."""
     keep = 1.0 - 2.0 / (span + 1.0)
 
-    def step(held: tuple, pdf: pd.DataFrame):
-        num, den, last = (float(h) for h in held)
-        means, lasts = [], []
-        for v in pdf[value].to_numpy(dtype=float):
-            num, den = num * keep, den * keep
-            if v == v:
-                num, den, last = num + v, den + 1.0, v
-            means.append(num / den if den > 0 else None)
-            lasts.append(last)
-        return (num, den, last), pd.DataFrame({ts: pdf[ts].to_numpy(), "ewm": means, "last_value": lasts})
+    def fold(base: tuple, v: np.ndarray):
+        known = ~np.isnan(v)
+        num, den = _decayed(np.where(known, v, 0.0), keep, base[0]), _decayed(known.astype(float), keep, base[1])
+        last = pd.Series(np.concatenate([[base[2]], v])).ffill().to_numpy()[1:]
+        mean = pd.Series(np.where(den > 0, num / np.where(den > 0, den, 1.0), np.nan))
+        return {"ewm": mean.astype(object).where(mean.notna(), None).to_numpy(), "last_value": last}, (num, den, last)
 
     cols = ", ".join(f"{k} {key_type}" for k in keys)
-    return _per_key(df, keys, step, (0.0, 0.0, float("nan")), f"{cols}, {ts} date, ewm double, last_value double", "num double, den double, last double", ts)
+    return _per_key(df, keys, ts, F.col(value), fold, (0.0, 0.0, float("nan")), "num double, den double, last double", f"{cols}, {ts} date, ewm double, last_value double", late)
 
 
 def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:
