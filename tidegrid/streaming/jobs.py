@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,17 +94,8 @@ def streak_stream(df: DataFrame, keys: list[str], ts: str, cond: str, key_type:
 
 
 def _decayed(x: np.ndarray, keep: float, start: float) -> np.ndarray:
-    """y_i = keep y_{i-1} + x_i from ``start``, in blocks of up-scaled running sums."""
-    if keep <= 0:
-        return x
-    block = int(max(1, min(128, 250 / -np.log10(keep))))
-    out = np.empty(len(x))
-    for lo in range(0, len(x), block):
-        part = x[lo : lo + block]
-        up = keep ** -np.arange(len(part), dtype=float)
-        out[lo : lo + block] = (np.cumsum(part * up) + start * keep) / up
-        start = out[lo + len(part) - 1]
-    return out
+    """y_i = keep y_{i-1} + x_i from ``start``; the rows since the last state are few."""
+    return np.fromiter(itertools.islice(itertools.accumulate(x.tolist(), lambda y, v: y * keep + v, initial=start), 1, None), float, len(x))
 
 
 def ewm_stream(df: DataFrame, keys: list[str], ts: str, value: str, span: float, key_type: str = "string", late: int = LATE_DAYS) -> DataFrame:
