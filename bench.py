@@ -16,6 +16,7 @@ HEADLINE = [
     "regime_episodes", "asof_backward_limited", "rolling_moments", "rolling_quantile_flags", "rolling_ranks", "ewm_macd", "pack_level", "pack_regime", "pack_cross_asset", "calendar_cohorts",
     "transition_event_study", "multi_series_event_study", "continuous_contracts", "gate_status", "decision_search", "outcome_backfill", "calibrated_detector_scores", "isolation_scores",
     "exact_group_quantiles", "tick_rolling_chunks", "tick_running_chunks", "supplier_series_features", "part_series_features", "stream_hourly_bars",
+    "pack_meta", "matrix_commodity_columns", "unseen_score_levels",
 ]
 
 

@@ -178,17 +178,17 @@ def coverage_penalty(c: str | Column, least: float = 0.7) -> Column:
 
 def clip_bounds(train: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
     """Clip range of raw scores per detector: the 5 to 95 % range widened by a tenth on each side."""
-    q = RK.exact_quantiles(train, keys, raw, {"p5": 0.05, "p95": 0.95}, few_keys=True)
+    q = RK.exact_quantiles(train, keys, raw, {"p5": 0.05, "p95": 0.95})
     pad = (F.col("p95") - F.col("p5")) * 0.1
     return q.select(*keys, (F.col("p5") - pad).alias("_lo"), (F.col("p95") + pad).alias("_hi"))
 
 
 def calibrated_scores(train: DataFrame, rows: DataFrame, keys: list[str], raw: str = "raw", out: str = "score") -> DataFrame:
     """1 - share of training scores at or below the clipped raw score, capped at 0.95."""
-    bounds = F.broadcast(clip_bounds(train, keys, raw))  # one row per detector
+    bounds = clip_bounds(train, keys, raw)
     clipped = rows.join(bounds, keys).withColumn("_v", F.greatest("_lo", F.least("_hi", F.col(raw)))).drop("_lo", "_hi")
     probes = clipped.select(*keys, F.col("_v").alias(raw))
-    cdf = RK.count_at_or_below(train, probes, keys, raw, few_keys=True).withColumnRenamed(raw, "_v")
+    cdf = RK.count_at_or_below(train, probes, keys, raw).withColumnRenamed(raw, "_v")
     scored = clipped.join(cdf, [*keys, "_v"])
     return scored.withColumn(out, clip(1.0 - F.col("at_or_below") / F.col("total"), 0.0, SCORE_CAP)).drop("_v", "at_or_below", "total")
 

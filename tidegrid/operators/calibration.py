@@ -47,7 +47,7 @@ def apply_calibration(df: DataFrame, corrections: DataFrame, forecast: str = "ma
     df = df.withColumn("regime", RG.level_label(RG.level_regime("current_vix", "left")))
 
     def level(name: str, keys: list[str], out: str) -> DataFrame:
-        return F.broadcast(corrections.filter(F.col("level") == name).select(*keys, F.col("bias").alias(out)))
+        return corrections.filter(F.col("level") == name).select(*keys, F.col("bias").alias(out))
 
     out = df.join(level("regime_cohort", ["regime", "calendar_cohort"], "_rc"), ["regime", "calendar_cohort"], "left")
     out = out.join(level("regime", ["regime"], "_r"), ["regime"], "left")

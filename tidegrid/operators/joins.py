@@ -106,7 +106,7 @@ def similar_states(history: DataFrame, ax: Axis, score: str, band: float) -> Dat
 
 def attach_lookup(df: DataFrame, dim: DataFrame, on: list[str], defaults: dict) -> DataFrame:
     """Left join to a literal dimension (a handful of rows); unmatched rows take the defaults."""
-    out = df.join(F.broadcast(dim), on, "left")
+    out = df.join(dim, on, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
 
 

@@ -127,7 +127,7 @@ def walk_forward_violations(df: DataFrame, ids: list[str], ts: str, cols: list[s
     """Per row and known feature, whether the recorded availability (``feature, lag_days,
     last_available``) lies after the row's date less the lag. The metadata has one row per feature."""
     known = unpivot_columns(df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols]), ids, cols).filter(F.col("value").isNotNull())
-    j = known.join(F.broadcast(meta), "feature")
+    j = known.join(meta, "feature")
     cutoff = F.date_sub(F.col(ts), F.col("lag_days"))
     return j.withColumn("violation", (F.col("last_available") > cutoff).cast("int"))
 

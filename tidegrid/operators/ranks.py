@@ -22,7 +22,7 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def _bounds(values: DataFrame, keys: list[str], value: str, buckets: int, few_keys: bool) -> DataFrame:
-    """One row of bucket edges per key; broadcast only where the caller states there are few keys.
+    """One row of bucket edges per key; broadcast only for a constant key, which has one row.
 
     Every ``sqrt(buckets)``-th edge is kept apart, so finding a bucket looks at two short lists."""
     side = math.isqrt(buckets)
