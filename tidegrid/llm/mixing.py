@@ -21,11 +21,16 @@ STILL = 1e-5  # or at which it gains no more
 UNROLL = 6  # gradient steps held in one expression before the rates are written
 
 
-def signs(text_col: str) -> Column:
-    """Distinct lower-cased words of a text and a few binned counts, as strings."""
+def with_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with ``__t``, the text or an empty one, and ``__w``, its lower-cased words."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(F.lower(t), r"[\x20\x09-\x0D]+", -1), "")
-    n, odd = F.size(words), F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,;:'\"-]"))
+    return docs.withColumn("__t", t).withColumn("__w", F.array_remove(F.split(F.lower("__t"), r"[\x20\x09-\x0D]+", -1), ""))
+
+
+def signs() -> Column:
+    """Words and a few binned counts of a text, as strings; from ``__t`` and ``__w``."""
+    t, n = F.col("__t"), F.size("__w")
+    odd = F.regexp_count(t, F.lit(r"[!#$%&()*+/<=>?@\[\\\]^_{|}~]"))
     lines = F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit("")))
     counts = F.array(
         F.concat(F.lit("\tn"), F.floor(F.log2(n + F.lit(1)))),
@@ -33,11 +38,7 @@ def signs(text_col: str) -> Column:
         F.concat(F.lit("\tl"), F.floor(2 * F.log2((F.char_length(t) + F.lit(1)) / (n + F.lit(1))))),
         F.concat(F.lit("\tb"), F.floor(F.log1p(100 * lines / (n + F.lit(10))))),
     )
-    return F.concat(F.array_distinct(words), counts)
-
-
-def n_words(text_col: str) -> Column:
-    return F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", -1), "")).cast("long")
+    return F.concat("__w", counts)
 
 
 class Classifier:
@@ -63,7 +64,8 @@ class Classifier:
 def train(labelled: DataFrame, text_col: str, domain_col: str, features: int = FEATURES) -> Classifier:
     """Counts of every sign in every labelled document; the ``features`` signs with the largest information
     gain come to the driver. Rows without a domain are left out; no rows give a classifier without domains."""
-    rows = stage(labelled.filter(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d"), signs(text_col).alias("s")), "signs")
+    rows = with_words(labelled.filter(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d"), text_col), text_col)
+    rows = stage(rows.select("d", F.array_distinct(signs()).alias("s")), "signs")
     size = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()}  # a row per domain
     names, total = sorted(size), sum(size.values())
     if not names:
@@ -99,10 +101,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     ``labels`` is (doc_id, domain), one row per document. The heat is the one with the least log loss on
     the labelled rows. Without a labelled row there is one domain, ``all``, and p0 is 1."""
-    labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(labels.select(F.col("doc_id").alias("__id"), "domain"), "__id")
+    labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(labels.select(F.col("doc_id").alias("__id"), "domain").hint("merge"), "__id")  # one way at every size
     model = train(labelled, "__text", "domain")
     names = F.array(*(F.lit(w) for w in model.weights)) if model.weights else F.array().cast("array<string>")
-    own = docs.select(F.col(id_col).alias("doc_id"), *keep, n_words(text_col).alias("n_tokens"), F.array_intersect(signs(text_col), names).alias("held"))
+    own = with_words(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")), "__text")
+    own = own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.array_intersect(signs(), names).alias("held"))
     if not model.domains:
         return stage(own.drop("held").withColumn("p0", F.lit(1.0)), "posteriors"), ["all"]
     scored = stage(model.score(own, "held"), "logits")

@@ -11,7 +11,7 @@ from tidegrid.llm import htmltext, langid, linededup, maxent, mixing, multiindex
 from tidegrid.llm.common import id_crc_mod
 
 #: Shares of the tokens of a training mix by labelled domain.
-MIX = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
+MIX = {"good": 0.85, "poor": 0.08, "toxic": 0.07}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
