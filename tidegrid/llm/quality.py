@@ -194,6 +194,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Rows of docs that are kept, with their columns as they are."""
-    bad = judge(docs, id_col, text_col, lang_col, source_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad"), F.col("n_words").alias("__n")).distinct()
+    """Rows of docs that are kept, with their columns as they are. Rows that share an id go if one of them must."""
+    bad = judge(docs, id_col, text_col, lang_col, source_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
