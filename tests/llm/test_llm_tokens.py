@@ -45,6 +45,15 @@ def test_encoder_on_any_text(text, spaced):
     assert np.frombuffer(next(iter(ours.encode([text]))), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.characters(min_codepoint=33, max_codepoint=255), min_size=1, max_size=8), max_size=12), st.sampled_from([" ", "\n"]), st.booleans())
+def test_encoder_on_latin_text(runs, blank, spaced):
+    plain, ours = PLAIN[spaced]
+    text = blank.join(runs)
+    assert ours.direct
+    assert np.frombuffer(next(iter(ours.encode([text]))), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700), max_size=6))
 def test_codes_round_trip(docs):

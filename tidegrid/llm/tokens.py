@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECES = 400_000  # encoded runs that a worker remembers
-BATCH_CHARS = 1 << 20  # characters encoded at a time
-LONG = 1 << 16  # characters from which a text off the fast path is cut where a blank parts two letters or digits
+PIECES = 800_000  # encoded parts that a worker remembers
+RUNS = 100_000  # encoded runs between blanks, of texts that are not plain
+LONG = 1 << 16  # characters from which a text is cut where a blank parts two letters or digits
+
+#: How the two kinds of vocabularies part a text, for texts of ASCII and Latin-1 letters.
+_SPLIT_SPACED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+_SPLIT_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[\t-\r !-~À-ÖØ-öø-ÿ]*")
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _MEMORY: dict[tuple[str, bool], Encoder] = {}
 
@@ -18,20 +26,51 @@ _MEMORY: dict[tuple[str, bool], Encoder] = {}
 class Encoder:
     """ids of the ``tokenizers`` library for whole texts, as little-endian 32-bit bytes.
 
-    The library's patterns never join characters over a single blank between two others, so the runs in
-    between can be encoded one by one. ``spaced``: a run takes the blank before it along (byte-level
-    vocabularies); else white space is dropped. Texts with any other white space are encoded in one call."""
+    A plain text, of ASCII and Latin-1 letters, is parted here as the vocabulary's own pattern does and its
+    parts are given to the library's model, each once. Of any other text, the runs between single blanks go
+    through the whole library, each once, since no pattern joins characters over such a blank; ``spaced``: a
+    run takes the blank before it along (byte-level vocabularies), else white space is dropped. Texts with
+    other white space, and vocabularies that part text in another way, are encoded by plain calls."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.known = Tokenizer.from_file(path), spaced, {}
+        self.tokenizer, self.spaced, self.known, self.parts = Tokenizer.from_file(path), spaced, {}, {}
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.direct = self._parts_as_expected(made.get("normalizer"), made.get("pre_tokenizer") or {})
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}  # fixed values: bytes that stand for themselves
+        hidden = [b for b in range(256) if b not in visible]
+        self.shown = {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def _parts_as_expected(self, normalizer, parting) -> bool:
+        if self.spaced:
+            return normalizer is None and parting.get("type") == "ByteLevel" and parting.get("use_regex", False) and not parting.get("add_prefix_space", True)
+        kinds = [n.get("type") for n in (normalizer or {}).get("normalizers", [])]
+        steps = parting.get("pretokenizers", [])
+        return kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == _WORD_PATTERN and not steps[1].get("use_regex", True) and not steps[1].get("add_prefix_space", True)
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a plain text, part by part."""
+        found = _SPLIT_SPACED.findall(text) if self.spaced else _SPLIT_WORDS.findall(text.lower())
+        get = self.parts.get
+        got = list(map(get, found))
+        if None in got:
+            new = {p for p, ids in zip(found, got) if ids is None}
+            if len(self.parts) + len(new) > PIECES:
+                self.parts.clear()
+                new = set(found)
+            model, shown = self.tokenizer.model, self.shown
+            for p in new:
+                self.parts[p] = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))], "<u4").tobytes()
+            got = list(map(get, found))
+        return b"".join(got)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plainly(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[str]:
         parts, lo = [], 0
         while len(text) - lo > LONG:
             at = text.find(" ", lo + LONG)
@@ -41,7 +80,7 @@ class Encoder:
                 break
             parts.append(text[lo:at])
             lo = at
-        return b"".join(self._library([*parts, text[lo:]]))
+        return [*parts, text[lo:]]
 
     def _keys(self, text: str) -> list[str]:
         if not self.spaced:
@@ -50,38 +89,37 @@ class Encoder:
         keys[0] = "\r" + keys[0]  # the first run has no blank before it
         return keys
 
-    def _learn(self, keys: set[str]) -> None:
-        new = keys - self.known.keys()
-        if len(self.known) + len(new) > PIECES:
-            self.known.clear()
-            new = keys
+    def _learn(self, new: set[str]) -> None:
         texts = {}
         for k in new:
             body = k[1:] if self.spaced and k[:1] in ("\n", "\r") else k
             if not body or len(body.split()) != 1 or body != body.strip():
                 self.known[k] = None  # other white space: the text goes off the fast path
-            else:
-                texts[k] = body if not self.spaced or k[0] == "\r" else k if k[0] == "\n" else " " + k
+                continue
+            text = body if not self.spaced or k[0] == "\r" else k if k[0] == "\n" else " " + k
+            texts[k] = text
         for k, ids in zip(texts, self._library(list(texts.values()))):
             self.known[k] = ids
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        batch, n = [], 0
-        for t in texts:
-            batch.append(t or "")
-            n += len(batch[-1])
-            if n >= BATCH_CHARS:
-                yield from self._batch(batch)
-                batch, n = [], 0
-        yield from self._batch(batch)
-
-    def _batch(self, texts: list[str]) -> Iterator[bytes]:
-        keys = [self._keys(t) if t else [] for t in texts]
-        self._learn(set().union(*keys))
         known = self.known
-        for text, ks in zip(texts, keys):
-            got = [known[k] for k in ks]
-            yield self._plainly(text) if None in got else b"".join(got)
+        for text in texts:
+            if not text:
+                yield b""
+                continue
+            if self.direct and "<|" not in text and _PLAIN.fullmatch(text):
+                yield b"".join(map(self._plain, self._cut(text)))
+                continue
+            keys = self._keys(text)
+            got = list(map(known.get, keys))
+            if None in got:
+                new = {k for k, ids in zip(keys, got) if ids is None and k not in known}
+                if len(known) + len(new) > RUNS:
+                    known.clear()
+                    new = set(keys)
+                self._learn(new)
+                got = list(map(known.get, keys))
+            yield b"".join(self._library(self._cut(text)) if None in got else got)
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
