@@ -76,11 +76,6 @@ def test_short_series_give_null(spark, n):
     assert d.select("m", "q", "r", "b").dropna("all").count() == 0
 
 
-def test_rank_window_is_bounded():
-    with pytest.raises(ValueError):
-        R.rank_pct("x", 5000, AX)
-
-
 def _features(d):
     d = TI.macd(TI.adx(TI.rsi(d, "close", AX), AX), "close", AX)
     return d.withColumns({"z": R.zscore("close", 21, AX), "k": R.pct_below("close", 10, AX), "e": R.expanding_rank_pct("close", AX)})
