@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegrid.llm import nearcopy
+from tidegrid.llm import mixing, nearcopy
 from tidegrid.llm.common import local_groups
 
 SCHEMA = "doc_id long, text string"
@@ -51,3 +51,21 @@ def test_near_copies_null_ids_and_no_rows(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in out) == [(-1, 7), (3, 3), (7, 7), (9, 9)]
     assert nearcopy.one_of_each(docs).count() == 4
     assert nearcopy.near_copies(docs.limit(0)).count() == 0
+
+
+def test_mixing_looks_at_every_telling_sign(spark):
+    """More than 128 signs tell of the domain, each of few documents: none of them is left out."""
+    rng = np.random.default_rng(9)
+    texts, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        texts.append(" ".join([f"{'bad' if bad else 'fine'}{k}" for k in rng.choice(150, 8, replace=False)] + [f"n{k}" for k in rng.choice(40, 20)]))
+        labels.append((i, 1 - int(bad), 0))
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    some = spark.createDataFrame(labels[:800], "doc_id long, quality int, toxic int")
+    model = mixing.train(docs.join(mixing.domain_labels(some), "doc_id"), "text", "domain")
+    assert model.weights.filter("telling").count() >= 290
+    rows, domains = mixing.mix(docs, mixing.domain_labels(some), {"good": 0.9, "poor": 0.1})
+    late = rows.filter("doc_id >= 800").toPandas().set_index("doc_id")
+    assert domains == ["good", "poor"]
+    assert ((late.p1 > 0.9) == (late.index % 3 == 0)).all() and ((late.p1 < 0.1) == (late.index % 3 != 0)).all()

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import stage
 
-FEATURES = 128  # signs that the classifier looks at: a bound of the plan, not of the rows
+HOT = 2048  # most common signs, which are broadcast; all others meet their weights by a join
 MIN_DOCS = 5  # labelled documents that hold a sign at least
 SMOOTH = 1.0
-HEATS = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0)
+HEATS = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0, 256.0)
 STIFF = 1e-3  # weight of staying at rate 1, against the targets
 ROUNDS = 60
 CLOSE = 1e-4  # distance from the targets, as a share of all tokens, at which the descent ends
@@ -42,50 +42,58 @@ def signs() -> Column:
 
 
 class Classifier:
-    """Naive Bayes over the most telling signs, whose evidence is divided by a heat, which makes its posteriors soft."""
+    """Naive Bayes over the telling signs, whose evidence is divided by a heat, which makes its posteriors soft."""
 
-    def __init__(self, domains: list[str], share: list[float], absent: list[float], weights: dict[str, list[float]]):
-        """Log shares of the domains, log likelihoods of a text without any sign, and what each sign adds."""
+    def __init__(self, domains: list[str], share: list[float], absent: list[float], weights: DataFrame | None):
+        """Log shares of the domains, log likelihoods of a text without any sign, and a staged table of what each sign
+        adds: (__h, n, telling, __g0..), with a 64-bit hash of the sign. Its rows grow with the labelled documents."""
         self.domains, self.share, self.absent, self.weights = domains, share, absent, weights
 
     def score(self, rows: DataFrame, held: str) -> DataFrame:
-        """rows without ``held`` and with z0.., the log likelihood under each domain; ``held`` is an array of signs.
+        """Staged rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain; ``held`` is an
+        array of hashes of distinct signs, ``__row`` numbers the rows.
 
-        The table of weights has at most FEATURES rows and is broadcast; signs are summed by row in the task
-        that holds the row, so only sums are shuffled."""
+        The HOT most common signs are summed by row in the task that holds the row; all others meet the
+        table of weights by hash, where no sign is common."""
         k = range(len(self.domains))
-        table = rows.sparkSession.createDataFrame([(w, *v) for w, v in self.weights.items()], "__w string, " + ", ".join(f"__g{i} double" for i in k))
-        keys = [c for c in rows.columns if c != held]
-        each = rows.withColumn("__row", F.monotonically_increasing_id()).select("__row", *keys, F.explode_outer(held).alias("__w"))
-        sums = each.join(F.broadcast(table), "__w", "left").groupBy("__row", *keys).agg(*(F.sum(f"__g{i}").alias(f"__s{i}") for i in k))
-        return sums.select(*keys, *((F.lit(self.absent[i]) + F.coalesce(f"__s{i}", F.lit(0.0))).alias(f"z{i}") for i in k))
-
-
-def train(labelled: DataFrame, text_col: str, domain_col: str, features: int = FEATURES) -> Classifier:
-    """Counts of every sign in every labelled document; the ``features`` signs with the largest information
-    gain come to the driver. Rows without a domain are left out; no rows give a classifier without domains."""
+        add = [f"__g{i}" for i in k]
+        hot = stage(self.weights.orderBy(F.col("n").desc(), "__h").limit(HOT).select("__h", *add), "hot")
+        cold = stage(self.weights.filter("telling").join(F.broadcast(hot.select("__h")), "__h", "left_anti").select("__h", *add), "cold")
+        each = rows.select("__row", F.explode(held).alias("__h"))
+        near = each.join(F.broadcast(hot), "__h").select("__row", *add)
+        far = each.join(F.broadcast(hot.select("__h")), "__h", "left_anti").join(cold, "__h").select("__row", *add)
+        sums = near.unionByName(far).groupBy("__row").agg(*(F.sum(f"__g{i}").alias(f"__s{i}") for i in k))
+        met = rows.drop(held).join(stage(sums, "sums").hint("merge"), "__row", "left")  # in the order of the rows
+        return met.select(*(c for c in rows.columns if c not in (held, "__row")), *((F.lit(self.absent[i]) + F.coalesce(f"__s{i}", F.lit(0.0))).alias(f"z{i}") for i in k))
+
+
+def train(labelled: DataFrame, text_col: str, domain_col: str) -> Classifier:
+    """Counts of every sign in every labelled document. Telling are all signs of MIN_DOCS documents whose information
+    gain is beyond what the best of as many signs would have by chance: twice the gain is chi-squared, over
+    2 log n with a chance of 1 / n for three domains. The table is staged, only sums come to the driver. Rows without a domain are left out; no rows give a classifier without domains."""
     rows = with_words(labelled.filter(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d"), text_col), text_col)
     rows = stage(rows.select("d", F.array_distinct(signs()).alias("s")), "signs")
     size = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()}  # a row per domain
     names, total = sorted(size), sum(size.values())
     if not names:
-        return Classifier([], [], [], {})
+        return Classifier([], [], [], None)
     per = [F.sum((F.col("d") == n).cast("long")).alias(f"c{k}") for k, n in enumerate(names)]
-    counts = rows.select("d", F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *per).filter(F.col("n") >= MIN_DOCS)
+    counts = stage(rows.select("d", F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *per).filter(F.col("n") >= MIN_DOCS), "counts")
+    tested = counts.count()
 
     def entropy(cols: list[Column], n: Column) -> Column:
         return sum((F.when(c > 0, -c * F.log(c / n)).otherwise(F.lit(0.0)) for c in cols), F.lit(0.0))
 
     inside = [F.col(f"c{k}") for k in range(len(names))]
     outside = [F.lit(size[n]) - F.col(f"c{k}") for k, n in enumerate(names)]
-    told = -(entropy(inside, F.col("n")) + entropy(outside, F.greatest(F.lit(total) - F.col("n"), F.lit(1))))
-    best = counts.withColumn("told", told).orderBy(F.col("told").desc(), "w").limit(features).collect()
-    weights, absent = {}, [0.0] * len(names)
+    whole = sum(-n * math.log(n / total) for n in size.values())
+    told = F.lit(whole) - entropy(inside, F.col("n")) - entropy(outside, F.greatest(F.lit(total) - F.col("n"), F.lit(1)))
     share = [math.log((size[n] + SMOOTH) / (total + SMOOTH * len(names))) for n in names]
-    for r in best:
-        p = [(r[f"c{k}"] + SMOOTH) / (size[n] + 2 * SMOOTH) for k, n in enumerate(names)]
-        weights[r["w"]] = [math.log(q) - math.log(1 - q) for q in p]
-        absent = [a + math.log(1 - q) for a, q in zip(absent, p)]
+    p = [(F.col(f"c{k}") + F.lit(SMOOTH)) / F.lit(size[n] + 2 * SMOOTH) for k, n in enumerate(names)]
+    own = counts.withColumn("telling", 2 * told > F.lit(2 * math.log(max(tested, 2))))
+    adds = [F.when(F.col("telling"), F.log(q) - F.log(1 - q)).otherwise(F.lit(0.0)).alias(f"__g{k}") for k, q in enumerate(p)]
+    weights = stage(own.select(F.xxhash64("w").alias("__h"), "n", "telling", *adds, *(F.when(F.col("telling"), F.log(1 - q)).otherwise(F.lit(0.0)).alias(f"__a{k}") for k, q in enumerate(p))), "weights")
+    absent = [x or 0.0 for x in weights.agg(*(F.sum(f"__a{k}") for k in range(len(names)))).first()]
     return Classifier(names, share, absent, weights)
 
 
@@ -103,11 +111,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     the labelled rows. Without a labelled row there is one domain, ``all``, and p0 is 1."""
     labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(labels.select(F.col("doc_id").alias("__id"), "domain").hint("merge"), "__id")  # one way at every size
     model = train(labelled, "__text", "domain")
-    names = F.array(*(F.lit(w) for w in model.weights)) if model.weights else F.array().cast("array<string>")
     own = with_words(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")), "__text")
-    own = own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.array_intersect(signs(), names).alias("held"))
+    own = own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.transform(F.array_distinct(signs()), lambda w: F.xxhash64(w)).alias("held"))
     if not model.domains:
         return stage(own.drop("held").withColumn("p0", F.lit(1.0)), "posteriors"), ["all"]
+    own = stage(own.withColumn("__row", F.monotonically_increasing_id()), "held")
     scored = stage(model.score(own, "held"), "logits")
     known = scored.join(labels.select("doc_id", "domain"), "doc_id")
     losses = []
