@@ -69,3 +69,17 @@ def test_mixing_looks_at_every_telling_sign(spark):
     late = rows.filter("doc_id >= 800").toPandas().set_index("doc_id")
     assert domains == ["good", "poor"]
     assert ((late.p1 > 0.9) == (late.index % 3 == 0)).all() and ((late.p1 < 0.1) == (late.index % 3 != 0)).all()
+
+
+def test_mixing_rates_are_stationary(spark):
+    """Many rates at 0: a descent of 60 steps ends before the least value."""
+    rng = np.random.default_rng(10)
+    n = rng.integers(1, 500, 600)
+    p = rng.dirichlet([0.9, 0.5, 0.5], 600)
+    rows = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(600)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
+    goal = n.sum() * np.array([0.9, 0.07, 0.03])
+    r = mixing.fit_rates(rows, 3, goal.tolist()).orderBy("doc_id").toPandas().rate.to_numpy()
+    m = (p * n[:, None]).T @ p + 1e-9 * n.sum() * np.eye(3)
+    slope = p @ np.linalg.solve(m, (p * (n * r)[:, None]).sum(0) - goal) + mixing.STIFF * (r - 1)
+    assert (r == 0).mean() > 0.2
+    assert np.abs(slope[r > 0]).max() < 1e-6 and slope[r == 0].min() > -1e-6

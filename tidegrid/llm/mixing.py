@@ -15,10 +15,7 @@ MIN_DOCS = 5  # labelled documents that hold a sign at least
 SMOOTH = 1.0
 HEATS = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0, 256.0)
 STIFF = 1e-3  # weight of staying at rate 1, against the targets
-ROUNDS = 60
-CLOSE = 1e-4  # distance from the targets, as a share of all tokens, at which the descent ends
-STILL = 1e-5  # or at which it gains no more
-UNROLL = 6  # gradient steps held in one expression before the rates are written
+STILL = 1e-9  # slope of the fit, as a share of all tokens, that counts as none
 
 
 def with_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -134,33 +131,45 @@ def fit_rates(rows: DataFrame, domains: int, targets: list[float], stiff: float
     """rows with ``rate``: nonnegative least squares for sum_i p_id n_i rate_i = target_d.
 
     Minimises e' M^-1 e / 2 + stiff/2 sum_i n_i (rate_i - 1)^2 for e = expected - target, where M is the sum
-    of n_i p_i p_i', by projected gradient in the metric of n_i. Weighing the errors by M^-1 makes the
-    curvature 1 where no rate is held at 0, so few steps are needed. A step needs one sum per domain over
-    all documents, which is all that reaches the driver; the steps since the rates were last written are
-    one expression, so a round is one pass over narrow rows without a shuffle of them."""
+    of n_i p_i p_i'. At the least value rate_i = max(0, 1 - p_i u / stiff) for u = M^-1 e, so only u, a number per
+    domain, is looked for: by Newton steps on M u + target - expected(u), the slope of a convex function, halved
+    while that doesn't fall. A step is one pass of sums over narrow rows; it ends where the slope is gone."""
     k = range(domains)
     pairs = [(i, j) for i in k for j in range(i + 1)]
-    first = rows.agg(*(F.sum(F.col(f"p{i}") * F.col("n_tokens")) for i in k), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("n_tokens")) for i, j in pairs)).first()
-    at = [x or 0.0 for x in first[:domains]]
-    total, m = sum(at), np.zeros((domains, domains))
-    for (i, j), x in zip(pairs, first[domains:]):
-        m[i, j] = m[j, i] = x or 0.0
-    weigh = np.linalg.inv(m + 1e-9 * max(total, 1.0) * np.eye(domains))
-    eta, rate, last = 1.0 / (1.0 + stiff), F.col("rate"), None
-    rows = rows.withColumn("rate", F.lit(1.0))
-    for step in range(ROUNDS):
-        gap = np.array(at) - np.array(targets)
-        far = float(np.abs(gap).max(initial=0.0))
-        if total == 0 or far <= CLOSE * total or (last is not None and abs(last - far) <= STILL * total):
-            break
-        last = far
-        pull = sum((F.col(f"p{i}") * F.lit(float(eta * g)) for i, g in enumerate(weigh @ gap)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * F.lit(1 - eta * stiff) + F.lit(eta * stiff) - pull)
-        if step % UNROLL == UNROLL - 1:
-            rows = stage(rows.withColumn("rate", rate), "rates")
-            rate = F.col("rate")
-        at = [x or 0.0 for x in rows.agg(*(F.sum(F.col(f"p{i}") * F.col("n_tokens") * rate) for i in k)).first()]
-    return rows.withColumn("rate", rate)
+
+    def rate(u: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(float(x / stiff)) for i, x in enumerate(u)), F.lit(0.0)))
+
+    def square(sums: list[float]) -> np.ndarray:
+        m = np.zeros((domains, domains))
+        for (i, j), x in zip(pairs, sums):
+            m[i, j] = m[j, i] = x
+        return m
+
+    def look(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value, slope and curvature at u."""
+        r = rows.withColumn("__r", rate(u)).withColumn("__n", F.col("n_tokens") * (F.col("__r") > 0).cast("double"))
+        sums = [F.sum(F.col("n_tokens") * F.col("__r") * F.col("__r")), *(F.sum(F.col(f"p{i}") * F.col("n_tokens") * F.col("__r")) for i in k), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("__n")) for i, j in pairs)]
+        x = [v or 0.0 for v in r.agg(*sums).first()]
+        return u @ m @ u / 2 + u @ goal + stiff / 2 * x[0], m @ u + goal - np.array(x[1 : 1 + domains]), m + square(x[1 + domains :]) / stiff
+
+    first = rows.agg(F.sum("n_tokens"), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("n_tokens")) for i, j in pairs)).first()
+    total, u, goal = first[0] or 0, np.zeros(domains), np.array(targets, float)
+    if not total:
+        return rows.withColumn("rate", F.lit(1.0))
+    m = square([x or 0.0 for x in first[1:]]) + 1e-9 * total * np.eye(domains)
+    value, slope, bend = look(u)
+    while np.abs(slope).max() > STILL * total:
+        step, part = np.linalg.solve(bend, slope), 1.0
+        while True:
+            new = look(u - part * step)
+            if new[0] <= value - 1e-4 * part * (slope @ step) or np.abs(new[1]).max() < np.abs(slope).max() / 2:
+                break
+            part /= 2
+            if part < 1e-9:  # no lower value within the numbers' precision
+                return rows.withColumn("rate", rate(u))
+        u, (value, slope, bend) = u - part * step, new
+    return rows.withColumn("rate", rate(u))
 
 
 def copies(rate: str, id_col: str, seed: int = 11) -> Column:
