@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegrid.llm import mixing, nearcopy
+from tidegrid.llm import htmltext, mixing, nearcopy
 from tidegrid.llm.common import local_groups
 
 SCHEMA = "doc_id long, text string"
@@ -83,3 +83,35 @@ def test_mixing_rates_are_stationary(spark):
     slope = p @ np.linalg.solve(m, (p * (n * r)[:, None]).sum(0) - goal) + mixing.STIFF * (r - 1)
     assert (r == 0).mean() > 0.2
     assert np.abs(slope[r > 0]).max() < 1e-6 and slope[r == 0].min() > -1e-6
+
+
+@pytest.mark.parametrize(
+    "css, shown",
+    [
+        (".m{display:none}", False),
+        ("@media print {.m{display:none}}", True),
+        ("@media (max-width:600px){.m{display:none} p{margin:0}}", True),
+        ("@media screen and (max-width:600px){.m{display:none}}", True),
+        ("@media screen{.m{display:none}}", False),
+        ("@media all, print{p{margin:0}.m{color:red;display:none}}", False),
+        ("@supports (display:grid){@media print{.m{display:none}}}", True),
+        ("@media print{.x{color:red}} .m{display:none}", False),
+        ("@import url('a;b{'); /* } */ .m{display:none", False),
+        (".m{display:none} .m{display:block}", True),
+        (".m{display:block} .m{display:none}", False),
+        ("#i{display:block} .m{display:none}", True),
+        (".m{display:none!important} #i{display:block}", False),
+        (".m{visibility:hidden} .m{display:block}", False),
+        (".m{display:none} .m{visibility:visible}", False),
+    ],
+)
+def test_html_rules_that_hold_on_a_screen(css, shown):
+    html = f"<style>{css}</style><p>a</p><p id=i class=m>b</p>"
+    assert htmltext.render(html) == ("a\n\nb" if shown else "a")
+
+
+def test_html_rules_of_several_styles_and_closed_comments():
+    assert htmltext.render("<style>.m{display:none}</style><style>.m{display:block}</style><p class=m>b") == "b"
+    assert htmltext.render("<style media=print>.m{display:none}</style><p class=m>b") == "b"
+    assert htmltext.render("<style>.m{display:none}</style><p class=m style='display:block'>b") == "b"
+    assert htmltext.render("a<!-->b<!--->c<!-- x -->d") == "abcd"

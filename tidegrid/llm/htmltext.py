@@ -36,8 +36,9 @@ PAD = 40  # a column is aligned up to this width; a wider cell runs over it, so
 
 _TAG = re.compile(r"<!--|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_STRING_OR_NOTE = re.compile(r"/\*.*?(?:\*/|$)|\"[^\"\n]*\"|'[^'\n]*'|<!--|-->", re.S)
+_CUT = re.compile(r"[{};]")
+_ALWAYS = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech|tty|tv|projection|handheld|braille|embossed|aural)|", re.I)
 _PLAIN = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)$", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]{2,}|[\t\n\r\f]")
 
@@ -79,6 +80,9 @@ def parse(html: str) -> Node:
             open_[-1].kids.append(html[at : m.start()])
         at = m.end()
         if m[0] == "<!--":
+            if html.startswith((">", "->"), at):  # closed at once
+                at = html.index(">", at) + 1
+                continue
             stop = html.find("-->", m.end())
             at = end if stop < 0 else stop + 3
             continue
@@ -114,34 +118,89 @@ def parse(html: str) -> Node:
     return root
 
 
-def hidden_selectors(css: str) -> list[tuple[str, frozenset[str], str]]:
-    """Tag, classes and id of the plain selectors whose rule hides; others are left alone."""
-    out = []
-    for names, body in _RULE.findall(css):
-        if _HIDING.search(body):
-            for name in names.split(","):
+def declared(parts: list[str]) -> dict[str, tuple[bool, bool]]:
+    """Whether it is important and whether it hides, for display and visibility; the last declaration counts, important first."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for part in parts:
+        prop, _, value = part.partition(":")
+        prop, value = prop.strip().lower(), value.strip().lower()
+        if prop in ("display", "visibility") and value:
+            strong = value.endswith("important") and "!" in value
+            word = value.split("!")[0].strip()
+            if strong or not out.get(prop, (False,))[0]:
+                out[prop] = (strong, word in (("none",) if prop == "display" else ("hidden", "collapse")))
+    return out
+
+
+def applies(media: str) -> bool:
+    """Media lists that hold on every screen; those that ask for its width or other features don't."""
+    return any(_ALWAYS.fullmatch(q.strip()) for q in media.split(","))
+
+
+Rule = tuple[tuple[bool, bool, int, bool], str, frozenset[str], str, str, bool]
+
+
+def display_rules(css: str) -> list[Rule]:
+    """Weight, tag, classes, id, property and whether it hides, of the rules with plain selectors that say how they
+    show; others are left alone. Rules within other rules and in at-rules that may not hold are passed over."""
+    css = _STRING_OR_NOTE.sub(lambda m: '""' if m[0][0] in "\"'" else " ", css)
+    out: list[Rule] = []
+    open_: list[tuple[str | bool, list[str]]] = [(True, [])]  # a rule's selectors, or whether rules count
+
+    def close() -> None:
+        names, parts = open_.pop()
+        if isinstance(names, str):
+            said = declared(parts)
+            for name in names.split(",") if said else ():
                 m = _PLAIN.match(name.strip())
                 if m and name.strip():
-                    parts = re.findall(r"[.#][\w-]+", m[2])
-                    out.append(((m[1] or "").lower(), frozenset(p[1:] for p in parts if p[0] == "."), next((p[1:] for p in parts if p[0] == "#"), "")))
+                    marks = re.findall(r"[.#][\w-]+", m[2])
+                    tag, classes, ident = (m[1] or "").lower(), frozenset(p[1:] for p in marks if p[0] == "."), next((p[1:] for p in marks if p[0] == "#"), "")
+                    out.extend(((strong, bool(ident), len(classes), bool(tag)), tag, classes, ident, prop, hides) for prop, (strong, hides) in said.items())
+
+    at = 0
+    for m in _CUT.finditer(css):
+        piece, at = css[at : m.start()].strip(), m.end()
+        if m[0] == "{":
+            if open_[-1][0] is not True:
+                open_.append((False, []))
+            elif piece.startswith("@"):
+                kind, _, rest = piece[1:].replace("(", " (", 1).partition(" ")
+                open_.append((kind.lower() in ("layer", "supports") or (kind.lower() == "media" and applies(rest)), []))
+            else:
+                open_.append((piece, []))
+        elif m[0] == ";" or len(open_) > 1:
+            open_[-1][1].append(piece)
+            if m[0] == "}":
+                close()
+    open_[-1][1].append(css[at:])
+    while len(open_) > 1:
+        close()
     return out
 
 
-def hidden(node: Node, rules: list[tuple[str, frozenset[str], str]]) -> bool:
+def by_weight(rules: list[Rule]) -> list[Rule]:
+    """Heaviest first, and of equal ones the last."""
+    return sorted(reversed(rules), key=lambda r: r[0], reverse=True)
+
+
+def hidden(node: Node, rules: list[Rule]) -> bool:
+    """Rules come heaviest first; of each property the first that matches decides, a style of its own before all but important ones."""
     a = node.attrs
-    if node.tag in UNSEEN:
-        return True
-    if not a:
-        return (node.tag == "dialog") or any(t == node.tag and not c and not i for t, c, i in rules)
-    if "hidden" in a or (node.tag == "dialog" and "open" not in a) or ("style" in a and _HIDING.search(a["style"])):
+    if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
         return True
-    mine = None
-    for tag, classes, ident in rules:
+    own = declared(a["style"].split(";")) if "style" in a else {}
+    mine, found = None, {p: hides for p, (strong, hides) in own.items() if strong}
+    for weight, tag, classes, ident, prop, hides in rules:
+        if prop in found or (prop in own and not weight[0]):
+            continue
         if (not tag or tag == node.tag) and (not ident or ident == a.get("id")):
             mine = frozenset(a.get("class", "").split()) if mine is None else mine
             if classes <= mine:
-                return True
-    return False
+                found[prop] = hides
+                if len(found) == 2:
+                    break
+    return any(found.get(p, own.get(p, (False, False))[1]) for p in ("display", "visibility"))
 
 
 class Flow:
@@ -249,9 +308,10 @@ def render(html: str | None) -> str:
     rules, todo = [], [root]
     while todo:
         n = todo.pop()
-        if n.tag == "style":
-            rules += hidden_selectors("".join(k for k in n.kids if isinstance(k, str)))
-        todo += [k for k in n.kids if not isinstance(k, str)]
+        if n.tag == "style" and applies(n.attrs.get("media", "")):
+            rules += display_rules("".join(k for k in n.kids if isinstance(k, str)))
+        todo += [k for k in reversed(n.kids) if not isinstance(k, str)]
+    rules = by_weight(rules)
     flows, grids, lists, pre = [Flow()], [], [], 0
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
