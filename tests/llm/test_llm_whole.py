@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tidegrid.llm import htmltext, mixing, nearcopy
+from tidegrid.llm import htmltext, langid, mixing, nearcopy
 from tidegrid.llm.common import local_groups
 
 SCHEMA = "doc_id long, text string"
@@ -115,3 +115,10 @@ def test_html_rules_of_several_styles_and_closed_comments():
     assert htmltext.render("<style media=print>.m{display:none}</style><p class=m>b") == "b"
     assert htmltext.render("<style>.m{display:none}</style><p class=m style='display:block'>b") == "b"
     assert htmltext.render("a<!-->b<!--->c<!-- x -->d") == "abcd"
+
+
+def test_language_of_long_texts_alone(spark):
+    rows = [(i, "sch keit ung ein " * 2000, "yy") for i in range(4)] + [(9, "1 " * 20_000 + "tion ing er the " * 900, "xx")]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "ein keit ung sch keit ein"), (2, "the er ing tion the ing"), (3, "1 2")], SCHEMA)
+    assert {r.id: r.lang_pred for r in langid.identify(docs, learn).collect()} == {1: "yy", 2: "xx", 3: "und"}

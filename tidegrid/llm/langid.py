@@ -21,10 +21,11 @@ def letters(text: str | None) -> bytes:
 
 
 def sample(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int, max_chars: int) -> dict[str, list[str]]:
-    """A bounded sample of labelled rows: per language the ``per_lang`` smallest id hashes among texts of
-    1 to ``max_chars`` characters. The only thing that is fitted on a sample."""
-    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    fit = own.filter("i is not null and l is not null and length(t) between 1 and %d" % max_chars)
+    """A bounded sample of labelled rows: per language the ``per_lang`` smallest id hashes among texts with
+    a letter, each from its first letter on and up to ``max_chars`` characters. The only thing that is fitted on a sample."""
+    start = F.regexp_replace(F.col(text_col), r"^\P{L}+", "")
+    own = docs.select(F.col(id_col).alias("i"), F.substring(start, 1, max_chars).alias("t"), F.col(lang_col).alias("l"))
+    fit = own.filter("i is not null and l is not null and length(t) > 0")
     share = F.lit(0.0)  # of a language's hashes that is looked at: three times what is taken, so no task gets a whole language
     for r in fit.groupBy("l").count().collect():  # a row per language
         share = F.when(F.col("l") == r["l"], F.lit(min(1.0, 3 * per_lang / r["count"]))).otherwise(share)
