@@ -1,9 +1,14 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpers import AX, frame, got, nulls, same
+from tidegrid.axis import Axis
 from tidegrid.functions import rolling as R
 from tidegrid.functions import technical as TI
 from tidegrid.operators import scan as SC
@@ -45,19 +50,19 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_matches_pandas(df, name):
     ours, theirs = CASES[name]
-    same(got(df.withColumn("o", ours()), "o"), theirs().to_numpy())
+    same(got(R.with_columns(df, {"o": ours()}), "o"), theirs().to_numpy())
 
 
 def test_average_rank_on_ties(spark):
     x = nulls(ties=True)
-    same(got(frame(spark, {"a": {"x": x}}).withColumn("o", R.rank_pct("x", 21, AX)), "o"), pd.Series(x).rolling(21).rank(pct=True))
+    same(got(R.with_columns(frame(spark, {"a": {"x": x}}), {"o": R.rank_pct("x", 21, AX)}), "o"), pd.Series(x).rolling(21).rank(pct=True))
 
 
 @pytest.mark.parametrize("span", [3, 12, 26])
 def test_ewm_blocks_match_pandas(spark, span):
     x = nulls(700)
     d = frame(spark, {"a": {"x": x}, "b": {"x": x[::-1]}})
-    out = R.ewm_means(d, {"o": ("x", span)}, AX, block=64)
+    out = R.ewm_means(d, {"o": ("x", span)}, AX)
     want = np.concatenate([pd.Series(v).ewm(span=span).mean() for v in (x, x[::-1])])
     same(got(out, "o"), want, 1e-8)
 
@@ -72,13 +77,13 @@ def test_constant_series_floor_and_null(spark):
 @pytest.mark.parametrize("n", [1, 4])
 def test_short_series_give_null(spark, n):
     d = frame(spark, {"a": {"x": list(range(n))}})
-    d = d.withColumns({"m": R.mean("x", 5, AX), "q": R.quantile("x", 0.5, 5, AX), "r": R.rank_pct("x", 5, AX), "b": R.pct_below("x", 5, AX)})
+    d = R.with_columns(d, {"m": R.mean("x", 5, AX), "q": R.quantile("x", 0.5, 5, AX), "r": R.rank_pct("x", 5, AX), "b": R.pct_below("x", 5, AX)})
     assert d.select("m", "q", "r", "b").dropna("all").count() == 0
 
 
 def _features(d):
     d = TI.macd(TI.adx(TI.rsi(d, "close", AX), AX), "close", AX)
-    return d.withColumns({"z": R.zscore("close", 21, AX), "k": R.pct_below("close", 10, AX), "e": R.expanding_rank_pct("close", AX)})
+    return R.with_columns(d, {"z": R.zscore("close", 21, AX), "k": R.pct_below("close", 10, AX), "e": R.expanding_rank_pct("close", AX)})
 
 
 def test_future_rows_do_not_change_past_features(spark):
@@ -97,7 +102,7 @@ def test_chunked_equals_whole(spark):
     rng = np.random.default_rng(4)
     rows = [("hot", i // 50, i, float(v)) for i, v in enumerate(rng.normal(0, 1, 2000))] + [("cold", 0, i, float(i)) for i in range(7)]
     d = spark.createDataFrame(rows, "series_id string, day int, seq int, x double")
-    pos = SC.with_positions(d, ["series_id"], F.col("day"), ["seq"])
+    pos = SC.number_rows(d, ["series_id"], ["day", "seq"])
     assert pos.filter("series_id = 'hot' AND _pos != seq").count() == 0
     out = SC.halo_frames(pos, ["series_id"], 30, lambda ax: {"m": R.mean("x", 31, ax)}, chunk_rows=100).filter("series_id = 'hot'").orderBy("seq").toPandas()
     same(out["m"], pd.Series([r[3] for r in rows[:2000]]).rolling(31).mean())
@@ -115,7 +120,7 @@ def test_chunked_equals_whole(spark):
 
 def test_streak_over_chunk_without_false_row(spark):
     rows = [("a", 0, i, i != 3) for i in range(40)]
-    pos = SC.with_positions(spark.createDataFrame(rows, "series_id string, day int, seq int, ok boolean"), ["series_id"], F.col("day"), ["seq"])
+    pos = SC.number_rows(spark.createDataFrame(rows, "series_id string, day int, seq int, ok boolean"), ["series_id"], ["day", "seq"])
     out = SC.running_streak(pos, ["series_id"], "ok", "s", chunk_rows=8).orderBy("seq").toPandas()["s"].tolist()
     assert out == [1, 2, 3, 0] + list(range(1, 37))
 
@@ -124,13 +129,99 @@ def test_ewm_of_span_one_and_after_a_long_gap(spark):
     x = np.full(900, np.nan)
     x[[0, 1, 5]] = [1.0, 2.0, 4.0]
     d = frame(spark, {"a": {"x": x}})
-    out = R.ewm_means(d, {"one": ("x", 1), "o": ("x", 5)}, AX, block=64)
+    out = R.ewm_means(d, {"one": ("x", 1), "o": ("x", 5)}, AX)
     same(got(out, "o"), pd.Series(x).ewm(span=5).mean())
     same(got(out, "one"), pd.Series(x).ffill())
 
 
-def test_rank_windows_have_no_limit(spark):
-    x = np.random.default_rng(0).normal(size=2300)
-    d = frame(spark, {"a": {"x": x}})
-    r = got(d.withColumn("r", R.rank_pct("x", 2200, AX)), "r")
-    same(r[-1], pd.Series(x[-2200:]).rank(pct=True).iloc[-1])
+def test_ranks_and_quantiles_of_a_long_window(spark):
+    """A frame of 50,000 rows: no list per row, and all columns in one pass."""
+    n, w = 60_000, 50_000
+    x = np.round(np.random.default_rng(0).normal(size=n), 3)
+    d = spark.createDataFrame(pd.DataFrame({"series_id": "a", "ts": np.arange(n), "x": x}))
+    d = R.with_columns(d, {"r": R.rank_pct("x", w, AX, 1), "b": R.pct_below("x", w, AX, 1), "q": R.quantile("x", 0.9, w, AX, 1), "p": R.prior_rank("x", w, AX, 1), "e": R.expanding_rank_pct("x", AX)})
+    assert "collect_list" not in d._jdf.queryExecution().toString() and d._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    out = d.filter("ts % 997 = 0 OR ts = 59999").orderBy("ts").toPandas()
+    for r in out.itertuples():
+        v = x[max(0, r.ts - w + 1) : r.ts + 1]
+        less, same_ = (v < r.x).sum(), (v == r.x).sum()
+        assert abs(r.r - (less + (same_ + 1) / 2) / len(v)) < 1e-12 and abs(r.q - np.quantile(v, 0.9)) < 1e-12
+        v = x[max(0, r.ts - w) : r.ts + 1]
+        assert abs(r.b - (v < r.x).mean() * 100) < 1e-9
+        past = x[: r.ts + 1]
+        assert abs(r.e - ((past < r.x).sum() + ((past == r.x).sum() + 1) / 2) / len(past)) < 1e-12
+
+
+def test_growth_of_an_expanding_rank_is_linear_log():
+    """Steps counted, not timed: blocks looked at and values moved per row grow with the logarithm, not the rows."""
+    from tidegrid.functions import ordered
+
+    looked = {}
+    for n in (4_000, 64_000):
+        w, x = ordered.OrderWindow(), np.random.default_rng(1).normal(size=n).tolist()
+        for v in x:
+            w.add(v)
+        assert max(map(len, w.blocks)) <= w.most and [w.kth(k) for k in (0, n // 2, n - 1)] == [sorted(x)[k] for k in (0, n // 2, n - 1)]
+        looked[n] = math.log2(len(w.tree)) + w.most
+    assert looked[64_000] < 1.02 * looked[4_000]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-4, 4), max_size=90), st.integers(1, 30))
+def test_order_window_against_a_sorted_list(values, size):
+    from tidegrid.functions.ordered import OrderWindow
+
+    w, held = OrderWindow(most=4), []
+    for v in map(float, values):
+        w.add(v)
+        held.append(v)
+        if len(held) > size:
+            w.remove(held.pop(0))
+        s = sorted(held)
+        assert [w.kth(k) for k in range(len(s))] == s
+        for probe in (-5.0, v, 0.5, 5.0):
+            assert w.below(probe) == sum(e < probe for e in s) and w.upto(probe) == sum(e <= probe for e in s)
+
+
+def test_walked_columns_in_small_batches_and_inside_expressions(spark):
+    """Series go over batch ends, several axes meet in one call, and a placeholder may stand anywhere."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = frame(spark, {"a": {"x": X, "y": Y}, "b": {"x": X[::-1], "y": Y}})
+        one = F.when(R.rank_pct("x", 9, AX) > R.rank_pct("y", 9, AX), R.quantile("x + y", 0.5, 9, AX, 1)).otherwise(-R.expanding_rank_pct("y", AX))
+        out = R.with_columns(d, {"o": one, "back": R.rank_pct("x", 9, Axis(("series_id",), "y"), 1)})
+        assert out.columns == ["series_id", "ts", "x", "y", "o", "back"]
+        out = got(out, "o")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for x in (X, X[::-1]):
+        x, y = pd.Series(x), pd.Series(Y)
+        up = x.rolling(9).rank(pct=True) > y.rolling(9).rank(pct=True)
+        want.append(np.where(up, (x + y).rolling(9, min_periods=1).median(), -y.expanding(1).rank(pct=True)))
+    same(out, np.concatenate(want))
+
+
+def test_numbers_of_a_hot_day_come_from_many_tasks(spark):
+    """A third of the rows on one day, half of those alike: numbers stay whole and no range holds twice the usual."""
+    n = 6000
+    d = spark.range(n).select(F.when(F.col("id") % 2 == 0, "hot").alias("series_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).cast("int").alias("day"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("seq"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = SC.number_rows(d, ["series_id"], ["day", "seq"]).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for _, x in out.groupby("series_id", dropna=False):
+        x = x.sort_values("_pos")
+        assert x._pos.tolist() == list(range(n // 2))
+        assert x[["day", "seq"]].apply(tuple, axis=1).is_monotonic_increasing
+    import glob
+    import os
+
+    from tidegrid.session import shared_dir
+
+    newest = max(glob.glob(shared_dir(spark) + "/numbered-*"), key=os.path.getmtime)
+    sizes = [len(pd.read_parquet(f)) for f in glob.glob(newest + "/*.parquet")]
+    assert len(sizes) == 4 and max(sizes) < 2 * sorted(sizes)[1]

@@ -10,12 +10,12 @@ instead of dozens, which matters when hundreds are planned.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
+from tidegrid.functions.ordered import Ask, ask, with_columns
 from tidegrid.functions.scalar import clip, nonzero
 
 
@@ -71,14 +71,13 @@ def std(c: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
 
 
 def quantile(c: str, q: float, k: int, ax: Axis, min_periods: int | None = None) -> Column:
-    """Linearly interpolated quantile of the frame."""
-    return F.expr(_guard(c, ax, k, f"percentile({c}, {q}D) {ax.frame(1 - k, 0)}", min_periods))
+    """Linearly interpolated quantile of the frame. A placeholder, as all ranks and quantiles: see ``with_columns``."""
+    return ask(Ask("quantile", c, 1 - k, 0, (q, k if min_periods is None else min_periods)), ax)
 
 
 def prior_quantile(c: str, q: float, k: int, ax: Axis, min_periods: int | None = None) -> Column:
     """Quantile of the ``k`` rows before this one: a threshold that cannot see the current row."""
-    need, w = k if min_periods is None else min_periods, ax.frame(-k, -1)
-    return F.expr(f"CASE WHEN count({c}) {w} >= {need} THEN percentile({c}, {q}D) {w} END")
+    return ask(Ask("quantile", c, -k, -1, (q, k if min_periods is None else min_periods)), ax)
 
 
 def skew(c: str, k: int, ax: Axis) -> Column:
@@ -132,20 +131,9 @@ def gap_of(c: str, w: int) -> Column:
     return (F.col(c) - m) / nonzero(m) * 100
 
 
-def _with_frame(c: str, frame: str, body: str) -> str:
-    """``body`` over ``s``, the frame's non-null values; bound once, so they are collected once."""
-    return f"element_at(transform(array(collect_list({c}) {frame}), s -> {body}), 1)"
-
-
-_BELOW = "size(filter(s, e -> e < {c}))"
-_RANK = "(" + _BELOW + " + (size(filter(s, e -> e = {c})) + 1) / 2) / nullif(size(s), 0)"
-
-
 def rank_pct(c: str, k: int, ax: Axis, min_periods: int | None = None) -> Column:
     """Average rank of the current value within its frame, as a share of the non-null count."""
-    need = max(k if min_periods is None else min_periods, 1)
-    body = _with_frame(c, ax.frame(1 - k, 0), _RANK.format(c=c))
-    return F.expr(f"CASE WHEN {c} IS NOT NULL AND {known(c, k, ax)} >= {need} THEN {body} END")
+    return ask(Ask("rank", c, 1 - k, 0, (max(k if min_periods is None else min_periods, 1),)), ax)
 
 
 def pct_below(c: str, k: int, ax: Axis, min_valid: int | None = None) -> Column:
@@ -153,15 +141,12 @@ def pct_below(c: str, k: int, ax: Axis, min_valid: int | None = None) -> Column:
 
     The default asks for a full frame, as the reference's outer rolling does; ``min_valid`` gives
     the looser rule it states (70 % of the window)."""
-    need = k + 1 if min_valid is None else min_valid
-    body = _with_frame(c, ax.frame(-k, 0), _BELOW.format(c=c) + " / nullif(size(s), 0) * 100")
-    return F.expr(f"CASE WHEN {c} IS NOT NULL AND {known(c, k + 1, ax)} >= {need} THEN {body} END")
+    return ask(Ask("below", c, -k, 0, (k + 1 if min_valid is None else min_valid, 100.0)), ax)
 
 
 def prior_rank(c: str, k: int, ax: Axis, min_rows: int) -> Column:
     """Share of the values before the current one, in a ``k`` row frame, that lie below it."""
-    body = _with_frame(c, ax.frame(1 - k, -1), f"CASE WHEN size(s) + 1 >= {min_rows} THEN " + _BELOW.format(c=c) + " / nullif(size(s), 0) END")
-    return F.expr(f"CASE WHEN {c} IS NOT NULL THEN {body} END")
+    return ask(Ask("below", c, 1 - k, -1, (min_rows - 1, 1.0)), ax)
 
 
 def full_rank_pct(c: str, ax: Axis) -> Column:
@@ -172,47 +157,16 @@ def full_rank_pct(c: str, ax: Axis) -> Column:
 
 
 def expanding_rank_pct(c: str, ax: Axis) -> Column:
-    """The same rank seen from each row's own past: no look-ahead. A panel series is at most a
-    calendar long, which bounds the list held per row."""
-    return F.expr(f"CASE WHEN {c} IS NOT NULL THEN {_with_frame(c, ax.frame(None, 0), _RANK.format(c=c))} END")
+    """The same rank seen from each row's own past: no look-ahead. The series' values so far are held once, sorted."""
+    return ask(Ask("rank", c, None, 0, (1,)), ax)
 
 
-def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], ax: Axis, block: int = 256) -> DataFrame:
-    """Normalised exponentially weighted means, ``{output: (column, span)}``.
+def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], ax: Axis) -> DataFrame:
+    """Normalised exponentially weighted means, ``{output: (column, span)}``, by the plain recursion over the series.
 
     Weights of missing rows still decay, which changes nothing until the next value: all weights shrink
-    alike, so a missing row has the mean of the last value's row, however far back. Rows are cut into
-    blocks by position; inside a block the decayed sums are running sums of up-scaled terms, and each
-    block receives the decayed ends of the blocks before it that change a sum whose own value weighs 1 in
-    double precision. Linear in the rows, no per-row list.
-    """
-    pos, blk, j = "_pos", "_blk", "_j"
-    df = df.withColumn(pos, F.row_number().over(ax.ordered()) - 1)
-    df = df.withColumns({blk: F.floor(F.col(pos) / block).cast("int"), j: (F.col(pos) % block).cast("double")})
-    inside = ax.by(blk).upto()
-    local, carried, out = {}, {}, {}
-    for name, (c, span) in specs.items():
-        keep = 1.0 - 2.0 / (span + 1.0)
-        if keep <= 0:  # a span of 1 is the value itself
-            out[name] = F.last(c, ignorenulls=True).over(ax.upto())
-            continue
-        up, down = F.pow(F.lit(keep), -F.col(j)), F.pow(F.lit(keep), F.col(j))
-        x = F.col(c)
-        for part, term in (("num", F.coalesce(x, F.lit(0.0)) * up), ("den", F.when(x.isNotNull(), up).otherwise(0.0))):
-            here = f"_{name}_{part}"
-            local[here] = F.sum(term).over(inside) * down
-            at_end = F.when(F.col(j) == block - 1, F.col(here))
-            back = int(math.ceil(math.log(1e-15) / (block * math.log(keep)))) + 1
-            terms = [
-                F.coalesce(F.sum(at_end).over(Window.partitionBy(*ax.keys).orderBy(blk).rangeBetween(-m, -m)), F.lit(0.0)) * keep ** (block * (m - 1))
-                for m in range(1, back + 1)
-            ]
-            carried[f"{here}_in"] = reduce(lambda a, b: a + b, terms) * F.pow(F.lit(keep), F.col(j) + 1)
-        n, d = f"_{name}_num", f"_{name}_den"
-        ratio = (F.col(n) + F.col(f"{n}_in")) / nonzero(F.col(d) + F.col(f"{d}_in"))
-        out[name] = F.last(F.when(x.isNotNull(), ratio), ignorenulls=True).over(ax.upto())
-    df = df.withColumns(local).withColumns(carried).withColumns(out)
-    return df.drop(pos, blk, j, *local, *carried)
+    alike, so a missing row has the mean of the last value's row, however far back."""
+    return with_columns(df, {name: ask(Ask("ewm", c, None, 0, (float(span),)), ax) for name, (c, span) in specs.items()})
 
 
 def realized_vol(returns: str, k: int, ax: Axis) -> Column:

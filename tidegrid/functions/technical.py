@@ -11,8 +11,8 @@ from tidegrid.functions.scalar import clip, flag, nonzero
 
 
 def stage(df: DataFrame, exprs: dict) -> DataFrame:
-    """Add a set of columns in one projection."""
-    return df.withColumns(exprs) if exprs else df
+    """Add a set of columns in one projection; what must walk the series comes before it, in one pass."""
+    return R.with_columns(df, exprs)
 
 
 def bollinger(c: str, ax: Axis, out: str, k: int = 20, width: float = 2.0, staged: bool = False) -> dict:

@@ -11,27 +11,37 @@ table rather than a long plan."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
+from tidegrid.functions.ordered import with_columns
+from tidegrid.session import stored
 
 POS, CHUNK = "_pos", "_chunk"
 
 
-def with_positions(df: DataFrame, keys: list[str], bucket: Column, order: list[str]) -> DataFrame:
-    """Row number of each row in its series, from 0.
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = POS) -> DataFrame:
+    """``df`` with the number of each row in its series, from 0, by ``order``; rows equal in it come in any order.
 
-    ``bucket`` is a coarse step of the ordering (a day, an hour) small enough for one task. Buckets
-    are counted map-side, their offsets are a running sum over one row per bucket, and rows are
-    numbered only within their bucket."""
-    d = df.withColumn("_bucket", bucket)
-    per = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)) - 1
-    return d.withColumn("_in", inside).join(offsets, [*keys, "_bucket"]).withColumn(POS, F.col("_in") + F.col("_off")).drop("_in", "_off", "_bucket")
+    Rows are dealt by sampled bounds over keys, order and, last, their place in the input, so neither a hot
+    series nor a hot step of the order (a third of the table on one day) meets in one task. They are sorted, written
+    with their place in the sort, and a series' rows in a range get the number of those in the ranges before: one row
+    per series and range. Null keys are a series. ``df`` is read once; hand in a stored table, since a row's place
+    in the input must not change when a task runs again."""
+    cols = [*keys, *order, "_row"]
+    placed = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*cols).sortWithinPartitions(*cols)
+    placed = stored(placed.drop("_row").withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    per = placed.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))
+    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), shift.alias("_shift"))
+    same = (part == F.col("_p")) & reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return placed.join(per, same).select(*df.columns, (F.col("_at") - F.col("_shift")).alias(out))
 
 
 def halo_frames(df: DataFrame, keys: list[str], halo: int, exprs: Callable[[Axis], dict[str, Column]], chunk_rows: int = 1_000_000) -> DataFrame:
@@ -46,7 +56,7 @@ def halo_frames(df: DataFrame, keys: list[str], halo: int, exprs: Callable[[Axis
     where = F.when(lends, F.array(home, home + 1)).otherwise(F.array(home)) if halo else F.array(home)
     d = df.withColumn(CHUNK, F.explode(where)).withColumn("_home", F.col(CHUNK) == home)
     ax = Axis((*keys, CHUNK), POS)
-    return d.withColumns(exprs(ax)).filter("_home").drop("_home", CHUNK)
+    return with_columns(d, exprs(ax)).filter("_home").drop("_home", CHUNK)
 
 
 def _chunks(df: DataFrame, chunk_rows: int) -> DataFrame:

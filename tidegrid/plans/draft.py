@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 
+from tidegrid.functions.ordered import with_columns
+
 
 class Draft:
     """Records the stages a pack would add to a frame with these columns."""
@@ -44,5 +46,5 @@ def together(df: DataFrame, packs: list[Callable]) -> DataFrame:
         for d in drafts:
             if level < len(d.stages):
                 merged.update(d.stages[level])
-        df = df.withColumns(merged)
+        df = with_columns(df, merged)
     return df.drop(*[c for c in df.columns if c.startswith("_")])

@@ -66,7 +66,7 @@ _CAL_SQL = _RAW.done("SELECT * FROM {prev}")
 def rank_detectors(spark, sf_dir):
     df = market(spark, sf_dir, ["vix", "skew", "vvix"])
     cols = {"a": "vix", "b": "skew", "c": "vvix"}
-    df = df.select("series_id", "ts", *[(R.rank_pct(c, 63, AX) - 1.2).alias(n) for n, c in cols.items()])
+    df = R.with_columns(df, {n: R.rank_pct(c, 63, AX) - 1.2 for n, c in cols.items()}).select("series_id", "ts", *cols)
     long = df.unpivot(["series_id", "ts"], list(cols), "detector", "raw").filter("raw IS NOT NULL")
     return long.withColumn("coverage", F.when(F.col("detector") == "a", 1.0).when(F.col("detector") == "b", 0.6).otherwise(0.4))
 
@@ -96,7 +96,7 @@ _SC = S.Steps(market_sql(["vix"])).add(score=f"round({S.rank_pct('vix', 63)}, 4)
 
 
 def rank_scores(spark, sf_dir):
-    df = market(spark, sf_dir, ["vix"]).withColumn("ensemble_score", F.round(R.rank_pct("vix", 63, AX), 4))
+    df = R.with_columns(market(spark, sf_dir, ["vix"]), {"ensemble_score": F.round(R.rank_pct("vix", 63, AX), 4)})
     return df.filter("ensemble_score IS NOT NULL").select("series_id", "ts", "ensemble_score")
 
 

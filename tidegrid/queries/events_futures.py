@@ -36,7 +36,7 @@ _FLAG = (
 def regime_episodes(spark, sf_dir):
     from tidegrid.functions.scalar import cut
 
-    df = bars(spark, sf_dir).withColumns({"z": R.zscore("close", 21, AX), "below": R.pct_below("close", 21, AX)}).filter("z IS NOT NULL")
+    df = R.with_columns(bars(spark, sf_dir), {"z": R.zscore("close", 21, AX), "below": R.pct_below("close", 21, AX)}).filter("z IS NOT NULL")
     df = df.withColumn("regime", cut("below", [0, 25, 50, 75, 100], include_lowest=True)).filter("regime IS NOT NULL")
     return shaped(E.episodes(df, "regime", "z", AX))
 

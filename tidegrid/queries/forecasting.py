@@ -63,7 +63,7 @@ _OUT = S.Steps(market_sql(_C)).add(p_up_raw=S.rank_pct("vix", 63), p_down_raw=S.
 
 
 def model_outputs(spark, sf_dir):
-    df = market(spark, sf_dir, _C).withColumns({
+    df = R.with_columns(market(spark, sf_dir, _C), {
         "p_up_raw": R.rank_pct("vix", 63, AX), "p_down_raw": R.rank_pct("skew", 63, AX), "expansion_log": (F.col("vvix") - 60) / 500, "compression_log": (0 - F.col("gvz")) / 200, "fut": R.lead("vix", 5, AX),
     })
     df = df.filter("p_up_raw IS NOT NULL AND p_down_raw IS NOT NULL AND gvz IS NOT NULL")

@@ -179,7 +179,7 @@ def shifted_self_join(spark, sf_dir):
 def similar_state_returns(spark, sf_dir):
     from tidegrid.operators.aggregates import return_profile
 
-    df = market(spark, sf_dir, ["vix"]).withColumns({"score": R.rank_pct("vix", 63, AX), "fwd": (R.lead("close", 10, AX) / F.col("close") - 1) * 100})
+    df = R.with_columns(market(spark, sf_dir, ["vix"]), {"score": R.rank_pct("vix", 63, AX), "fwd": (R.lead("close", 10, AX) / F.col("close") - 1) * 100})
     return shaped(return_profile(J.similar_states(df, AX, "score", 0.10), ["series_id"], "fwd", bounded=True))
 
 

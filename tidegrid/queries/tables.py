@@ -214,7 +214,7 @@ def dynamic_histogram(spark, sf_dir):
     ),
 )
 def kernel_density(spark, sf_dir):
-    df = market(spark, sf_dir, ["vix"]).withColumn("score", R.rank_pct("vix", 63, AX))
+    df = R.with_columns(market(spark, sf_dir, ["vix"]), {"score": R.rank_pct("vix", 63, AX)})
     return shaped(A.kernel_density(df, ["series_id"], "score"))
 
 

@@ -17,6 +17,7 @@ from tidegrid.queries.packs import candle_steps, level_steps, price_steps
 from tidegrid.queries.registry import query, shaped
 from tidegrid.queries.sourcing import fresh_folder
 from tidegrid.queries.tables import _COHORT, _PROX_COLS
+from tidegrid.session import stored
 
 ID = ["series_id", "ts"]
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -25,9 +26,7 @@ _TICKS = f"SELECT l_returnflag AS series_id, l_orderkey, l_linenumber, l_partkey
 
 def ticks(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("series_id"), F.to_date("l_shipdate").alias("day"), *ORDER, (F.col("l_extendedprice") / 371).alias("price"))
-    path = fresh_folder(spark, "ticks")  # numbered once and stored: each chunked operator reads its input twice
-    SC.with_positions(li, ["series_id"], F.col("day"), ORDER).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(SC.number_rows(li, ["series_id"], ["day", *ORDER]), "ticks")  # each chunked operator reads its input twice
 
 
 @query("W5 W11 W2 N1", S.Steps(_TICKS).add(mean21=S.mean("price", 21), z63=S.zscore("price", 63), diff5=S.diff("price", 5)).done(f"SELECT series_id, ts AS pos, {S.r('mean21')} AS mean21, {S.r('z63')} AS z63, {S.r('diff5')} AS diff5 FROM {{prev}}"))
@@ -66,7 +65,7 @@ def _series_sql(key):
 def _series_features(df):
     from tidegrid.operators.episodes import with_true_streak
 
-    df = df.withColumns({"z21": R.zscore("close", 21, AX), "below10": R.pct_below("close", 10, AX), "ret5": R.pct_change("close", 5, AX) * 100, "busy": F.col("volume") > 25})
+    df = R.with_columns(df, {"z21": R.zscore("close", 21, AX), "below10": R.pct_below("close", 10, AX), "ret5": R.pct_change("close", 5, AX) * 100, "busy": F.col("volume") > 25})
     return shaped(with_true_streak(df, "busy", AX), ID + ["z21", "below10", "ret5", "streak"])
 
 
