@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm import htmltext, langid, linededup, maxent, mixing, multiindex, packing, pieces, quality, simhash, tokenfile
+from tidegrid.llm import htmltext, langid, linededup, maxent, merkle, mixing, multiindex, packing, pieces, quality, repair, simhash, tokenfile
 from tidegrid.llm.common import id_crc_mod
 
 #: Shares of the tokens of a training mix by labelled domain.
@@ -74,9 +74,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce(id_crc_mod("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_multi_index, op2_mixing, op3_line_dedup, op4_token_files, op5_maxent, op6_html, op7_quality, op8_simhash, op9_packing, op10_language, op12_pieces)}
-SQL = {"op3_line_dedup": linededup.SQL}
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_multi_index, op2_mixing, op3_line_dedup, op4_token_files, op5_maxent, op6_html, op7_quality, op8_simhash, op9_packing, op10_language, op11_merkle, op12_pieces, op13_repair)}
+SQL = {"op3_line_dedup": linededup.SQL, "op11_merkle": merkle.SQL, "op13_repair": repair.SQL}
