@@ -95,13 +95,55 @@ def test_exact_quantiles_with_hot_value(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.normal(0, 1, 3000), np.zeros(2000)])
     d = spark.createDataFrame([("g", float(x)) for x in v], "g string, x double")
-    r = RK.exact_quantiles(d, ["g"], "x", {"a": 0.05, "b": 0.5, "c": 0.93}, buckets=16).first()
+    r = RK.exact_quantiles(d, ["g"], "x", {"a": 0.05, "b": 0.5, "c": 0.93}).first()
     same([r["a"], r["b"], r["c"]], np.quantile(v, [0.05, 0.5, 0.93]), 1e-12)
     probes = spark.createDataFrame([("g", -9.0), ("g", 0.0), ("g", 9.0)], "g string, x double")
-    c = {r["x"]: r["at_or_below"] for r in RK.count_at_or_below(d, probes, ["g"], "x", 16).collect()}
+    c = {r["x"]: r["at_or_below"] for r in RK.count_at_or_below(d, probes, ["g"], "x").collect()}
     assert c == {-9.0: 0, 0.0: int((v <= 0).sum()), 9.0: len(v)}
 
 
+def test_candidates_read_off_their_steps(spark):
+    """2,000 candidates in a hundred sets of weights score as each would by itself."""
+    rng = np.random.default_rng(8)
+    rows = [(float(a), float(b), float(c), float(e), x) for a, b, c, e, x in zip(rng.random(300), rng.random(300), rng.normal(0, 0.2, 300), rng.normal(0, 0.2, 300), rng.choice(["UP", "DOWN", None], 300))]
+    d = spark.createDataFrame([*rows, (None, 0.5, 0.1, 0.1, "UP")], "p_up_raw double, p_down_raw double, expansion_log double, compression_log double, actual string")
+    rules = DC.candidate_rules(ranges={"threshold": (0.3, 0.9)})
+    assert len(set(rules)) == 2000
+    some = [rules[k] for k in (0, 19, 20, 777, 1234, 1999)] + [DC.DecisionRule(), DC.DecisionRule(threshold=0.5)]
+    got_ = DC.score_candidates(d, some).toPandas().set_index("candidate").sort_index()
+    assert got_.index.tolist() == list(range(len(some)))
+    for i, rule in enumerate(some):
+        want = A.direction_scores(DC.decide(d, rule, level=None).withColumn("k", F.lit(1)), ["k"], "direction", "actual", "direction_confidence", "magnitude_pct").toPandas().iloc[0].drop("k")
+        same(got_.loc[i, want.index].astype(float), want.astype(float), 1e-12)
+    whole = DC.score_candidates(d, rules)
+    assert whole.count() == 2000
+
+
+def test_ordered_bits_order_as_doubles_do(spark):
+    x = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1.0000000000000002, 0.9999999999999999, 2.0, 1.9999999999999998, 3.0, 1e308, -1e308, 1.7976931348623157e308, float("inf"), float("-inf"), 1e-300, 1024.0, 1023.9999999999999]
+    x += np.random.default_rng(3).normal(0, 1, 300).tolist() + (10.0 ** np.random.default_rng(4).uniform(-300, 300, 300)).tolist() + (2.0 ** np.arange(-1074, 1024)).tolist() + np.nextafter(2.0 ** np.arange(-1000, 1000), 0).tolist()
+    rows = spark.createDataFrame([(v,) for v in x], "v double").select("v", RK.ordered_bits("v").alias("b")).collect()
+    by_bits = sorted(rows, key=lambda r: r["b"])
+    assert [r["v"] for r in by_bits] == sorted(x) and len({r["b"] for r in rows}) == len(set(x))
+
+
+def test_quantiles_of_many_columns_and_levels(spark):
+    rng = np.random.default_rng(5)
+    n = 4000
+    p = pd.DataFrame({"g": rng.choice(["a", "b"], n), "h": rng.choice(["x", None], n), "u": rng.normal(1000, 0.01, n), "v": np.where(rng.random(n) < 0.4, 7.0, rng.lognormal(0, 20, n)), "w": np.nan})
+    p.loc[:9, "u"] = np.nan
+    d = spark.createDataFrame(p.astype(object).where(p.notna(), None), "g string, h string, u double, v double, w double")
+    qs = {"a": 0.0, "b": 0.123, "c": 0.5, "d": 1.0}
+    got_ = {(r["g"], r["column"]): [r[k] for k in qs] for r in RK.column_quantiles(d, ["g"], ["u", "v", "w"], qs).collect()}
+    assert set(got_) == {(g, c) for g in "ab" for c in "uv"}
+    for (g, c), v in got_.items():
+        same(v, np.quantile(p[p.g == g][c].dropna(), list(qs.values())), 1e-12)
+    agg = d.groupBy("g", "h").count().withColumn("_level", F.lit(2)).unionByName(d.groupBy("g").count().withColumns({"h": F.lit(None).cast("string"), "_level": F.lit(1)}))
+    out = RK.attach_rollup_quantiles(agg, d, ["g", "h"], "v", {"m": 0.5}).toPandas()
+    want = [*p.fillna({"h": "-"}).groupby(["g", "h"]).v.median(), *p.groupby("g").v.median()]
+    same(sorted(out.m), sorted(want), 1e-12)
+
+
 def _cloud(spark, parts):
     rng = np.random.default_rng(7)
     x = rng.normal(0, 1, (400, 3))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import clip, nonzero
 from tidegrid.operators import ranks as RK
+from tidegrid.session import stored
 
 TREES, SAMPLE = 100, 256
 SCORE_CAP = 0.95
@@ -48,16 +49,17 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
-def fit_scaler(df: DataFrame, features: list[str], accuracy: int = 10000) -> Scaler:
-    """Median and interquartile range per feature from one sketch pass (rank error 1/accuracy); a
-    feature without spread keeps scale 1. Nulls count as 0, as they do when scoring."""
-    qs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    row = df.agg(*[F.percentile_approx(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), qs, F.lit(accuracy)).alias(c) for c in features]).first()
-    center, scale = {}, {}
-    for c in features:
-        q1, q2, q3 = row[c] if row[c] is not None else (0.0, 0.0, 0.0)
-        center[c], scale[c] = q2, (q3 - q1) or 1.0
-    return Scaler(center, scale)
+def scaler_table(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, q1, median, q3), exact, of all features in the same few passes. Nulls count as 0, as they do when scoring."""
+    known = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
+    return RK.column_quantiles(known, [], features, {"q1": 0.25, "median": 0.5, "q3": 0.75}, "feature")
+
+
+def fit_scaler(df: DataFrame, features: list[str]) -> Scaler:
+    """Median and interquartile range per feature; a feature without spread keeps scale 1, as does any without rows."""
+    found = {r["feature"]: r for r in scaler_table(df, features).collect()}  # one row per feature
+    center = {c: found[c]["median"] if c in found else 0.0 for c in features}
+    return Scaler(center, {c: (found[c]["q3"] - found[c]["q1"]) or 1.0 if c in found else 1.0 for c in features})
 
 
 def scaled(features: list[str], scaler: Scaler) -> Column:
@@ -176,19 +178,23 @@ def coverage_penalty(c: str | Column, least: float = 0.7) -> Column:
     return F.when(x >= least, 1.0).otherwise(F.greatest(F.pow(x / least, 2), F.lit(0.1)))
 
 
-def clip_bounds(train: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
-    """Clip range of raw scores per detector: the 5 to 95 % range widened by a tenth on each side."""
-    q = RK.exact_quantiles(train, keys, raw, {"p5": 0.05, "p95": 0.95})
+def clip_bounds(counts: DataFrame, keys: list[str], raw: str = "raw") -> DataFrame:
+    """Clip range of raw scores per detector, from their distribution: the 5 to 95 % range widened by a tenth on each side."""
+    q = RK.quantiles_from_counts(counts, keys, raw, {"p5": 0.05, "p95": 0.95})
     pad = (F.col("p95") - F.col("p5")) * 0.1
     return q.select(*keys, (F.col("p5") - pad).alias("_lo"), (F.col("p95") + pad).alias("_hi"))
 
 
 def calibrated_scores(train: DataFrame, rows: DataFrame, keys: list[str], raw: str = "raw", out: str = "score") -> DataFrame:
-    """1 - share of training scores at or below the clipped raw score, capped at 0.95."""
-    bounds = clip_bounds(train, keys, raw)
+    """1 - share of training scores at or below the clipped raw score, capped at 0.95.
+
+    The distribution of the training scores is made once and stored; the bounds, a row per detector, and the shares
+    are read off it."""
+    counts = stored(RK.cumulative_counts(train, keys, raw), "score_counts")
+    bounds = stored(clip_bounds(counts, keys, raw), "score_bounds")
     clipped = rows.join(bounds, keys).withColumn("_v", F.greatest("_lo", F.least("_hi", F.col(raw)))).drop("_lo", "_hi")
     probes = clipped.select(*keys, F.col("_v").alias(raw))
-    cdf = RK.count_at_or_below(train, probes, keys, raw).withColumnRenamed(raw, "_v")
+    cdf = RK.count_at_or_below(counts, probes, keys, raw).withColumnRenamed(raw, "_v")
     scored = clipped.join(cdf, [*keys, "_v"])
     return scored.withColumn(out, clip(1.0 - F.col("at_or_below") / F.col("total"), 0.0, SCORE_CAP)).drop("_v", "at_or_below", "total")
 
@@ -207,7 +213,7 @@ def ensemble(long: DataFrame, ids: list[str], score: str = "score", coverage: st
 
 def score_thresholds(scores: DataFrame, score: str = "ensemble_score") -> DataFrame:
     """One row of level thresholds: exact quantiles of the training scores; none without scores."""
-    return RK.exact_quantiles(RK.constant_key(scores), ["_all"], score, LEVELS, few_keys=True).drop("_all")
+    return RK.exact_quantiles(RK.constant_key(scores), ["_all"], score, LEVELS).drop("_all")
 
 
 def level_of(score: str | Column, moderate: Column, high: Column, critical: Column) -> Column:
@@ -221,7 +227,7 @@ def classify(scores: DataFrame, train: DataFrame, score: str = "ensemble_score")
     Levels fall back to fixed thresholds where there are no training scores; the p-value is null then."""
     cuts = score_thresholds(train, score)
     moderate, high, critical = (F.coalesce(cuts.select(n).scalar(), F.lit(DEFAULT_LEVELS[n])) for n in LEVELS)
-    counts = RK.count_below(RK.constant_key(train), RK.constant_key(scores.select(score)), ["_all"], score, few_keys=True)
+    counts = RK.count_below(RK.constant_key(train), RK.constant_key(scores.select(score)), ["_all"], score)
     counts = counts.select(F.col(score).alias("_score"), "below", "total")
     out = scores.withColumn("level", level_of(score, moderate, high, critical))
     out = out.join(counts, F.col(score) == F.col("_score"), "left")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import random
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import clip, nonzero
-from tidegrid.operators.aggregates import direction_scores
 from tidegrid.plans.regimes import level_label, level_regime
 
 
@@ -72,29 +71,73 @@ SEARCH_RANGES = {
 }
 
 
-def candidate_rules(n: int, seed: int = 42, ranges: dict[str, tuple[float, float]] | None = None) -> list[DecisionRule]:
-    """``n`` sampled rules; a magnitude weight is what the classifier weight leaves."""
-    rng = random.Random(seed)
+# Irrational steps, one per searched weight, whose multiples' fractions fill the ranges evenly.
+LATTICE = {"up_advantage": math.sqrt(2) - 1, "up_classifier": math.sqrt(3) - 1, "down_classifier": math.sqrt(5) - 2, "up_large": math.sqrt(7) - 2, "down_large": math.sqrt(11) - 3}
+
+
+def candidate_rules(weights: int = 100, thresholds: int = 20, ranges: dict[str, tuple[float, float]] | None = None) -> list[DecisionRule]:
+    """``weights`` settings of a lattice over the ranges, each with ``thresholds`` even thresholds; a magnitude weight
+    is what the classifier weight leaves. The default is the 2,000 trials of a full search."""
+    span = {**SEARCH_RANGES, **(ranges or {})}
     rules = []
-    for _ in range(n):
-        v = {k: round(rng.uniform(a, b), 4) for k, (a, b) in (ranges or SEARCH_RANGES).items()}
+    for w in range(1, weights + 1):
+        v = {k: round(span[k][0] + (span[k][1] - span[k][0]) * (w * step - math.floor(w * step)), 4) for k, step in LATTICE.items()}
         v["up_magnitude"], v["down_magnitude"] = round(1 - v["up_classifier"], 4), round(1 - v["down_classifier"], 4)
-        rules.append(DecisionRule(**v))
+        lo, hi = span["threshold"]
+        rules += [DecisionRule(threshold=round(lo + (hi - lo) * t / max(1, thresholds - 1), 4), **v) for t in range(thresholds)]
     return rules
 
 
-def _grid(rules: list[DecisionRule]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("candidate"), *[F.lit(v).alias(k) for k, v in asdict(r).items()]) for i, r in enumerate(rules)])
+def _groups(rules: list[DecisionRule]) -> dict[tuple, list[tuple[float, int]]]:
+    """Weights -> ascending (threshold, candidate)."""
+    found: dict[tuple, list[tuple[float, int]]] = {}
+    for i, r in enumerate(rules):
+        found.setdefault(tuple(v for k, v in asdict(r).items() if k != "threshold"), []).append((r.threshold, i))
+    return {w: sorted(t) for w, t in found.items()}
 
 
 def score_candidates(df: DataFrame, rules: list[DecisionRule], actual: str = "actual") -> DataFrame:
-    """Decision scores of every candidate rule.
-
-    Each row is decided under every rule of a literal list and folded map-side, so what is shuffled
-    is one row per task and candidate. No refit, no join."""
-    every = df.select("p_up_raw", "p_down_raw", "expansion_log", "compression_log", actual).withColumn("rule", F.explode(_grid(rules)))
-    decided = decide(every, F.col("rule"), level=None).withColumn("candidate", F.col("rule.candidate"))
-    return direction_scores(decided, ["candidate"], "direction", actual, "direction_confidence", "magnitude_pct")
+    """Decision scores of every candidate rule, as ``direction_scores`` gives them.
+
+    Side, size and confidence depend on a rule's weights alone, so a row is worked out once per set of weights and
+    counted in the step between two thresholds that its confidence falls into (a binary search). Steps are folded
+    map-side to one row per task, weights and step; a threshold's scores are the sums of the steps from it up. So the cost
+    is rows times sets of weights, however many thresholds there are. No refit, no join."""
+    groups = _groups(rules)
+    names = [k for k in asdict(DecisionRule()) if k != "threshold"]
+    every = F.array(*[
+        F.struct(F.lit(g).alias("g"), *[F.lit(v).alias(n) for n, v in zip(names, w)], F.lit(-1.0).alias("threshold"), F.array(*[F.lit(t) for t, _ in ts]).alias("steps")) for g, (w, ts) in enumerate(groups.items())
+    ])
+    rows = df.select("p_up_raw", "p_down_raw", "expansion_log", "compression_log", actual).withColumn("rule", F.explode(every))
+    d = decide(rows, F.col("rule"), level=None)  # below every confidence: each row is decided
+    halves = [1 << k for k in reversed(range(max(len(t) for t in groups.values()).bit_length()))]
+    passed = F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, h: at + F.when(F.try_element_at("rule.steps", at + h) <= F.col("direction_confidence"), h).otherwise(0))
+    step = F.when(F.col("direction_confidence").isNull(), F.size("rule.steps")).otherwise(passed)
+    hit = (F.col("direction") == F.col(actual)).cast("int")
+    sums = [F.count(F.lit(1)).alias("n")]
+    for side in ("UP", "DOWN"):
+        on = F.col("direction") == side
+        sums += [
+            F.count(F.when(on, 1)).alias(f"{side}_n"), F.coalesce(F.sum(F.when(on, hit)), F.lit(0)).alias(f"{side}_hit"), F.count(F.when(on, hit)).alias(f"{side}_known"), F.coalesce(F.sum(F.when(on, F.col("direction_confidence"))), F.lit(0.0)).alias(f"{side}_conf"),
+            F.count(F.when(on, F.col("direction_confidence"))).alias(f"{side}_confs"), F.coalesce(F.sum(F.when(on, F.col("magnitude_pct"))), F.lit(0.0)).alias(f"{side}_size"), F.count(F.when(on, F.col("magnitude_pct"))).alias(f"{side}_sizes"),
+        ]
+    per = d.groupBy(F.col("rule.g").alias("g"), step.alias("step")).agg(*sums)
+    columns = [c for c in per.columns if c not in ("g", "step")]
+    listed = per.groupBy("g").agg(F.collect_list(F.struct("step", *columns)).alias("steps"))  # at most a row per threshold, and one
+    which = F.array(*[F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(k).alias("least")) for k, (_, i) in enumerate(ts, 1)]) for ts in groups.values()])
+    each = listed.select("steps", F.explode(F.element_at(which, F.col("g") + 1)).alias("_c")).select("steps", "_c.*")
+    total = lambda c, least: F.aggregate("steps", F.lit(0).cast(dict(per.dtypes)[c]), lambda a, s: a + F.when(s["step"] >= least, s[c]).otherwise(F.lit(0)))
+    each = each.select("candidate", *[total(c, F.col("least")).alias(c) for c in columns], total("n", F.lit(0)).alias("all"))
+    mean = lambda a, b: F.coalesce(a / nonzero(b), F.lit(0.0))
+    c = F.col
+    out = [
+        "candidate", c("all").alias("total_samples"), c("n").alias("made_decision"), (c("all") - c("n")).alias("no_decision"), ((c("all") - c("n")) / c("all")).alias("no_decision_pct"),
+        mean(c("UP_hit") + c("DOWN_hit"), c("UP_known") + c("DOWN_known")).alias("overall_accuracy"),
+    ]
+    for side in ("UP", "DOWN"):
+        s = side.lower()
+        out += [c(f"{side}_n").alias(f"{s}_count"), mean(c(f"{side}_hit"), c(f"{side}_known")).alias(f"{s}_accuracy"), mean(c(f"{side}_conf"), c(f"{side}_confs")).alias(f"{s}_confidence"), mean(c(f"{side}_size"), c(f"{side}_sizes")).alias(f"{s}_magnitude")]
+    return each.select(*out)
 
 
 def composite_score(min_accuracy: float = 0.70, min_decisions: int = 100, none_range: tuple[float, float] = (0.15, 0.40), natural_up: float = 0.44) -> Column:

@@ -1,69 +1,95 @@
-"""Exact global ranks, quantiles and empirical distributions over any number of rows.
+"""Exact quantiles and empirical distributions over any number of rows, columns and groups.
 
 A single-partition sort or an in-memory ``percentile`` holds every distinct value of a group in one
-task. Here values are first folded to (value, count), cut into equi-depth buckets by approximate
-bounds, counted per bucket, and only then ordered inside each bucket. The bounds only balance the
-work; results are exact whatever they are."""
+task. Quantiles are found here by radix refinement: a double is read as an integer that orders as it does, rows
+are counted per group and leading 16 bits, and only the rows under the prefixes that hold a wanted
+place are counted by the next 16. Counts are folded map-side, a group gives at most 65,536 of them per
+step, and four steps decide every bit. Distributions are running sums over values in sampled ranges."""
 
 from __future__ import annotations
 
-import math
+import functools
+import operator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def default_buckets(df: DataFrame) -> int:
-    """Buckets per key: a few per shuffle partition, as a square from 64 to 4096. Pass more where
-    one key holds more rows than that many tasks can order."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = max(8, min(64, math.isqrt(4 * n) + 1))
-    return side * side
-
-
-def _bounds(values: DataFrame, keys: list[str], value: str, buckets: int, few_keys: bool) -> DataFrame:
-    """One row of bucket edges per key; broadcast only for a constant key, which has one row.
-
-    Every ``sqrt(buckets)``-th edge is kept apart, so finding a bucket looks at two short lists."""
-    side = math.isqrt(buckets)
-    if side * side != buckets or side < 2:
-        raise ValueError(f"{buckets} buckets: pass a square number from 4 up")
-    qs = F.expr(f"array({', '.join(f'{i / buckets!r}D' for i in range(1, buckets))})")
-    edges = values.groupBy(*keys).agg(F.percentile_approx(value, qs, 4 * buckets).alias("_bounds"))
-    edges = edges.withColumn("_coarse", F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda i: F.element_at("_bounds", i * side)))
-    return F.broadcast(edges) if few_keys else edges
-
-
-def _with_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    """Number of edges below the value."""
-    side, v = math.isqrt(buckets), F.col(value)
-    df = df.withColumn("_c", F.size(F.filter("_coarse", lambda b: b < v)) * side)
-    fine = F.slice("_bounds", F.col("_c") + 1, side - 1)
-    return df.withColumn("_b", F.col("_c") + F.size(F.filter(fine, lambda b: b < v))).drop("_bounds", "_coarse", "_c")
-
-
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, buckets: int | None = None, few_keys: bool = False) -> DataFrame:
+from tidegrid.operators.scan import running_weight
+from tidegrid.session import stored
+
+STEPS, DIGIT = 4, 16
+
+
+def ordered_bits(value: str) -> Column:
+    """The double as a long that orders as it does: sign, exponent and mantissa of its IEEE form. No two doubles share
+    one, but for 0 and -0; infinities come outside all finite values and NaN after them, as Spark orders them."""
+    a = f"abs({value})"
+    near = f"CAST(floor(log2({a})) AS INT)"  # may be off by one next to a power of two
+    e = f"({near} + CASE WHEN pow(2D, {near}) > {a} THEN -1 WHEN pow(2D, {near} + 1) <= {a} THEN 1 ELSE 0 END)"
+    normal = f"shiftleft(CAST({e} + 1023 AS BIGINT), 52) + CAST(({a} / pow(2D, {e}) - 1) * 4503599627370496D AS BIGINT)"
+    tiny = f"CAST({a} / pow(2D, -1074) AS BIGINT)"
+    size = f"CASE WHEN {a} = double('infinity') THEN shiftleft(2047L, 52) WHEN {a} >= pow(2D, -1022) THEN {normal} ELSE {tiny} END"
+    return F.expr(f"CASE WHEN isnan({value}) THEN shiftleft(2047L, 52) + 1 WHEN {value} IS NULL THEN NULL WHEN {value} = 0 THEN 0L WHEN {value} > 0 THEN {size} ELSE -({size}) END")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles of each group, one column each; groups without values are left out.
+
+    Null keys are groups. ``df`` is read once per step; the places still wanted are a stored table with a row per group and
+    prefix, so Spark knows its size when it chooses the join."""
+    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    rows = rows.withColumn("_bits", ordered_bits("_v"))
+    ks = [f"_k{i}" for i in range(len(keys))]
+    places = F.array(*[F.struct(F.lit(f"{n}_{part}").alias("name"), fn((F.col("_total") - 1) * F.lit(float(q))).alias("at")) for n, q in qs.items() for part, fn in (("lo", F.floor), ("hi", F.ceil))])
+    wanted = None
+    for step in range(1, STEPS + 1):
+        prefix = F.shiftright("_bits", 64 - DIGIT * step)
+        if wanted is None:
+            per = rows.groupBy(*ks, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"))
+            group = Window.partitionBy(*ks)
+            before = F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+            per = per.withColumns({"_total": F.sum("_n").over(group), "_before": F.coalesce(before, F.lit(0))}).withColumn("_places", places)
+        else:
+            parent = F.shiftright("_bits", 64 - DIGIT * (step - 1))
+            w = wanted.select(*[F.col(k).alias(f"_w{k}") for k in ks], F.col("_p").alias("_wp"), "_total", "_places")
+            cond = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_w{k}")) for k in ks], parent == F.col("_wp"))
+            met = rows.join(w, cond).groupBy(*ks, F.col("_wp"), prefix.alias("_p"))
+            per = met.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"), F.first("_total").alias("_total"), F.first("_places").alias("_places"))
+            before = F.sum("_n").over(Window.partitionBy(*ks, "_wp").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+            per = per.withColumn("_before", F.coalesce(before, F.lit(0)))
+        here = F.filter("_places", lambda x: (x["at"] >= F.col("_before")) & (x["at"] < F.col("_before") + F.col("_n")))
+        moved = F.transform(here, lambda x: F.struct(x["name"].alias("name"), (x["at"] - F.col("_before")).alias("at")))
+        wanted = stored(per.withColumn("_places", moved).filter(F.size("_places") > 0).select(*ks, "_p", "_v", "_total", "_places"), "quantile_places")
+    found = wanted.select(*ks, "_v", "_total", F.explode("_places.name").alias("_name"))
+    value_at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_v")))
+    per = found.groupBy(*ks).agg(F.max("_total").alias("_total"), *[value_at(f"{n}_{part}").alias(f"_{n}_{part}") for n in qs for part in ("lo", "hi")])
+    out = []
+    for n, q in qs.items():
+        at = (F.col("_total") - 1) * F.lit(float(q))
+        out.append((F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * (at - F.floor(at))).alias(n))
+    return per.select(*[F.col(a).alias(k) for a, k in zip(ks, keys)], *out)
+
+
+def column_quantiles(df: DataFrame, by: list[str], columns: list[str], qs: dict[str, float], name: str = "column") -> DataFrame:
+    """(by, column, quantiles): many columns in the same four steps, a row's values being told apart by their column's name."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*by, F.inline(pairs).alias(name, "_value"))
+    return exact_quantiles(long, [*by, name], "_value", qs)
+
+
+def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values per group with their count, the rows below them and the rows in all.
 
     Needs at least one key; for an ungrouped distribution pass a constant column."""
-    buckets = buckets or default_buckets(df)
     per = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    cut = per.join(_bounds(per, keys, value, buckets, few_keys), keys)
-    cut = _with_bucket(cut, value, buckets)
-    sizes = cut.groupBy(*keys, "_b").agg(F.sum("n").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"), F.sum("_size").over(Window.partitionBy(*keys)).alias("total"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return cut.withColumn("_in", below).join(offsets, [*keys, "_b"]).select(*keys, value, "n", (F.col("_in") + F.col("_off")).alias("below"), "total")
+    return running_weight(per, keys, [value], "n", "below", "total").select(*keys, value, "n", "below", "total")
 
 
 def quantiles_from_counts(counts: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles, one column each, from ``cumulative_counts``."""
-    last = F.col("total") - 1
+    """Linearly interpolated quantiles, one column each, from ``cumulative_counts``: one pass, folded map-side."""
     aggs, out = [], []
     for name, q in qs.items():
-        at = last * q
+        at = (F.col("total") - 1) * F.lit(float(q))
         for part, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             holds = (F.col("below") <= k) & (F.col("below") + F.col("n") > k)
             aggs.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{part}"))
@@ -72,32 +98,24 @@ def quantiles_from_counts(counts: DataFrame, keys: list[str], value: str, qs: di
     return counts.groupBy(*keys).agg(*aggs).select(*keys, *out)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], buckets: int | None = None, few_keys: bool = False) -> DataFrame:
-    return quantiles_from_counts(cumulative_counts(df, keys, value, buckets, few_keys), keys, value, qs)
+def count_at_or_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """For each distinct probe value, how many training values are at or below it, and of how many.
 
+    Training values (or their ``cumulative_counts``) and probes are merged and summed once in order; probes weigh
+    nothing and come after equal values."""
+    return _probed(train, probes, keys, value, 1).select(*keys, value, F.col("before").alias("at_or_below"), "total")
 
-def count_at_or_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str, buckets: int | None = None, few_keys: bool = False) -> DataFrame:
-    """For each distinct probe value, how many training values are at or below it, and of how many.
 
-    Training values and probes are merged into the same buckets and scanned once in order."""
-    buckets = buckets or default_buckets(train)
-    t = train.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_probe", F.lit(0))
-    p = probes.filter(F.col(value).isNotNull()).select(*keys, value).distinct().withColumns({"n": F.lit(0).cast("long"), "_probe": F.lit(1)})
-    both = t.unionByName(p).join(_bounds(t, keys, value, buckets, few_keys), keys)
-    both = _with_bucket(both, value, buckets)
-    sizes = both.groupBy(*keys, "_b").agg(F.sum("n").alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"), F.sum("_size").over(Window.partitionBy(*keys)).alias("total"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(value, "_probe").rowsBetween(Window.unboundedPreceding, 0)
-    scan = both.withColumn("_in", F.sum("n").over(inside)).filter("_probe = 1").join(offsets, [*keys, "_b"])
-    return scan.select(*keys, value, (F.col("_in") + F.col("_off")).alias("at_or_below"), "total")
-
-
-def count_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str, buckets: int | None = None, few_keys: bool = False) -> DataFrame:
+def count_below(train: DataFrame, probes: DataFrame, keys: list[str], value: str) -> DataFrame:
     """For each distinct probe value, how many training values are strictly below it, and of how many."""
-    upto = count_at_or_below(train, probes, keys, value, buckets, few_keys)
-    same = train.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_same"))
-    return upto.join(same, [*keys, value], "left").select(*keys, value, (F.col("at_or_below") - F.coalesce("_same", F.lit(0))).alias("below"), "total")
+    return _probed(train, probes, keys, value, -1).select(*keys, value, F.col("before").alias("below"), "total")
+
+
+def _probed(train: DataFrame, probes: DataFrame, keys: list[str], value: str, side: int) -> DataFrame:
+    folded = train if {"n", "below"} <= set(train.columns) else train.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    t = folded.select(*keys, value, "n", F.lit(0).alias("_probe"))
+    p = probes.filter(F.col(value).isNotNull()).select(*keys, value).distinct().withColumns({"n": F.lit(0).cast("long"), "_probe": F.lit(side)})
+    return running_weight(t.unionByName(p), keys, [value, "_probe"], "n", "before", "total").filter("_probe <> 0 AND total > 0")
 
 
 def constant_key(df: DataFrame, name: str = "_all") -> DataFrame:
@@ -115,7 +133,7 @@ def group_quantiles(df: DataFrame, by: list[str], value: str, qs: dict[str, floa
         return out.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(qs)])
     if by:
         return exact_quantiles(df, by, value, qs)
-    return exact_quantiles(constant_key(df), ["_all"], value, qs, few_keys=True).drop("_all")
+    return exact_quantiles(constant_key(df), ["_all"], value, qs).drop("_all")
 
 
 def attach_quantiles(agg: DataFrame, df: DataFrame, by: list[str], value: str, qs: dict[str, float], bounded: bool = False) -> DataFrame:
@@ -130,14 +148,11 @@ def attach_quantiles(agg: DataFrame, df: DataFrame, by: list[str], value: str, q
 
 def attach_rollup_quantiles(agg: DataFrame, df: DataFrame, cols: list[str], value: str, qs: dict[str, float], level: str = "_level") -> DataFrame:
     """The same for a ROLLUP over ``cols``; ``agg`` has a ``level`` column counting the columns a
-    row is grouped by."""
-    parts = None
-    for n in range(len(cols), -1, -1):
-        q = group_quantiles(df, cols[:n], value, qs)
-        nulls = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in cols[n:]]
-        part = q.select(*cols[:n], *nulls, F.lit(n).alias(level), *qs)
-        parts = part if parts is None else parts.unionByName(part)
+    row is grouped by. The level is part of the key, so all levels are refined together."""
+    each = df.select(*cols, value, F.explode(F.sequence(F.lit(0), F.lit(len(cols)))).alias(level))
+    keyed = each.withColumns({c: F.when(F.col(level) > i, F.col(c)) for i, c in enumerate(cols)})
     keys = [*cols, level]
+    parts = exact_quantiles(keyed, keys, value, qs)
     right = [F.col(k).alias(f"_k_{k}") for k in keys]
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return agg.join(parts.select(*right, *qs), cond, "left").drop(level, *[f"_k_{k}" for k in keys])

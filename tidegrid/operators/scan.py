@@ -24,6 +24,27 @@ from tidegrid.session import stored
 POS, CHUNK = "_pos", "_chunk"
 
 
+def _part() -> Column:
+    return F.shiftright("_at", 33)
+
+
+def _in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``df`` dealt by sampled bounds over keys and order, sorted, and written with ``_at``, each row's place in the sort."""
+    cols = [*keys, *order]
+    placed = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    return stored(placed.withColumn("_at", F.monotonically_increasing_id()), "in_ranges")
+
+
+def _with_ranges(placed: DataFrame, keys: list[str], what: dict[str, Column]) -> DataFrame:
+    """Rows joined with ``what`` of their series' part in their range; ``what`` are windows or columns over
+    ``_n`` rows, ``_w`` weight and ``_first`` place, one row per series and range, ordered by ``_part``."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    per = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], _part().alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.sum("_weight").alias("_w"))
+    per = per.select(*names, "_part", *[c.alias(n) for n, c in what.items()])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], _part() == F.col("_part"))
+    return placed.join(per, same).drop(*names)
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = POS) -> DataFrame:
     """``df`` with the number of each row in its series, from 0, by ``order``; rows equal in it come in any order.
 
@@ -32,16 +53,23 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = POS
     with their place in the sort, and a series' rows in a range get the number of those in the ranges before: one row
     per series and range. Null keys are a series. ``df`` is read once; hand in a stored table, since a row's place
     in the input must not change when a task runs again."""
-    cols = [*keys, *order, "_row"]
-    placed = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*cols).sortWithinPartitions(*cols)
-    placed = stored(placed.drop("_row").withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
-    per = placed.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))
-    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), shift.alias("_shift"))
-    same = (part == F.col("_p")) & reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    return placed.join(per, same).select(*df.columns, (F.col("_at") - F.col("_shift")).alias(out))
+    placed = _in_ranges(df.withColumn("_row", F.monotonically_increasing_id()), keys, [*order, "_row"])
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    met = _with_ranges(placed.withColumn("_weight", F.lit(0)), keys, {"_shift": F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))})
+    return met.select(*df.columns, (F.col("_at") - F.col("_shift")).alias(out))
+
+
+def running_weight(df: DataFrame, keys: list[str], order: list[str], weight: str, out: str, total: str) -> DataFrame:
+    """``df`` with the weight of the rows of its series before each row (``out``) and of all of them (``total``).
+
+    No two rows may be equal in keys and order: fold them first. Dealt as in ``number_rows``: a series in many ranges is
+    summed inside each, and the sums of the ranges before are added."""
+    placed = _in_ranges(df, keys, order)
+    series = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    before = series.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    met = _with_ranges(placed.withColumn("_weight", F.col(weight)), keys, {"_off": F.coalesce(F.sum("_w").over(before), F.lit(0)), total: F.sum("_w").over(series)})
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return met.withColumn(out, F.coalesce(F.sum("_weight").over(inside), F.lit(0)) + F.col("_off")).drop("_at", "_part", "_weight", "_off")
 
 
 def halo_frames(df: DataFrame, keys: list[str], halo: int, exprs: Callable[[Axis], dict[str, Column]], chunk_rows: int = 1_000_000) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
 
 from pyspark.sql import functions as F
 
@@ -90,11 +89,20 @@ def three_way_decision(spark, sf_dir):
     return shaped(DC.decide(model_outputs(spark, sf_dir)), ID + _MC + ["regime_change", "direction", "current_regime", "expected_regime"])
 
 
-_RULES = DC.candidate_rules(24, ranges={**DC.SEARCH_RANGES, "threshold": (0.45, 0.75)})
-_NAMES = list(asdict(_RULES[0]))
-_VALUES = ", ".join("(" + ", ".join([str(i)] + [f"{v!r}::DOUBLE" for v in asdict(r).values()]) + ")" for i, r in enumerate(_RULES))
+_RANGES = {"threshold": (0.45, 0.75)}
+_LATTICE = ", ".join(
+    f"round({lo!r}::DOUBLE + ({hi!r}::DOUBLE - {lo!r}::DOUBLE) * (w * {step} - floor(w * {step})), 4) AS {name}"
+    for name, lo, hi, step in (
+        ("r_up_advantage", -0.10, 0.10, "(sqrt(2) - 1)"), ("r_up_classifier", 0.55, 0.75, "(sqrt(3) - 1)"), ("r_down_classifier", 0.65, 0.85, "(sqrt(5) - 2)"),
+        ("r_up_large", 9.0, 13.0, "(sqrt(7) - 2)"), ("r_down_large", 9.0, 14.0, "(sqrt(11) - 3)"),
+    )
+)
+_GRID = (
+    "SELECT ((w - 1) * 20 + t)::INT AS candidate, *, round(1 - r_up_classifier, 4) AS r_up_magnitude, round(1 - r_down_classifier, 4) AS r_down_magnitude"
+    f" FROM (SELECT w, t, {_LATTICE}, round(0.45::DOUBLE + (0.75::DOUBLE - 0.45::DOUBLE) * t / 19, 4) AS r_threshold FROM range(1, 101) a(w), range(20) b(t))"
+)
 _SEARCH = (
-    S.Steps("SELECT * FROM (" + _OUT.done("SELECT * FROM {prev}") + f") CROSS JOIN (VALUES {_VALUES}) g(candidate, {', '.join('r_' + n for n in _NAMES)})")
+    S.Steps("SELECT * FROM (" + _OUT.done("SELECT * FROM {prev}") + f") CROSS JOIN ({_GRID})")
     .add(up="NOT (p_down > p_up + r_up_advantage)").add(size="CASE WHEN up THEN ep ELSE cp END", pr="CASE WHEN up THEN p_up ELSE p_down END")
     .add(conf="least(greatest(CASE WHEN up THEN r_up_classifier * pr + r_up_magnitude * least(abs(size) / r_up_large, 1) ELSE r_down_classifier * pr + r_down_magnitude * least(abs(size) / r_down_large, 1) END, 0), 1)")
     .add(direction="CASE WHEN conf < r_threshold THEN 'NO_DECISION' WHEN up THEN 'UP' ELSE 'DOWN' END")
@@ -116,7 +124,7 @@ _bal = lambda x: f"(CASE WHEN {x} < 0.4 THEN (0.4 - {x}) * 200 WHEN {x} > 0.6 TH
     ),
 )
 def decision_search(spark, sf_dir):
-    scores = DC.score_candidates(model_outputs(spark, sf_dir), _RULES)
+    scores = DC.score_candidates(model_outputs(spark, sf_dir), DC.candidate_rules(ranges=_RANGES))
     out = scores.withColumns({"score": DC.composite_score(0.3, 100, (0.05, 0.95)), "joint_score": DC.unified_score()})
     return shaped(out, ["candidate", "made_decision", "no_decision_pct", "up_accuracy", "down_accuracy", "score", "joint_score"])
 

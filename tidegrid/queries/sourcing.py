@@ -21,6 +21,7 @@ from tidegrid.sources import parse as P
 from tidegrid.sources import readers as RD
 from tidegrid.sources import refresh as RF
 from tidegrid.sources import sinks as SK
+from tidegrid.sources import versions
 
 MD = S.day("ts")
 
@@ -115,10 +116,10 @@ _CUT = "DATE '2000-06-30'"
 def merged_panel(spark, sf_dir):
     b = bars(spark, sf_dir).select("series_id", "ts", "close")
     path = fresh_folder(spark, "merged")
-    SK.write_panel(b.filter("ts <= DATE '2000-06-30'"), path, AX)
+    versions.create(b.filter("ts <= DATE '2000-06-30'"), path, AX, buckets=4)
     fresh = b.filter("ts > DATE '2000-05-31'").withColumn("close", F.col("close") + 1)
-    SK.upsert_panel(path, fresh, AX, ["close"])
-    return shaped(SK.read_written(spark, path).select("series_id", "ts", "close"))
+    versions.upsert(path, fresh, AX, ["close"])
+    return shaped(versions.read(spark, path))
 
 
 @query(

@@ -12,6 +12,7 @@ from tidegrid.queries.registry import query, shaped
 from tidegrid.queries.rolling import _ewm
 from tidegrid.queries.sourcing import fresh_folder
 from tidegrid.queries.tables import rr
+from tidegrid.sources import versions
 from tidegrid.streaming import jobs as J
 
 TS = "strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -56,11 +57,19 @@ def stream_sliding_activity(spark, sf_dir):
     "X7",
     "WITH g AS (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR > ts THEN 0 ELSE 1 END AS opens FROM events), r AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g),"
     " a AS (SELECT user_id, min(ts) AS session_start, max(ts) AS last_ts, count(*) AS n, sum(value) AS total FROM r GROUP BY user_id, s)"
-    f" SELECT user_id, {ts_text('session_start')} AS session_start, {ts_text('last_ts')} AS last_ts, n, {S.r('total')} AS total FROM a WHERE last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    f" SELECT user_id, {ts_text('session_start')} AS session_start, {ts_text('last_ts')} AS last_ts, n, {S.r('total')} AS total FROM a",
 )
 def stream_sessions(spark, sf_dir):
-    s = J.session_activity(event_stream(spark, sf_dir), ["user_id"], "ts", "value", "2 hours", "10 minutes")
-    return shaped(run(spark, s, ["user_id", "session_start"], ["last_ts", "n", "total"], "append"))
+    """Every session: those still open when the events are over come out once the end is marked."""
+    events = event_stream(spark, sf_dir).select("user_id", "ts", "value")
+    marker, out, chk = (fresh_folder(spark, f"sessions-{n}") for n in ("marker", "out", "chk"))
+    spark.createDataFrame([], events.schema).write.parquet(marker)
+    s = J.session_activity(J.with_end_marker(events, marker), ["user_id"], "ts", "value", "2 hours", "10 minutes")
+    J.write_updates(s, out, chk, "append")
+    J.end_of_stream(spark, events.schema, marker, "ts")
+    J.write_updates(s, out, chk, "append")
+    found = spark.read.parquet(out).filter("user_id IS NOT NULL")
+    return shaped(J.latest_updates(found, ["user_id", "session_start"], ["last_ts", "n", "total"]))
 
 
 def bar_files(spark, sf_dir, name):
@@ -102,24 +111,23 @@ _CUT = "DATE '2000-06-30'"
     f"WITH b AS ({BARS_SQL}) SELECT series_id, {S.day('ts')} AS ts, {S.r(f'CASE WHEN ts > {_CUT} - 30 THEN close + 2 ELSE close END')} AS close FROM b",
 )
 def stream_corrections(spark, sf_dir):
-    from tidegrid.sources.sinks import read_written, write_panel
-
     b = bars(spark, sf_dir).select("series_id", "ts", "close")
     stored, feed = fresh_folder(spark, "corrected"), fresh_folder(spark, "feed")
-    write_panel(b.filter("ts <= DATE '2000-06-30'"), stored, AX)
+    versions.create(b.filter("ts <= DATE '2000-06-30'"), stored, AX, buckets=4)
     late = b.filter("ts > DATE '2000-05-31'")
-    versions = late.select("series_id", "ts", F.explode(F.array(*[F.struct(F.lit(i).alias("arrival"), (F.col("close") + i).alias("close")) for i in (0, 1, 2)])).alias("v")).select("series_id", "ts", "v.*")
-    versions.write.parquet(feed)
+    arrivals = late.select("series_id", "ts", F.explode(F.array(*[F.struct(F.lit(i).alias("arrival"), (F.col("close") + i).alias("close")) for i in (0, 1, 2)])).alias("v")).select("series_id", "ts", "v.*")
+    arrivals.write.parquet(feed)
     J.upsert_stream(spark.readStream.schema(spark.read.parquet(feed).schema).parquet(feed), stored, fresh_folder(spark, "corrected-chk"), AX, ["close"])
-    return shaped(read_written(spark, stored).select("series_id", "ts", "close"))
+    return shaped(versions.read(spark, stored))
 
 
-@query("X3", S.Steps(BARS_SQL).add(z21=S.zscore("close", 21), change5=S.diff("close", 5)).raw("SELECT * FROM {prev} WHERE ts > DATE '1997-06-30'").out(["z21", "change5"]))
+@query("X3", S.Steps(BARS_SQL).add(z21=S.zscore("close", 21), change5=S.diff("close", 5)).out(["z21", "change5"]))
 def stream_feature_refresh(spark, sf_dir):
     s, b = bar_files(spark, sf_dir, "refresh-in")
-    out = fresh_folder(spark, "refresh-out")
+    out, stored = fresh_folder(spark, "refresh-out"), fresh_folder(spark, "refresh-stored")
+    versions.create(b, stored, AX, buckets=4)
     feats = lambda d: d.withColumns({"z21": R.zscore("close", 21, AX), "change5": R.diff("close", 5, AX)}).select("series_id", "ts", "_since", "z21", "change5")
-    J.refresh_stream(s.filter("ts > DATE '1997-06-30'"), lambda: b, out, fresh_folder(spark, "refresh-chk"), AX, feats, 21)
+    J.refresh_stream(s, stored, out, fresh_folder(spark, "refresh-chk"), AX, feats, 21)
     return shaped(J.latest_updates(spark.read.parquet(out), ["series_id", "ts"], ["z21", "change5"]))
 
 
@@ -129,9 +137,9 @@ def stream_anomaly_scores(spark, sf_dir):
     from tidegrid.operators import ranks as RK
 
     v = vectors(spark, sf_dir)
-    forest = AN.fit_forest(v, [f"d{i}" for i in range(DIMS)], "vec_id", trees=50)
+    forest = AN.fit_forest(v, [f"d{i}" for i in range(DIMS)], "vec_id", trees=100)
     train = AN.score_rows(v, forest).select((-F.col("raw")).alias("s"))
-    cut = RK.exact_quantiles(RK.constant_key(train), ["_all"], "s", AN.LEVELS, few_keys=True).first().asDict()  # one row
+    cut = RK.exact_quantiles(RK.constant_key(train), ["_all"], "s", AN.LEVELS).first().asDict()  # one row
     schema = table(spark, sf_dir, "embeddings").schema
     live = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")
     rows = live.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(DIMS)])

@@ -1,14 +1,12 @@
-"""Writers: partitioned panels, upserts, appends and published documents."""
+"""Writers: partitioned panels, appends and published documents. Upserts: see ``versions``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
-from tidegrid.operators.bars import merge_new_rows, newer_rows
+from tidegrid.operators.bars import newer_rows
 
 
 def write_panel(df: DataFrame, path: str, ax: Axis, mode: str = "overwrite") -> None:
@@ -22,23 +20,6 @@ def read_written(spark, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("year")
 
 
-def upsert_panel(stored_path: str, fresh: DataFrame, ax: Axis, values: list[str]) -> None:
-    """Merge fresh rows over the stored panel, rewriting only the years the fresh rows touch.
-
-    The merged years are written aside first and then swapped in by dynamic partition overwrite,
-    so the stored files are not read and written in one job; the staged files go once that is done."""
-    spark = fresh.sparkSession
-    fresh = fresh.select(*ax.id_cols, *values).withColumn("year", F.year(ax.ts))
-    stored = spark.read.parquet(stored_path)
-    touched = stored.join(F.broadcast(fresh.select("year").distinct()), "year", "left_semi")  # one row per year
-    merged = merge_new_rows(touched.select(*ax.id_cols, *values), fresh.select(*ax.id_cols, *values), ax, values)
-    staging = f"{stored_path.rstrip('/')}__staged_{uuid.uuid4().hex}"
-    write_panel(merged, staging, ax)
-    spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(stored_path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staging)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def append_newer_rows(stored_path: str, fresh: DataFrame, ax: Axis) -> None:
     """Append only rows dated after each series' last stored day."""
     stored = fresh.sparkSession.read.parquet(stored_path)
