@@ -1,12 +1,15 @@
 """Line dedup, quality rules, language ID, SimHash and mixing on small tables, against brute force."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidegrid.llm import langid, linededup, mixing, quality, simhash
 from tidegrid.llm.common import id_crc_mod, local_groups
@@ -190,8 +193,10 @@ def test_mixing_rates_against_numpy(spark):
     p = rng.dirichlet([0.4, 0.3, 0.2], 400)
     rows = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(400)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
     goal = n.sum() * np.array([0.6, 0.3, 0.1])
-    out = mixing.fit_rates(rows, 3, goal.tolist()).orderBy("doc_id").toPandas()
+    rates, gap = mixing.fit_rates(rows, 3, goal.tolist())
+    out = rates.orderBy("doc_id").toPandas()
     assert (out.rate >= 0).all()
+    np.testing.assert_allclose(gap, ((p * n[:, None] * out.rate.to_numpy()[:, None]).sum(0) - goal) / n.sum(), atol=1e-7)
     np.testing.assert_allclose((p * n[:, None] * out.rate.to_numpy()[:, None]).sum(0), goal, atol=2e-3 * n.sum())
     r = np.ones(400)  # the same descent by hand, run on
     m = np.linalg.inv((p * n[:, None]).T @ p + 1e-9 * n.sum() * np.eye(3))
@@ -205,7 +210,8 @@ def test_mixing_by_labels(spark):
     texts = [" ".join(rng.choice(PROSE.split(), 60)) + (" idiot" if i % 4 == 0 else "") for i in range(200)] + [None, ""]
     docs = table(spark, texts)
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(120)] + [(3, None, None), (None, 0, 0)], "doc_id long, quality int, toxic int")
-    rows, domains = mixing.mix(docs, mixing.domain_labels(labels), {"good": 0.9, "toxic": 0.1})
+    rows, domains, gap = mixing.mix(docs, mixing.domain_labels(labels), {"good": 0.9, "toxic": 0.1})
+    assert len(gap) == 2 and max(map(abs, gap)) < 0.05
     assert domains == ["good", "toxic"]
     got = rows.toPandas().set_index("doc_id")
     late = got.loc[120:199]
@@ -223,3 +229,74 @@ def test_mixing_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.resample(docs, mixing.domain_labels(none), {"good": 2.0}, relative=True).count() == 2
     assert mixing.resample(docs.limit(0), mixing.domain_labels(none), {"good": 2.0}).count() == 0
+    rows, domains, gap = mixing.mix(docs.limit(0), mixing.domain_labels(none), {"good": 2.0})
+    assert rows.count() == 0 and domains == ["all"] and gap == [0.0]
+
+
+def naive_bayes(texts, labelled, heat_fold):
+    """The posteriors' logits by hand: over all labelled rows, and over those outside the fold."""
+    blank = "\x20\x09\x0a\x0b\x0c\x0d"
+
+    def signs(t):
+        t = t or ""
+        w = [x for x in re.split(f"[{blank}]+", t.lower()) if x]
+        odd = sum(c in "!#$%&()*+/<=>?@[\\]^_{|}~" for c in t)
+        return set(w) | {f"\tn{math.floor(math.log2(len(w) + 1))}", f"\to{math.floor(2 * math.log1p(100 * odd / (len(w) + 10)))}", f"\tl{math.floor(2 * math.log2((len(t) + 1) / (len(w) + 1)))}", f"\tb{math.floor(math.log1p(100 * t.count(chr(10)) / (len(w) + 10)))}"}
+
+    held = [signs(t) for t in texts]
+    names = sorted(set(labelled.values()))
+    size = {d: sum(v == d for v in labelled.values()) for d in names}
+    total = len(labelled)
+    seen = Counter(s for i in labelled for s in held[i])
+    tested = [s for s, n in seen.items() if n >= 5]
+    h = lambda counts: sum(-c * math.log(c / sum(counts)) for c in counts if c)
+    out = {}
+    for part in (False, True):
+        rows = [i for i in labelled if not (part and i in heat_fold)]
+        n = {d: sum(labelled[i] == d for i in rows) for d in names}
+        z = np.zeros((len(texts), len(names)))
+        for s in tested:
+            inside = [sum(s in held[i] for i in labelled if labelled[i] == d) for d in names]
+            gain = h([size[d] for d in names]) - h(inside) - h([size[d] - c for d, c in zip(names, inside)])
+            if 2 * gain <= 2 * math.log(max(len(tested), 2)):
+                continue
+            for k, d in enumerate(names):
+                q = (sum(s in held[i] for i in rows if labelled[i] == d) + 1) / (n[d] + 2)
+                z[:, k] += [math.log(q) if s in t else math.log(1 - q) for t in held]
+        out[part] = z
+    prior = np.array([math.log((size[d] + 1) / (total + len(names))) for d in names])
+    best = None
+    for heat in mixing.HEATS:
+        loss = []
+        for i in heat_fold:
+            v = prior + out[True][i] / heat
+            p = np.exp(v - v.max())
+            loss.append(-math.log(max((p / p.sum())[names.index(labelled[i])], 1e-12)))
+        if best is None or np.mean(loss) < best[0] - 1e-12:
+            best = (np.mean(loss), heat)
+    v = prior + out[False] / best[1]
+    p = np.exp(v - v.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def test_posteriors_against_naive_bayes_by_hand(spark):
+    rng = np.random.default_rng(12)
+    bad, fine = [f"b{k}" for k in range(12)], [f"f{k}" for k in range(12)]
+    texts = [None, "", *[" ".join([*rng.choice(bad if i % 3 == 0 else fine, 4), *rng.choice(bad + fine, 4), *rng.choice(PROSE.split(), 6)]) + (" #$%\nx" if i % 5 == 0 else ".") for i in range(220)]]
+    labelled = {i: ("toxic" if i % 3 == 2 else "good") for i in range(2, 160)}
+    labels = spark.createDataFrame(list(labelled.items()), "doc_id long, domain string")
+    folds = spark.range(2, 160).filter(F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(mixing.FOLDS)) == 0).collect()
+    rows, domains = mixing.posteriors(table(spark, texts), labels, keep=("lang", "word"))
+    got = rows.orderBy("doc_id").toPandas()
+    assert domains == ["good", "toxic"] and list(got.columns[:4]) == ["doc_id", "lang", "word", "n_tokens"]
+    np.testing.assert_allclose(got[["p0", "p1"]].to_numpy(), naive_bayes(texts, labelled, {r.id for r in folds}), atol=1e-9)
+    with pytest.raises(ValueError):
+        mixing.mix(table(spark, texts), labels, {}, keep=("n_tokens",))
+
+
+def test_bit_filter_holds_all_and_little_else(spark):
+    some = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    bits, size = mixing.bit_filter(some, "h")
+    probes = spark.range(40_000).select("id", bits.scalar().alias("b"), F.xxhash64("id").alias("h"))
+    passed = {r.id for r in probes.filter(mixing.may_hold("b", size, F.col("h"))).collect()}
+    assert passed >= set(range(3000)) and len(passed) < 3000 + 0.05 * 37_000

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import stage
 
-HOT = 2048  # most common signs, which are broadcast; all others meet their weights by a join
+HOT = 2048  # most common telling signs, which are broadcast; all others meet their weights by a join
 MIN_DOCS = 5  # labelled documents that hold a sign at least
 SMOOTH = 1.0
+FOLDS = 5  # the heat is chosen on one of so many parts of the labelled documents, by weights of the others
 HEATS = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0, 256.0)
 STIFF = 1e-3  # weight of staying at rate 1, against the targets
-STILL = 1e-9  # slope of the fit, as a share of all tokens, that counts as none
+STILL = 1e-8  # length of a projected step that counts as none
+STEPS = 1000  # projected steps at most; the least value is met in some dozens
+UNROLLED = 6  # steps worked out in one expression before the rates are stored
+FILTER_BITS = 1 << 26  # of a bit filter at most, 8 MB
 
 
 def with_words(docs: DataFrame, text_col: str) -> DataFrame:
@@ -38,44 +43,70 @@ def signs() -> Column:
     return F.concat("__w", counts)
 
 
+def bit_filter(hashes: DataFrame, col: str) -> tuple[DataFrame, int]:
+    """A staged table of one row, ``bits``: an array of 64-bit words with a bit set for each hash, and the bits' number.
+
+    Some 32 bits per hash, at most 8 MB: with more hashes it passes more of what it should not, never less of what it
+    should. What passes still meets the hashes by a join."""
+    size = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (32 * hashes.count()).bit_length()))
+    at = F.col(col).bitwiseAND(F.lit(size - 1))
+    zeros = hashes.sparkSession.range(size // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    real = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, CAST(`{col}` & 63 AS INT))").alias("b"))
+    words = zeros.unionByName(real).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return stage(words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits")), "bits"), size
+
+
+def may_hold(bits: str, size: int, h: Column) -> Column:
+    """Whether a hash may be in the filter; ``bits`` is a column with its words."""
+    at = h.bitwiseAND(F.lit(size - 1))
+    word = F.element_at(bits, F.shiftright(at, 6).cast("int") + 1)
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 class Classifier:
     """Naive Bayes over the telling signs, whose evidence is divided by a heat, which makes its posteriors soft."""
 
-    def __init__(self, domains: list[str], share: list[float], absent: list[float], weights: DataFrame | None):
-        """Log shares of the domains, log likelihoods of a text without any sign, and a staged table of what each sign
-        adds: (__h, n, telling, __g0..), with a 64-bit hash of the sign. Its rows grow with the labelled documents."""
-        self.domains, self.share, self.absent, self.weights = domains, share, absent, weights
+    def __init__(self, domains: list[str], share: list[float], absent: list[float], absent_part: list[float], weights: DataFrame | None):
+        """Log shares of the domains, log likelihoods of a text without any sign, by all labelled documents and by those
+        outside the first fold, and a staged table of what each telling sign adds: (__h, n, __g0.., __b0..), with a
+        64-bit hash of the sign. Its rows grow with the labelled documents."""
+        self.domains, self.share, self.absent, self.absent_part, self.weights = domains, share, absent, absent_part, weights
 
     def score(self, rows: DataFrame, held: str) -> DataFrame:
-        """Staged rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain; ``held`` is an
-        array of hashes of distinct signs, ``__row`` numbers the rows.
+        """Staged rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain, and y0.., the same by
+        the weights without the first fold; ``held`` is an array of distinct hashes, ``__row`` numbers the rows.
 
         The HOT most common signs are summed by row in the task that holds the row; all others meet the
         table of weights by hash, where no sign is common."""
         k = range(len(self.domains))
-        add = [f"__g{i}" for i in k]
+        add = [f"__{c}{i}" for c in "gb" for i in k]
         hot = stage(self.weights.orderBy(F.col("n").desc(), "__h").limit(HOT).select("__h", *add), "hot")
-        cold = stage(self.weights.filter("telling").join(F.broadcast(hot.select("__h")), "__h", "left_anti").select("__h", *add), "cold")
+        cold = stage(self.weights.join(F.broadcast(hot.select("__h")), "__h", "left_anti").select("__h", *add), "cold")
         each = rows.select("__row", F.explode(held).alias("__h"))
         near = each.join(F.broadcast(hot), "__h").select("__row", *add)
-        far = each.join(F.broadcast(hot.select("__h")), "__h", "left_anti").join(cold, "__h").select("__row", *add)
-        sums = near.unionByName(far).groupBy("__row").agg(*(F.sum(f"__g{i}").alias(f"__s{i}") for i in k))
+        far = each.join(F.broadcast(hot.select("__h")), "__h", "left_anti").join(cold.hint("merge"), "__h").select("__row", *add)
+        sums = near.unionByName(far).groupBy("__row").agg(*(F.sum(c).alias(f"{c}s") for c in add))
         met = rows.drop(held).join(stage(sums, "sums").hint("merge"), "__row", "left")  # in the order of the rows
-        return met.select(*(c for c in rows.columns if c not in (held, "__row")), *((F.lit(self.absent[i]) + F.coalesce(f"__s{i}", F.lit(0.0))).alias(f"z{i}") for i in k))
+        logs = [(F.lit(x) + F.coalesce(f"__{c}{i}s", F.lit(0.0))).alias(f"{z}{i}") for c, z, base in (("g", "z", self.absent), ("b", "y", self.absent_part)) for i, x in enumerate(base)]
+        return met.select(*(c for c in rows.columns if c not in (held, "__row")), *logs)
 
 
 def train(labelled: DataFrame, text_col: str, domain_col: str) -> Classifier:
     """Counts of every sign in every labelled document. Telling are all signs of MIN_DOCS documents whose information
     gain is beyond what the best of as many signs would have by chance: twice the gain is chi-squared, over
-    2 log n with a chance of 1 / n for three domains. The table is staged, only sums come to the driver. Rows without a domain are left out; no rows give a classifier without domains."""
-    rows = with_words(labelled.filter(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d"), text_col), text_col)
-    rows = stage(rows.select("d", F.array_distinct(signs()).alias("s")), "signs")
-    size = {r["d"]: r["n"] for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect()}  # a row per domain
+    2 log n with a chance of 1 / n for three domains. Tables are staged, only sums come to the driver. Rows without a
+    domain are left out; no rows give a classifier without domains. ``__fold`` tells a row's fold, if there."""
+    fold = F.col("__fold") if "__fold" in labelled.columns else F.lit(1)
+    rows = with_words(labelled.filter(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d"), (fold != 0).alias("in_part"), text_col), text_col)
+    size, part = {}, {}
+    for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("in_part"), 1)).alias("m")).orderBy("d").collect():  # a row per domain
+        size[r["d"]], part[r["d"]] = r["n"], r["m"]
     names, total = sorted(size), sum(size.values())
     if not names:
-        return Classifier([], [], [], None)
-    per = [F.sum((F.col("d") == n).cast("long")).alias(f"c{k}") for k, n in enumerate(names)]
-    counts = stage(rows.select("d", F.explode("s").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), *per).filter(F.col("n") >= MIN_DOCS), "counts")
+        return Classifier([], [], [], [], None)
+    sums = [F.sum((F.col("d") == n).cast("long")).alias(f"c{k}") for k, n in enumerate(names)] + [F.sum(((F.col("d") == n) & F.col("in_part")).cast("long")).alias(f"m{k}") for k, n in enumerate(names)]
+    held = rows.select("d", "in_part", F.explode(F.array_distinct(F.transform(signs(), lambda w: F.xxhash64(w)))).alias("__h"))
+    counts = stage(held.groupBy("__h").agg(F.count(F.lit(1)).alias("n"), *sums).filter(F.col("n") >= MIN_DOCS), "counts")
     tested = counts.count()
 
     def entropy(cols: list[Column], n: Column) -> Column:
@@ -86,16 +117,19 @@ def train(labelled: DataFrame, text_col: str, domain_col: str) -> Classifier:
     whole = sum(-n * math.log(n / total) for n in size.values())
     told = F.lit(whole) - entropy(inside, F.col("n")) - entropy(outside, F.greatest(F.lit(total) - F.col("n"), F.lit(1)))
     share = [math.log((size[n] + SMOOTH) / (total + SMOOTH * len(names))) for n in names]
-    p = [(F.col(f"c{k}") + F.lit(SMOOTH)) / F.lit(size[n] + 2 * SMOOTH) for k, n in enumerate(names)]
-    own = counts.withColumn("telling", 2 * told > F.lit(2 * math.log(max(tested, 2))))
-    adds = [F.when(F.col("telling"), F.log(q) - F.log(1 - q)).otherwise(F.lit(0.0)).alias(f"__g{k}") for k, q in enumerate(p)]
-    weights = stage(own.select(F.xxhash64("w").alias("__h"), "n", "telling", *adds, *(F.when(F.col("telling"), F.log(1 - q)).otherwise(F.lit(0.0)).alias(f"__a{k}") for k, q in enumerate(p))), "weights")
-    absent = [x or 0.0 for x in weights.agg(*(F.sum(f"__a{k}") for k in range(len(names)))).first()]
-    return Classifier(names, share, absent, weights)
-
-
-def _softmax(names: list[str], prior: list[float], heat: float) -> dict[str, Column]:
-    z = [F.lit(prior[k]) + F.col(f"z{k}") / F.lit(heat) for k in range(len(names))]
+    every = [(F.col(f"c{k}") + F.lit(SMOOTH)) / F.lit(size[n] + 2 * SMOOTH) for k, n in enumerate(names)]
+    others = [(F.col(f"m{k}") + F.lit(SMOOTH)) / F.lit(part[n] + 2 * SMOOTH) for k, n in enumerate(names)]
+    telling = counts.filter(2 * told > F.lit(2 * math.log(max(tested, 2))))
+    adds = [(F.log(q) - F.log(1 - q)).alias(f"__{c}{k}") for c, p in (("g", every), ("b", others)) for k, q in enumerate(p)]
+    none = [F.log(1 - q).alias(f"__{c}a{k}") for c, p in (("g", every), ("b", others)) for k, q in enumerate(p)]
+    weights = stage(telling.select("__h", "n", *adds, *none), "weights")
+    row = weights.agg(*(F.sum(f"__{c}a{k}") for c in "gb" for k in range(len(names)))).first()
+    absent = [x or 0.0 for x in row]
+    return Classifier(names, share, absent[: len(names)], absent[len(names) :], weights)
+
+
+def _softmax(names: list[str], prior: list[float], heat: float, logs: str = "z") -> dict[str, Column]:
+    z = [F.lit(prior[k]) + F.col(f"{logs}{k}") / F.lit(heat) for k in range(len(names))]
     top = F.greatest(*z) if len(z) > 1 else z[0]
     parts = [F.exp(x - top) for x in z]
     return {f"p{k}": p / sum(parts[1:], parts[0]) for k, p in enumerate(parts)}
@@ -104,72 +138,101 @@ def _softmax(names: list[str], prior: list[float], heat: float) -> dict[str, Col
 def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
     """(doc_id, keep.., n_tokens, p0, p1..) for each row of docs, and the domains in order.
 
-    ``labels`` is (doc_id, domain), one row per document. The heat is the one with the least log loss on
-    the labelled rows. Without a labelled row there is one domain, ``all``, and p0 is 1."""
-    labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(labels.select(F.col("doc_id").alias("__id"), "domain").hint("merge"), "__id")  # one way at every size
-    model = train(labelled, "__text", "domain")
+    ``labels`` is (doc_id, domain), one row per document; every row of a document that docs repeats is labelled. The
+    heat is the one with the least log loss on a fifth of the labelled documents, by the weights of the
+    others. Without a labelled row there is one domain, ``all``, and p0 is 1; so it is in an empty table. ``keep`` must not
+    hold names of other result columns."""
+    _clear(keep)
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS))
+    ids = stage(labels.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id").alias("__ih"), "domain").filter("__id IS NOT NULL"), "labels")
+    bits, size = bit_filter(ids, "__ih")
+    some = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), bits.scalar().alias("__bits")).filter(may_hold("__bits", size, F.xxhash64("__id"))).drop("__bits")
+    labelled = some.join(ids.drop("__ih").hint("merge"), "__id")  # one way at every size
+    model = train(labelled.withColumn("__fold", fold), "__text", "domain")
     own = with_words(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")), "__text")
-    own = own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.transform(F.array_distinct(signs()), lambda w: F.xxhash64(w)).alias("held"))
     if not model.domains:
-        return stage(own.drop("held").withColumn("p0", F.lit(1.0)), "posteriors"), ["all"]
+        return stage(own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.lit(1.0).alias("p0")), "posteriors"), ["all"]
+    bits, size = bit_filter(model.weights, "__h")
+    told = F.filter(F.transform(signs(), lambda w: F.xxhash64(w)), lambda h: may_hold("__bits", size, h))
+    own = own.withColumn("__bits", bits.scalar()).select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.array_distinct(told).alias("held"))
     own = stage(own.withColumn("__row", F.monotonically_increasing_id()), "held")
     scored = stage(model.score(own, "held"), "logits")
-    known = scored.join(labels.select("doc_id", "domain"), "doc_id")
+    known = scored.select("doc_id", *(f"y{k}" for k in range(len(model.domains)))).join(ids.select(F.col("__id").alias("doc_id"), "domain").filter(fold == 0), "doc_id")
     losses = []
     for heat in HEATS:
-        p = _softmax(model.domains, model.share, heat)
+        p = _softmax(model.domains, model.share, heat, "y")
         mine = F.lit(0.0)
         for k, name in enumerate(model.domains):
             mine = F.when(F.col("domain") == name, p[f"p{k}"]).otherwise(mine)
         losses.append(F.avg(-F.log(F.greatest(mine, F.lit(1e-12)))))
     row = known.agg(*losses).first()
     heat = min((x, h) for x, h in zip(row, HEATS))[1] if row[0] is not None else HEATS[0]
-    return stage(scored.withColumns(_softmax(model.domains, model.share, heat)).drop(*(f"z{k}" for k in range(len(model.domains)))), "posteriors"), model.domains
+    logs = [f"{c}{k}" for c in "zy" for k in range(len(model.domains))]
+    return stage(scored.withColumns(_softmax(model.domains, model.share, heat)).drop(*logs), "posteriors"), model.domains
 
 
-def fit_rates(rows: DataFrame, domains: int, targets: list[float], stiff: float = STIFF) -> DataFrame:
-    """rows with ``rate``: nonnegative least squares for sum_i p_id n_i rate_i = target_d.
+def fit_rates(rows: DataFrame, domains: int, targets: list[float], stiff: float = STIFF) -> tuple[DataFrame, list[float]]:
+    """rows with ``rate``, and what is left between expected and target tokens of each domain, as shares of all tokens.
 
-    Minimises e' M^-1 e / 2 + stiff/2 sum_i n_i (rate_i - 1)^2 for e = expected - target, where M is the sum
-    of n_i p_i p_i'. At the least value rate_i = max(0, 1 - p_i u / stiff) for u = M^-1 e, so only u, a number per
-    domain, is looked for: by Newton steps on M u + target - expected(u), the slope of a convex function, halved
-    while that doesn't fall. A step is one pass of sums over narrow rows; it ends where the slope is gone."""
+    Nonnegative least squares for sum_i p_id n_i rate_i = target_d by projected gradients: the value is
+    e' M^-1 e / 2 + stiff/2 sum_i n_i (rate_i - 1)^2 for e = expected - target, M being the sum of n_i p_i p_i'
+    (whitening). Per token a row's slope is g_i = p_i M^-1 e + stiff (rate_i - 1); a step goes to max(0, rate - t g). t is
+    the last step's spectral length, a fourth of it while the value does not fall below the worst of the last
+    eight. A step is one pass of sums over narrow rows, in which rates are an expression over those stored
+    every six steps; it ends when the projected step of length one moves no rate by more than 1e-8."""
     k = range(domains)
-    pairs = [(i, j) for i in k for j in range(i + 1)]
-
-    def rate(u: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(float(x / stiff)) for i, x in enumerate(u)), F.lit(0.0)))
-
-    def square(sums: list[float]) -> np.ndarray:
-        m = np.zeros((domains, domains))
-        for (i, j), x in zip(pairs, sums):
-            m[i, j] = m[j, i] = x
-        return m
-
-    def look(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Value, slope and curvature at u."""
-        r = rows.withColumn("__r", rate(u)).withColumn("__n", F.col("n_tokens") * (F.col("__r") > 0).cast("double"))
-        sums = [F.sum(F.col("n_tokens") * F.col("__r") * F.col("__r")), *(F.sum(F.col(f"p{i}") * F.col("n_tokens") * F.col("__r")) for i in k), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("__n")) for i, j in pairs)]
-        x = [v or 0.0 for v in r.agg(*sums).first()]
-        return u @ m @ u / 2 + u @ goal + stiff / 2 * x[0], m @ u + goal - np.array(x[1 : 1 + domains]), m + square(x[1 + domains :]) / stiff
-
-    first = rows.agg(F.sum("n_tokens"), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("n_tokens")) for i, j in pairs)).first()
-    total, u, goal = first[0] or 0, np.zeros(domains), np.array(targets, float)
+    first = rows.agg(F.sum("n_tokens"), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("n_tokens")) for i in k for j in range(i + 1))).first()
+    total, goal = first[0] or 0, np.array(targets, float)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0))
-    m = square([x or 0.0 for x in first[1:]]) + 1e-9 * total * np.eye(domains)
-    value, slope, bend = look(u)
-    while np.abs(slope).max() > STILL * total:
-        step, part = np.linalg.solve(bend, slope), 1.0
+        return rows.withColumn("rate", F.lit(1.0)), [0.0] * domains
+    m = np.zeros((domains, domains))
+    for x, (i, j) in zip(first[1:], [(i, j) for i in k for j in range(i + 1)]):
+        m[i, j] = m[j, i] = x or 0.0
+    m += 1e-9 * total * np.eye(domains)
+
+    def along(v: np.ndarray) -> Column:
+        return sum((F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(v)), F.lit(0.0))
+
+    def stepped(r: Column, u: np.ndarray, t: float) -> Column:
+        return F.greatest(F.lit(0.0), r * F.lit(1.0 - t * stiff) + F.lit(t * stiff) - along(t * u))
+
+    def look(base: DataFrame, was: Column, new: Column, u: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+        """Expected less target, and the stiff part, of new rates; how far they are, and how far a step from the old goes."""
+        d = base.withColumns({"__was": was, "__new": new})
+        d = d.withColumns({"__d": F.col("__new") - F.col("__was"), "__one": F.abs(stepped(F.col("__was"), u, 1.0) - F.col("__was"))})
+        n = F.col("n_tokens")
+        x = d.agg(*(F.sum(F.col(f"p{i}") * n * F.col("__new")) for i in k), F.sum(n * (F.col("__new") - 1) * (F.col("__new") - 1)), F.sum(n * F.col("__d") * F.col("__d")), F.max(F.when(n > 0, F.col("__one")))).first()
+        return np.array([v or 0.0 for v in x[:domains]]) - goal, x[domains] or 0.0, x[domains + 1] or 0.0, x[domains + 2] or 0.0
+
+    base = stage(rows.withColumn("rate", F.lit(1.0)), "rates")
+    now, held = F.col("rate"), 0
+    e, stiffness, *_ = look(base, now, now, np.zeros(domains))
+    u = np.linalg.solve(m, e)
+    values, t = [e @ u / 2 + stiff / 2 * stiffness], 1.0
+    for _ in range(STEPS):
         while True:
-            new = look(u - part * step)
-            if new[0] <= value - 1e-4 * part * (slope @ step) or np.abs(new[1]).max() < np.abs(slope).max() / 2:
+            new = stepped(now, u, t)
+            e2, stiffness, moved, one = look(base, now, new, u)
+            u2 = np.linalg.solve(m, e2)
+            value = e2 @ u2 / 2 + stiff / 2 * stiffness
+            if one <= STILL or value <= max(values[-8:]) - 1e-4 / t * moved or t < 1e-9:
                 break
-            part /= 2
-            if part < 1e-9:  # no lower value within the numbers' precision
-                return rows.withColumn("rate", rate(u))
-        u, (value, slope, bend) = u - part * step, new
-    return rows.withColumn("rate", rate(u))
+            t /= 4
+        if one <= STILL:
+            break
+        bend = (e2 - e) @ (u2 - u) + stiff * moved
+        t = min(max(moved / bend, 1e-6), 2 / stiff) if bend > 0 else 1 / stiff
+        now, e, u, held = new, e2, u2, held + 1
+        values.append(value)
+        if held == UNROLLED:
+            base, now, held = stage(base.withColumn("rate", now), "rates"), F.col("rate"), 0
+    return base.withColumn("rate", now), (e / total).tolist()
+
+
+def _clear(keep: tuple[str, ...]) -> None:
+    clash = [c for c in keep if c in ("doc_id", "n_tokens", "rate", "held", "domain") or c.startswith("__") or re.fullmatch(r"[pyz]\d+", c)]
+    if clash or len(set(keep)) != len(keep):
+        raise ValueError(f"columns {clash or list(keep)} clash with those of the result")
 
 
 def copies(rate: str, id_col: str, seed: int = 11) -> Column:
@@ -197,16 +260,21 @@ def targets_of(rows: DataFrame, domains: list[str], weights: dict[str, float], r
     return [sum(mass) * w / sum(known) for w in known] if sum(known) else mass
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """(doc_id, keep.., n_tokens, p0.., rate) of each row of docs, and the domains: nonnegative rates whose expected
-    tokens by domain meet the targets. Null texts have no tokens and rate as their posteriors say."""
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[float]]:
+    """(doc_id, keep.., n_tokens, p0.., rate) of each row of docs, the domains, and what is left to their targets as shares
+    of all tokens: nonnegative rates whose expected tokens by domain meet the targets as far as staying near 1 lets them.
+
+    Null and empty texts have no tokens and rate as their posteriors say; rows that repeat, and rows with a null id, are rows
+    of their own; an empty table gives no rows. Extra columns of docs play no part unless kept; ``keep`` must not hold names of
+    the other result columns."""
     rows, domains = posteriors(docs, labels, id_col, text_col, keep)
-    return fit_rates(rows, len(domains), targets_of(rows, domains, weights, relative)), domains
+    out, gap = fit_rates(rows, len(domains), targets_of(rows, domains, weights, relative))
+    return out, domains, gap
 
 
 def resample(docs: DataFrame, labels: DataFrame, weights: dict[str, float], relative: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs, each as many times as its copies; rows with a null id stay once."""
-    rows, _ = mix(docs, labels, weights, relative, id_col, text_col)
+    rows, _, _ = mix(docs, labels, weights, relative, id_col, text_col)
     times = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("__rate")).withColumnRenamed("doc_id", "__id").withColumn("__copies", copies("__rate", "__id"))
     met = docs.join(stage(times, "copies"), docs[id_col] == F.col("__id"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
     return met.filter("__copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))

@@ -23,7 +23,7 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, domains = mixing.mix(_table(spark, sf_dir, "documents"), mixing.domain_labels(_table(spark, sf_dir, "labels")), MIX, keep=("source",))
+    rows, domains, _ = mixing.mix(_table(spark, sf_dir, "documents"), mixing.domain_labels(_table(spark, sf_dir, "labels")), MIX, keep=("source",))
     return rows.select("doc_id", "source", "n_tokens", *(F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)), "rate", mixing.copies("rate", "doc_id").alias("copies"))
 
 
