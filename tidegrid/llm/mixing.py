@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import stage
 
-HOT = 2048  # most common telling signs, which are broadcast; all others meet their weights by a join
+HOT = 1 << 16  # most common telling signs, which are broadcast (4 MB); all others meet their weights by a join
 MIN_DOCS = 5  # labelled documents that hold a sign at least
 SMOOTH = 1.0
 FOLDS = 5  # the heat is chosen on one of so many parts of the labelled documents, by weights of the others
 HEATS = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0, 96.0, 128.0, 192.0, 256.0)
 STIFF = 1e-3  # weight of staying at rate 1, against the targets
-STILL = 1e-8  # length of a projected step that counts as none
-STEPS = 1000  # projected steps at most; the least value is met in some dozens
-UNROLLED = 6  # steps worked out in one expression before the rates are stored
+STILL = 1e-9  # slope of the fit, as a share of all tokens, that counts as none
+STEPS = 1000  # steps at most; some ten passes over the rows meet the least value
+GRIDS, CELLS = (64, 32, 16, 8, 4, 2), 4000  # of rounded posteriors, finest first, and how many cells may start the fit
 FILTER_BITS = 1 << 26  # of a bit filter at most, 8 MB
 
 
@@ -72,14 +72,14 @@ class Classifier:
         64-bit hash of the sign. Its rows grow with the labelled documents."""
         self.domains, self.share, self.absent, self.absent_part, self.weights = domains, share, absent, absent_part, weights
 
-    def score(self, rows: DataFrame, held: str) -> DataFrame:
-        """Staged rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain, and y0.., the same by
-        the weights without the first fold; ``held`` is an array of distinct hashes, ``__row`` numbers the rows.
+    def score(self, rows: DataFrame, held: str, part: bool = False) -> DataFrame:
+        """rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain (``part``: by the weights
+        without the first fold); ``held`` is an array of distinct hashes, ``__row`` numbers the rows.
 
         The HOT most common signs are summed by row in the task that holds the row; all others meet the
         table of weights by hash, where no sign is common."""
         k = range(len(self.domains))
-        add = [f"__{c}{i}" for c in "gb" for i in k]
+        add = [f"__{'b' if part else 'g'}{i}" for i in k]
         hot = stage(self.weights.orderBy(F.col("n").desc(), "__h").limit(HOT).select("__h", *add), "hot")
         cold = stage(self.weights.join(F.broadcast(hot.select("__h")), "__h", "left_anti").select("__h", *add), "cold")
         each = rows.select("__row", F.explode(held).alias("__h"))
@@ -87,7 +87,7 @@ class Classifier:
         far = each.join(F.broadcast(hot.select("__h")), "__h", "left_anti").join(cold.hint("merge"), "__h").select("__row", *add)
         sums = near.unionByName(far).groupBy("__row").agg(*(F.sum(c).alias(f"{c}s") for c in add))
         met = rows.drop(held).join(stage(sums, "sums").hint("merge"), "__row", "left")  # in the order of the rows
-        logs = [(F.lit(x) + F.coalesce(f"__{c}{i}s", F.lit(0.0))).alias(f"{z}{i}") for c, z, base in (("g", "z", self.absent), ("b", "y", self.absent_part)) for i, x in enumerate(base)]
+        logs = [(F.lit(x) + F.coalesce(f"{c}s", F.lit(0.0))).alias(f"z{i}") for i, (c, x) in enumerate(zip(add, self.absent_part if part else self.absent))]
         return met.select(*(c for c in rows.columns if c not in (held, "__row")), *logs)
 
 
@@ -104,9 +104,12 @@ def train(labelled: DataFrame, text_col: str, domain_col: str) -> Classifier:
     names, total = sorted(size), sum(size.values())
     if not names:
         return Classifier([], [], [], [], None)
-    sums = [F.sum((F.col("d") == n).cast("long")).alias(f"c{k}") for k, n in enumerate(names)] + [F.sum(((F.col("d") == n) & F.col("in_part")).cast("long")).alias(f"m{k}") for k, n in enumerate(names)]
-    held = rows.select("d", "in_part", F.explode(F.array_distinct(F.transform(signs(), lambda w: F.xxhash64(w)))).alias("__h"))
-    counts = stage(held.groupBy("__h").agg(F.count(F.lit(1)).alias("n"), *sums).filter(F.col("n") >= MIN_DOCS), "counts")
+    held = rows.select("d", (F.col("in_part").cast("long") * (1 << 32) + 1).alias("x"), F.explode(F.array_distinct(F.transform(signs(), lambda w: F.xxhash64(w)))).alias("__h"))
+    # two counts in one sum, of fewer than 2^31 documents each: of all in the low half, of those outside the fold in the high one
+    sums = held.groupBy("__h").agg(*[F.coalesce(F.sum(F.when(F.col("d") == n, F.col("x"))), F.lit(0)).alias(f"x{k}") for k, n in enumerate(names)])
+    low, high = (lambda k: F.col(f"x{k}").bitwiseAND(F.lit((1 << 32) - 1))), (lambda k: F.shiftright(f"x{k}", 32))
+    counts = sums.select("__h", sum((low(k) for k in range(len(names))), F.lit(0)).alias("n"), *(low(k).alias(f"c{k}") for k in range(len(names))), *(high(k).alias(f"m{k}") for k in range(len(names))))
+    counts = stage(counts.filter(F.col("n") >= MIN_DOCS), "counts")
     tested = counts.count()
 
     def entropy(cols: list[Column], n: Column) -> Column:
@@ -128,8 +131,8 @@ def train(labelled: DataFrame, text_col: str, domain_col: str) -> Classifier:
     return Classifier(names, share, absent[: len(names)], absent[len(names) :], weights)
 
 
-def _softmax(names: list[str], prior: list[float], heat: float, logs: str = "z") -> dict[str, Column]:
-    z = [F.lit(prior[k]) + F.col(f"{logs}{k}") / F.lit(heat) for k in range(len(names))]
+def _softmax(names: list[str], prior: list[float], heat: float) -> dict[str, Column]:
+    z = [F.lit(prior[k]) + F.col(f"z{k}") / F.lit(heat) for k in range(len(names))]
     top = F.greatest(*z) if len(z) > 1 else z[0]
     parts = [F.exp(x - top) for x in z]
     return {f"p{k}": p / sum(parts[1:], parts[0]) for k, p in enumerate(parts)}
@@ -157,76 +160,91 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     own = own.withColumn("__bits", bits.scalar()).select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.array_distinct(told).alias("held"))
     own = stage(own.withColumn("__row", F.monotonically_increasing_id()), "held")
     scored = stage(model.score(own, "held"), "logits")
-    known = scored.select("doc_id", *(f"y{k}" for k in range(len(model.domains)))).join(ids.select(F.col("__id").alias("doc_id"), "domain").filter(fold == 0), "doc_id")
+    tried = stage(own.select("doc_id", "held", "__row").join(ids.filter(fold == 0).select(F.col("__id").alias("doc_id"), "domain").hint("merge"), "doc_id"), "tried")
+    known = stage(model.score(tried, "held", part=True), "tried_logits")
     losses = []
     for heat in HEATS:
-        p = _softmax(model.domains, model.share, heat, "y")
+        p = _softmax(model.domains, model.share, heat)
         mine = F.lit(0.0)
         for k, name in enumerate(model.domains):
             mine = F.when(F.col("domain") == name, p[f"p{k}"]).otherwise(mine)
         losses.append(F.avg(-F.log(F.greatest(mine, F.lit(1e-12)))))
     row = known.agg(*losses).first()
     heat = min((x, h) for x, h in zip(row, HEATS))[1] if row[0] is not None else HEATS[0]
-    logs = [f"{c}{k}" for c in "zy" for k in range(len(model.domains))]
-    return stage(scored.withColumns(_softmax(model.domains, model.share, heat)).drop(*logs), "posteriors"), model.domains
+    return stage(scored.withColumns(_softmax(model.domains, model.share, heat)).drop(*(f"z{k}" for k in range(len(model.domains)))), "posteriors"), model.domains
+
+
+def _descend(look, u: np.ndarray, white: np.ndarray, still: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spectral gradient steps from u to where the slope is at most ``still``, and that slope. ``look(u)`` gives value and
+    slope; steps are whitened, as long as the last two slopes say, and a fourth of that while the value stays above the
+    worst of the last five and the slope does not halve."""
+    value, slope = look(u)
+    values, t = [value], 1.0
+    for _ in range(STEPS):
+        if np.abs(slope).max() <= still:
+            break
+        step = np.linalg.solve(white, slope)
+        while True:
+            new = u - t * step
+            v, g = look(new)
+            if v <= max(values[-5:]) - 1e-4 * t * (slope @ step) + 1e-12 * abs(value) or np.abs(g).max() < np.abs(slope).max() / 2 or t < 1e-9:
+                break
+            t /= 4
+        moved, turned = new - u, g - slope
+        t = float(np.clip((moved @ white @ moved) / max(moved @ turned, 1e-300), 1e-6, 1e4))
+        u, value, slope = new, v, g
+        values.append(v)
+    return u, slope
 
 
 def fit_rates(rows: DataFrame, domains: int, targets: list[float], stiff: float = STIFF) -> tuple[DataFrame, list[float]]:
     """rows with ``rate``, and what is left between expected and target tokens of each domain, as shares of all tokens.
 
     Nonnegative least squares for sum_i p_id n_i rate_i = target_d by projected gradients: the value is
-    e' M^-1 e / 2 + stiff/2 sum_i n_i (rate_i - 1)^2 for e = expected - target, M being the sum of n_i p_i p_i'
-    (whitening). Per token a row's slope is g_i = p_i M^-1 e + stiff (rate_i - 1); a step goes to max(0, rate - t g). t is
-    the last step's spectral length, a fourth of it while the value does not fall below the worst of the last
-    eight. A step is one pass of sums over narrow rows, in which rates are an expression over those stored
-    every six steps; it ends when the projected step of length one moves no rate by more than 1e-8."""
+    e' M^-1 e / 2 + stiff/2 sum_i n_i (rate_i - 1)^2 for e = expected - target, M being the sum of n_i p_i p_i'. Rates
+    are the projection max(0, 1 - p_i u / stiff) of a gradient step by a multiplier u per domain, and u moves along the
+    slope M u + target - expected(u) until that is gone; a step is one pass of sums over narrow rows.
+
+    Steps start from the multipliers of at most some 4,000 cells of like rows (posteriors rounded to the finest of six
+    grids that give no more), which the driver works out in the same way and whose rows with a rate above 0 whiten
+    the steps. That only saves passes: the end is set by the sums over all rows."""
     k = range(domains)
-    first = rows.agg(F.sum("n_tokens"), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("n_tokens")) for i in k for j in range(i + 1))).first()
+    pairs = [(i, j) for i in k for j in range(i + 1)]
+    grid = lambda res: F.array(*[F.round(F.col(f"p{i}") * res).cast("int") for i in k])
+    some = rows.filter("n_tokens > 0")
+    first = some.agg(F.sum("n_tokens"), *(F.sum(F.col(f"p{i}") * F.col(f"p{j}") * F.col("n_tokens")) for i, j in pairs), *(F.approx_count_distinct(grid(res)) for res in GRIDS)).first()
     total, goal = first[0] or 0, np.array(targets, float)
     if not total:
         return rows.withColumn("rate", F.lit(1.0)), [0.0] * domains
-    m = np.zeros((domains, domains))
-    for x, (i, j) in zip(first[1:], [(i, j) for i in k for j in range(i + 1)]):
-        m[i, j] = m[j, i] = x or 0.0
-    m += 1e-9 * total * np.eye(domains)
-
-    def along(v: np.ndarray) -> Column:
-        return sum((F.col(f"p{i}") * F.lit(float(x)) for i, x in enumerate(v)), F.lit(0.0))
-
-    def stepped(r: Column, u: np.ndarray, t: float) -> Column:
-        return F.greatest(F.lit(0.0), r * F.lit(1.0 - t * stiff) + F.lit(t * stiff) - along(t * u))
-
-    def look(base: DataFrame, was: Column, new: Column, u: np.ndarray) -> tuple[np.ndarray, float, float, float]:
-        """Expected less target, and the stiff part, of new rates; how far they are, and how far a step from the old goes."""
-        d = base.withColumns({"__was": was, "__new": new})
-        d = d.withColumns({"__d": F.col("__new") - F.col("__was"), "__one": F.abs(stepped(F.col("__was"), u, 1.0) - F.col("__was"))})
-        n = F.col("n_tokens")
-        x = d.agg(*(F.sum(F.col(f"p{i}") * n * F.col("__new")) for i in k), F.sum(n * (F.col("__new") - 1) * (F.col("__new") - 1)), F.sum(n * F.col("__d") * F.col("__d")), F.max(F.when(n > 0, F.col("__one")))).first()
-        return np.array([v or 0.0 for v in x[:domains]]) - goal, x[domains] or 0.0, x[domains + 1] or 0.0, x[domains + 2] or 0.0
-
-    base = stage(rows.withColumn("rate", F.lit(1.0)), "rates")
-    now, held = F.col("rate"), 0
-    e, stiffness, *_ = look(base, now, now, np.zeros(domains))
-    u = np.linalg.solve(m, e)
-    values, t = [e @ u / 2 + stiff / 2 * stiffness], 1.0
-    for _ in range(STEPS):
-        while True:
-            new = stepped(now, u, t)
-            e2, stiffness, moved, one = look(base, now, new, u)
-            u2 = np.linalg.solve(m, e2)
-            value = e2 @ u2 / 2 + stiff / 2 * stiffness
-            if one <= STILL or value <= max(values[-8:]) - 1e-4 / t * moved or t < 1e-9:
-                break
-            t /= 4
-        if one <= STILL:
-            break
-        bend = (e2 - e) @ (u2 - u) + stiff * moved
-        t = min(max(moved / bend, 1e-6), 2 / stiff) if bend > 0 else 1 / stiff
-        now, e, u, held = new, e2, u2, held + 1
-        values.append(value)
-        if held == UNROLLED:
-            base, now, held = stage(base.withColumn("rate", now), "rates"), F.col("rate"), 0
-    return base.withColumn("rate", now), (e / total).tolist()
+
+    def square(sums) -> np.ndarray:
+        m = np.zeros((domains, domains))
+        for x, (i, j) in zip(sums, pairs):
+            m[i, j] = m[j, i] = x or 0.0
+        return m
+
+    m = square(first[1 : 1 + len(pairs)]) + 1e-9 * total * np.eye(domains)
+    res = next((r for r, n in zip(GRIDS, first[1 + len(pairs) :]) if n <= CELLS), GRIDS[-1])
+    cells = some.groupBy(grid(res)).agg(F.sum("n_tokens"), *(F.sum(F.col(f"p{i}") * F.col("n_tokens")) for i in k)).collect()  # bounded by the grid
+    mass = np.array([c[1] for c in cells], float)
+    mean = np.array([c[2:] for c in cells], float) / mass[:, None]
+
+    def roughly(u: np.ndarray) -> tuple[float, np.ndarray]:
+        r = np.maximum(0, 1 - mean @ u / stiff)
+        return u @ m @ u / 2 + u @ goal + stiff / 2 * (mass * r * r).sum(), m @ u + goal - (mean * (mass * r)[:, None]).sum(0)
+
+    def rate(u: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col(f"p{i}") * F.lit(float(x / stiff)) for i, x in enumerate(u)), F.lit(0.0)))
+
+    def exactly(u: np.ndarray) -> tuple[float, np.ndarray]:
+        n = F.col("n_tokens") * F.col("__r")
+        x = [v or 0.0 for v in some.withColumn("__r", rate(u)).agg(F.sum(n * F.col("__r")), *(F.sum(F.col(f"p{i}") * n) for i in k)).first()]
+        return u @ m @ u / 2 + u @ goal + stiff / 2 * x[0], m @ u + goal - np.array(x[1:])
+
+    u, _ = _descend(roughly, np.zeros(domains), m * (1 + 1 / stiff), STILL * total)
+    live = mass * (mean @ u < stiff)
+    u, slope = _descend(exactly, u, m + (mean * live[:, None]).T @ mean / stiff, STILL * total)
+    return rows.withColumn("rate", rate(u)), ((m @ u - slope) / total).tolist()
 
 
 def _clear(keep: tuple[str, ...]) -> None:
