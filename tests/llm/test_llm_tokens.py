@@ -4,13 +4,14 @@ import math
 import os
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -200,15 +201,102 @@ def test_language_model(spark, monkeypatch):
 
 
 def test_language_model_sums_to_one():
-    vocab = maxent.Vocabulary(900, 40, 3, 0, np.abs(np.random.default_rng(0).normal(size=(maxent.GROUPS, maxent.SIZE))) * 50 + 0.1, np.full(maxent.TAILS, 2.0))
+    sizes = maxent.sizes_for(900, 40)
+    vocab = maxent.Vocabulary(900, 40, 3, 0, np.abs(np.random.default_rng(0).normal(size=(maxent.GROUPS, sizes.words))) * 50 + 0.1, np.full(maxent.TAILS, 2.0), sizes)
     rng = np.random.default_rng(1)
-    m = maxent.Model(vocab.class_bias(), vocab.word_bias(), rng.normal(size=(maxent.CLASS_ROWS, maxent.CLASSES)).astype(np.float32), rng.normal(size=(maxent.WORD_ROWS, maxent.SIZE)).astype(np.float32))
+    m = maxent.Model(sizes, vocab.class_bias(), vocab.word_bias(), rng.normal(size=(sizes.class_rows, maxent.CLASSES)).astype(np.float32), rng.normal(size=(sizes.word_rows, sizes.words)).astype(np.float32))
     feats = [np.array([k], np.uint16) for k in (3, 9, 27, 81)]
     p = maxent._softmax(m.class_bias, m.by_class, feats)[0]
     inside = [maxent._softmax(m.word_bias[[c]], m.by_word, [np.array([c], np.uint16)])[0].sum() for c in range(maxent.GROUPS)]
     assert math.isclose(p.sum(), 1, abs_tol=1e-5) and np.allclose(inside, 1, atol=1e-5)
 
 
+def test_the_model_grows_with_the_corpus():
+    grown = [maxent.sizes_for(n, n // 10) for n in (10**5, 10**7, 10**9, 10**11, 10**13)]
+    for a, b in zip(grown, grown[1:]):
+        assert b.frequent >= a.frequent and b.class_rows >= a.class_rows and (b.frequent > a.frequent or b.class_rows > a.class_rows)
+    for s in grown:
+        codes = np.arange(1 << 16)
+        kinds = s.class_of(codes)
+        assert s.word_rows % (64 * maxent.GROUPS) == 0 and s.class_rows * maxent.CLASSES + s.word_rows * s.words <= 13 << 20
+        assert np.bincount(kinds[: s.frequent]).tolist() == [s.words] * maxent.GROUPS and set(kinds[s.frequent : s.frequent + maxent.TAILS * s.hashes]) == set(range(maxent.GROUPS, maxent.CLASSES - 1))
+        assert s.frequent + maxent.TAILS * s.hashes <= maxent.UNKNOWN and kinds[maxent.UNKNOWN] == maxent.CLASSES - 1
+
+
+def by_hand(docs, vocab, rounds):
+    """The model with a dictionary per feature: weights by (kind, hash) and gradients token by token; returns the scorer."""
+    s = vocab.sizes
+    each = s.word_rows // maxent.GROUPS
+
+    def parts(codes):
+        flat = [maxent.START] * 3 + codes
+        for i, w in enumerate(codes, 3):
+            w1, w2, w3 = flat[i - 1], flat[i - 2], flat[i - 3]
+            h = lambda k, *c: int(maxent._mix(k, *[np.array([x], np.uint32) for x in c])[0])
+            c = int(s.class_of(np.array([w]))[0])
+            feats = [h(1, w1) % s.class_rows, h(2, w1, w2) % s.class_rows, h(3, w2) % s.class_rows, h(4, w3) % s.class_rows]
+            yield w, c, feats, c * each + h(5, w1) % each if w < s.frequent else None
+
+    def soft(bias, rows):
+        z = bias + sum(rows, np.zeros(len(bias)))
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    zero = lambda n: lambda: np.zeros(n)
+    cls, word = defaultdict(zero(maxent.CLASSES)), defaultdict(zero(s.words))
+    cb, wb = vocab.class_bias().astype(float), vocab.word_bias().astype(float)
+    for _ in range(rounds):
+        seen, want, wseen, wwant = (defaultdict(zero(n)) for n in (maxent.CLASSES, maxent.CLASSES, s.words, s.words))
+        for codes in docs:
+            for w, c, feats, row in parts(codes):
+                p = soft(cb, [cls[f] for f in feats])
+                for f in feats:
+                    seen[f][c] += 1
+                    want[f] += p
+                if row is not None:
+                    wseen[row][w % s.words] += 1
+                    wwant[row] += soft(wb[c], [word[row]])
+        for f in seen:
+            cls[f] = cls[f] + np.clip(maxent.STEP_CLASS * (seen[f] - want[f]) / (want[f] + maxent.PULL), -maxent.CLIP, maxent.CLIP)
+        for f in wseen:
+            word[f] = word[f] + np.clip(maxent.STEP_WORD * (wseen[f] - wwant[f]) / (wwant[f] + maxent.PULL), -maxent.CLIP, maxent.CLIP)
+
+    def score(codes):
+        total = 0.0
+        for w, c, feats, row in parts(codes):
+            total += math.log10(soft(cb, [cls[f] for f in feats])[c])
+            if row is not None:
+                total += math.log10(soft(wb[c], [word[row]])[w % s.words])
+        return total
+
+    return score
+
+
+def test_gradients_and_scores_against_dictionaries(spark):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(f"{'ab'[i % 2]}{k}" for k in rng.zipf(1.3, 40) if k < 3000) for i in range(50)]
+    docs = table(spark, texts)
+    held = F.col("doc_id") % 10 == 0
+    blocks = maxent.vocabulary_blocks(docs, "doc_id", "text", held)
+    coded, vocab = maxent.count_words(blocks)
+    vocab.sizes = maxent.Sizes(2, 256, 64)  # few frequent tokens, so that all kinds of tokens occur, and collisions
+    rows = maxent.encode(blocks, coded, vocab).collect()
+    codes = {r.doc_id: np.frombuffer(r.codes, np.uint16).tolist() for r in rows}
+    frame = spark.createDataFrame([(r.doc_id, r.held, r.codes) for r in rows], "doc_id long, held boolean, codes binary").repartition(3)
+    vocab.word_mass = vocab.word_mass.reshape(-1)[: 2 * maxent.GROUPS].reshape(maxent.GROUPS, 2)
+    hand = by_hand([codes[r.doc_id] for r in rows if not r.held], vocab, 2)
+    m = maxent.train(frame, vocab, 2)
+    for i in (0, 10, 3):
+        lg = 0.0
+        for _, w, cls, feats, inner, word in maxent.batches_of([np.array(codes[i], np.uint16).tobytes()], m.sizes):
+            p = maxent._softmax(m.class_bias, m.by_class, feats)
+            lg += np.log10(p[np.arange(len(w)), cls]).sum()
+            if len(inner):
+                q = maxent._softmax(m.word_bias[cls[inner]], m.by_word, [word])
+                lg += np.log10(q[np.arange(len(inner)), (w[inner] % m.sizes.words).astype(np.int64)]).sum()
+        assert math.isclose(lg, hand(codes[i]), rel_tol=1e-4)
+
+
 HTML = [
     ("<p>One   two<p>three<br>four", "One two\n\nthree\nfour"),
     ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol><li>e</ul>z", "- a\n- b\n  3. c\n  4. d\n- e\n\nz"),

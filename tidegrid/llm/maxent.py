@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -16,17 +17,14 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import meet, stage
 
-GROUPS, SIZE = 16, 32  # classes of frequent tokens, and tokens in each
+GROUPS = 16  # classes of frequent tokens
 TAILS = 15  # classes of the other training tokens, by ending; one more class holds unknown tokens
 CLASSES = GROUPS + TAILS + 1
-FREQUENT = GROUPS * SIZE
-UNKNOWN = FREQUENT + TAILS  # code of unknown tokens; frequent ones have 0.., tails FREQUENT..
-START = UNKNOWN + 1  # code before a text
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 13  # hashed context features of the two softmaxes
-FEATURES = 4  # of the class softmax: w1, w1 w2, and with skips w2, w3
+#: Codes are 16 bits: frequent tokens have 0.., the others, told apart by a hash as contexts, what lies between.
+UNKNOWN, START = 0xFFFE, 0xFFFF  # of unknown tokens, and before a text
 ROUNDS = 2
-PULL = 20.0  # expected count that a weight is drawn to 0 with
-STEP_CLASS, STEP_WORD, CLIP = 0.4, 0.8, 3.0
+PULL = 2.0  # expected count that a weight is drawn to 0 with
+STEP_CLASS, STEP_WORD, CLIP = 0.4, 1.0, 3.0
 BLOCK_BYTES = 16 << 20  # text of a vocabulary block
 ADD = 0.1  # fixed value of the contract
 _ROWS = 64  # gradient rows sent together
@@ -84,6 +82,37 @@ def vocabulary_blocks(docs: DataFrame, id_col: str, text_col: str, held: Column)
     return stage(own.mapInArrow(run, "blk long, role int, idx int, h1 long, h2 int, ending int, n long, doc_id long, held boolean, toks binary"), "blocks")
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """How large the model is: it grows with what the corpus holds, as the root of its distinct and of all its tokens."""
+
+    words: int  # frequent tokens in each class
+    class_rows: int  # hashed context features of the class softmax
+    word_rows: int  # those of a class's words
+
+    @property
+    def frequent(self) -> int:
+        return GROUPS * self.words
+
+    @property
+    def hashes(self) -> int:
+        """Codes of each tail class, by hash of the word."""
+        return (UNKNOWN - self.frequent) // TAILS
+
+    def class_of(self, codes: np.ndarray) -> np.ndarray:
+        c = codes.astype(np.int64)
+        return np.where(c < self.frequent, c // self.words, np.where(c >= UNKNOWN, CLASSES - 1, GROUPS + (c - self.frequent) % TAILS))
+
+
+def sizes_for(tokens: int, distinct: int) -> Sizes:
+    """In a class, a half to a whole sixteenth of the root of the distinct tokens (32 to 1,024); 1.3 to 2.6 times the root
+    of all tokens as rows of the class softmax (2^14 to 2^17), and half as many weights for words. A task holds them
+    and their sums, at most 50 MB of weights."""
+    power = lambda x, lo, hi: 1 << min(hi, max(lo, math.ceil(math.log2(max(x, 1)))))
+    words, rows = power(math.sqrt(distinct) / 32, 5, 10), power(1.3 * math.sqrt(tokens), 14, 17)
+    return Sizes(words, rows, max(64 * GROUPS, rows * CLASSES // 2 // words))
+
+
 @dataclass
 class Vocabulary:
     """Counts that every task needs: bounded by the number of classes and frequent tokens."""
@@ -92,8 +121,9 @@ class Vocabulary:
     distinct: int  # V
     ends: int  # training documents
     end_code: int
-    word_mass: np.ndarray  # of the frequent tokens, GROUPS x SIZE
+    word_mass: np.ndarray  # of the frequent tokens, GROUPS x words
     tail_mass: np.ndarray
+    sizes: Sizes
 
     def class_bias(self) -> np.ndarray:
         mass = np.concatenate([self.word_mass.sum(1), self.tail_mass, [ADD]])
@@ -109,14 +139,16 @@ class Vocabulary:
 
 def count_words(blocks: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """Training counts of every word (h1, h2, c, code), and the vocabulary. Only totals and the frequent
-    tokens come to the driver."""
+    tokens come to the driver: 16,383 at most."""
     seen = blocks.filter("role = 0 and n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("c"), F.min("ending").alias("ending"))
     seen = stage(seen, "counts")
     ends = blocks.filter("role = 1 and not held").count()
     total, distinct = seen.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = [(r["c"], r["h1"], r["h2"]) for r in seen.orderBy(F.col("c").desc(), "h1", "h2").limit(FREQUENT - 1).collect()]
+    sizes = sizes_for(total + ends, distinct + 1)
+    frequent = sizes.frequent
+    top = [(r["c"], r["h1"], r["h2"]) for r in seen.orderBy(F.col("c").desc(), "h1", "h2").limit(frequent - 1).collect()]
     ranked = sorted([*top, *([(ends, None, None)] if ends else [])], key=lambda r: -r[0])
-    mass, end_code = np.zeros(FREQUENT), UNKNOWN
+    mass, end_code = np.zeros(frequent), UNKNOWN
     mass[: len(ranked)] = [r[0] + ADD for r in ranked]
     codes = []
     for k, (_, a, b) in enumerate(ranked):
@@ -125,11 +157,12 @@ def count_words(blocks: DataFrame) -> tuple[DataFrame, Vocabulary]:
         else:
             codes.append((a, b, k))
     table = blocks.sparkSession.createDataFrame(codes, "h1 long, h2 int, k int")
-    coded = seen.join(F.broadcast(table), ["h1", "h2"], "left").select("h1", "h2", "c", F.coalesce("k", F.col("ending") + FREQUENT).alias("code"))  # at most 511 rows
+    other = F.col("ending") + frequent + TAILS * F.pmod("h1", F.lit(sizes.hashes)).cast("int")
+    coded = seen.join(F.broadcast(table), ["h1", "h2"], "left").select("h1", "h2", "c", F.coalesce("k", other).alias("code"), F.col("k").isNull().alias("rare"), "ending")  # at most 16,383 rows
     tails = np.zeros(TAILS)
-    for r in coded.filter(F.col("code") >= FREQUENT).groupBy("code").agg(F.sum(F.col("c") + ADD).alias("m")).collect():
-        tails[r["code"] - FREQUENT] = r["m"]
-    return coded, Vocabulary(total + ends, distinct + (ends > 0), ends, end_code, mass.reshape(GROUPS, SIZE), tails)
+    for r in coded.filter("rare").groupBy("ending").agg(F.sum(F.col("c") + ADD).alias("m")).collect():
+        tails[r["ending"]] = r["m"]
+    return coded.drop("rare", "ending"), Vocabulary(total + ends, distinct + (ends > 0), ends, end_code, mass.reshape(GROUPS, sizes.words), tails, sizes)
 
 
 def encode(blocks: DataFrame, coded: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -142,7 +175,7 @@ def encode(blocks: DataFrame, coded: DataFrame, vocab: Vocabulary) -> DataFrame:
     none = blocks.filter("role = 1 and octet_length(toks) = 0").select("doc_id", "held")  # no words: they may be a block without any
     empty_known = int(vocab.ends > 0)
     end_base = float(np.log10((vocab.ends if vocab.ends else 0) + ADD)) - vocab.per_token()
-    tail_log = np.log10(np.maximum(vocab.tail_mass, 1e-12))
+    tail_log, frequent = np.log10(np.maximum(vocab.tail_mass, 1e-12)), vocab.sizes.frequent
 
     def look_up(have, come):
         t = have.get("table")
@@ -152,7 +185,7 @@ def encode(blocks: DataFrame, coded: DataFrame, vocab: Vocabulary) -> DataFrame:
             order[have["idx"].astype(np.int64)] = np.arange(n)
             c, code = have["c"].astype(np.float64)[order], have["code"].astype(np.int64)[order]
             lg = np.log10(c + ADD)
-            inside = np.where((code >= FREQUENT) & (code < UNKNOWN), lg - tail_log[np.clip(code - FREQUENT, 0, TAILS - 1)], 0.0)
+            inside = np.where((code >= frequent) & (code < UNKNOWN), lg - tail_log[(code - frequent) % TAILS], 0.0)
             t = have["table"] = (c > 0, lg, inside, code.astype(np.uint16))
         known, lg, inside, code = t
         out = []
@@ -173,8 +206,10 @@ def encode(blocks: DataFrame, coded: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 @dataclass
 class Model:
-    """Weights by hashed feature; None before the first gradient."""
+    """Weights by hashed feature; None before the first gradient. Rows of words belong to a class: class by class, so
+    many of each."""
 
+    sizes: Sizes
     class_bias: np.ndarray
     word_bias: np.ndarray
     by_class: np.ndarray | None = None
@@ -189,8 +224,11 @@ def _mix(kind: int, *codes: np.ndarray) -> np.ndarray:
     return h
 
 
-def batches_of(codes: list[bytes]):
-    """(document of each token, token, class, features, word feature) of up to 32k tokens at a time."""
+def batches_of(codes: list[bytes], sizes: Sizes):
+    """(document of each token, token, class, features, frequent tokens, their word feature) of up to 32k tokens at a time.
+
+    Features of the class are the token before, the two before, and with skips the second and the third before;
+    of a frequent token within its class, the token before."""
     arrays = [np.frombuffer(c, np.uint16) for c in codes]
     lo = 0
     while lo < len(arrays):
@@ -206,10 +244,11 @@ def batches_of(codes: list[bytes]):
         for a in range(0, n, 2 * _TOKENS):
             at = pos[a : a + 2 * _TOKENS]
             w, w1, w2, w3 = flat[at], flat[at - 1], flat[at - 2], flat[at - 3]
-            cls = np.where(w < FREQUENT, w // SIZE, w - FREQUENT + GROUPS).astype(np.int64)
-            feats = [(_mix(k, *c) % CLASS_ROWS).astype(np.uint16) for k, c in ((1, (w1,)), (2, (w1, w2)), (3, (w2,)), (4, (w3,)))]
-            inner = np.flatnonzero(w < FREQUENT)
-            word = (_mix(5, w1[inner], cls[inner].astype(np.uint32)) % WORD_ROWS).astype(np.uint16)
+            cls = sizes.class_of(w)
+            feats = [_mix(k, *c) % np.uint32(sizes.class_rows) for k, c in ((1, (w1,)), (2, (w1, w2)), (3, (w2,)), (4, (w3,)))]
+            inner = np.flatnonzero(w < sizes.frequent)
+            each = sizes.word_rows // GROUPS
+            word = cls[inner] * each + _mix(5, w1[inner]) % np.uint32(each)
             yield lo + doc[a : a + 2 * _TOKENS], w, cls, feats, inner, word
         lo = hi
 
@@ -236,28 +275,26 @@ def gradient(model: Model, docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
     """Observed and expected counts of every feature with every class, and with every token of a class, over
     all training tokens. Tasks sum their own and send touched rows, which are summed again by row block as
     they stream in; what the driver gets has the size of the model."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, sizes = docs.sparkSession.sparkContext.broadcast(model), model.sizes  # bounded by the sizes
+    shapes = (sizes.class_rows, CLASSES), (sizes.word_rows, sizes.words)
 
     def run(batches):
         m = sent.value
-        seen = [np.zeros(CLASS_ROWS * CLASSES), np.zeros(WORD_ROWS * SIZE)]
-        want = [np.zeros((CLASS_ROWS, CLASSES)), np.zeros((WORD_ROWS, SIZE))] if m.by_class is not None else None
+        seen = [np.zeros(rows * width) for rows, width in shapes]
+        want = [np.zeros(s) for s in shapes] if m.by_class is not None else None
         for b in batches:
-            for _, w, cls, feats, inner, word in batches_of(b.column(0).to_pylist()):
+            for _, w, cls, feats, inner, word in batches_of(b.column(0).to_pylist(), sizes):
                 for f in feats:
-                    key, n = np.unique(f.astype(np.int64) * CLASSES + cls, return_counts=True)
-                    seen[0][key] += n
-                at = (w[inner] % SIZE).astype(np.int64)
+                    np.add.at(seen[0], f.astype(np.int64) * CLASSES + cls, 1.0)
                 if len(inner):
-                    key, n = np.unique(word.astype(np.int64) * SIZE + at, return_counts=True)
-                    seen[1][key] += n
+                    np.add.at(seen[1], word * sizes.words + w[inner] % sizes.words, 1.0)
                 if want is not None:
                     p = _softmax(m.class_bias, m.by_class, feats)
                     for f in feats:
                         _add_rows(want[0], f, p)
                     if len(inner):
                         _add_rows(want[1], word, _softmax(m.word_bias[cls[inner]], m.by_word, [word]))
-        for k, rows in enumerate((CLASS_ROWS, WORD_ROWS)):
+        for k, (rows, _) in enumerate(shapes):
             a = seen[k].reshape(rows // _ROWS, -1).astype(np.float32)
             e = want[k].reshape(rows // _ROWS, -1).astype(np.float32) if want is not None else None
             for i in np.flatnonzero(a.any(1)):
@@ -274,8 +311,7 @@ def gradient(model: Model, docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
 
     parts = docs.filter("not held").select("codes").mapInArrow(run, "chunk int, body binary")
     sums = parts.repartition("chunk").mapInArrow(add, "chunk int, body binary")
-    seen = [np.zeros((CLASS_ROWS, CLASSES)), np.zeros((WORD_ROWS, SIZE))]
-    want = [np.zeros((CLASS_ROWS, CLASSES)), np.zeros((WORD_ROWS, SIZE))]
+    seen, want = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
     for r in sums.toLocalIterator():
         k, i = divmod(r["chunk"], 100_000)
         x = np.frombuffer(bytes(r["body"]), np.float32).astype(np.float64)
@@ -286,31 +322,20 @@ def gradient(model: Model, docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.
             want[k][rows] = x[_ROWS * width :].reshape(_ROWS, width)
     if model.by_class is None:  # without weights, expected counts follow from the biases
         want[0] = seen[0].sum(1, keepdims=True) * np.exp(model.class_bias)
-        want[1] = _word_expectation(seen[1], model.word_bias)
+        want[1] = seen[1].sum(1, keepdims=True) * np.repeat(np.exp(model.word_bias), sizes.word_rows // GROUPS, 0)
     return seen[0], want[0], seen[1], want[1]
 
 
-def _word_expectation(seen: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Expected counts of the word features at the biases: a feature's hash fixes its class but for collisions,
-    where the class with most of its code range is taken."""
-    out = np.zeros_like(seen)
-    codes = np.arange(START + 1, dtype=np.uint32)
-    for c in range(GROUPS):
-        rows = np.unique(_mix(5, codes, np.full(len(codes), c, np.uint32)) % WORD_ROWS)
-        out[rows] = seen[rows].sum(1, keepdims=True) * np.exp(bias[c])
-    return out
-
-
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Rounds of full gradients over all training tokens, each scaled by its expected count."""
-    m = Model(vocab.class_bias(), vocab.word_bias())
+    m = Model(vocab.sizes, vocab.class_bias(), vocab.word_bias())
     for _ in range(rounds):
         seen, want, wseen, wwant = gradient(m, docs)
         step = np.clip(STEP_CLASS * (seen - want) / (want + PULL), -CLIP, CLIP)
         wstep = np.clip(STEP_WORD * (wseen - wwant) / (wwant + PULL), -CLIP, CLIP)
         old = m.by_class if m.by_class is not None else 0.0
         wold = m.by_word if m.by_word is not None else 0.0
-        m = Model(m.class_bias, m.word_bias, (old + step).astype(np.float32), (wold + wstep).astype(np.float32))
+        m = Model(m.sizes, m.class_bias, m.word_bias, (old + step).astype(np.float32), (wold + wstep).astype(np.float32))
     return m
 
 
@@ -331,12 +356,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         for b in batches:
             total = b.column(5).to_numpy().copy()
             if m is not None:
-                for doc, w, cls, feats, inner, word in batches_of(b.column(6).to_pylist()):
+                for doc, w, cls, feats, inner, word in batches_of(b.column(6).to_pylist(), m.sizes):
                     p = _softmax(m.class_bias, m.by_class, feats)
                     lg = np.log10(np.maximum(p[np.arange(len(w)), cls], 1e-30)).astype(np.float64)
                     if len(inner):
                         q = _softmax(m.word_bias[cls[inner]], m.by_word, [word])
-                        lg[inner] += np.log10(np.maximum(q[np.arange(len(inner)), (w[inner] % SIZE).astype(np.int64)], 1e-30))
+                        lg[inner] += np.log10(np.maximum(q[np.arange(len(inner)), (w[inner] % m.sizes.words).astype(np.int64)], 1e-30))
                     total += np.bincount(doc, weights=lg, minlength=len(total))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(np.full(len(total), vocab.tokens, np.int64)), b.column(4), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
