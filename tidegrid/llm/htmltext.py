@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist audio video canvas desc metadata defs symbol annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu pre blockquote table figure hr fieldset".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li listing main nav option optgroup search section summary tbody td tfoot th thead tr".split())
 CLOSES_P = (BLOCK - frozenset("body caption dd dt html legend option optgroup summary tbody td tfoot th thead tr li".split())) | frozenset(("li", "dd", "dt"))
@@ -32,22 +32,23 @@ IMPLIED_END = {
     "body": (("head",), ("html",)),
 }
 SCOPE = frozenset("table td th caption html object template".split())
-PAD = 40  # a column is aligned up to this width; a wider cell runs over it, so padding stays in proportion
+WRAP = 60  # lines of a table's cells are folded at blanks to this length, as a screen folds them; a longer word runs over
 
 _TAG = re.compile(r"<!--|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _STRING_OR_NOTE = re.compile(r"/\*.*?(?:\*/|$)|\"[^\"\n]*\"|'[^'\n]*'|<!--|-->", re.S)
 _CUT = re.compile(r"[{};]")
 _ALWAYS = re.compile(r"(?:only\s+)?(?:all|screen)|not\s+(?:print|speech|tty|tv|projection|handheld|braille|embossed|aural)|", re.I)
-_PLAIN = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)$", re.I)
+_PLAIN = re.compile(r"([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)$", re.I)
+_COMBINED = re.compile(r"[^\s>]+|\s*>\s*|\s+")
 _BLANKS = re.compile(r"[ \t\n\r\f]{2,}|[\t\n\r\f]")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "up")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None = None):
+        self.tag, self.attrs, self.kids, self.up = tag, attrs, [], up
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -103,7 +104,7 @@ def parse(html: str) -> Node:
         for _ in range(3):  # a row ends its cell, its row and its section
             if tag in IMPLIED_END:
                 close_to(*IMPLIED_END[tag])
-        node = Node(tag, attributes(raw) if raw and raw != "/" else {})
+        node = Node(tag, attributes(raw) if raw and raw != "/" else {}, open_[-1])
         open_[-1].kids.append(node)
         if tag in RAW:
             m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
@@ -127,6 +128,8 @@ def declared(parts: list[str]) -> dict[str, tuple[bool, bool]]:
         if prop in ("display", "visibility") and value:
             strong = value.endswith("important") and "!" in value
             word = value.split("!")[0].strip()
+            if prop == "visibility" and word not in ("visible", "hidden", "collapse"):
+                continue  # as its parent
             if strong or not out.get(prop, (False,))[0]:
                 out[prop] = (strong, word in (("none",) if prop == "display" else ("hidden", "collapse")))
     return out
@@ -137,11 +140,31 @@ def applies(media: str) -> bool:
     return any(_ALWAYS.fullmatch(q.strip()) for q in media.split(","))
 
 
-Rule = tuple[tuple[bool, bool, int, bool], str, frozenset[str], str, str, bool]
+Step = tuple[bool, str, frozenset[str], frozenset[str]]  # whether its parent (else any ancestor) comes next, tag, classes, ids
+Rule = tuple[tuple[bool, int, int, int], tuple[Step, ...], str, bool]
+
+
+def selector(text: str) -> tuple[Step, ...] | None:
+    """Steps of a selector from the element outwards: tags, classes and ids, as children or descendants of others. Other
+    kinds of selectors are not read."""
+    steps: list[Step] = []
+    child = False
+    for part in _COMBINED.findall(text.strip()):
+        if part.strip() in ("", ">"):
+            child = part.strip() == ">"
+            continue
+        m = _PLAIN.match(part)
+        if not m:
+            return None
+        marks = re.findall(r"[.#][\w-]+", m[2])
+        tag = (m[1] or "").lower()
+        steps.append((child, "" if tag == "*" else tag, frozenset(p[1:] for p in marks if p[0] == "."), frozenset(p[1:] for p in marks if p[0] == "#")))
+        child = False
+    return tuple(reversed(steps)) or None
 
 
 def display_rules(css: str) -> list[Rule]:
-    """Weight, tag, classes, id, property and whether it hides, of the rules with plain selectors that say how they
+    """Weight, selector, property and whether it hides, of the rules with readable selectors that say how they
     show; others are left alone. Rules within other rules and in at-rules that may not hold are passed over."""
     css = _STRING_OR_NOTE.sub(lambda m: '""' if m[0][0] in "\"'" else " ", css)
     out: list[Rule] = []
@@ -152,11 +175,10 @@ def display_rules(css: str) -> list[Rule]:
         if isinstance(names, str):
             said = declared(parts)
             for name in names.split(",") if said else ():
-                m = _PLAIN.match(name.strip())
-                if m and name.strip():
-                    marks = re.findall(r"[.#][\w-]+", m[2])
-                    tag, classes, ident = (m[1] or "").lower(), frozenset(p[1:] for p in marks if p[0] == "."), next((p[1:] for p in marks if p[0] == "#"), "")
-                    out.extend(((strong, bool(ident), len(classes), bool(tag)), tag, classes, ident, prop, hides) for prop, (strong, hides) in said.items())
+                steps = selector(name)
+                if steps:
+                    heavy = sum(len(s[3]) for s in steps), sum(len(s[2]) for s in steps), sum(bool(s[1]) for s in steps)
+                    out.extend(((strong, *heavy), steps, prop, hides) for prop, (strong, hides) in said.items())
 
     at = 0
     for m in _CUT.finditer(css):
@@ -184,23 +206,46 @@ def by_weight(rules: list[Rule]) -> list[Rule]:
     return sorted(reversed(rules), key=lambda r: r[0], reverse=True)
 
 
-def hidden(node: Node, rules: list[Rule]) -> bool:
-    """Rules come heaviest first; of each property the first that matches decides, a style of its own before all but important ones."""
+def _fits(node: Node, step: Step) -> bool:
+    _, tag, classes, ids = step
+    return (not tag or tag == node.tag) and (not ids or ids == {node.attrs.get("id")}) and (not classes or classes <= frozenset(node.attrs.get("class", "").split()))
+
+
+def matches(node: Node | None, steps: tuple[Step, ...]) -> bool:
+    """Whether the element is one that the selector means."""
+    if node is None or not _fits(node, steps[0]):
+        return False
+    if len(steps) == 1:
+        return True
+    # what joins an element to the next step outwards stands with the element
+    if steps[0][0]:
+        return matches(node.up, steps[1:])
+    above = node.up
+    while above is not None:
+        if matches(above, steps[1:]):
+            return True
+        above = above.up
+    return False
+
+
+def hidden(node: Node, rules: list[Rule]) -> tuple[bool, bool | None]:
+    """Whether nothing of the element shows, whatever is in it, and whether its own text is invisible (None: as its
+    parent's; a visible element within it shows again). Rules come heaviest first; of each property the first that
+    matches decides, a style of its own before all but important ones."""
     a = node.attrs
     if node.tag in UNSEEN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
-        return True
+        return True, None
     own = declared(a["style"].split(";")) if "style" in a else {}
-    mine, found = None, {p: hides for p, (strong, hides) in own.items() if strong}
-    for weight, tag, classes, ident, prop, hides in rules:
+    found = {p: hides for p, (strong, hides) in own.items() if strong}
+    for weight, steps, prop, hides in rules:
         if prop in found or (prop in own and not weight[0]):
             continue
-        if (not tag or tag == node.tag) and (not ident or ident == a.get("id")):
-            mine = frozenset(a.get("class", "").split()) if mine is None else mine
-            if classes <= mine:
-                found[prop] = hides
-                if len(found) == 2:
-                    break
-    return any(found.get(p, own.get(p, (False, False))[1]) for p in ("display", "visibility"))
+        if matches(node, steps):
+            found[prop] = hides
+            if len(found) == 2:
+                break
+    display = found.get("display", own.get("display", (False, False))[1])
+    return display, found.get("visibility", own["visibility"][1] if "visibility" in own else None)
 
 
 class Flow:
@@ -248,8 +293,21 @@ class Flow:
         self.end(2)
 
 
+def folded(line: str) -> list[str]:
+    """A cell's line in pieces of WRAP characters at most, parted at blanks; a longer word is a piece of its own."""
+    out = []
+    while len(line) > WRAP:
+        at = line.rfind(" ", 1, WRAP + 1)
+        at = line.find(" ", WRAP) if at <= 0 or not line[:at].strip() else at
+        if at < 0:
+            break
+        out.append(line[:at].rstrip(" "))
+        line = line[at + 1 :].lstrip(" ")
+    return [*out, line]
+
+
 class Grid:
-    """Rows of a table; a cell is (column, columns it spans, lines)."""
+    """Rows of a table; a cell is (column, columns it spans, lines). Lines of a column begin at the same place."""
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
@@ -266,7 +324,7 @@ class Grid:
             self.row()
         while self.column in self.taken:
             self.column += 1
-        self.rows[-1].append((self.column, across, lines))
+        self.rows[-1].append((self.column, across, [part for line in lines for part in folded(line)]))
         if down > 1:
             self.taken |= {self.column + k: down for k in range(across)}
         self.column += across
@@ -276,7 +334,7 @@ class Grid:
         for row in self.rows:
             for c, across, lines in row:
                 if across == 1:
-                    width[c] = max(width.get(c, 0), min(PAD, max(map(len, lines), default=0)))
+                    width[c] = max(width.get(c, 0), max((len(x) for x in lines if len(x) <= WRAP), default=0))
         left, at = {}, 0
         for c in range(max(width, default=-1) + 1):
             left[c] = at
@@ -313,14 +371,15 @@ def render(html: str | None) -> str:
         todo += [k for k in reversed(n.kids) if not isinstance(k, str)]
     rules = by_weight(rules)
     flows, grids, lists, pre = [Flow()], [], [], 0
-    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    stack: list[tuple[Node | str, bool, bool]] = [(root, False, True)]
     while stack:
-        node, leaving = stack.pop()
+        node, leaving, shown = stack.pop()
         out = flows[-1]
         if isinstance(node, str):
             if grids and not grids[-1][1] and not node.strip():
                 continue  # blanks between cells
-            out.text(unescape(node) if "&" in node else node, pre > 0)
+            if shown:
+                out.text(unescape(node) if "&" in node else node, pre > 0)
             continue
         tag = node.tag
         if leaving:
@@ -348,8 +407,11 @@ def render(html: str | None) -> str:
         if tag == "br":
             out.end(1, True)
             continue
-        if tag != "#root" and hidden(node, rules):
-            continue
+        if tag != "#root":
+            gone, invisible = hidden(node, rules)
+            if gone:
+                continue
+            shown = shown if invisible is None else not invisible
         if tag == "table":
             out.end(2)
             grids.append([Grid(), 0, []])
@@ -381,8 +443,8 @@ def render(html: str | None) -> str:
             kids = node.kids
             if tag == "details" and "open" not in node.attrs:  # closed: the summary alone is seen
                 kids = [k for k in kids if not isinstance(k, str) and k.tag == "summary"][:1]
-            stack.append((node, True))
-            stack.extend((k, False) for k in reversed(kids))
+            stack.append((node, True, shown))
+            stack.extend((k, False, shown) for k in reversed(kids))
     while len(flows) > 1:
         flows.pop()
     flows[0].end(1)
@@ -390,7 +452,10 @@ def render(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, ``keep`` columns and ``text`` of each row of pages; a null or empty page has an empty text."""
+    """The id, ``keep`` columns and ``text`` of each row of pages; a null or empty page has an empty text, rows that repeat
+    are rows of their own, an empty table gives none. ``keep`` must not hold the id or ``text``; other columns play no part."""
+    if {"text", "__html", id_col} & set(keep) or id_col == "text" or len(set(keep)) != len(keep):
+        raise ValueError(f"columns {list(keep)} clash with the id or text")
     own = pages.select(F.col(id_col), *keep, F.col(html_col).alias("__html"))
     names = [*own.columns[:-1], "text"]
 
