@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import meet, stage
 
-SAMPLE = 16_384  # vectors on which centroids and the candidate share are fitted; all are indexed
-CENTROIDS = 64  # of each half: 64^2 cells
+SAMPLE = 16_384  # vectors on which centroids and the candidate share are fitted, if 64 MB hold them; all are indexed
+SAMPLE_BYTES = 64 << 20
+CENTROIDS = (64, 1024)  # of each half, at least and at most: half the root of the distinct vectors, as a power of two
 PROBES = 512  # sampled vectors that the candidate share is measured with
 TARGET = 0.97  # recall on the sample that the share is set for
 BLOCK = 4096  # indexed vectors per task unit
@@ -96,7 +97,14 @@ def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, want: int) -> l
     return out
 
 
-def fit(sample: np.ndarray, top: int, centroids: int = CENTROIDS, target: float = TARGET) -> Codebook:
+def centroids_for(n: int) -> int:
+    """Centroids of each half for n distinct vectors, so that a cell holds some four of them until the most is reached:
+    what a search walks through gets finer as the index grows."""
+    least, most = CENTROIDS
+    return min(most, max(least, 1 << round(np.log2(max(n, 1)) / 2 - 1)))
+
+
+def fit(sample: np.ndarray, top: int, centroids: int = CENTROIDS[0], target: float = TARGET) -> Codebook:
     """Centroids by k-means; the share from where the true neighbours of sampled vectors lie in their traversals.
 
     Neighbours within a sample are farther off than those among all vectors, so the share errs upwards."""
@@ -123,7 +131,7 @@ def fit(sample: np.ndarray, top: int, centroids: int = CENTROIDS, target: float
     return book
 
 
-def search(rows: DataFrame, queries: str, top: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int = CENTROIDS, target: float = TARGET) -> DataFrame:
+def search(rows: DataFrame, queries: str, top: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", centroids: int | None = None, target: float = TARGET) -> DataFrame:
     """(query_id, rank, vec_id, score): for the rows that meet the SQL condition ``queries`` on vec_id, the
     ``top`` largest cosines found among all rows of other ids, ties to the smaller id.
 
@@ -134,10 +142,12 @@ def search(rows: DataFrame, queries: str, top: int = 5, id_col: str = "vec_id",
     spark = rows.sparkSession
     good = stage(usable(rows, id_col, vec_col), "vectors")
     all_ = stage(groups(good, top + 1), "groups")
-    picked = all_.orderBy(F.xxhash64("gid"), "gid").limit(SAMPLE).select("v").toArrow().column("v")  # bounded sample
-    if not len(picked):
+    distinct, width = all_.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not distinct:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    book = fit(np.array(picked.to_pylist(), np.float64), top, centroids, target)
+    some = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
+    picked = all_.orderBy(F.xxhash64("v"), "gid").limit(some).select("v").toArrow().column("v")  # bounded, and the same in every run
+    book = fit(np.array(picked.to_pylist(), np.float64), top, centroids or centroids_for(distinct), target)
 
     def index(batches):
         for b in batches:
@@ -172,31 +182,32 @@ def search(rows: DataFrame, queries: str, top: int = 5, id_col: str = "vec_id",
             if not len(who):
                 continue
             x = unit(np.array([v[int(i)].as_py() for i in who], np.float64))
-            blocks, owner, masks = [], [], []
+            blocks, owner, walks = [], [], []
             for i, d1, d2 in zip(who, *book.distances(x)):
-                cells = np.array(traverse(d1, d2, counts, want), np.int64)
-                mask = np.zeros(len(counts), bool)
-                mask[cells] = True
-                to = np.unique(np.concatenate([np.arange(first[k], first[k] + parts[k]) for k in cells]))
-                blocks.append(to)
-                owner.append(np.full(len(to), i))
-                masks += [np.packbits(mask, bitorder="little").tobytes()] * len(to)
-            yield batch(np.concatenate(blocks), 1, b, np.concatenate(owner), masks)
-
-    def batch(block, role, b, who, masks):
+                cells = np.sort(np.array(traverse(d1, d2, counts, want), np.int64))  # blocks rise with cells
+                to = np.repeat(first[cells], parts[cells]) + np.arange(parts[cells].sum()) - np.repeat(np.cumsum(parts[cells]) - parts[cells], parts[cells])
+                held = np.repeat(cells, parts[cells]).astype("<i4")
+                cut = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+                blocks.append(to[cut])
+                owner.append(np.full(len(cut), i))
+                walks += [held[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(held)))]  # the walk's cells in each block
+            yield batch(np.concatenate(blocks), 1, b, np.concatenate(owner), walks)
+
+    def batch(block, role, b, who, walks):
         take = pa.array(who)
         cols = [b.column(b.schema.get_field_index(c)).take(take) for c in ("gid", "v", "ids", "cell")]
-        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(np.full(len(who), role, np.int32)), *cols, pa.array(masks, pa.binary())], ["block", "role", "gid", "v", "ids", "cell", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(np.full(len(who), role, np.int32)), *cols, pa.array(walks, pa.binary())], ["block", "role", "gid", "v", "ids", "cell", "walk"])
 
     def rerank(held, passing):
         x = held.get("x")
         if x is None:
             x = held["x"] = unit(np.array(held["v"].tolist(), np.float64))
             held["lead"] = np.array([i[0] for i in held["ids"]])
+            held["cells"], held["at"] = np.unique(held["cell"], return_inverse=True)
         for lo in range(0, len(passing["gid"]), 256):
             q = unit(np.array(passing["v"][lo : lo + 256].tolist(), np.float64))
-            seen = np.unpackbits(np.frombuffer(b"".join(passing["mask"][lo : lo + 256]), np.uint8).reshape(len(q), -1), axis=1, bitorder="little").astype(bool)
-            s = np.where(seen[:, held["cell"]], q @ x.T, -np.inf)
+            seen = np.stack([np.isin(held["cells"], np.frombuffer(w, "<i4")) for w in passing["walk"][lo : lo + 256]])
+            s = np.where(seen[:, held["at"]], q @ x.T, -np.inf)
             gids, ids, scores = [], [], []
             for i, row in enumerate(s):
                 cut = np.partition(row, -(top + 1))[-(top + 1)] if len(row) > top + 1 else -np.inf
@@ -210,7 +221,7 @@ def search(rows: DataFrame, queries: str, top: int = 5, id_col: str = "vec_id",
 
     asking = good.filter(queries).withColumnRenamed("vec_id", "query_id").join(all_.select("v", "gid"), "v").select("query_id", "gid")
     asked = entries.join(asking.select("gid", F.lit(True).alias("asks")).distinct(), "gid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    dealt = asked.mapInArrow(deal, "block long, role int, gid long, v array<double>, ids array<long>, cell int, mask binary")
+    dealt = asked.mapInArrow(deal, "block long, role int, gid long, v array<double>, ids array<long>, cell int, walk binary")
     found = meet(dealt, "block", "role", rerank, "gid long, score double, ids array<long>").select("gid", "score", F.explode("ids").alias("vec_id"))
     best = found.withColumn("k", F.row_number().over(Window.partitionBy("gid").orderBy(F.col("score").desc(), "vec_id"))).filter(F.col("k") <= top + 1)
     lists = best.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("k", "vec_id", "score"))).alias("near"))
