@@ -16,8 +16,8 @@ SPACE = "▁"  # stands for a blank in pieces
 NEVER = np.iinfo(np.int32).max  # rank of a pair that does not merge
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # kinds of pieces
 ROUNDS = 64  # words that are not done by then are finished by a heap
-WORDS = 600_000  # words that a worker remembers
-CHARS = 1 << 22  # of texts encoded or ids decoded at a time
+WORDS = 300_000  # words that a worker remembers
+CHARS = 1 << 21  # of texts encoded or ids decoded at a time
 
 _MODELS: dict[str, Pieces] = {}
 
@@ -212,7 +212,7 @@ class Pieces:
             new = {w for words in parted for w in words}
         todo = sorted(new, key=len)
         lo = 0
-        while lo < len(todo):  # some 4 million characters at a time
+        while lo < len(todo):  # some 2 million characters at a time
             hi = lo + max(1, CHARS // max(1, len(todo[min(len(todo) - 1, lo + CHARS // 64)])) // 4)
             known.update(zip(todo[lo:hi], self.merge(todo[lo:hi])))
             lo = hi
@@ -282,7 +282,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str,
 
     Null and empty texts have no ids; rows that repeat are rows of their own, an empty table gives none. Kept
     columns must not be called ``ids`` or ``_t``. Rows stay where they are: nothing is shuffled, and a lost task runs
-    again by itself. A text of any length is one row; texts are taken some 4 million characters at a time."""
+    again by itself. A text of any length is one row; texts are taken some 2 million characters at a time."""
     names = list(keep)
     _clear(docs, names, {"ids", "_t"})
     own = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_t"))
