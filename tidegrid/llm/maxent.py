@@ -105,11 +105,11 @@ class Sizes:
 
 
 def sizes_for(tokens: int, distinct: int) -> Sizes:
-    """In a class, a half to a whole sixteenth of the root of the distinct tokens (32 to 1,024); 1.3 to 2.6 times the root
-    of all tokens as rows of the class softmax (2^14 to 2^17), and half as many weights for words. A task holds them
-    and their sums, at most 50 MB of weights."""
+    """In a class, a half to a whole sixteenth of the root of the distinct tokens (32 to 2,048); 1.3 to 2.6 times the root
+    of all tokens as rows of the class softmax (2^14 to 2^19), and half as many weights for words. A task holds them
+    and their sums: 3 MB of weights for 10^8 tokens, 100 MB from 10^11 on."""
     power = lambda x, lo, hi: 1 << min(hi, max(lo, math.ceil(math.log2(max(x, 1)))))
-    words, rows = power(math.sqrt(distinct) / 32, 5, 10), power(1.3 * math.sqrt(tokens), 14, 17)
+    words, rows = power(math.sqrt(distinct) / 32, 5, 11), power(1.3 * math.sqrt(tokens), 14, 19)
     return Sizes(words, rows, max(64 * GROUPS, rows * CLASSES // 2 // words))
 
 
@@ -139,7 +139,7 @@ class Vocabulary:
 
 def count_words(blocks: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """Training counts of every word (h1, h2, c, code), and the vocabulary. Only totals and the frequent
-    tokens come to the driver: 16,383 at most."""
+    tokens come to the driver: 32,767 at most."""
     seen = blocks.filter("role = 0 and n > 0").groupBy("h1", "h2").agg(F.sum("n").alias("c"), F.min("ending").alias("ending"))
     seen = stage(seen, "counts")
     ends = blocks.filter("role = 1 and not held").count()
@@ -158,7 +158,7 @@ def count_words(blocks: DataFrame) -> tuple[DataFrame, Vocabulary]:
             codes.append((a, b, k))
     table = blocks.sparkSession.createDataFrame(codes, "h1 long, h2 int, k int")
     other = F.col("ending") + frequent + TAILS * F.pmod("h1", F.lit(sizes.hashes)).cast("int")
-    coded = seen.join(F.broadcast(table), ["h1", "h2"], "left").select("h1", "h2", "c", F.coalesce("k", other).alias("code"), F.col("k").isNull().alias("rare"), "ending")  # at most 16,383 rows
+    coded = seen.join(F.broadcast(table), ["h1", "h2"], "left").select("h1", "h2", "c", F.coalesce("k", other).alias("code"), F.col("k").isNull().alias("rare"), "ending")  # at most 32,767 rows
     tails = np.zeros(TAILS)
     for r in coded.filter("rare").groupBy("ending").agg(F.sum(F.col("c") + ADD).alias("m")).collect():
         tails[r["ending"]] = r["m"]
