@@ -151,6 +151,28 @@ def _cloud(spark, parts):
     return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double").repartition(parts)
 
 
+def test_detectors_learn_from_screened_features(spark):
+    d = _cloud(spark, 3).withColumns({"zero": F.lit(0.0), "flat": F.lit(2.0), "thin": F.when(F.col("id") < 20, F.col("a"))})
+    groups = {"all": ["a", "b", "c", "zero", "flat", "thin", "absent"], "poor": ["a", "b", "zero", "flat"], "none": ["absent"]}
+    got_ = AN.fit_detectors(d, groups, "id", trees=5)
+    assert list(got_) == ["all"] and got_["all"][0].features == ["a", "b", "c"] and abs(got_["all"][1] - 3 / 7) < 1e-12
+    cov = {r["detector"]: (r["n_features"], r["fitted"]) for r in AN.detector_coverage(d, groups).collect()}
+    assert cov == {"all": (3, 1), "poor": (2, 0), "none": (0, 0)}
+    assert AN.fit_detectors(d, {"none": ["absent"]}, "id") == {}
+
+
+def test_quality_filter_levels(spark):
+    d = spark.createDataFrame([(0.9,), (0.9,), (0.8,), (0.6,), (None,)], "q double")
+    assert [(r["threshold"], r["verdict"]) for r in TG.quality_loss(d, "q", [0.0, 0.7, 0.85]).orderBy("threshold").collect()] == [(0.0, "ok"), (0.7, "warn"), (0.85, "error")]
+    assert TG.quality_filter(d, "q", 0.0).count() == 4
+    with pytest.warns(UserWarning):
+        assert TG.quality_filter(d, "q", 0.7).count() == 3
+    with pytest.warns(UserWarning):
+        assert TG.quality_filter(d, "q", 0.85, strategy="warn").count() == 2
+    with pytest.raises(ValueError):
+        TG.quality_filter(d, "q", 0.85)
+
+
 def test_forest_finds_outlier_and_ignores_partitioning(spark):
     scores = []
     for parts in (2, 5):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions.scalar import clip, nonzero
 from tidegrid.operators import ranks as RK
+from tidegrid.operators.quality import screen_features
 from tidegrid.session import stored
 
 TREES, SAMPLE = 100, 256
@@ -283,11 +284,27 @@ def random_subspaces(features: list[str], count: int = 5, low: int = 8, high: in
     return out
 
 
+def usable_features(df: DataFrame, groups: dict[str, list[str]]) -> dict[str, list[str]]:
+    """Per named group, the present features that pass the quality screen; each feature is profiled once for all groups."""
+    present = sorted({f for feats in groups.values() for f in feats if f in df.columns})
+    if not present:
+        return {n: [] for n in groups}
+    good = {r["feature"] for r in screen_features(df, present).filter("status = 'valid'").collect()}  # one row per feature
+    return {n: [f for f in feats if f in good] for n, feats in groups.items()}
+
+
+def detector_coverage(df: DataFrame, groups: dict[str, list[str]], least: int = 3) -> DataFrame:
+    """(detector, n_features, coverage, fitted) as ``fit_detectors`` takes them."""
+    rows = [(n, len(fs), len(fs) / len(groups[n]), int(len(fs) >= least)) for n, fs in usable_features(df, groups).items()]
+    return df.sparkSession.createDataFrame(rows, "detector string, n_features int, coverage double, fitted int")
+
+
 def fit_detectors(df: DataFrame, groups: dict[str, list[str]], id_col: str, trees: int = TREES, seed: int = 42, least: int = 3) -> dict[str, tuple[Forest, float]]:
-    """A forest and its feature coverage per named group; groups under ``least`` present features
-    are skipped."""
-    have = {n: [f for f in feats if f in df.columns] for n, feats in groups.items()}
-    usable = {n: fs for n, fs in have.items() if len(fs) >= least}
+    """A forest and its feature coverage per named group. Features that are absent, constant, sparse or have too few
+    values are screened out first and count against the coverage; groups with fewer than ``least`` left are skipped."""
+    usable = {n: fs for n, fs in usable_features(df, groups).items() if len(fs) >= least}
+    if not usable:
+        return {}
     forests = fit_forests(df, usable, id_col, trees, seed=seed)
     return {n: (f, len(usable[n]) / len(groups[n])) for n, f in forests.items()}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import asdict, dataclass
 
@@ -96,6 +97,11 @@ def _groups(rules: list[DecisionRule]) -> dict[tuple, list[tuple[float, int]]]:
     return {w: sorted(t) for w, t in found.items()}
 
 
+def _constant(value: list, kind: str) -> Column:
+    """A nested value as one literal; Spark folds it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def score_candidates(df: DataFrame, rules: list[DecisionRule], actual: str = "actual") -> DataFrame:
     """Decision scores of every candidate rule, as ``direction_scores`` gives them.
 
@@ -105,9 +111,7 @@ def score_candidates(df: DataFrame, rules: list[DecisionRule], actual: str = "ac
     is rows times sets of weights, however many thresholds there are. No refit, no join."""
     groups = _groups(rules)
     names = [k for k in asdict(DecisionRule()) if k != "threshold"]
-    every = F.array(*[
-        F.struct(F.lit(g).alias("g"), *[F.lit(v).alias(n) for n, v in zip(names, w)], F.lit(-1.0).alias("threshold"), F.array(*[F.lit(t) for t, _ in ts]).alias("steps")) for g, (w, ts) in enumerate(groups.items())
-    ])
+    every = _constant([dict(zip(names, w), g=g, threshold=-1.0, steps=[t for t, _ in ts]) for g, (w, ts) in enumerate(groups.items())], "array<struct<g:int,threshold:double,steps:array<double>," + ",".join(f"{n}:double" for n in names) + ">>")
     rows = df.select("p_up_raw", "p_down_raw", "expansion_log", "compression_log", actual).withColumn("rule", F.explode(every))
     d = decide(rows, F.col("rule"), level=None)  # below every confidence: each row is decided
     halves = [1 << k for k in reversed(range(max(len(t) for t in groups.values()).bit_length()))]
@@ -124,7 +128,7 @@ def score_candidates(df: DataFrame, rules: list[DecisionRule], actual: str = "ac
     per = d.groupBy(F.col("rule.g").alias("g"), step.alias("step")).agg(*sums)
     columns = [c for c in per.columns if c not in ("g", "step")]
     listed = per.groupBy("g").agg(F.collect_list(F.struct("step", *columns)).alias("steps"))  # at most a row per threshold, and one
-    which = F.array(*[F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(k).alias("least")) for k, (_, i) in enumerate(ts, 1)]) for ts in groups.values()])
+    which = _constant([[{"candidate": i, "least": k} for k, (_, i) in enumerate(ts, 1)] for ts in groups.values()], "array<array<struct<candidate:int,least:int>>>")
     each = listed.select("steps", F.explode(F.element_at(which, F.col("g") + 1)).alias("_c")).select("steps", "_c.*")
     total = lambda c, least: F.aggregate("steps", F.lit(0).cast(dict(per.dtypes)[c]), lambda a, s: a + F.when(s["step"] >= least, s[c]).otherwise(F.lit(0)))
     each = each.select("candidate", *[total(c, F.col("least")).alias(c) for c in columns], total("n", F.lit(0)).alias("all"))

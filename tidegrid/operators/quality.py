@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.axis import Axis
-from tidegrid.functions.scalar import clip, lookup, nonzero
+from tidegrid.functions.scalar import clip, first_match, lookup, nonzero
 from tidegrid.operators.aggregates import column_profile, unpivot_columns
 
 # Staleness scores, quality grades, and the screening limits.
@@ -114,15 +114,38 @@ def split_check(df: DataFrame, by: list[str], split: str, ts: str, order: list[s
     return out
 
 
-def publication_violations(df: DataFrame, ax: Axis, as_of: Column, lags: dict[str, int]) -> DataFrame:
-    """Features whose newest known row is later than the as-of date less the source's lag."""
-    cols = list(lags)
-    newest = df.groupBy(*ax.keys).agg(*[F.max(F.when(F.col(c).isNotNull(), F.col(ax.ts))).alias(c) for c in cols])
-    long = newest.unpivot(list(ax.keys), cols, "feature", "last_known")
-    allowed = F.date_sub(as_of, lookup("feature", lags))
+# What a feature's name says of its source, in order; names are matched in lower case.
+SOURCE_PATTERNS = {r"^vix": "^VIX", r"^spx": "^GSPC", r"skew": "SKEW", r"vxtlt": "VXTLT", r"vx[12]": "VX1-VX2", r"^yield|^dgs": "DGS10", r"crude|^cl": "CL=F", r"dxy|dollar": "DX-Y.NYB"}
+
+
+def source_of(feature: str | Column) -> Column:
+    """The source a feature's name points to; null if to none."""
+    name = F.col(feature) if isinstance(feature, str) else feature
+    return first_match(name, list(SOURCE_PATTERNS.items()))
+
+
+def publication_violations(df: DataFrame, ax: Axis, as_of: Column, lags: dict[str, int], cols: list[str] | None = None) -> DataFrame:
+    """Features whose newest known row is later than the as-of date less the source's lag.
+
+    ``lags`` are days by source. ``cols`` are checked by the source that their names point to; those of no
+    configured source, and those without a known row, are left out. Without ``cols``, ``lags`` are by feature."""
+    names = list(lags) if cols is None else cols
+    newest = df.groupBy(*ax.keys).agg(*[F.max(F.when(F.col(c).isNotNull(), F.col(ax.ts))).alias(c) for c in names])
+    long = newest.unpivot(list(ax.keys), names, "feature", "last_known")
+    if cols is not None:
+        long = long.withColumn("source", source_of("feature")).filter(F.col("source").isin(*lags) & F.col("last_known").isNotNull())
+    allowed = F.date_sub(as_of, lookup("feature" if cols is None else "source", lags))
     return long.withColumn("allowed", allowed).withColumn("violation", (F.col("last_known") > F.col("allowed")).cast("int"))
 
 
+def term_structure_timing(df: DataFrame, ax: Axis, mid: str, lag: int, as_of: Column | None = None) -> DataFrame:
+    """Per series, whether the mid-term level's newest known row respects its lag before the as-of day (without one: the
+    series' last day). A series without any is in order."""
+    newest = df.groupBy(*ax.keys).agg(F.max(F.when(F.col(mid).isNotNull(), F.col(ax.ts))).alias("last_known"), F.max(ax.ts).alias("_end"))
+    allowed = F.date_sub(F.col("_end") if as_of is None else as_of, lag)
+    return newest.select(*ax.keys, "last_known", allowed.alias("allowed"), (~F.coalesce(F.col("last_known") > allowed, F.lit(False))).cast("int").alias("in_order"))
+
+
 def walk_forward_violations(df: DataFrame, ids: list[str], ts: str, cols: list[str], meta: DataFrame) -> DataFrame:
     """Per row and known feature, whether the recorded availability (``feature, lag_days,
     last_available``) lies after the row's date less the lag. The metadata has one row per feature."""
@@ -145,11 +168,14 @@ def sampled_walk_forward(df: DataFrame, ids: list[str], ts: str, cols: list[str]
     return v.groupBy(ts).agg(F.count(F.lit(1)).alias("checked"), F.sum("violation").alias("violations")).withColumn("passed", (F.col("violations") == 0).cast("int"))
 
 
-def split_continuity(df: DataFrame, ax: Axis, cols: list[str], boundary: Column, rows: int = 20, limit: float = 0.99) -> DataFrame:
+def split_continuity(df: DataFrame, ax: Axis, cols: list[str], boundary: Column, rows: int = 20, limit: float = 0.99, sparse: float = 0.5) -> DataFrame:
     """Lag-one autocorrelation of each feature over the last ``rows`` before a split and the first
-    ``rows`` after it; above ``limit`` is suspicious."""
+    ``rows`` after it; above ``limit`` is suspicious. A feature that more than ``sparse`` of a series' rows on either
+    side lack is passed over there."""
     side = (F.col(ax.ts) > boundary).cast("int")
     d = df.withColumn("_side", side)
+    lacking = d.groupBy(*ax.keys).agg(*[F.greatest(*[F.coalesce(F.avg(F.when(F.col("_side") == s, F.col(c).isNull().cast("double"))), F.lit(0.0)) for s in (0, 1)]).alias(c) for c in cols])
+    full = lacking.unpivot(list(ax.keys), cols, "feature", "_lacking").filter(F.col("_lacking") <= sparse).drop("_lacking")
     near = F.row_number().over(Window.partitionBy(*ax.keys, "_side").orderBy(F.when(F.col("_side") == 0, -F.datediff(ax.ts, F.lit("1970-01-01"))).otherwise(F.datediff(ax.ts, F.lit("1970-01-01")))))
     cut = d.withColumn("_n", near).filter(F.col("_n") <= rows)
     long = unpivot_columns(cut.select(*ax.id_cols, "_side", *cols), [*ax.id_cols, "_side"], cols).filter(F.col("value").isNotNull())
@@ -162,7 +188,7 @@ def split_continuity(df: DataFrame, ax: Axis, cols: list[str], boundary: Column,
         (F.covar_samp(v, p) / F.when(scale > 0, scale)).alias("autocorr"),
     )
     ok = (F.col("n_before") > 5) & (F.col("n_after") > 5)
-    return agg.withColumn("suspicious", F.coalesce(ok & (F.col("autocorr") > limit), F.lit(False)).cast("int"))
+    return agg.join(full, [*ax.keys, "feature"]).withColumn("suspicious", F.coalesce(ok & (F.col("autocorr") > limit), F.lit(False)).cast("int"))
 
 
 def ridge_leak_check(df: DataFrame, ax: Axis, features: list[str], target: str, boundary: Column, train_rows: int = 100, val_rows: int = 50, alpha: float = 1.0, limit: float = 0.8) -> DataFrame:

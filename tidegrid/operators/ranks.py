@@ -2,9 +2,9 @@
 
 A single-partition sort or an in-memory ``percentile`` holds every distinct value of a group in one
 task. Quantiles are found here by radix refinement: a double is read as an integer that orders as it does, rows
-are counted per group and leading 16 bits, and only the rows under the prefixes that hold a wanted
-place are counted by the next 16. Counts are folded map-side, a group gives at most 65,536 of them per
-step, and four steps decide every bit. Distributions are running sums over values in sampled ranges."""
+are counted per group and leading 22 bits (sign, exponent and ten of the mantissa), and only the rows under the
+prefixes that hold a wanted place are counted by the next 21, twice. Counts are folded map-side, and a window sees at
+most a few million of them, whatever the rows. Distributions are running sums over values in sampled ranges."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidegrid.operators.scan import running_weight
 from tidegrid.session import stored
 
-STEPS, DIGIT = 4, 16
+SHIFTS = (42, 21, 0)  # bits that a step leaves undecided
 
 
 def ordered_bits(value: str) -> Column:
@@ -29,37 +29,40 @@ def ordered_bits(value: str) -> Column:
     normal = f"shiftleft(CAST({e} + 1023 AS BIGINT), 52) + CAST(({a} / pow(2D, {e}) - 1) * 4503599627370496D AS BIGINT)"
     tiny = f"CAST({a} / pow(2D, -1074) AS BIGINT)"
     size = f"CASE WHEN {a} = double('infinity') THEN shiftleft(2047L, 52) WHEN {a} >= pow(2D, -1022) THEN {normal} ELSE {tiny} END"
-    return F.expr(f"CASE WHEN isnan({value}) THEN shiftleft(2047L, 52) + 1 WHEN {value} IS NULL THEN NULL WHEN {value} = 0 THEN 0L WHEN {value} > 0 THEN {size} ELSE -({size}) END")
+    return F.expr(f"CASE WHEN isnan({value}) THEN shiftleft(2047L, 52) + 1 WHEN {value} = 0 THEN 0L ELSE CAST(signum({value}) AS BIGINT) * ({size}) END")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles of each group, one column each; groups without values are left out.
 
-    Null keys are groups. ``df`` is read once per step; the places still wanted are a stored table with a row per group and
-    prefix, so Spark knows its size when it chooses the join."""
+    Null keys are groups. Values are stored once with their bits, so ``df`` is read once; the places still wanted are a
+    stored table with a row per group and prefix, so Spark knows its size when it chooses the join. Where the
+    prefixes of all of them hold one value each, the rest of the bits need no step."""
     rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    rows = rows.withColumn("_bits", ordered_bits("_v"))
+    rows = stored(rows.withColumn("_bits", ordered_bits("_v")), "quantile_bits")
     ks = [f"_k{i}" for i in range(len(keys))]
     places = F.array(*[F.struct(F.lit(f"{n}_{part}").alias("name"), fn((F.col("_total") - 1) * F.lit(float(q))).alias("at")) for n, q in qs.items() for part, fn in (("lo", F.floor), ("hi", F.ceil))])
     wanted = None
-    for step in range(1, STEPS + 1):
-        prefix = F.shiftright("_bits", 64 - DIGIT * step)
+    for was, left in zip((64, *SHIFTS), SHIFTS):
+        prefix = F.shiftright("_bits", left)
         if wanted is None:
-            per = rows.groupBy(*ks, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"))
+            per = rows.groupBy(*ks, prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"), F.max("_v").alias("_top"))
             group = Window.partitionBy(*ks)
             before = F.sum("_n").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
             per = per.withColumns({"_total": F.sum("_n").over(group), "_before": F.coalesce(before, F.lit(0))}).withColumn("_places", places)
         else:
-            parent = F.shiftright("_bits", 64 - DIGIT * (step - 1))
+            parent = F.shiftright("_bits", was)
             w = wanted.select(*[F.col(k).alias(f"_w{k}") for k in ks], F.col("_p").alias("_wp"), "_total", "_places")
             cond = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_w{k}")) for k in ks], parent == F.col("_wp"))
             met = rows.join(w, cond).groupBy(*ks, F.col("_wp"), prefix.alias("_p"))
-            per = met.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"), F.first("_total").alias("_total"), F.first("_places").alias("_places"))
+            per = met.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"), F.max("_v").alias("_top"), F.first("_total").alias("_total"), F.first("_places").alias("_places"))
             before = F.sum("_n").over(Window.partitionBy(*ks, "_wp").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
             per = per.withColumn("_before", F.coalesce(before, F.lit(0)))
         here = F.filter("_places", lambda x: (x["at"] >= F.col("_before")) & (x["at"] < F.col("_before") + F.col("_n")))
         moved = F.transform(here, lambda x: F.struct(x["name"].alias("name"), (x["at"] - F.col("_before")).alias("at")))
-        wanted = stored(per.withColumn("_places", moved).filter(F.size("_places") > 0).select(*ks, "_p", "_v", "_total", "_places"), "quantile_places")
+        wanted = stored(per.withColumn("_places", moved).filter(F.size("_places") > 0).select(*ks, "_p", "_v", "_top", "_total", "_places"), "quantile_places")
+        if left and not wanted.filter("_v < _top").limit(1).count():
+            break
     found = wanted.select(*ks, "_v", "_total", F.explode("_places.name").alias("_name"))
     value_at = lambda name: F.max(F.when(F.col("_name") == name, F.col("_v")))
     per = found.groupBy(*ks).agg(F.max("_total").alias("_total"), *[value_at(f"{n}_{part}").alias(f"_{n}_{part}") for n in qs for part in ("lo", "hi")])
@@ -71,7 +74,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
 
 
 def column_quantiles(df: DataFrame, by: list[str], columns: list[str], qs: dict[str, float], name: str = "column") -> DataFrame:
-    """(by, column, quantiles): many columns in the same four steps, a row's values being told apart by their column's name."""
+    """(by, column, quantiles): many columns in the same three steps, a row's values being told apart by their column's name."""
     pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
     long = df.select(*by, F.inline(pairs).alias(name, "_value"))
     return exact_quantiles(long, [*by, name], "_value", qs)

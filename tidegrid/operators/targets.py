@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,12 +60,28 @@ def expanding_folds(df: DataFrame, ax: Axis, n_splits: int = 5, out: str = "bloc
     return stage(df, {out: block.cast("int")}).drop("_pos", "_size", "_first")
 
 
-def quality_filter(df: DataFrame, quality: str, threshold: float, error_pct: float = 50.0, strategy: str = "raise") -> DataFrame:
-    """Rows at or above the quality threshold; losing more than ``error_pct`` of them is an error
-    under ``raise``. The check is one aggregate row."""
-    lost = df.agg((F.avg((F.coalesce(F.col(quality), F.lit(0.0)) < threshold).cast("double")) * 100).alias("p")).first()["p"]
-    if lost is not None and lost > error_pct and strategy == "raise":
-        raise ValueError(f"{lost:.1f}% of rows fall below quality {threshold}")
+# Percent of rows lost to the quality filter from which it warns, and fails.
+WARN_PCT, ERROR_PCT = 20.0, 50.0
+
+
+def quality_loss(df: DataFrame, quality: str, thresholds: list[float], warn_pct: float = WARN_PCT, error_pct: float = ERROR_PCT) -> DataFrame:
+    """(threshold, rows, lost_pct, verdict): what each threshold would cost, in one pass. An unknown quality is lost."""
+    lost = [F.avg((F.coalesce(F.col(quality), F.lit(0.0)) < t).cast("double")) * 100 for t in thresholds]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*lost).alias("lost"))
+    each = row.select("rows", F.explode(F.arrays_zip(F.array(*[F.lit(float(t)) for t in thresholds]).alias("threshold"), F.col("lost"))).alias("x"))
+    p = F.col("x.lost")
+    return each.select(F.col("x.threshold").alias("threshold"), "rows", p.alias("lost_pct"), F.when(p > error_pct, "error").when(p > warn_pct, "warn").otherwise("ok").alias("verdict"))
+
+
+def quality_filter(df: DataFrame, quality: str, threshold: float, warn_pct: float = WARN_PCT, error_pct: float = ERROR_PCT, strategy: str = "raise") -> DataFrame:
+    """Rows at or above the quality threshold. Losing more than ``error_pct`` of them is an error under ``raise`` and a
+    warning otherwise; losing more than ``warn_pct`` is a warning."""
+    got = quality_loss(df, quality, [threshold], warn_pct, error_pct).first()
+    told = f"{got['lost_pct'] or 0:.1f}% of rows fall below quality {threshold}"
+    if got["verdict"] == "error" and strategy == "raise":
+        raise ValueError(told)
+    if got["verdict"] != "ok":
+        warnings.warn(told, stacklevel=2)
     return df.filter(F.col(quality) >= threshold)
 
 

@@ -46,6 +46,35 @@ def anomaly_ensemble(spark, sf_dir):
     return shaped(AN.ensemble(AN.calibrated_scores(stored, stored, ["detector"]), ["vec_id"]))
 
 
+_DIMS_LONG = "SELECT vec_id, unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS v FROM embeddings"
+
+
+@query("D2", f"WITH l AS ({_DIMS_LONG}) SELECT 'd' || d AS feature, {rr(9, q1='quantile_cont(coalesce(v, 0), 0.25)', median='quantile_cont(coalesce(v, 0), 0.5)', q3='quantile_cont(coalesce(v, 0), 0.75)')} FROM l GROUP BY 1")
+def exact_scaler(spark, sf_dir):
+    """Centre and spread that the forests scale by."""
+    return shaped(AN.scaler_table(vectors(spark, sf_dir), [f"d{i}" for i in range(DIMS)]), digits=9)
+
+
+# Groups of vector parts, some of which are constant, sparse or absent.
+_SCREENED = {"plain": list(range(0, 10)), "spoilt": list(range(8, 20)), "thin": [16, 17, 40], "gone": [12, 13, 70, 71]}
+
+
+@query(
+    "D1 D4",
+    f"WITH l AS ({_DIMS_LONG}), s AS (SELECT d, CASE WHEN d IN (12, 13) THEN 0 WHEN d = 14 THEN 3.5 WHEN d = 15 THEN sign(v) WHEN d IN (16, 17) THEN CASE WHEN vec_id % 10 = 0 THEN v END ELSE v END AS v FROM l),"
+    " g AS (SELECT d, count(*) AS n, count(v) AS k, count(*) FILTER (v = 0) AS z, count(DISTINCT v) AS u, stddev_samp(v) AS sd FROM s GROUP BY 1),"
+    " ok AS (SELECT d FROM g WHERE z * 1.0 / n <= 0.95 AND (n - k) * 1.0 / n <= 0.8 AND sd >= 1e-6 AND NOT (u * 1.0 / k < 0.05 AND u < 3)),"
+    " m AS (" + " UNION ALL ".join(f"SELECT '{name}' AS detector, unnest({parts}) AS d" for name, parts in _SCREENED.items()) + ")"
+    f" SELECT detector, count(ok.d)::INT AS n_features, {S.r('count(ok.d) * 1.0 / count(*)')} AS coverage, (count(ok.d) >= 3)::INT AS fitted FROM m LEFT JOIN ok USING (d) GROUP BY 1",
+)
+def detector_screen(spark, sf_dir):
+    """Coverage of detector groups after the feature screen."""
+    v = vectors(spark, sf_dir)
+    sparse = lambda c: F.when(F.col("vec_id") % 10 == 0, F.col(c))
+    v = v.withColumns({"d12": F.lit(0.0), "d13": F.lit(0.0), "d14": F.lit(3.5), "d15": F.signum("d15"), "d16": sparse("d16"), "d17": sparse("d17")})
+    return shaped(AN.detector_coverage(v, {n: [f"d{i}" for i in parts] for n, parts in _SCREENED.items()}))
+
+
 @query("D11")
 def anomaly_importance(spark, sf_dir):
     v = vectors(spark, sf_dir)

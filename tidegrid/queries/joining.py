@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from tidegrid.functions import rolling as R
 from tidegrid.operators import calendar as C
 from tidegrid.operators import joins as J
-from tidegrid.operators.bars import append_newer
 from tidegrid.queries import sqlgen as S
 from tidegrid.queries.frames import AX, BARS_SQL, bars, market, market_sql
 from tidegrid.queries.registry import query, shaped
+from tidegrid.queries.sourcing import fresh_folder
+from tidegrid.sources import sinks as SK
 
 # A sparse source: daily bars whose close is unknown on days of one order only.
 SPARSE_SQL = f"SELECT series_id, ts, CASE WHEN volume >= 2 OR day(ts) <= 20 THEN close END AS v FROM ({BARS_SQL})"
@@ -85,14 +86,14 @@ def bounded_forward_probe(spark, sf_dir):
 @query(
     "J1 U1 W36",
     f"WITH b AS ({BARS_SQL}), d AS (SELECT DISTINCT ts FROM b) SELECT {S.day('d.ts')} AS ts, "
-    + ", ".join(f"{S.r(f'max(close) FILTER (series_id = {chr(39)}{p}{chr(39)})')} AS {a}" for p, a in [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"), ("5-LOW", "low")])
-    + " FROM d JOIN b ON d.ts = b.ts WHERE series_id IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW') GROUP BY d.ts",
+    + ", ".join(f"{S.r(f'max(close) FILTER (series_id = {chr(39)}{p}{chr(39)})')} AS {a}" for p, a in [("1-URGENT", "urgent"), ("2-HIGH", "high"), ("3-MEDIUM", "medium"), ("4-NOT SPECIFIED", "unspecified"), ("5-LOW", "low")])
+    + " FROM d JOIN b ON d.ts = b.ts GROUP BY d.ts",
 )
 def outer_alignment(spark, sf_dir):
     from tidegrid.axis import Axis
 
-    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "5-LOW": "low"}
-    long = bars(spark, sf_dir).filter(F.col("series_id").isin(*names)).withColumn("market", F.lit("all"))
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+    long = bars(spark, sf_dir).withColumn("market", F.lit("all"))
     wide = J.align_long_to_wide(long, Axis(("market",), "ts"), "series_id", "close", list(names))
     return shaped(wide.select("ts", *[F.col(f"`{k}`").alias(v) for k, v in names.items()]))
 
@@ -196,7 +197,10 @@ def append_newer_rows(spark, sf_dir):
     b = bars(spark, sf_dir).select("series_id", "ts", "close")
     first = b.filter("ts <= DATE '1999-06-30'").withColumn("origin", F.lit("first"))
     second = b.filter("ts > DATE '1999-01-01'").withColumn("origin", F.lit("second"))
-    return shaped(append_newer(first, second, AX))
+    path = fresh_folder(spark, "appended")
+    SK.write_panel(first, path, AX)
+    SK.append_newer_rows(path, second, AX)
+    return shaped(SK.read_written(spark, path).select("series_id", "ts", "close", "origin"))
 
 
 @query(

@@ -61,6 +61,35 @@ def json_observations(spark, sf_dir):
     return shaped(P.explode_observations(docs, "doc", ["series_id"]))
 
 
+@query(
+    "S3",
+    "SELECT event_type AS series_id, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS ts, " + S.r("value") + " AS value FROM events WHERE value >= 5 AND value < 60",
+)
+def observation_files(spark, sf_dir):
+    """The same observations through files of JSON documents."""
+    e = table(spark, sf_dir, "events")
+    text = F.when(F.col("value") < 5, ".").when(F.col("value") >= 60, "bad").otherwise(F.col("value").cast("string"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    path = fresh_folder(spark, "observations")
+    e.select(F.col("event_type").alias("series_id"), F.array(F.struct(day.alias("date"), text.alias("value"))).alias("observations")).write.json(path)
+    return shaped(RD.read_observations(spark, path))
+
+
+@query("S10", f"WITH b AS ({BARS_SQL}) SELECT series_id, (min(ts) <= DATE '1995-01-05' AND max(ts) >= DATE '2001-07-20')::INT AS covered FROM b GROUP BY 1")
+def stored_panel_cover(spark, sf_dir):
+    path = fresh_folder(spark, "cover")
+    SK.write_panel(bars(spark, sf_dir), path, AX)
+    return shaped(RD.covers(RD.read_panel(spark, path, ["close"]), "1995-01-05", "2001-07-20"))
+
+
+@query("S14", f"WITH b AS ({BARS_SQL}) SELECT series_id, count(*) AS days, {S.r('max(high)')} AS top FROM b GROUP BY 1")
+def published_report(spark, sf_dir):
+    """A summary as a JSON report, read back."""
+    path = fresh_folder(spark, "report")
+    SK.write_report(bars(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("days"), F.max("high").alias("top")), path)
+    return shaped(spark.read.schema("series_id string, days long, top double").json(path))
+
+
 @query(
     "S4",
     f"WITH raw AS ({CONTRACT_SQL}) SELECT substr('FGHJKMNQUVXZ', CAST(month AS INT), 1) || CAST(year % 10 AS VARCHAR) AS contract_code, count(*) AS rows, count(DISTINCT ts) AS days, {rr(9, settle='avg(settle)', volume='sum(volume)')} FROM raw GROUP BY 1",
@@ -69,22 +98,14 @@ def contract_files(spark, sf_dir):
     path = fresh_folder(spark, "contracts")
     raw = raw_contracts(spark, sf_dir).withColumns({"code": D.contract_code("year", "month"), "expiry": D.contract_expiry("year", "month")})
     named = raw.select(
-        F.concat_ws("_", F.lit("VX"), "code", F.date_format("expiry", "yyyy-MM-dd")).alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("Trade Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
+        F.concat(F.concat_ws("_", F.lit("VX"), "code", F.date_format("expiry", "yyyy-MM-dd")), F.lit(".csv")).alias("contract"), F.date_format("ts", "yyyy-MM-dd").alias("Trade Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"),
         F.col("close").alias("Close"), F.col("settle").alias("Settle"), F.col("volume").alias("Total Volume"), F.col("open_interest").alias("Open Interest"),
     )
-    named.write.partitionBy("name").option("header", True).csv(path)
-    got = read_partitioned_contracts(spark, path)
+    named.write.partitionBy("contract").option("header", True).csv(path)
+    got = RD.read_contract_files(spark, path)
     return shaped(got.groupBy("contract_code").agg(F.count("*").alias("rows"), F.countDistinct("ts").alias("days"), F.avg("settle").alias("settle"), F.sum("volume").alias("volume")), digits=9)
 
 
-def read_partitioned_contracts(spark, path):
-    """Contract rows written by Spark carry the contract in the folder name, not the file name."""
-    cols = {h: n for h, n in RD.CONTRACT_HEADER.items()}
-    raw = spark.read.csv(path, header=True, schema=", ".join(f"`{h}` string" for h in cols) + ", name string")
-    out = raw.select(F.split("name", "_")[1].alias("contract_code"), F.split("name", "_")[2].try_cast("date").alias("expiry_date"), P.parse_day("`Trade Date`").alias("ts"), *[P.number_text(f"`{h}`").alias(n) for h, n in cols.items() if n != "ts"])
-    return out.filter("ts IS NOT NULL")
-
-
 @query(
     "S6",
     "SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS event_date, 'scheduled' AS meeting_type FROM orders WHERE o_totalprice > 490000 AND year(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY 1",
@@ -130,7 +151,7 @@ def merged_panel(spark, sf_dir):
     f" {S.day('last - 5 - greatest(isodow(last - 5) - 5, 0)::INT')} AS fetch_from,"
     " CASE WHEN CASE frequency WHEN 'daily' THEN gap > 1 WHEN 'weekly' THEN gap > 2 WHEN 'monthly' THEN CASE WHEN mo = 0 THEN false WHEN mo = 1 THEN day(now) >= 12 ELSE true END"
     " WHEN 'quarterly' THEN month(now) > (month(last) // 3) * 3 AND now >= make_date(year(last), (month(last) // 3) * 3, 1) + INTERVAL 1 MONTH + INTERVAL 35 DAY ELSE now - last > 2 END THEN 1 ELSE 0 END AS should_update,"
-    " CASE WHEN now - last <= 7 THEN 'excellent' WHEN now - last <= 21 THEN 'good' WHEN now - last <= 60 THEN 'acceptable' ELSE 'stale' END AS grade FROM g",
+    " CASE WHEN now - last <= 7 THEN 'excellent' WHEN now - last <= 21 THEN 'good' WHEN now - last <= 60 THEN 'acceptable' ELSE 'stale' END AS grade, (gap > 1)::INT AS stale_at_ten, (gap > 0)::INT AS stale_at_five FROM g",
 )
 def refresh_rules(spark, sf_dir):
     l = RF.refetch_windows(bars(spark, sf_dir), AX).withColumn("last_day", F.date_sub("last_day", F.substring("series_id", 1, 1).cast("int") * 17))
@@ -141,6 +162,7 @@ def refresh_rules(spark, sf_dir):
     grade, _ = Q.freshness_grade(F.datediff("now", "last_day"))
     out = RF.attach_fill_limit(m).select(
         "series_id", "frequency", "max_fill", D.business_lag("last_day", "now").alias("business_gap"), D.refetch_start("last_day").alias("fetch_from"), RF.should_update("frequency", "last_day", "now").alias("should_update"), grade.alias("grade"),
+        RF.is_stale("last_day", F.lit("2001-08-14 10:00:00").cast("timestamp_ntz")).alias("stale_at_ten"), RF.is_stale("last_day", F.lit("2001-08-14 17:00:00").cast("timestamp_ntz")).alias("stale_at_five"),
     )
     return shaped(out)
 
@@ -193,6 +215,20 @@ def document_violations(spark, sf_dir):
     return DOC.validate_documents(docs, ["event_id"], "document", "live")
 
 
+@query(
+    "S17",
+    "SELECT event_id, 'warning' AS severity, 'array lengths differ' AS violation FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'critical', 'missing required field attribution' FROM events WHERE event_type = 'error'"
+    " UNION ALL SELECT event_id, 'error', 'historical.dates is not an array' FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, 'critical', 'document is null or not JSON' FROM events WHERE event_type = 'signup'",
+)
+def historical_document_violations(spark, sf_dir):
+    kind, day = F.col("event_type"), F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd"), F.lit('"'))
+    dates = F.when(kind == "view", day).when(kind == "click", F.concat(F.lit("["), day, F.lit(","), day, F.lit("]"))).otherwise(F.concat(F.lit("["), day, F.lit("]")))
+    rest = F.when(kind == "error", F.lit("")).otherwise(F.lit(',"attribution":{}'))
+    text = F.concat(F.lit('{"schema_version":"2.0.0","historical":{"dates":'), dates, F.lit(',"ensemble_scores":['), F.col("value").cast("string"), F.lit("]}"), rest, F.lit("}"))
+    docs = table(spark, sf_dir, "events").select("event_id", F.when(kind == "signup", F.lit("[1")).otherwise(text).alias("document"))
+    return DOC.validate_documents(docs, ["event_id"], "document", "historical")
+
+
 _HD = ["vix", "vix3m", "skew", "y10y"]
 
 
@@ -218,13 +254,29 @@ def split_boundaries(spark, sf_dir):
     return Q.split_check(o, [], "split", "ts", ["train", "val", "test"])
 
 
+_AUD = ["vix3m", "skew", "dxy", "crude", "gold", "vxtlt", "y10y"]
+_LAGS = {"^VIX": 0, "SKEW": 1, "DX-Y.NYB": 3, "CL=F": 14}  # days by source; the others have none
+
+
 @query(
-    "V3",
-    f"WITH m AS ({market_sql(['vix3m', 'y10y'])}), l AS (SELECT series_id, max(ts) FILTER (vix3m IS NOT NULL) AS a, max(ts) FILTER (y10y IS NOT NULL) AS b FROM m GROUP BY 1)"
-    f" SELECT series_id, feature, {S.day('last_known')} AS last_known, {S.day('allowed')} AS allowed, (last_known > allowed)::INT AS violation FROM (SELECT series_id, 'vix3m' AS feature, a AS last_known, DATE '2001-11-05' AS allowed FROM l UNION ALL SELECT series_id, 'y10y', b, DATE '2001-11-05' - 14 FROM l)",
+    "V3 P17",
+    f"WITH m AS ({market_sql(_AUD)}), l AS (" + " UNION ALL ".join(f"SELECT series_id, '{c}' AS feature, '{src}' AS source, max(ts) FILTER ({c} IS NOT NULL) AS last_known, DATE '2001-11-05' - {lag} AS allowed FROM m GROUP BY 1" for c, src, lag in (("vix3m", "^VIX", 0), ("skew", "SKEW", 1), ("dxy", "DX-Y.NYB", 3), ("crude", "CL=F", 14)))
+    + f") SELECT series_id, feature, source, {S.day('last_known')} AS last_known, {S.day('allowed')} AS allowed, (last_known > allowed)::INT AS violation FROM l WHERE last_known IS NOT NULL",
 )
 def publication_lag_audit(spark, sf_dir):
-    out = Q.publication_violations(market(spark, sf_dir, ["vix3m", "y10y"]), AX, F.lit("2001-11-05").cast("date"), {"vix3m": 0, "y10y": 14})
+    """Sources are read off the features' names; gold and the yield point to none that has a lag."""
+    return shaped(Q.publication_violations(market(spark, sf_dir, _AUD), AX, F.lit("2001-11-05").cast("date"), _LAGS, _AUD))
+
+
+@query(
+    "V3",
+    f"WITH m AS ({market_sql(['vix3m'])}), l AS (SELECT series_id, max(ts) FILTER (vix3m IS NOT NULL) AS k, max(ts) AS e FROM m GROUP BY 1) SELECT series_id, lag, {S.day('k')} AS last_known, {S.day('e - lag')} AS allowed, (NOT coalesce(k > e - lag, false))::INT AS in_order FROM l, (VALUES (0), (1), (30)) v(lag)",
+)
+def term_structure_audit(spark, sf_dir):
+    df, out = market(spark, sf_dir, ["vix3m"]), None
+    for lag in (0, 1, 30):
+        part = Q.term_structure_timing(df, AX, "vix3m", lag).withColumn("lag", F.lit(lag))
+        out = part if out is None else out.unionByName(part)
     return shaped(out)
 
 
@@ -271,6 +323,26 @@ def row_quality(spark, sf_dir):
     return shaped(df.withColumns({"grade": grade, "usable": usable}), ["series_id", "ts", "q", "usable", "grade"])
 
 
+@query("M5", _QL.done(f"SELECT series_id, {MD} AS ts, {S.r('q')} AS q FROM {{prev}} WHERE q >= 0.7"))
+def quality_filtered_rows(spark, sf_dir):
+    from tidegrid.operators.targets import quality_filter
+
+    return shaped(quality_filter(quality_rows(spark, sf_dir).select("series_id", "ts", "q"), "q", 0.7, strategy="warn"))
+
+
+@query(
+    "M5",
+    _QL.done(
+        "SELECT threshold, count(*) AS rows, " + S.r("avg((q < threshold)::INT) * 100") + " AS lost_pct, CASE WHEN avg((q < threshold)::INT) > 0.5 THEN 'error' WHEN avg((q < threshold)::INT) > 0.2 THEN 'warn' ELSE 'ok' END AS verdict"
+        " FROM {prev}, (VALUES (0.5::DOUBLE), (0.6), (0.65), (0.7), (0.75), (0.8), (0.9)) v(threshold) GROUP BY 1"
+    ),
+)
+def quality_loss_levels(spark, sf_dir):
+    from tidegrid.operators.targets import quality_loss
+
+    return shaped(quality_loss(quality_rows(spark, sf_dir).select("q"), "q", [0.5, 0.6, 0.65, 0.7, 0.75, 0.8, 0.9]))
+
+
 @query(
     "V9",
     f"WITH m AS ({market_sql(['vix', 'y10y', 'vix6m'])}) SELECT series_id, feature, tier, issue, count(*) AS n FROM (SELECT series_id, 'y10y' AS feature, 'CRITICAL' AS tier, 'missing' AS issue FROM m WHERE y10y IS NULL UNION ALL SELECT series_id, 'vix6m', 'Important', 'missing' FROM m WHERE vix6m IS NULL"
@@ -281,23 +353,51 @@ def quality_issue_report(spark, sf_dir):
     return Q.quality_issues(df, ["series_id", "ts"], ["vix", "y10y", "absent"], ["vix6m"]).groupBy("series_id", "feature", "tier", "issue").agg(F.count("*").alias("n"))
 
 
-_VC = ["vix", "y10y", "skew"]
+_VC = ["vix", "y10y", "skew", "thin"]
+_RIDGE_X = ["vix", "y10y", "skew"]
+
+
+def audited(spark, sf_dir):
+    df = market(spark, sf_dir, ["vix", "y10y", "skew", "vvix"])
+    return df.withColumn("thin", F.when((F.dayofmonth("ts") > 13) & (F.dayofmonth("ts") % 2 == 0) | (F.col("ts") > F.lit("1999-12-31").cast("date")), F.col("vvix")))
+
+
+_THIN = "CASE WHEN (day(ts) > 13 AND day(ts) % 2 = 0) OR ts > DATE '1999-12-31' THEN vvix END AS thin"
 
 
 @query(
     "V2",
-    f"WITH m AS ({market_sql(_VC)}), s AS (SELECT *, (ts > DATE '1999-12-31')::INT AS side FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY series_id, side ORDER BY CASE WHEN side = 0 THEN -(ts - DATE '1970-01-01') ELSE ts - DATE '1970-01-01' END) AS k FROM s), c AS (SELECT * FROM n WHERE k <= 20),"
+    f"WITH m0 AS ({market_sql(['vix', 'y10y', 'skew', 'vvix'])}), m AS (SELECT *, {_THIN} FROM m0), s AS (SELECT *, (ts > DATE '1999-12-31')::INT AS side FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY series_id, side ORDER BY CASE WHEN side = 0 THEN -(ts - DATE '1970-01-01') ELSE ts - DATE '1970-01-01' END) AS k FROM s), c AS (SELECT * FROM n WHERE k <= 20),"
+    + " full_ AS (" + " UNION ALL ".join(f"SELECT series_id, '{c}' AS feature FROM (SELECT series_id, side, avg(({c} IS NULL)::INT) AS lack FROM s GROUP BY 1, 2) GROUP BY 1 HAVING max(lack) <= 0.5" for c in _VC) + "),"
     + " u AS (" + " UNION ALL ".join(f"SELECT series_id, '{c}' AS feature, ts, side, {c} AS v FROM c WHERE {c} IS NOT NULL" for c in _VC) + "), p AS (SELECT *, lag(v) OVER (PARTITION BY series_id, feature ORDER BY ts) AS pv FROM u)"
-    f" SELECT series_id, feature, CAST(sum((side = 0)::INT) AS BIGINT) AS n_before, CAST(sum(side) AS BIGINT) AS n_after, {S.r('corr(v, pv)')} AS autocorr, CASE WHEN sum((side = 0)::INT) > 5 AND sum(side) > 5 AND corr(v, pv) > 0.99 THEN 1 ELSE 0 END AS suspicious FROM p GROUP BY 1, 2",
+    f" SELECT series_id, feature, CAST(sum((side = 0)::INT) AS BIGINT) AS n_before, CAST(sum(side) AS BIGINT) AS n_after, {S.r('corr(v, pv)')} AS autocorr, CASE WHEN sum((side = 0)::INT) > 5 AND sum(side) > 5 AND corr(v, pv) > 0.99 THEN 1 ELSE 0 END AS suspicious FROM p JOIN full_ USING (series_id, feature) GROUP BY 1, 2",
 )
 def fold_continuity(spark, sf_dir):
-    return shaped(Q.split_continuity(market(spark, sf_dir, _VC), AX, _VC, F.lit("1999-12-31").cast("date")))
+    return shaped(Q.split_continuity(audited(spark, sf_dir), AX, _VC, F.lit("1999-12-31").cast("date")))
+
 
+def _det(m):
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
 
-@query("V2")
+
+_A = [[f"(s{min(i, j)}{max(i, j)}" + (" + 1)" if i == j else ")") for j in range(3)] for i in range(3)]
+_W = [f"{_det([[f'b{r}' if c == k else _A[r][c] for c in range(3)] for r in range(3)])} / {_det(_A)} AS w{k}" for k in range(3)]
+
+
+@query(
+    "V2",
+    f"WITH m AS ({market_sql(_RIDGE_X)}), t AS (SELECT *, lead(vix, 5) OVER (PARTITION BY series_id ORDER BY ts) AS y FROM m), s AS (SELECT series_id, ts, y, " + ", ".join(f"coalesce({c}, 0) AS x{i}" for i, c in enumerate(_RIDGE_X)) + ", (ts > DATE '1999-12-31')::INT AS side FROM t WHERE y IS NOT NULL),"
+    " n AS (SELECT *, row_number() OVER (PARTITION BY series_id, side ORDER BY CASE WHEN side = 0 THEN -(ts - DATE '1970-01-01') ELSE ts - DATE '1970-01-01' END) AS k FROM s), tr AS (SELECT * FROM n WHERE side = 0 AND k <= 100), va AS (SELECT * FROM n WHERE side = 1 AND k <= 50),"
+    " mu AS (SELECT series_id, count(*) AS nt, avg(y) AS my, " + ", ".join(f"avg(x{i}) AS m{i}" for i in range(3)) + " FROM tr GROUP BY 1),"
+    " g AS (SELECT series_id, any_value(nt) AS nt, any_value(my) AS my, " + ", ".join(f"any_value(m{i}) AS m{i}, sum((x{i} - m{i}) * (y - my)) AS b{i}" for i in range(3)) + ", " + ", ".join(f"sum((x{i} - m{i}) * (x{j} - m{j})) AS s{i}{j}" for i in range(3) for j in range(i, 3)) + " FROM tr JOIN mu USING (series_id) GROUP BY 1),"
+    f" w AS (SELECT *, {', '.join(_W)} FROM g), q AS (SELECT series_id, y, nt, count(*) OVER (PARTITION BY series_id) AS nv, avg(y) OVER (PARTITION BY series_id) AS vy, my + " + " + ".join(f"(x{i} - m{i}) * w{i}" for i in range(3)) + " AS p FROM va JOIN w USING (series_id)),"
+    " r AS (SELECT series_id, CASE WHEN any_value(nt) >= 100 AND any_value(nv) > 10 AND sum(pow(y - vy, 2)) > 0 THEN 1 - sum(pow(y - p, 2)) / sum(pow(y - vy, 2)) END AS r2 FROM q GROUP BY 1)"
+    f" SELECT series_id, {S.r('r2')} AS r2, coalesce(r2 > 0.8, false)::INT AS suspicious FROM r",
+)
 def fold_ridge_check(spark, sf_dir):
-    df = market(spark, sf_dir, _VC)
-    return shaped(Q.ridge_leak_check(df.withColumn("next", F.lead("vix", 5).over(AX.ordered())), AX, _VC, "next", F.lit("1999-12-31").cast("date")))
+    df = market(spark, sf_dir, _RIDGE_X)
+    return shaped(Q.ridge_leak_check(df.withColumn("next", F.lead("vix", 5).over(AX.ordered())), AX, _RIDGE_X, "next", F.lit("1999-12-31").cast("date")))
 
 
 @query(

@@ -348,6 +348,15 @@ def deduplicate_keys(spark, sf_dir):
     return shaped(first.join(last, ["k", "y"]).join(copies, ["k", "y"]))
 
 
+@query(
+    "O5",
+    f"WITH x AS ({_DUP}) SELECT k, {S.day('d')} AS d, arrival, {S.r('v')} AS v FROM (SELECT *, count(*) OVER (PARTITION BY k, d) AS c FROM x) WHERE c > 1",
+)
+def duplicated_keys(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d"), F.col("o_orderkey").alias("arrival"), (F.col("o_totalprice") / 371.0).alias("v"))
+    return shaped(U.duplicated_rows(o, ["k", "d"]))
+
+
 @query(
     "U1 U2 U3",
     "SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 AND n > 5 THEN 'both' WHEN c_acctbal > 5000 THEN 'balance' ELSE 'orders' END AS origin FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey WHERE c_acctbal > 5000 OR n > 5",
@@ -389,6 +398,22 @@ def business_day_math(spark, sf_dir):
     ))
 
 
+@query(
+    "T6",
+    "WITH y AS (SELECT unnest(generate_series(min(year(o_orderdate)) + 19, max(year(o_orderdate)) + 26)) AS year FROM orders), m AS (SELECT year, unnest(generate_series(1, 12)) AS month FROM y),"
+    " g AS (SELECT *, make_date(CASE WHEN month = 12 THEN year + 1 ELSE year END, CASE WHEN month = 12 THEN 1 ELSE month + 1 END, 15) AS nxt FROM m)"
+    " SELECT CAST(year AS INT) AS year, CAST(month AS INT) AS month, coalesce(day, strftime(nxt + ((5 - isodow(nxt) + 7) % 7)::INT - 30, '%Y-%m-%d')) AS contract_expiry, (day IS NOT NULL)::INT AS moved"
+    " FROM g LEFT JOIN (VALUES (2014, 3, '2014-03-18'), (2019, 3, '2019-03-19'), (2022, 3, '2022-03-15'), (2024, 6, '2024-06-18'), (2025, 3, '2025-03-18'), (2026, 5, '2026-05-19')) v(year, month, day) USING (year, month)",
+)
+def moved_expiries(spark, sf_dir):
+    """Contract expiries of the years for which moved dates are recorded: the orders' years, 19 years on."""
+    later = table(spark, sf_dir, "orders").select(F.add_months("o_orderdate", 12 * 19).alias("d"))
+    months = C.months_between(later, "d", years_after=7)
+    rule = months.select("year", "month", D.contract_expiry("year", "month").alias("by_rule"))
+    out = C.expiry_table(months).join(rule, ["year", "month"])
+    return shaped(out.select("year", "month", F.col("expiry_date").alias("contract_expiry"), (F.col("expiry_date") != F.col("by_rule")).cast("int").alias("moved")))
+
+
 @query(
     "T4 T5 T6 T7",
     "WITH y AS (SELECT unnest(generate_series(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS year FROM orders), m AS (SELECT year, unnest(generate_series(1, 12)) AS month FROM y),"

@@ -8,8 +8,8 @@ from tidegrid.functions import rolling as R
 from tidegrid.operators import calendar as C
 from tidegrid.operators import scan as SC
 from tidegrid.plans import assembly as AS
-from tidegrid.plans import meta as ME
 from tidegrid.plans import price as PR
+from tidegrid.plans import regimes as RG
 from tidegrid.queries import packs as PK
 from tidegrid.queries import sqlgen as S
 from tidegrid.queries.frames import AX, market, market_sql, table
@@ -82,10 +82,22 @@ def part_series_features(spark, sf_dir):
 _EV_SQL = _COHORT.done("SELECT * FROM {prev}").replace("CAST(o_orderdate AS DATE) AS ts FROM orders", "CAST(l_shipdate AS DATE) AS ts FROM lineitem").replace(
     "min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS year FROM orders", "min(year(l_shipdate)), max(year(l_shipdate)) + 1)) AS year FROM lineitem"
 )
-_PROD = {short + "_x_" + k: f"coalesce({feat} * {p}, 0)" for feat, (short, pairs) in ME.EVENT_PRODUCTS.items() for k, p in pairs.items() if feat not in ("vx1_vx2_spread", "hy_spread", "vix_regime")}
-_F30 = candle_steps(price_steps(level_steps(S.Steps(market_sql(["vix", "skew"]))))).raw(
+# The products of market features with event proximity, spelled out for the SQL.
+_PROD = {
+    "vix_vel_x_fomc_prox": "vix_velocity_5d * fomc_proximity", "vix_vel_x_fomc_pre": "vix_velocity_5d * fomc_pre_period", "vix_vel_x_fomc_post": "vix_velocity_5d * fomc_post_period", "vix_vel_x_opex_prox": "vix_velocity_5d * opex_proximity",
+    "vix_vel_x_earnings": "vix_velocity_5d * earnings_intensity_norm", "vix_vel_x_macro_event": "vix_velocity_5d * macro_event_intensity", "vix_x_fomc_prox": "vix * fomc_proximity", "vix_x_opex_prox": "vix * opex_proximity", "vix_x_earnings": "vix * earnings_intensity_norm",
+    "vx_spread_x_opex_prox": "vx1_vx2_spread * opex_proximity", "vx_spread_x_opex_week": "vx1_vx2_spread * opex_week_intensity", "vx_spread_x_vix_expiry": "vx1_vx2_spread * vix_expiry_proximity",
+    "spx_gap_x_fomc_post": "spx_gap * fomc_post_period", "spx_gap_x_macro_event": "spx_gap * macro_event_intensity", "spx_rv_x_earnings": "spx_realized_vol_21d * earnings_intensity_norm", "spx_rv_x_fomc_prox": "spx_realized_vol_21d * fomc_proximity",
+    "risk_premium_x_fomc_pre": "risk_premium * fomc_pre_period", "risk_premium_x_fomc_post": "risk_premium * fomc_post_period", "risk_premium_x_opex": "risk_premium * opex_proximity",
+    "skew_x_fomc_prox": "skew * fomc_proximity", "skew_x_fomc_pre": "skew * fomc_pre_period", "skew_x_macro_event": "skew * macro_event_intensity", "spx_mom_x_earnings": "spx_ret_5d * earnings_intensity_norm", "spx_mom_x_fomc_post": "spx_ret_5d * fomc_post_period",
+    "vix_accel_x_fomc_prox": "vix_accel_5d * fomc_proximity", "vix_accel_x_opex_prox": "vix_accel_5d * opex_proximity", "vix_vol_x_opex_week": "vix_vol_21d * opex_week_intensity", "vix_vol_x_vix_expiry": "vix_vol_21d * vix_expiry_proximity",
+    "hy_spread_x_fomc_prox": "hy_spread * fomc_proximity", "hy_spread_x_macro_event": "hy_spread * macro_event_intensity", "regime_x_fomc_prox": "vix_regime * fomc_proximity", "regime_x_opex_prox": "vix_regime * opex_proximity", "regime_x_earnings": "vix_regime * earnings_intensity_norm",
+}
+_F30 = candle_steps(price_steps(level_steps(S.Steps(market_sql(["vix", "skew", "vix3m", "hy"]))))).raw(
     "SELECT p.*, " + ", ".join(f"e.{c}" for c in _PROX_COLS) + f" FROM {{prev}} p JOIN ({_EV_SQL}) e ON e.ts = p.ts"
-).add(risk_premium="vix - spx_realized_vol_21d").add(**_PROD, vix_vel_abs_x_multi_event="coalesce(abs(vix_velocity_5d) * multi_event_stress, 0)")
+).add(risk_premium="vix - spx_realized_vol_21d", vx1_vx2_spread="vix - vix3m", hy_spread="hy * 2", vix_regime=S.cut("vix", [0, 15.57, 23.36, 31.16, 100], lowest=True)).add(
+    **{k: f"coalesce({v}, 0)" for k, v in _PROD.items()}, vix_vel_abs_x_multi_event="coalesce(abs(vix_velocity_5d) * multi_event_stress, 0)"
+)
 _F30D = [*_PROD, "vix_vel_abs_x_multi_event"]
 
 
@@ -95,7 +107,9 @@ def meetings(spark, sf_dir):
 
 @query("F30 T11", _F30.out(_F30D))
 def pack_event_products(spark, sf_dir):
-    df = PR.candle_features(PR.price_features(PR.level_features(market(spark, sf_dir, ["vix", "skew"]), AX), AX), AX)
+    """All twelve families; futures spread and credit spread are stood in for by two levels and a scaled one."""
+    df = PR.candle_features(PR.price_features(PR.level_features(market(spark, sf_dir, ["vix", "skew", "vix3m", "hy"]), AX), AX), AX)
+    df = RG.regime_pack(df.withColumns({"vx1_vx2_spread": F.col("vix") - F.col("vix3m"), "hy_spread": F.col("hy") * 2}), AX)
     return shaped(AS.event_features(df, AX, meetings(spark, sf_dir)), ID + _F30D)
 
 

@@ -57,12 +57,12 @@ def read_observations(spark: SparkSession, path: str, missing: str = ".") -> Dat
 
 
 def read_contract_files(spark: SparkSession, folder: str, root: str = "VX") -> DataFrame:
-    """Every ``{root}_{code}_{expiry}.csv`` of a folder in one scan; code and expiry come from the
-    file name."""
+    """Every ``{root}_{code}_{expiry}.csv`` of a folder in one scan, be it a file or, as Spark writes it, a folder of
+    parts (``contract={root}_{code}_{expiry}.csv``); code and expiry come from that name. Other files give no rows."""
     schema = T.StructType([T.StructField(h, T.StringType()) for h in CONTRACT_HEADER])
-    raw = spark.read.csv(folder, schema=schema, header=True, mode="PERMISSIVE", pathGlobFilter=f"{root}_*.csv")
-    name = F.col("_metadata.file_name")
-    pattern = rf"^{root}_([A-Z]\d)_(\d{{4}}-\d{{2}}-\d{{2}})\.csv$"
+    raw = spark.read.csv(folder, schema=schema, header=True, mode="PERMISSIVE", pathGlobFilter="*.csv", recursiveFileLookup=True)
+    name = F.col("_metadata.file_path")
+    pattern = rf"[/=]{root}_([A-Z]\d)_(\d{{4}}-\d{{2}}-\d{{2}})\.csv(?:/[^/]+\.csv)?$"
     cols = [number_text(f"`{h}`").alias(n) for h, n in CONTRACT_HEADER.items() if n != "ts"]
     out = raw.select(F.regexp_extract(name, pattern, 1).alias("contract_code"), F.regexp_extract(name, pattern, 2).try_cast("date").alias("expiry_date"), parse_day("`Trade Date`").alias("ts"), *cols)
     return out.filter(F.col("ts").isNotNull() & F.col("expiry_date").isNotNull())
