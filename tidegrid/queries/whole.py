@@ -14,7 +14,7 @@ from tidegrid.queries import packs as PK
 from tidegrid.queries import sqlgen as S
 from tidegrid.queries.frames import AX, market, market_sql, table
 from tidegrid.queries.packs import candle_steps, level_steps, price_steps
-from tidegrid.queries.registry import query, shaped
+from tidegrid.queries.registry import REGISTRY, query, shaped
 from tidegrid.queries.sourcing import fresh_folder
 from tidegrid.queries.tables import _COHORT, _PROX_COLS
 from tidegrid.session import stored
@@ -133,20 +133,76 @@ def matrix_commodity_columns(spark, sf_dir):
 
 
 _q31 = ["vix", "close", "p21", "rv"]
+_AGES = {"skew": "day(ts) % 9", "dxy": "day(ts)"}  # days since the last update, as the SQL says it
+
+
+def _aged(c: str, age: str, lag: int) -> str:
+    late = f"({age} - {lag})"
+    return f"CASE WHEN {c} IS NULL THEN 0.5 WHEN {late} <= 0 THEN 1 WHEN {late} <= 3 THEN 0.95 WHEN {late} <= 7 THEN 0.8 WHEN {late} <= 14 THEN 0.5 ELSE 0.2 END"
 
 
 @query(
-    "F31 V6 F26",
+    "F31 V6 V7 F26",
     S.Steps(market_sql(["vix", "skew", "y10y", "y2y", "dxy"])).add(sr=S.pct("close", 1), p21=S.pct_below("vix", 21)).add(rv=S.rvol("sr", 21)).add(
-        feature_quality="(" + " + ".join(f"({c} IS NOT NULL)::INT" for c in _q31) + " + 0.5 + CASE WHEN skew IS NULL THEN 0.5 ELSE 1 END + CASE WHEN y10y - y2y IS NULL THEN 0.5 ELSE 1 END + CASE WHEN dxy IS NULL THEN 0.5 ELSE 1 END + 2.7) / 11.0",
+        feature_quality="(" + " + ".join(f"({c} IS NOT NULL)::INT" for c in _q31) + f" + 0.5 + {_aged('skew', _AGES['skew'], 1)} + CASE WHEN y10y - y2y IS NULL THEN 0.5 ELSE 1 END + {_aged('dxy', _AGES['dxy'], 0)} + 2.7) / 11.0",
         vix_percentile_21d="p21", spx_realized_vol_21d="rv", yield_10y2y="y10y - y2y",
     ).out(["vix", "vix_percentile_21d", "spx_realized_vol_21d", "yield_10y2y", "feature_quality"]),
 )
 def feature_matrix(spark, sf_dir):
-    out = AS.feature_matrix(whole_market(spark, sf_dir), AX, meetings(spark, sf_dir))
+    """Quality of each row with the age of two of its features."""
+    ages = {"skew": F.dayofmonth("ts") % 9, "dxy": F.dayofmonth("ts")}
+    out = AS.feature_matrix(whole_market(spark, sf_dir), AX, meetings(spark, sf_dir), ages, {"skew": 1})
     return shaped(out, ID + ["vix", "vix_percentile_21d", "spx_realized_vol_21d", "yield_10y2y", "feature_quality"])
 
 
+# Columns of packs that the matrix has otherwise or not at all, and columns of the matrix that no pack's SQL has.
+_OTHERWISE = {
+    "pack_tail_regime": ("skew_percentile_63d", "skew_percentile_252d"), "pack_macro_and_spread": ("gold_zscore_63d", "gold_ret_10d", "gold_ret_21d", "gold_ret_63d", "cpi_lag1", "cpi_zscore_63d", "cpi_change_10d", "cpi_change_21d", "cpi_change_63d"),
+    "pack_interactions": ("credit_vol_divergence",),  # ranks of z-scores, which flip with the last bit of their input
+    "pack_event_products": ("vx_spread_x_opex_prox", "vx_spread_x_opex_week", "vx_spread_x_vix_expiry", "hy_spread_x_fomc_prox", "hy_spread_x_macro_event"), "pack_futures_curve": None,
+}
+_UNSAID = (
+    "feature_quality", "credit_vol_divergence", "hy_spread_x_fomc_prox", "hy_spread_x_macro_event", "risk_premium", "crude_oil_vol_21d_log", "regime_run", "skew_regime_run", "joint_regime_run", "vix_skew_correlation_breakdown", "vix_skew_correlation_regime", "initial_claims",
+    "rsi_14", "rsi_regime", "rsi_divergence", "macd", "macd_signal", "macd_histogram", "adx_14", *[f"gvz_{k}_{w}d" for k in ("ret", "velocity") for w in (5, 10, 21)],
+    "days_to_meeting", "days_to_opex", "days_to_futures", "is_minutes", "is_cpi", "is_pce", "earnings_intensity", "cohort_weight", "is_fomc_period", "is_opex_week", "is_earnings_heavy", "month", "day_of_week", "day_of_month",
+)
+
+
+#: Places that the packs' SQL gives, where it is not six.
+_DIGITS = {4: tuple(PK._F9D + PK._F10D), 9: tuple(c for c in PK._RATIOS if c != "vvix_vix_ratio")}
+
+
+def _long(sql: str, drop: tuple[str, ...] = ()) -> str:
+    gone = ", ".join(("series_id", "ts", *drop))
+    return f"SELECT series_id, ts, feature, value FROM (UNPIVOT (SELECT series_id, CAST(ts AS DATE) AS ts, TRY_CAST(COLUMNS(* EXCLUDE ({gone})) AS DOUBLE) FROM ({sql})) ON COLUMNS(* EXCLUDE (series_id, ts)) INTO NAME feature VALUE value)"
+
+
+def _every_column() -> str:
+    parts = [_long(f"SELECT *, (crude - copper) / 10 AS cl_spread FROM ({market_sql(_ALL)})")]
+    parts += [_long(q.sql, _OTHERWISE.get(n, ())) for n, q in sorted(REGISTRY.items()) if n.startswith("pack_") and _OTHERWISE.get(n, ()) is not None]
+    parts.append(_long(f"SELECT m.series_id, m.ts, {', '.join(f'e.{c}' for c in _PROX_COLS)} FROM ({market_sql([])}) m JOIN ({_EV_SQL}) e ON e.ts = m.ts"))
+    digits = "CASE " + " ".join(f"WHEN feature IN ({', '.join(chr(39) + c + chr(39) for c in names)}) THEN round(value, {n})" for n, names in _DIGITS.items()) + " ELSE round(value, 6) END"
+    exact = f"CAST({digits} AS DECIMAL(38, 9))"
+    return (
+        f"SELECT feature, count(*) AS known, CAST(sum({exact}) AS VARCHAR) AS total, CAST(sum({exact} * (ts - DATE '1970-01-01')) AS VARCHAR) AS by_day"
+        f" FROM (SELECT DISTINCT * FROM ({' UNION ALL '.join(parts)})) GROUP BY 1"
+    )
+
+
+@query("F31 F1 F2 F3 F4 F5 F6 F7 F8 F9 F10 F11 F12 F14 F16 F17 F18 F19 F26 F27 F30", _every_column())
+def feature_matrix_columns(spark, sf_dir):
+    """Every column of the whole matrix against the SQL of its pack: known cells, and exact sums of the rounded
+    cells, plain and weighted by day."""
+    out = AS.feature_matrix(whole_market(spark, sf_dir), AX, meetings(spark, sf_dir))
+    cols = [f.name for f in out.schema.fields if f.dataType.typeName() in ("double", "integer", "long") and f.name not in _UNSAID]
+    wide = stored(out.select("ts", *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]), "matrix")  # one wide pass, one long one
+    long = wide.unpivot(["ts"], cols, "feature", "value").filter("value IS NOT NULL")
+    rounded = F.when(F.col("feature").isin(*_DIGITS[4]), F.round("value", 4)).when(F.col("feature").isin(*_DIGITS[9]), F.round("value", 9)).otherwise(F.round("value", 6))
+    exact = rounded.cast("decimal(20,9)")
+    day = F.datediff("ts", F.lit("1970-01-01").cast("date"))
+    return long.groupBy("feature").agg(F.count("value").alias("known"), F.sum(exact).cast("decimal(38,9)").cast("string").alias("total"), F.sum(exact * day).cast("decimal(38,9)").cast("string").alias("by_day"))
+
+
 @query("F31 F32 A9")
 def feature_matrix_profile(spark, sf_dir):
     """Known share and mean of every feature of the full matrix."""
