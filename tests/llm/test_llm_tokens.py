@@ -234,7 +234,7 @@ def by_hand(docs, vocab, rounds):
             w1, w2, w3 = flat[i - 1], flat[i - 2], flat[i - 3]
             h = lambda k, *c: int(maxent._mix(k, *[np.array([x], np.uint32) for x in c])[0])
             c = int(s.class_of(np.array([w]))[0])
-            feats = [h(1, w1) % s.class_rows, h(2, w1, w2) % s.class_rows, h(3, w2) % s.class_rows, h(4, w3) % s.class_rows]
+            feats = [int(f[0]) for f in maxent.class_features(*[np.array([x], np.uint32) for x in (w1, w2, w3)], s)]
             yield w, c, feats, c * each + h(5, w1) % each if w < s.frequent else None
 
     def soft(bias, rows):

@@ -105,11 +105,12 @@ class Sizes:
 
 
 def sizes_for(tokens: int, distinct: int) -> Sizes:
-    """In a class, a half to a whole sixteenth of the root of the distinct tokens (32 to 2,048); 1.3 to 2.6 times the root
-    of all tokens as rows of the class softmax (2^14 to 2^19), and half as many weights for words. A task holds them
-    and their sums: 3 MB of weights for 10^8 tokens, 100 MB from 10^11 on."""
+    """In a class, a sixteenth to an eighth of the root of the distinct tokens (32 to 2,048). As rows of the class softmax some
+    16 times the root of all tokens up to 2^15, and from there on 1.3 to 2.6 times the root (up to 2^19); half as
+    many weights for words. A task holds them and their sums: 6 MB of weights for 10^8 tokens, 100 MB from 10^11 on."""
     power = lambda x, lo, hi: 1 << min(hi, max(lo, math.ceil(math.log2(max(x, 1)))))
-    words, rows = power(math.sqrt(distinct) / 32, 5, 11), power(1.3 * math.sqrt(tokens), 14, 19)
+    words = power(math.sqrt(distinct) / 16, 5, 11)
+    rows = max(power(max(min(16 * math.sqrt(tokens), 1 << 15), 1.3 * math.sqrt(tokens)), 14, 19), 8 * GROUPS * words)
     return Sizes(words, rows, max(64 * GROUPS, rows * CLASSES // 2 // words))
 
 
@@ -224,6 +225,16 @@ def _mix(kind: int, *codes: np.ndarray) -> np.ndarray:
     return h
 
 
+def class_features(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, sizes: Sizes) -> list[np.ndarray]:
+    """Rows of the token before, of the two before, and with skips of the second and the third before. Single frequent tokens
+    have rows of their own; rare ones share a quarter of the rest by hash, pairs what is left."""
+    own, rest = sizes.frequent, sizes.class_rows - 3 * sizes.frequent
+    few = rest // 4
+    one = [np.where(w < own, k * own + w, 3 * own + _mix(k, w) % np.uint32(few)) for k, w in enumerate((w1, w2, w3))]
+    pair = 3 * own + few + _mix(5, w1, w2) % np.uint32(rest - few)
+    return [x.astype(np.int64) for x in (one[0], pair, one[1], one[2])]
+
+
 def batches_of(codes: list[bytes], sizes: Sizes):
     """(document of each token, token, class, features, frequent tokens, their word feature) of up to 32k tokens at a time.
 
@@ -245,7 +256,7 @@ def batches_of(codes: list[bytes], sizes: Sizes):
             at = pos[a : a + 2 * _TOKENS]
             w, w1, w2, w3 = flat[at], flat[at - 1], flat[at - 2], flat[at - 3]
             cls = sizes.class_of(w)
-            feats = [_mix(k, *c) % np.uint32(sizes.class_rows) for k, c in ((1, (w1,)), (2, (w1, w2)), (3, (w2,)), (4, (w3,)))]
+            feats = class_features(w1, w2, w3, sizes)
             inner = np.flatnonzero(w < sizes.frequent)
             each = sizes.word_rows // GROUPS
             word = cls[inner] * each + _mix(5, w1[inner]) % np.uint32(each)
