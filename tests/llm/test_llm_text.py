@@ -213,7 +213,7 @@ def test_mixing_by_labels(spark):
     rows, domains, gap = mixing.mix(docs, mixing.domain_labels(labels), {"good": 0.9, "toxic": 0.1})
     assert len(gap) == 2 and max(map(abs, gap)) < 0.05
     assert domains == ["good", "toxic"]
-    got = rows.toPandas().set_index("doc_id")
+    got = rows.toPandas().set_index("doc_id").sort_index()
     late = got.loc[120:199]
     assert ((late.p1 > 0.5) == (late.index % 4 == 0)).all()
     assert late.rate[late.p1 > 0.5].max() < late.rate[late.p1 < 0.5].min()
@@ -294,6 +294,18 @@ def test_posteriors_against_naive_bayes_by_hand(spark):
         mixing.mix(table(spark, texts), labels, {}, keep=("n_tokens",))
 
 
+def test_signs_beyond_their_slots(spark, monkeypatch):
+    """With few slots most signs take the join; the posteriors stay."""
+    rng = np.random.default_rng(14)
+    texts = [" ".join(rng.choice([f"{'b' if i % 2 else 'f'}{k}" for k in range(60)], 12)) for i in range(160)]
+    labels = spark.createDataFrame([(i, "toxic" if i % 2 else "good") for i in range(120)], "doc_id long, domain string")
+    some = mixing.posteriors(table(spark, texts), labels)[0].orderBy("doc_id").toPandas()
+    monkeypatch.setattr(mixing, "SLOTS", 8)
+    few = mixing.posteriors(table(spark, texts), labels)[0].orderBy("doc_id").toPandas()
+    np.testing.assert_allclose(few[["p0", "p1"]], some[["p0", "p1"]], atol=1e-12)
+    assert ((some.p1 > 0.5) == (some.doc_id % 2 == 1)).all()
+
+
 def test_bit_filter_holds_all_and_little_else(spark):
     some = spark.range(3000).select(F.xxhash64("id").alias("h"))
     bits, size = mixing.bit_filter(some, "h")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import stage
 
-HOT = 1 << 16  # most common telling signs, which are broadcast (4 MB); all others meet their weights by a join
+SLOTS = 1 << 17  # of the table of common telling signs that every task holds (1 MB and 1 MB a domain); all others meet their weights by a join
 MIN_DOCS = 5  # labelled documents that hold a sign at least
 SMOOTH = 1.0
 FOLDS = 5  # the heat is chosen on one of so many parts of the labelled documents, by weights of the others
@@ -76,18 +76,30 @@ class Classifier:
         """rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain (``part``: by the weights
         without the first fold); ``held`` is an array of distinct hashes, ``__row`` numbers the rows.
 
-        The HOT most common signs are summed by row in the task that holds the row; all others meet the
-        table of weights by hash, where no sign is common."""
+        The most common sign of each slot, by its hash's low bits, is looked up and summed inside the row; the others
+        that may tell meet the table of weights by hash, where no sign is common."""
         k = range(len(self.domains))
         add = [f"__{'b' if part else 'g'}{i}" for i in k]
-        hot = stage(self.weights.orderBy(F.col("n").desc(), "__h").limit(HOT).select("__h", *add), "hot")
-        cold = stage(self.weights.join(F.broadcast(hot.select("__h")), "__h", "left_anti").select("__h", *add), "cold")
-        each = rows.select("__row", F.explode(held).alias("__h"))
-        near = each.join(F.broadcast(hot), "__h").select("__row", *add)
-        far = each.join(F.broadcast(hot.select("__h")), "__h", "left_anti").join(cold.hint("merge"), "__h").select("__row", *add)
-        sums = near.unionByName(far).groupBy("__row").agg(*(F.sum(c).alias(f"{c}s") for c in add))
-        met = rows.drop(held).join(stage(sums, "sums").hint("merge"), "__row", "left")  # in the order of the rows
-        logs = [(F.lit(x) + F.coalesce(f"{c}s", F.lit(0.0))).alias(f"z{i}") for i, (c, x) in enumerate(zip(add, self.absent_part if part else self.absent))]
+        slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+        first = self.weights.groupBy(slot(F.col("__h")).alias("slot")).agg(F.max_by(F.struct("__h", *add), F.struct("n", "__h")).alias("w"))
+        empty = rows.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
+        full = empty.join(first, "slot", "left").select("slot", *[F.coalesce(f"w.{c}", F.lit(0)).alias(c) for c in ("__h", *add)])
+        table = stage(full.agg(F.sort_array(F.collect_list(F.struct("slot", "__h", *add))).alias("t")).select(*[F.col(f"t.{c}").alias(c) for c in ("__h", *add)]), "slots")
+        here = rows
+        for c in ("__h", *add):
+            here = here.withColumn(f"__t{c}", table.select(c).scalar())
+        known = lambda h: F.element_at("__t__h", slot(h) + 1) == h
+
+        def summed(c: str) -> Column:
+            return F.aggregate(F.filter(held, known), F.lit(0.0), lambda a, h: a + F.element_at(f"__t{c}", slot(h) + 1))
+
+        near = [summed(c).alias(f"{c}n") for c in add]
+        here = stage(here.select(*(c for c in rows.columns if c != held), *near, F.filter(held, lambda h: ~known(h)).alias("__rest")), "near")
+        cold = self.weights.join(first.select("w.__h"), "__h", "left_anti").select("__h", *add)
+        far = here.select("__row", F.explode("__rest").alias("__h")).join(stage(cold, "cold").hint("merge"), "__h")
+        sums = far.groupBy("__row").agg(*(F.sum(c).alias(f"{c}f") for c in add))
+        met = here.drop("__rest").join(stage(sums, "sums").hint("merge"), "__row", "left")  # in the order of the rows
+        logs = [(F.lit(x) + F.col(f"{c}n") + F.coalesce(f"{c}f", F.lit(0.0))).alias(f"z{i}") for i, (c, x) in enumerate(zip(add, self.absent_part if part else self.absent))]
         return met.select(*(c for c in rows.columns if c not in (held, "__row")), *logs)
 
 
