@@ -105,11 +105,11 @@ class Sizes:
 
 
 def sizes_for(tokens: int, distinct: int) -> Sizes:
-    """In a class, a sixteenth to an eighth of the root of the distinct tokens (32 to 2,048). As rows of the class softmax some
+    """In a class, a thirty-second to a sixteenth of the root of the distinct tokens (32 to 2,048). As rows of the class softmax some
     16 times the root of all tokens up to 2^15, and from there on 1.3 to 2.6 times the root (up to 2^19); half as
     many weights for words. A task holds them and their sums: 6 MB of weights for 10^8 tokens, 100 MB from 10^11 on."""
     power = lambda x, lo, hi: 1 << min(hi, max(lo, math.ceil(math.log2(max(x, 1)))))
-    words = power(math.sqrt(distinct) / 16, 5, 11)
+    words = power(math.sqrt(distinct) / 32, 5, 11)
     rows = max(power(max(min(16 * math.sqrt(tokens), 1 << 15), 1.3 * math.sqrt(tokens)), 14, 19), 8 * GROUPS * words)
     return Sizes(words, rows, max(64 * GROUPS, rows * CLASSES // 2 // words))
 
