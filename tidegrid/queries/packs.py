@@ -391,7 +391,7 @@ def pack_cross_asset(spark, sf_dir):
     from tidegrid.functions import rolling as R
 
     df = VO.cross_asset(market(spark, sf_dir, _X), AX)
-    df = df.withColumns({"dxy_percentile_252d": VO.half_rank("dxy", 252, AX), **{f"{c}_ret_21d": R.pct_change(c, 21, AX) for c in ("dxy", "copper", "gold")}})
+    df = R.with_columns(df, {"dxy_percentile_252d": VO.half_rank("dxy", 252, AX), **{f"{c}_ret_21d": R.pct_change(c, 21, AX) for c in ("dxy", "copper", "gold")}})
     return shaped(VO.commodity_regimes(df), ID + _F19D + _F19I)
 
 
