@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECES = 800_000  # encoded parts that a worker remembers
+PIECES = 800_000  # encoded runs and parts of plain texts that a worker remembers
 RUNS = 100_000  # encoded runs between blanks, of texts that are not plain
 LONG = 1 << 16  # characters from which a text is cut where a blank parts two letters or digits
 
@@ -26,8 +27,9 @@ _MEMORY: dict[tuple[str, bool], Encoder] = {}
 class Encoder:
     """ids of the ``tokenizers`` library for whole texts, as little-endian 32-bit bytes.
 
-    A plain text, of ASCII and Latin-1 letters, is parted here as the vocabulary's own pattern does and its
-    parts are given to the library's model, each once. Of any other text, the runs between single blanks go
+    A plain text, of ASCII and Latin-1 letters, is taken run by run, as blanks and line ends part it; each run is
+    parted here once, as the vocabulary's own pattern does, and its parts are given to the library's model.
+    Where white space meets white space, whole texts are parted in that way. Of any other text, the runs between single blanks go
     through the whole library, each once, since no pattern joins characters over such a blank; ``spaced``: a
     run takes the blank before it along (byte-level vocabularies), else white space is dropped. Texts with
     other white space, and vocabularies that part text in another way, are encoded by plain calls."""
@@ -36,7 +38,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.known, self.parts = Tokenizer.from_file(path), spaced, {}, {}
+        self.tokenizer, self.spaced, self.known, self.runs, self.parts = Tokenizer.from_file(path), spaced, {}, {}, {}
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.direct = self._parts_as_expected(made.get("normalizer"), made.get("pre_tokenizer") or {})
@@ -52,18 +54,70 @@ class Encoder:
         return kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == _WORD_PATTERN and not steps[1].get("use_regex", True) and not steps[1].get("add_prefix_space", True)
 
     def _plain(self, text: str) -> bytes:
-        """Ids of a plain text, part by part."""
-        found = _SPLIT_SPACED.findall(text) if self.spaced else _SPLIT_WORDS.findall(text.lower())
+        """Ids of a plain text, run by run; of one with other white space than single blanks, part by part."""
+        if self.spaced:
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = "\0" + keys[0]  # the first run has no blank before it
+        else:
+            keys = text.lower().split()
+        get = self.runs.get
+        try:
+            return b"".join(map(get, keys))
+        except TypeError:  # a run that is not known, or known to have other white space
+            new = {k for k in keys if k not in self.runs}
+        if new:
+            if self._crowded(len(new)):
+                new = set(keys)
+            for k in new:
+                self.runs[k] = self._run(k)
+        got = list(map(get, keys))
+        return b"".join(map(self._by_parts, self._cut(text))) if None in got else b"".join(got)
+
+    def _crowded(self, new: int) -> bool:
+        """Forgets all that is remembered if so much more is too much."""
+        if len(self.runs) + len(self.parts) + new <= PIECES:
+            return False
+        self.runs.clear()
+        self.parts.clear()
+        return True
+
+    def _run(self, key: str) -> bytes | None:
+        """Ids of a run with what stands before it: a line end, nothing, or else (``spaced``) a blank."""
+        if not self.spaced:
+            text = key
+        elif key[:1] in ("\0", "\n"):
+            body, text = key[1:], key if key[0] == "\n" else key[1:]
+        else:
+            body, text = key, " " + key
+        if self.spaced and body.split() != [body]:
+            return None
+        found = (_SPLIT_SPACED if self.spaced else _SPLIT_WORDS).findall(text)
+        return self._ids(text) if len(found) == 1 else b"".join(map(self._part, found))
+
+    def _part(self, p: str) -> bytes:
+        held, key = (self.runs, p[1:]) if self.spaced and p[0] == " " else (self.parts, p)
+        ids = held.get(key)
+        if ids is None:
+            ids = held[key] = self._ids(p)
+        return ids
+
+    def _ids(self, p: str) -> bytes:
+        if p.isascii() and p.isprintable():  # all but the blank stand for themselves
+            bytes_shown = p.replace(" ", self.shown[32])
+        else:
+            bytes_shown = p.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(bytes_shown)]).tobytes()
+
+    def _by_parts(self, text: str) -> bytes:
+        found = _SPLIT_SPACED.findall(text)
         get = self.parts.get
         got = list(map(get, found))
         if None in got:
             new = {p for p, ids in zip(found, got) if ids is None}
-            if len(self.parts) + len(new) > PIECES:
-                self.parts.clear()
+            if self._crowded(len(new)):
                 new = set(found)
-            model, shown = self.tokenizer.model, self.shown
             for p in new:
-                self.parts[p] = np.array([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))], "<u4").tobytes()
+                self.parts[p] = self._ids(p)
             got = list(map(get, found))
         return b"".join(got)
 
@@ -85,6 +139,8 @@ class Encoder:
     def _keys(self, text: str) -> list[str]:
         if not self.spaced:
             return ["\n"] if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if " \r" in text:  # looks like the mark of the first run
+            return ["\n"]
         keys = text.replace("\n", " \n").split(" ")
         keys[0] = "\r" + keys[0]  # the first run has no blank before it
         return keys
@@ -108,7 +164,7 @@ class Encoder:
                 yield b""
                 continue
             if self.direct and "<|" not in text and _PLAIN.fullmatch(text):
-                yield b"".join(map(self._plain, self._cut(text)))
+                yield self._plain(text)
                 continue
             keys = self._keys(text)
             got = list(map(known.get, keys))
