@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.llm.common import stage
 
-SLOTS = 1 << 17  # of the table of common telling signs that every task holds (1 MB and 1 MB a domain); all others meet their weights by a join
+SLOTS = 1 << 17  # of each of two tables of common telling signs that every task holds (4 MB and 2 MB a domain); all others meet their weights by a join
 MIN_DOCS = 5  # labelled documents that hold a sign at least
 SMOOTH = 1.0
 FOLDS = 5  # the heat is chosen on one of so many parts of the labelled documents, by weights of the others
@@ -72,34 +72,33 @@ class Classifier:
         64-bit hash of the sign. Its rows grow with the labelled documents."""
         self.domains, self.share, self.absent, self.absent_part, self.weights = domains, share, absent, absent_part, weights
 
-    def score(self, rows: DataFrame, held: str, part: bool = False) -> DataFrame:
-        """rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain (``part``: by the weights
-        without the first fold); ``held`` is an array of distinct hashes, ``__row`` numbers the rows.
+    def score(self, rows: DataFrame, held: str) -> DataFrame:
+        """rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain, and y0.., that by the weights
+        without the first fold; ``held`` is an array of distinct hashes, at least one, ``__row`` numbers the rows.
 
-        The most common sign of each slot, by its hash's low bits, is looked up and summed inside the row; the others
-        that may tell meet the table of weights by hash, where no sign is common."""
+        A sign's weights are looked up in two tables of slots that every task holds: the most common sign of each slot by
+        the low bits of its hash, and of those left out by the bits above. Signs left out of both meet a table of
+        weights by hash, where no sign is common. All are summed by row at once."""
         k = range(len(self.domains))
-        add = [f"__{'b' if part else 'g'}{i}" for i in k]
-        slot = lambda h: h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-        first = self.weights.groupBy(slot(F.col("__h")).alias("slot")).agg(F.max_by(F.struct("__h", *add), F.struct("n", "__h")).alias("w"))
-        empty = rows.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
-        full = empty.join(first, "slot", "left").select("slot", *[F.coalesce(f"w.{c}", F.lit(0)).alias(c) for c in ("__h", *add)])
-        table = stage(full.agg(F.sort_array(F.collect_list(F.struct("slot", "__h", *add))).alias("t")).select(*[F.col(f"t.{c}").alias(c) for c in ("__h", *add)]), "slots")
-        here = rows
-        for c in ("__h", *add):
-            here = here.withColumn(f"__t{c}", table.select(c).scalar())
-        known = lambda h: F.element_at("__t__h", slot(h) + 1) == h
-
-        def summed(c: str) -> Column:
-            return F.aggregate(F.filter(held, known), F.lit(0.0), lambda a, h: a + F.element_at(f"__t{c}", slot(h) + 1))
-
-        near = [summed(c).alias(f"{c}n") for c in add]
-        here = stage(here.select(*(c for c in rows.columns if c != held), *near, F.filter(held, lambda h: ~known(h)).alias("__rest")), "near")
-        cold = self.weights.join(first.select("w.__h"), "__h", "left_anti").select("__h", *add)
-        far = here.select("__row", F.explode("__rest").alias("__h")).join(stage(cold, "cold").hint("merge"), "__h")
-        sums = far.groupBy("__row").agg(*(F.sum(c).alias(f"{c}f") for c in add))
-        met = here.drop("__rest").join(stage(sums, "sums").hint("merge"), "__row", "left")  # in the order of the rows
-        logs = [(F.lit(x) + F.col(f"{c}n") + F.coalesce(f"{c}f", F.lit(0.0))).alias(f"z{i}") for i, (c, x) in enumerate(zip(add, self.absent_part if part else self.absent))]
+        add = [f"__{c}{i}" for c in "gb" for i in k]
+        each = rows.select("__row", F.explode(held).alias("__h"))
+        rest, here = self.weights, each
+        for table, shift in (("__one", 0), ("__two", SLOTS.bit_length() - 1)):
+            slot = lambda h: F.shiftright(h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")  # noqa: B023, E731
+            first = rest.groupBy(slot(F.col("__h")).alias("slot")).agg(F.max_by(F.struct("__h", *add), F.struct("n", "__h")).alias("w"))
+            empty = rows.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
+            full = empty.join(first, "slot", "left").select(F.struct("slot", "w.__h", *(f"w.{c}" for c in add)).alias("s"))
+            slots = stage(full.agg(F.sort_array(F.collect_list("s")).alias("t")), "slots")
+            here = here.withColumn(table, F.element_at(slots.scalar(), slot(F.col("__h")) + 1))
+            rest = stage(rest.join(first.select("w.__h"), "__h", "left_anti"), "rest")
+        mine = lambda table: F.col(f"{table}.__h") == F.col("__h")
+        near = here.select("__row", *[F.when(mine("__one"), F.col(f"__one.{c}")).when(mine("__two"), F.col(f"__two.{c}")).otherwise(0.0).alias(c) for c in add])
+        bits, size = bit_filter(rest, "__h")
+        left = each.withColumn("__bits", bits.scalar()).filter(may_hold("__bits", size, F.col("__h"))).drop("__bits")
+        far = left.join(rest.select("__h", *add).hint("merge"), "__h").drop("__h")
+        sums = stage(near.unionByName(far).groupBy("__row").agg(*(F.sum(c).alias(c) for c in add)), "sums")
+        met = rows.drop(held).join(sums.hint("merge"), "__row")
+        logs = [(F.lit(x) + F.col(c)).alias(f"{'z' if c[2] == 'g' else 'y'}{c[3:]}") for c, x in zip(add, [*self.absent, *self.absent_part])]
         return met.select(*(c for c in rows.columns if c not in (held, "__row")), *logs)
 
 
@@ -167,13 +166,11 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     own = with_words(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")), "__text")
     if not model.domains:
         return stage(own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.lit(1.0).alias("p0")), "posteriors"), ["all"]
-    bits, size = bit_filter(model.weights, "__h")
-    told = F.filter(F.transform(signs(), lambda w: F.xxhash64(w)), lambda h: may_hold("__bits", size, h))
-    own = own.withColumn("__bits", bits.scalar()).select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.array_distinct(told).alias("held"))
-    own = stage(own.withColumn("__row", F.monotonically_increasing_id()), "held")
+    own = own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.array_distinct(F.transform(signs(), lambda w: F.xxhash64(w))).alias("held"))
+    own = stage(own.withColumn("__row", F.monotonically_increasing_id()), "held", "lz4")
     scored = stage(model.score(own, "held"), "logits")
-    tried = stage(own.select("doc_id", "held", "__row").join(ids.filter(fold == 0).select(F.col("__id").alias("doc_id"), "domain").hint("merge"), "doc_id"), "tried")
-    known = stage(model.score(tried, "held", part=True), "tried_logits")
+    tried = scored.select("doc_id", *(F.col(f"y{k}").alias(f"z{k}") for k in range(len(model.domains))))
+    known = stage(tried.join(ids.filter(fold == 0).select(F.col("__id").alias("doc_id"), "domain").hint("merge"), "doc_id"), "tried_logits")
     losses = []
     for heat in HEATS:
         p = _softmax(model.domains, model.share, heat)
@@ -183,7 +180,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         losses.append(F.avg(-F.log(F.greatest(mine, F.lit(1e-12)))))
     row = known.agg(*losses).first()
     heat = min((x, h) for x, h in zip(row, HEATS))[1] if row[0] is not None else HEATS[0]
-    return stage(scored.withColumns(_softmax(model.domains, model.share, heat)).drop(*(f"z{k}" for k in range(len(model.domains)))), "posteriors"), model.domains
+    return stage(scored.withColumns(_softmax(model.domains, model.share, heat)).drop(*(f"{c}{k}" for c in "zy" for k in range(len(model.domains)))), "posteriors"), model.domains
 
 
 def _descend(look, u: np.ndarray, white: np.ndarray, still: float) -> tuple[np.ndarray, np.ndarray]:
