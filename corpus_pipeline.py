@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import linededup, mixing, nearcopy, packing, quality
+from tidegrid.llm import linededup, mixing, nearcopy, packing, quality, simhash
 from tidegrid.llm.common import stage
 from tidegrid.llm.queries import tokenizer_path
 
@@ -25,8 +25,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 and more) stays."""
-    return nearcopy.one_of_each(docs)
+    """One document of each group of near copies stays: of fingerprints within two bits (SimHash of three-word
+    shingles), then of texts alike by five-word shingles (Jaccard similarity of 0.8 and more), which two bits don't reach."""
+    return nearcopy.one_of_each(stage(simhash.one_of_each(docs), "simhash_dedup"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
