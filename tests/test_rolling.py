@@ -225,3 +225,14 @@ def test_numbers_of_a_hot_day_come_from_many_tasks(spark):
     newest = max(glob.glob(shared_dir(spark) + "/numbered-*"), key=os.path.getmtime)
     sizes = [len(pd.read_parquet(f)) for f in glob.glob(newest + "/*.parquet")]
     assert len(sizes) == 4 and max(sizes) < 2 * sorted(sizes)[1]
+
+
+def test_numbers_by_few_series_deal_the_rows_once(spark):
+    """The columns asked for alone are written, and the written rows meet their ranges without being dealt again."""
+    d = spark.createDataFrame([("a" if i % 3 else None, i * 37 % 50, i, f"x{i}") for i in range(300)], "series_id string, day int, seq int, rest string")
+    want = {r["seq"]: r["_pos"] for r in SC.number_rows(d, ["series_id"], ["day", "seq"]).collect()}
+    got = SC.number_rows(d, ["series_id"], ["day", "seq"], keep=["series_id", "seq"], few=True)
+    assert got.columns == ["series_id", "seq", "_pos"]
+    assert {r["seq"]: r["_pos"] for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "rest" not in plan

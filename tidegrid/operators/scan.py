@@ -5,8 +5,8 @@ hold a third of the table. These operators number the rows without a per-series
 into chunks of equal length, and let chunks run in parallel: frames borrow the rows before a chunk
 (halo), running totals and streaks receive a carry from the chunks before it.
 
-Every operator reads its input twice (once to count or total, once to apply), so hand it a stored
-table rather than a long plan."""
+Totals and streaks read their input twice (once to count or total, once to apply), so hand them a stored
+table rather than a long plan; frames read it once."""
 
 from __future__ import annotations
 
@@ -28,35 +28,38 @@ def _part() -> Column:
     return F.shiftright("_at", 33)
 
 
-def _in_ranges(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``df`` dealt by sampled bounds over keys and order, sorted, and written with ``_at``, each row's place in the sort."""
+def _in_ranges(df: DataFrame, keys: list[str], order: list[str], keep: list[str], name: str) -> DataFrame:
+    """``keep`` of ``df`` dealt by sampled bounds over keys and order, sorted, and written with ``_at``, each row's place in the sort."""
     cols = [*keys, *order]
-    placed = df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-    return stored(placed.withColumn("_at", F.monotonically_increasing_id()), "in_ranges")
+    placed = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    return stored(placed.select(*keep, "_at"), name)
 
 
-def _with_ranges(placed: DataFrame, keys: list[str], what: dict[str, Column]) -> DataFrame:
+def _with_ranges(placed: DataFrame, keys: list[str], what: dict[str, Column], few: bool = False) -> DataFrame:
     """Rows joined with ``what`` of their series' part in their range; ``what`` are windows or columns over
-    ``_n`` rows, ``_w`` weight and ``_first`` place, one row per series and range, ordered by ``_part``."""
+    ``_n`` rows, ``_w`` weight and ``_first`` place, one row per series and range, ordered by ``_part``. ``few``: these
+    rows are few enough for every task, so that ``placed`` is not dealt again to meet them."""
     names = [f"_k{i}" for i in range(len(keys))]
     per = placed.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], _part().alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"), F.sum("_weight").alias("_w"))
     per = per.select(*names, "_part", *[c.alias(n) for n, c in what.items()])
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], _part() == F.col("_part"))
-    return placed.join(per, same).drop(*names)
+    return placed.join(F.broadcast(per) if few else per, same).drop(*names)
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = POS) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str = POS, keep: list[str] | None = None, few: bool = False) -> DataFrame:
     """``df`` with the number of each row in its series, from 0, by ``order``; rows equal in it come in any order.
 
     Rows are dealt by sampled bounds over keys, order and, last, their place in the input, so neither a hot
     series nor a hot step of the order (a third of the table on one day) meets in one task. They are sorted, written
     with their place in the sort, and a series' rows in a range get the number of those in the ranges before: one row
     per series and range. Null keys are a series. ``df`` is read once; hand in a stored table, since a row's place
-    in the input must not change when a task runs again."""
-    placed = _in_ranges(df.withColumn("_row", F.monotonically_increasing_id()), keys, [*order, "_row"])
+    in the input must not change when a task runs again. ``keep`` names the columns of the result (default: all), with
+    the keys among them; ``few`` says that series are few, so that their numbers by range go to every task."""
+    keep = df.columns if keep is None else keep
+    placed = _in_ranges(df.withColumn("_row", F.monotonically_increasing_id()), keys, [*order, "_row"], keep, "numbered")
     before = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    met = _with_ranges(placed.withColumn("_weight", F.lit(0)), keys, {"_shift": F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))})
-    return met.select(*df.columns, (F.col("_at") - F.col("_shift")).alias(out))
+    met = _with_ranges(placed.withColumn("_weight", F.lit(0)), keys, {"_shift": F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))}, few)
+    return met.select(*keep, (F.col("_at") - F.col("_shift")).alias(out))
 
 
 def running_weight(df: DataFrame, keys: list[str], order: list[str], weight: str, out: str, total: str) -> DataFrame:
@@ -64,7 +67,7 @@ def running_weight(df: DataFrame, keys: list[str], order: list[str], weight: str
 
     No two rows may be equal in keys and order: fold them first. Dealt as in ``number_rows``: a series in many ranges is
     summed inside each, and the sums of the ranges before are added."""
-    placed = _in_ranges(df, keys, order)
+    placed = _in_ranges(df, keys, order, df.columns, "in_ranges")
     series = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
     before = series.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     met = _with_ranges(placed.withColumn("_weight", F.col(weight)), keys, {"_off": F.coalesce(F.sum("_w").over(before), F.lit(0)), total: F.sum("_w").over(series)})
