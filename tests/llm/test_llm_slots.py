@@ -23,3 +23,21 @@ def test_signs_left_out_of_the_first_slots_have_second_ones(spark, monkeypatch):
     got = mixing.posteriors(docs, labels)[0].toPandas()
     assert sizes["weights"][0] > sizes["rest"][0] > sizes["rest"][1]
     assert len(got) == 160 and ((got.p1 > 0.5) == (got.doc_id % 2 == 1)).all()
+
+
+def test_slots_are_rows_and_no_value_of_a_task(spark, monkeypatch):
+    """One row for each slot, met by a broadcast join: as one array they went with every task and filled the driver."""
+    docs = spark.createDataFrame([(i, "b c d" if i % 2 else "f g h") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "toxic" if i % 2 else "good") for i in range(30)], "doc_id long, domain string")
+    rows, stage = [], mixing.stage
+
+    def counted(df, name, *more):
+        out = stage(df, name, *more)
+        if name == "slots":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(mixing, "stage", counted)
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    assert mixing.posteriors(docs, labels)[0].count() == 40
+    assert rows == [64, 64]
