@@ -39,6 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.known, self.runs, self.parts = Tokenizer.from_file(path), spaced, {}, {}, {}
+        self.tokenize = self.tokenizer.model.tokenize  # taken once: each look at the model makes an object
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.direct = self._parts_as_expected(made.get("normalizer"), made.get("pre_tokenizer") or {})
@@ -83,6 +84,8 @@ class Encoder:
 
     def _run(self, key: str) -> bytes | None:
         """Ids of a run with what stands before it: a line end, nothing, or else (``spaced``) a blank."""
+        if self.spaced and key.isalpha() and key.isascii():  # one part, which stands for itself
+            return self._shown_ids(self.shown[32] + key)
         if not self.spaced:
             text = key
         elif key[:1] in ("\0", "\n"):
@@ -106,7 +109,10 @@ class Encoder:
             bytes_shown = p.replace(" ", self.shown[32])
         else:
             bytes_shown = p.encode().decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(bytes_shown)]).tobytes()
+        return self._shown_ids(bytes_shown)
+
+    def _shown_ids(self, bytes_shown: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(bytes_shown)]).tobytes()
 
     def _by_parts(self, text: str) -> bytes:
         found = _SPLIT_SPACED.findall(text)
