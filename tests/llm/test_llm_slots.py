@@ -1,6 +1,10 @@
 """Signs that lose their slot get a second one before any join."""
 
+import math
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidegrid.llm import mixing
 
@@ -41,3 +45,35 @@ def test_slots_are_rows_and_no_value_of_a_task(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SLOTS", 64)
     assert mixing.posteriors(docs, labels)[0].count() == 40
     assert rows == [64, 64]
+
+
+def test_texts_are_cut_into_signs_once(spark, monkeypatch):
+    """Labelled texts too: their counts are taken from the stored hashes of signs, no text is cut a second time."""
+    docs = spark.createDataFrame([(i, "b c d" if i % 2 else "f g h") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "toxic" if i % 2 else "good") for i in range(30)], "doc_id long, domain string")
+    cut, stage = [], mixing.stage
+
+    def looked(df, name, *more):
+        if "split(" in df._jdf.queryExecution().optimizedPlan().toString():
+            cut.append(name)
+        return stage(df, name, *more)
+
+    monkeypatch.setattr(mixing, "stage", looked)
+    got = mixing.posteriors(docs, labels)[0].toPandas()
+    assert cut == ["held"]
+    assert len(got) == 40 and ((got.p1 > 0.5) == (got.doc_id % 2 == 1)).all()
+
+
+def test_signs_of_odd_texts(spark):
+    """Six blanks part words, no others do; symbols and line ends are counted; null, empty and blank texts have no words."""
+    texts = ["\n a\tB\x0bc\x0cd\r\ne  A ", "x\x1cy z İ Été\n\n", "#$% a@b [\\] ^_{|}~ 'q' -,.;: \"", "one", "", " \n ", None, "\U0001f600 \U0001f600 <b>&amp;</b>\n" * 9]
+    got = mixing.with_signs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text")
+    assert got.columns == ["doc_id", "text", "__n", "__held"]
+    for r in got.collect():
+        t = r.text or ""
+        w = [x for x in re.split("[ \t\n\x0b\x0c\r]+", t) if x]
+        odd = sum(c in "!#$%&()*+/<=>?@[\\]^_{|}~" for c in t)
+        counts = [f"\tn{math.floor(math.log2(len(w) + 1))}", f"\to{math.floor(2 * math.log1p(100 * odd / (len(w) + 10)))}", f"\tl{math.floor(2 * math.log2((len(t) + 1) / (len(w) + 1)))}", f"\tb{math.floor(math.log1p(100 * t.count(chr(10)) / (len(w) + 10)))}"]
+        signs = spark.createDataFrame([(x.lower(),) for x in [*w, *counts]], "s string")
+        assert r["__n"] == len(w)
+        assert sorted(r["__held"]) == sorted({x.h for x in signs.select(F.xxhash64("s").alias("h")).collect()})

@@ -23,24 +23,25 @@ GRIDS, CELLS = (64, 32, 16, 8, 4, 2), 4000  # of rounded posteriors, finest firs
 FILTER_BITS = 1 << 26  # of a bit filter at most, 8 MB
 
 
-def with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with ``__t``, the text or an empty one, and ``__w``, its lower-cased words."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("__t", t).withColumn("__w", F.array_remove(F.split(F.lower("__t"), r"[\x20\x09-\x0D]+", -1), ""))
-
-
-def signs() -> Column:
-    """Words and a few binned counts of a text, as strings; from ``__t`` and ``__w``."""
-    t, n = F.col("__t"), F.size("__w")
-    odd = F.regexp_count(t, F.lit(r"[!#$%&()*+/<=>?@\[\\\]^_{|}~]"))
-    lines = F.char_length(t) - F.char_length(F.replace(t, F.lit("\n"), F.lit("")))
-    counts = F.array(
+def with_signs(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with ``__n``, the number of words of the text, and ``__held``, the distinct hashes of its signs: its lower-cased
+    words and a few binned counts, as strings. A null text is an empty one.
+
+    Words are hashed where they are cut, and one pass leaves of the text what is counted, so that no arrays of words are made
+    between steps."""
+    t = F.col("__t")
+    words = F.array_remove(F.split(F.regexp_replace(F.lower(t), r"[\x09-\x0D]", " "), " ", -1), "")
+    out = docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    out = out.withColumns({"__w": F.transform(words, lambda w: F.xxhash64(w)), "__c": F.regexp_replace(t, r"[^\n!#$%&()*+/<=>?@\[\\\]^_{|}~]+", "")})
+    n, odd = F.size("__w"), F.char_length(F.replace(F.col("__c"), F.lit("\n"), F.lit("")))
+    lines = F.char_length("__c") - odd
+    counts = (
         F.concat(F.lit("\tn"), F.floor(F.log2(n + F.lit(1)))),
         F.concat(F.lit("\to"), F.floor(2 * F.log1p(100 * odd / (n + F.lit(10))))),
         F.concat(F.lit("\tl"), F.floor(2 * F.log2((F.char_length(t) + F.lit(1)) / (n + F.lit(1))))),
         F.concat(F.lit("\tb"), F.floor(F.log1p(100 * lines / (n + F.lit(10))))),
     )
-    return F.concat("__w", counts)
+    return out.withColumns({"__n": n.cast("long"), "__held": F.array_distinct(F.concat("__w", F.array(*map(F.xxhash64, counts))))}).drop("__t", "__w", "__c")
 
 
 def bit_filter(hashes: DataFrame, col: str) -> tuple[DataFrame, int]:
@@ -107,14 +108,19 @@ def train(labelled: DataFrame, text_col: str, domain_col: str) -> Classifier:
     2 log n with a chance of 1 / n for three domains. Tables are staged, only sums come to the driver. Rows without a
     domain are left out; no rows give a classifier without domains. ``__fold`` tells a row's fold, if there."""
     fold = F.col("__fold") if "__fold" in labelled.columns else F.lit(1)
-    rows = with_words(labelled.filter(F.col(domain_col).isNotNull()).select(F.col(domain_col).cast("string").alias("d"), (fold != 0).alias("in_part"), text_col), text_col)
+    return _learn(with_signs(labelled.select(F.col(domain_col).alias("__d"), fold.alias("__fold"), F.col(text_col).alias("__text")), "__text").select(F.col("__d").alias("domain"), "__fold", F.col("__held").alias("held")))
+
+
+def _learn(labelled: DataFrame) -> Classifier:
+    """train() on (domain, __fold, held), with the hashes of a row's signs."""
+    rows = labelled.filter("domain IS NOT NULL").select(F.col("domain").cast("string").alias("d"), (F.col("__fold") != 0).alias("in_part"), "held")
     size, part = {}, {}
     for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("in_part"), 1)).alias("m")).orderBy("d").collect():  # a row per domain
         size[r["d"]], part[r["d"]] = r["n"], r["m"]
     names, total = sorted(size), sum(size.values())
     if not names:
         return Classifier([], [], [], [], None)
-    held = rows.select("d", (F.col("in_part").cast("long") * (1 << 32) + 1).alias("x"), F.explode(F.array_distinct(F.transform(signs(), lambda w: F.xxhash64(w)))).alias("__h"))
+    held = rows.select("d", (F.col("in_part").cast("long") * (1 << 32) + 1).alias("x"), F.explode("held").alias("__h"))
     # two counts in one sum, of fewer than 2^31 documents each: of all in the low half, of those outside the fold in the high one
     sums = held.groupBy("__h").agg(*[F.coalesce(F.sum(F.when(F.col("d") == n, F.col("x"))), F.lit(0)).alias(f"x{k}") for k, n in enumerate(names)])
     low, high = (lambda k: F.col(f"x{k}").bitwiseAND(F.lit((1 << 32) - 1))), (lambda k: F.shiftright(f"x{k}", 32))
@@ -159,14 +165,14 @@ def posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     fold = F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS))
     ids = stage(labels.select(F.col("doc_id").alias("__id"), F.xxhash64("doc_id").alias("__ih"), "domain").filter("__id IS NOT NULL"), "labels")
     bits, size = bit_filter(ids, "__ih")
-    some = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), bits.scalar().alias("__bits")).filter(may_hold("__bits", size, F.xxhash64("__id"))).drop("__bits")
+    own = with_signs(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")), "__text")
+    own = own.select("doc_id", *keep, F.col("__n").alias("n_tokens"), F.col("__held").alias("held"))
+    own = stage(own.withColumn("__row", F.monotonically_increasing_id()), "held")  # the one pass over texts
+    some = own.select(F.col("doc_id").alias("__id"), "held", bits.scalar().alias("__bits")).filter(may_hold("__bits", size, F.xxhash64("__id"))).drop("__bits")
     labelled = some.join(ids.drop("__ih").hint("merge"), "__id")  # one way at every size
-    model = train(labelled.withColumn("__fold", fold), "__text", "domain")
-    own = with_words(docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("__text")), "__text")
+    model = _learn(labelled.withColumn("__fold", fold))
     if not model.domains:
-        return stage(own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.lit(1.0).alias("p0")), "posteriors"), ["all"]
-    own = own.select("doc_id", *keep, F.size("__w").cast("long").alias("n_tokens"), F.array_distinct(F.transform(signs(), lambda w: F.xxhash64(w))).alias("held"))
-    own = stage(own.withColumn("__row", F.monotonically_increasing_id()), "held", "lz4")
+        return stage(own.select("doc_id", *keep, "n_tokens", F.lit(1.0).alias("p0")), "posteriors"), ["all"]
     scored = stage(model.score(own, "held"), "logits")
     tried = scored.select("doc_id", *(F.col(f"y{k}").alias(f"z{k}") for k in range(len(model.domains))))
     known = stage(tried.join(ids.filter(fold == 0).select(F.col("__id").alias("doc_id"), "domain").hint("merge"), "doc_id"), "tried_logits")
