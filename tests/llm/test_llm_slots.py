@@ -47,6 +47,39 @@ def test_slots_are_rows_and_no_value_of_a_task(spark, monkeypatch):
     assert rows == [64, 64]
 
 
+def test_only_taken_slots_are_broadcast(spark, monkeypatch):
+    """A row for each telling sign: with a row for each empty slot too, building the broadcast filled the driver. Signs that have no
+    slot add nothing or meet the join, so the posteriors are those of many slots and of few."""
+    rng = np.random.default_rng(15)
+    texts = [" ".join(rng.choice([f"{'b' if i % 2 else 'f'}{k}" for k in range(60)], 12)) + f" only{i}" for i in range(160)] + [None, "", " \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "toxic" if i % 2 else "good") for i in range(120)], "doc_id long, domain string")
+    weights, sent, stage, broadcast = [], [], mixing.stage, F.broadcast
+
+    def counted(df, name, *more):
+        out = stage(df, name, *more)
+        if name == "weights":
+            weights.append(out.count())
+        return out
+
+    def looked(df):
+        sent.append(df.count())
+        return broadcast(df)
+
+    monkeypatch.setattr(mixing, "stage", counted)
+    monkeypatch.setattr(mixing.F, "broadcast", looked)
+    got = {}
+    for slots in (1 << 12, 8):
+        weights.clear(), sent.clear()
+        monkeypatch.setattr(mixing, "SLOTS", slots)
+        got[slots] = mixing.posteriors(docs, labels)[0].toPandas().sort_values("doc_id")
+        assert len(sent) == 2 and 0 < sum(sent) <= min(weights[0], 2 * slots)
+    many, few = got.values()
+    assert many.doc_id.tolist() == few.doc_id.tolist() == list(range(163))
+    assert many.n_tokens.tolist() == few.n_tokens.tolist() == [13] * 160 + [0] * 3
+    assert np.allclose(many[["p0", "p1"]], few[["p0", "p1"]], rtol=1e-12, atol=1e-15)
+
+
 def test_texts_are_cut_into_signs_once(spark, monkeypatch):
     """Labelled texts too: their counts are taken from the stored hashes of signs, no text is cut a second time."""
     docs = spark.createDataFrame([(i, "b c d" if i % 2 else "f g h") for i in range(40)], "doc_id long, text string")

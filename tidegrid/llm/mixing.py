@@ -77,9 +77,10 @@ class Classifier:
         """rows without ``held`` and ``__row``, with z0.., the log likelihood under each domain, and y0.., that by the weights
         without the first fold; ``held`` is an array of distinct hashes, at least one, ``__row`` numbers the rows.
 
-        A sign's weights are looked up in two tables of slots, broadcast to every executor: the most common sign of each slot by
-        the low bits of its hash, and of those left out by the bits above. Signs left out of both meet a table of
-        weights by hash, where no sign is common. All are summed by row at once."""
+        A sign's weights are looked up in two tables of slots, whose taken ones are broadcast to every executor: the most common
+        sign of each slot by the low bits of its hash, and of those left out by the bits above. So no more is broadcast than there
+        are telling signs, and 2 SLOTS rows at most. Signs left out of both meet a table of weights by hash, where no sign is
+        common. All are summed by row at once."""
         k = range(len(self.domains))
         add = [f"__{c}{i}" for c in "gb" for i in k]
         each = rows.select("__row", F.explode(held).alias("__h"))
@@ -89,7 +90,8 @@ class Classifier:
             first = rest.groupBy(slot(F.col("__h")).alias("slot")).agg(F.max_by(F.struct("__h", *add), F.struct("n", "__h")).alias("w"))
             empty = rows.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot"))
             slots = stage(empty.join(first, "slot", "left").select(F.col("slot").alias(table), F.col("w.__h").alias(f"{table}__h"), *(F.col(f"w.{c}").alias(table + c) for c in add)), "slots")
-            here = here.join(F.broadcast(slots), slot(F.col("__h")) == F.col(table))  # SLOTS rows, each met by one; as a value it would go with every task
+            taken = slots.filter(F.col(f"{table}__h").isNotNull())  # empty ones would fill the driver, which builds what is broadcast
+            here = here.join(F.broadcast(taken), slot(F.col("__h")) == F.col(table), "left")  # each met by one at most; as a value it would go with every task
             rest = stage(rest.join(first.select("w.__h"), "__h", "left_anti"), "rest")
         mine = lambda table: F.col(f"{table}__h") == F.col("__h")
         near = here.select("__row", *[F.when(mine("__one"), F.col(f"__one{c}")).when(mine("__two"), F.col(f"__two{c}")).otherwise(0.0).alias(c) for c in add])
